@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, words
 
-BITS = 8
+BITS = 7
 BINS, KEEP_BITS, SHINGLE = 1 << BITS, 4, 5
 _LOW = (1 << (64 - BITS)) - 1
 #: Rows of a sorted run in `with_next`.
@@ -42,14 +42,15 @@ def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
     rolled = F.transform(F.col(w), lambda x, i: F.xxhash64(x, *[F.get(F.col(w), i + k) for k in range(1, SHINGLE)]))
     shingles = F.slice(rolled, F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1)))
     sentinels = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.shiftleft((b - BINS // 2).cast("long"), 64 - BITS).bitwiseOR(F.lit(_LOW)))
-    df = df.withColumn(h, F.array_sort(F.concat(shingles, sentinels)))
+    df = df.withColumn(h, F.sort_array(F.concat(shingles, sentinels)))
     bin_of = lambda x: F.shiftright(x, 64 - BITS)
     df = df.withColumn(d, F.filter(F.col(h), lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(F.col(h), i - 1)))))
     empty = lambda x: x.bitwiseAND(F.lit(_LOW)) == _LOW
     df = df.withColumn(full, F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: ~empty(F.get(F.col(d), b))))
-    chosen = lambda b: F.array_min(F.transform(F.col(full), lambda j: F.struct(F.xxhash64(b, j).alias("h"), j.alias("j"))))["j"]
+    # the full bin whose hash with b is least; its number stands in the hash's low bits
+    chosen = lambda b: F.array_min(F.transform(F.col(full), lambda j: F.xxhash64(b, j).bitwiseAND(F.lit(-BINS)).bitwiseOR(j.cast("long")))).bitwiseAND(F.lit(BINS - 1)).cast("int")
     dense = F.transform(F.col(d), lambda x, b: F.when(empty(x), F.get(F.col(d), chosen(b))).otherwise(x).bitwiseAND(F.lit((1 << KEEP_BITS) - 1)).cast("tinyint"))
-    return df.withColumn(out, F.when(F.size(w) > 0, dense)).drop(w, h, d, full)
+    return df.withColumn(out, F.when((F.size(w) > 0) & (F.size(full) > 0), dense)).drop(w, h, d, full)
 
 
 def packed(bins: Column) -> Column:
