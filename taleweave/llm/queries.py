@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact, fingerprints, mixing, urls
+from . import exact, fingerprints, language, mixing, quality, sentencepieces, toxicity, urls, webpages
 
 
 def queries() -> dict:
-    return {"op1_pareto_mixing": mixing.query, "op3_exact_dedup": exact.query, "op8_url_filter": urls.query, "op10_fingerprints": fingerprints.query}
+    return {
+        "op1_pareto_mixing": mixing.query,
+        "op3_exact_dedup": exact.query,
+        "op4_language_id": language.query,
+        "op5_toxicity": toxicity.query,
+        "op6_sentencepiece": sentencepieces.query,
+        "op7_quality": quality.query,
+        "op8_url_filter": urls.query,
+        "op9_html_extraction": webpages.query,
+        "op10_fingerprints": fingerprints.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
