@@ -32,7 +32,7 @@ from .learning import labelled_sample, logistic, sigmoid
 PER_CLASS = 4000
 THRESHOLD, SPAN = 0.3, 6
 LEAST_RATIO, FUZZY_FROM, STEM_FROM, STEM_TO = 20.0, 5, 4, 8
-QUOTED, NEIGHBOUR, FUZZY = 0.33, 0.25, 0.8
+QUOTED, NEIGHBOUR, FUZZY = 0.33, 0.25, 0.5
 LEAST_SHARE, CHANCE = 0.01, 0.05
 _WORD = re.compile(r"[^\W_]+")
 _QUOTES = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«[^»\n]{1,400}»|‘[^’\n]{1,400}’")
