@@ -38,6 +38,11 @@ def join_small(rows: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     return rows.join(small, on, how)
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id isn't among the ids (durable, no nulls); few ids are counted and broadcast, so that no text moves."""
+    return join_small(docs, ids, ["doc_id"], "left_anti")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _UPPER.lower())
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, durable
+from .common import SPACES, durable, without
 
 #: Digests in a shard of the index, and rows in a look-up group.
 SHARD_KEYS, GROUP_ROWS = 20_000, 20_000
@@ -181,6 +181,19 @@ def dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The documents without repeats, with all their columns."""
+    found = durable(dedup(docs).select("doc_id", "kept", "text_sha256"))
+    gone = durable(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct())
+    twice = found.groupBy("doc_id").count().where("count > 1")
+    if not twice.isEmpty():  # rows that share an id: these are told apart by their text, at the price of a shuffle
+        keyed = docs.withColumn("_sha", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, "").cast("binary"), 256))
+        stay = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha2")).distinct()
+        on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_sha2"))
+        return keyed.join(stay, on, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    return without(docs, gone)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -18,7 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, join_small, words
@@ -47,73 +47,101 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_c
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: float = 3.0, seed: str = "mix", weight: str | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every document."""
-    relative = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
+def _random(seed: str) -> Column:
+    """u in (0, 1), from the id."""
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13)
-    sized = durable(
-        docs.select(
-            "doc_id",
-            "source",
-            F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"),
-            F.size(words(F.col("text"))).cast("long").alias("size"),
-            ((F.conv(digits, 16, 10).cast("double") + 0.5) / float(2**52)).alias("u"),
-            F.greatest(relative, F.lit(0.0)).alias("own"),
-        )
-    )
-    targets = source_targets(sized, weights, max_copies)
-    if weight:
-        mean = sized.groupBy("skey").agg((F.sum(F.col("own") * F.col("size")) / F.sum("size")).alias("mean"))
-        targets = targets.join(mean, "skey")
-    targets = durable(targets if weight else targets.withColumn("mean", F.lit(1.0)))
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(2**52)
+
+
+def _skey() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
 
+
+def _own(weight: str | None) -> Column:
+    return F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
+
+
+def _placed(rows: DataFrame, max_copies: float) -> DataFrame:
+    """Adds rate, whole and odds to rows that have source_size, target, mean, own and u.  odds is null without a fraction."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    expected = F.when(F.col("mean") > 0, F.least(F.lit(float(max_copies)), rate * F.col("own") / F.col("mean"))).otherwise(0.0)
+    expected = F.when(F.col("mean") > 0, F.least(F.lit(float(max_copies)), F.col("rate") * F.col("own") / F.col("mean"))).otherwise(0.0)
     fraction = F.col("expected") - F.col("whole")
-    rows = (
-        join_small(sized, targets, ["skey"])
-        .withColumn("expected", expected)
-        .withColumn("whole", F.floor("expected"))
-        .withColumn("odds", F.when(fraction > 0, (F.col("u") / (1 - F.col("u"))) * ((1 - fraction) / fraction)))
-        .withColumn("part", F.when(F.col("odds").isNull(), F.lit(0)).otherwise(F.col("size")))
-        .withColumn("buckets", F.ceil(F.sqrt("n")))
-        .withColumn("mid", F.least(F.greatest(rate - F.floor(rate), F.lit(1e-9)), F.lit(1 - 1e-9)))
-        .withColumn("rank", F.col("odds") * (F.col("mid") / (1 - F.col("mid"))))
-        .withColumn("bucket", F.coalesce(F.least(F.col("buckets") - 1, F.floor(F.col("buckets") * (F.col("rank") / (1 + F.col("rank"))))), (F.col("buckets") * F.col("u")).cast("long")))
-        .drop("mid", "rank", "buckets", "n", "mean", "own", "u", "expected")
-    )
-    sums = rows.groupBy("skey", "bucket").agg(F.sum("part").alias("part"), F.sum(F.col("whole") * F.col("size")).alias("certain"))
-    before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("skey", "bucket", F.coalesce(F.sum("part").over(before), F.lit(0)).alias("ahead"), F.sum("certain").over(Window.partitionBy("skey")).alias("certain"))
-    within = Window.partitionBy("skey", "bucket").orderBy(F.col("odds").asc_nulls_last(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = durable(
-        rows.join(sums, ["skey", "bucket"])
-        .withColumn("left", F.col("target") - F.col("certain"))
-        .withColumn("through", F.col("ahead") + F.sum("part").over(within))
-        .withColumn("chosen", F.col("odds").isNotNull() & (F.col("through") <= F.col("left")))
-        .drop("ahead", "certain", "bucket")
-    )
-    gaps = ranked.groupBy("skey").agg((F.max("left") - F.coalesce(F.max(F.when(F.col("chosen"), F.col("through"))), F.lit(0))).alias("gap"))
-    gaps = durable(gaps)
-    off = F.abs(F.col("size") - F.col("gap"))
-    closing = (
-        join_small(ranked.where(F.col("odds").isNotNull() & ~F.col("chosen")), gaps, ["skey"])
-        .where(off < F.col("gap"))
-        .groupBy("skey")
-        .agg(F.min(F.struct(off.alias("off"), "odds", F.col("doc_id").alias("closing_id"), F.col("size").alias("closing_size"))).alias("c"))
-        .select("skey", "c.closing_id", "c.closing_size", F.lit(True).alias("closes"))
-    )
-    is_closing = ~F.col("chosen") & F.col("closes") & F.col("closing_id").eqNullSafe(F.col("doc_id")) & (F.col("closing_size") == F.col("size"))
-    out = join_small(ranked, durable(closing), ["skey"])
-    copies = F.col("whole") + F.when(F.col("chosen") | F.coalesce(is_closing, F.lit(False)), 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    rows = rows.withColumn("rate", rate).withColumn("expected", expected).withColumn("whole", F.floor("expected"))
+    return rows.withColumn("odds", F.when(fraction > 0, (F.col("u") / (1 - F.col("u"))) * ((1 - fraction) / fraction))).drop("expected")
+
+
+class Mixture:
+    """rows: every document with its place in its source's order.  sources: one row for each source, with its cut.
+
+    A fractional copy is taken up to the cut (odds, doc_id, size), and for the closing document.
+    """
 
+    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: float = 3.0, seed: str = "mix", weight: str | None = None):
+        self.max_copies, self.seed, self.weight = max_copies, seed, weight
+        sized = durable(docs.select("doc_id", "source", _skey().alias("skey"), F.size(words(F.col("text"))).cast("long").alias("size"), _random(seed).alias("u"), _own(weight).alias("own")))
+        targets = source_targets(sized, weights, max_copies)
+        if weight:
+            targets = targets.join(sized.groupBy("skey").agg((F.sum(F.col("own") * F.col("size")) / F.sum("size")).alias("mean")), "skey")
+        else:
+            targets = targets.withColumn("mean", F.lit(1.0))
+        targets = durable(targets)
+        # buckets of the order: by u where all odds of a source are alike, and by the same measure where not
+        rows = _placed(join_small(sized, targets, ["skey"]), max_copies)
+        rows = (
+            rows.withColumn("part", F.when(F.col("odds").isNull(), F.lit(0)).otherwise(F.col("size")))
+            .withColumn("buckets", F.ceil(F.sqrt("n")))
+            .withColumn("mid", F.least(F.greatest(F.col("rate") - F.floor("rate"), F.lit(1e-9)), F.lit(1 - 1e-9)))
+            .withColumn("rank", F.col("odds") * (F.col("mid") / (1 - F.col("mid"))))
+            .withColumn("bucket", F.coalesce(F.least(F.col("buckets") - 1, F.floor(F.col("buckets") * (F.col("rank") / (1 + F.col("rank"))))), (F.col("buckets") * F.col("u")).cast("long")))
+            .drop("mid", "rank", "buckets", "n", "mean", "own", "u", "rate")
+        )
+        sums = rows.groupBy("skey", "bucket").agg(F.sum("part").alias("part"), F.sum(F.col("whole") * F.col("size")).alias("certain"))
+        before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("skey", "bucket", F.coalesce(F.sum("part").over(before), F.lit(0)).alias("ahead"), F.sum("certain").over(Window.partitionBy("skey")).alias("certain"))
+        within = Window.partitionBy("skey", "bucket").orderBy(F.col("odds").asc_nulls_last(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+        self.rows = durable(
+            rows.join(sums, ["skey", "bucket"])
+            .withColumn("left", F.col("target") - F.col("certain"))
+            .withColumn("through", F.col("ahead") + F.sum("part").over(within))
+            .withColumn("chosen", F.col("odds").isNotNull() & (F.col("through") <= F.col("left")))
+            .drop("ahead", "certain", "bucket")
+        )
+        place = F.struct("odds", "doc_id", "size")
+        taken = F.coalesce(F.max(F.when(F.col("chosen"), F.col("through"))), F.lit(0))
+        cuts = durable(self.rows.groupBy("skey").agg((F.max("left") - taken).alias("gap"), F.max(F.when(F.col("chosen"), place)).alias("cut")))
+        off = F.abs(F.col("size") - F.col("gap"))
+        closing = (
+            join_small(self.rows.where(F.col("odds").isNotNull() & ~F.col("chosen")), cuts, ["skey"])
+            .where(off < F.col("gap"))
+            .groupBy("skey")
+            .agg(F.min(F.struct(off.alias("off"), "odds", F.col("doc_id").alias("id"), F.col("size").alias("size"))).alias("closing"))
+        )
+        self.sources = durable(targets.select("skey", "source_size", "target", "mean").join(cuts.select("skey", "cut"), "skey").join(closing, "skey", "left"))
+
+    def _copies(self, size: Column) -> Column:
+        # the size is looked at only where id and odds are tied
+        cut, closing = F.col("cut"), F.col("closing")
+        earlier = (F.col("odds") < cut["odds"]) | ((F.col("odds") == cut["odds"]) & (F.struct("doc_id", size) <= F.struct(cut["doc_id"], cut["size"])))
+        closes = F.col("doc_id").eqNullSafe(closing["id"]) & (F.col("odds") == closing["odds"]) & (size == closing["size"])
+        extra = F.col("odds").isNotNull() & (F.coalesce(earlier, F.lit(False)) | F.coalesce(closes, F.lit(False)))
+        return (F.col("whole") + F.when(extra, 1).otherwise(0)).cast("long")
+
+    def table(self) -> DataFrame:
+        """doc_id, source, size, source_size, target, copies, taken for every document."""
+        out = join_small(self.rows.drop("source_size", "target"), self.sources, ["skey"]).withColumn("copies", self._copies(F.col("size")))
+        return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+    def expand(self, docs: DataFrame) -> DataFrame:
+        """The documents as the mixture holds them, each as often as its copies say, in one pass: no text is shuffled."""
+        columns = docs.columns
+        named = docs.select(F.struct(*columns).alias("row"), "doc_id", "text", _skey().alias("skey"), _random(self.seed).alias("u"), _own(self.weight).alias("own"))
+        placed = _placed(join_small(named, self.sources, ["skey"]), self.max_copies)
+        copies = placed.withColumn("copies", self._copies(F.size(words(F.col("text"))).cast("long"))).where("copies > 0")
+        return copies.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
-def expand(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The documents as the mixture holds them: each as often as its copies say."""
-    wanted = mixed.where(F.col("copies") > 0).select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies")).dropDuplicates(["_id"])
-    kept = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: float = 3.0, seed: str = "mix", weight: str | None = None) -> DataFrame:
+    return Mixture(docs, weights, max_copies, seed, weight).table()
 
 
 def query(spark, sf_dir):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact, fingerprints, language, mixing, quality, sentencepieces, toxicity, urls, webpages
+from . import exact, fingerprints, language, mixing, neardup, quality, sentencepieces, toxicity, urls, webpages
 
 
 def queries() -> dict:
     return {
         "op1_pareto_mixing": mixing.query,
+        "op2_near_duplicates": neardup.query,
         "op3_exact_dedup": exact.query,
         "op4_language_id": language.query,
         "op5_toxicity": toxicity.query,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mixing": mixing.SQL, "op3_exact_dedup": exact.SQL, "op8_url_filter": urls.SQL}
+    return {"op1_pareto_mixing": mixing.SQL, "op2_near_duplicates": neardup.SQL, "op3_exact_dedup": exact.SQL, "op8_url_filter": urls.SQL}
