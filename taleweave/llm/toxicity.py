@@ -22,6 +22,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from .common import fold, pieces
 from .learning import labelled_sample, logistic, sigmoid
 
 #: Labelled documents of either class that are learned from, about.
-PER_CLASS = 4000
+PER_CLASS = 3000
 THRESHOLD, SPAN = 0.3, 6
 LEAST_RATIO, FUZZY_FROM, STEM_FROM, STEM_TO = 20.0, 5, 4, 8
 QUOTED, NEIGHBOUR, FUZZY = 0.33, 0.25, 0.5
@@ -119,11 +120,11 @@ def document_features(text: str, hits: dict[str, tuple[str, float]]) -> list[flo
     return [float(np.log1p(sum(weights))), max(weights), float(np.log1p(len({spans[i][2][0] for i in at})))]
 
 
-def _families(sets: list[set]) -> list[int]:
+def _families(texts: list[str]) -> list[int]:
     """A number for each document, the same for near copies: they share half of the least word hashes."""
     numbers, seen = [], {}
-    for i, words in enumerate(sets):
-        low = sorted(hash_word(w) for w in words)[:8]
+    for i, text in enumerate(texts):
+        low = sorted(xxhash.xxh64_intdigest(w) for w in _words(text))[:8]
         votes = Counter(seen[h] for h in low if h in seen)
         best, n = votes.most_common(1)[0] if votes else (i, 0)
         of = best if n >= max(1, (len(low) + 1) // 2) else i
@@ -133,42 +134,60 @@ def _families(sets: list[set]) -> list[int]:
     return numbers
 
 
-def hash_word(w: str) -> int:
-    h = 0xCBF29CE484222325
-    for b in w.encode():
-        h = ((h ^ b) * 0x100000001B3) & (2**64 - 1)
-    return h
+def _words(text: str) -> set[str]:
+    return set(_WORD.findall(text.lower()))
+
+
+def _by_family(samples: list[tuple[str, int]], families: list[int], y: int):
+    """The words of each family of near copies that has the label, one family at a time."""
+    members = defaultdict(list)
+    for f, (text, v) in zip(families, samples, strict=True):
+        if v == y:
+            members[f].append(text)
+    for texts in members.values():
+        yield set().union(*map(_words, texts))
+
+
+def _with_stems(words: set[str]) -> set[str]:
+    return words | {w[:k] + "*" for w in words for k in range(STEM_FROM, min(STEM_TO, len(w) - 1) + 1)}
 
 
 def learn_lexicon(samples: list[tuple[str, int]]) -> Lexicon:
-    sets = [set(_WORD.findall(t.lower())) for t, _ in samples]
-    families = _families(sets)
-    counts: dict[int, dict[str, set]] = {0: defaultdict(set), 1: defaultdict(set)}
-    endings: dict[str, set] = defaultdict(set)
-    total = {y: len({f for f, (_, v) in zip(families, samples, strict=True) if v == y}) or 1 for y in (0, 1)}
-    for words, f, (_, y) in zip(sets, families, samples, strict=True):
-        for w in words:
-            counts[y][w].add(f)
-            for k in range(STEM_FROM, min(STEM_TO, len(w) - 1) + 1):
-                counts[y][w[:k] + "*"].add(f)
-                if y:
-                    endings[w[:k] + "*"].add(w)
+    families = _families([t for t, _ in samples])
+    counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    total = {0: 0, 1: 0}
+    for words in _by_family(samples, families, 1):
+        counts[1].update(_with_stems(words))
+        total[1] += 1
+    candidates = {w for w, n in counts[1].items() if n >= 2}
+    for words in _by_family(samples, families, 0):
+        counts[0].update(candidates & _with_stems(words))
+        total[0] += 1
+    total = {y: n or 1 for y, n in total.items()}
     # so often that not one of all these words would be in toxic documents alone by chance
     by_chance = np.log(CHANCE / max(1, len(counts[1]))) / np.log(total[1] / (total[1] + total[0]))
     least = max(2, round(LEAST_SHARE * total[1]), int(np.ceil(by_chance)))
     strong = {}
-    for w, fs in counts[1].items():
-        if len(fs) >= least and (len(fs) / total[1]) >= LEAST_RATIO * ((len(counts[0].get(w, ())) + 0.5) / total[0]):
-            strong[w] = len(fs)
+    for w, n in counts[1].items():
+        if n >= least and n / total[1] >= LEAST_RATIO * ((counts[0][w] + 0.5) / total[0]):
+            strong[w] = n
+    endings: dict[str, list[int]] = defaultdict(list)
+    for w, n in counts[1].items():
+        for k in range(STEM_FROM, min(STEM_TO, len(w) - 1) + 1):
+            if w[-1] != "*" and w[:k] + "*" in strong:
+                endings[w[:k] + "*"].append(n)
+    # a stem has several endings, none of which is behind most of its documents: that would be a word
+    strong = {w: n for w, n in strong.items() if w[-1] != "*" or len(endings[w]) >= 3 and 2 * max(endings[w]) <= n}
     stems: list[str] = []
-    for s in sorted((w for w in strong if w[-1] == "*" and len(endings[w]) >= 3), key=len):
+    for s in sorted((w for w in strong if w[-1] == "*"), key=lambda w: (len(w), w)):
         if any(s.startswith(x) for x in stems):
             continue
         best = s[:-1]  # the longest stem that keeps nine tenths of this one's documents
-        for longer in sorted((w for w in strong if w[-1] == "*" and w.startswith(best) and len(endings[w]) >= 3), key=len):
+        for longer in sorted((w for w in strong if w[-1] == "*" and w.startswith(s[:-1])), key=lambda w: (len(w), w)):
             if strong[longer] >= 0.9 * strong[s]:
                 best = longer[:-1]
         stems.append(best)
+    stems = sorted(set(stems))
     return Lexicon([w for w in strong if w[-1] != "*" and len(w) >= 3 and not any(w.startswith(s) for s in stems)], stems)
 
 
@@ -178,9 +197,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn, per_class: int = PER_CLASS) -
     if not len(y) or y.min() == y.max():
         return None
     lexicon = learn_lexicon(samples)
-    clean = {w for t, v in samples if not v for w in set(_WORD.findall(t.lower()))}
+    clean = {w for t, v in samples if not v for w in _words(t) if lexicon.match(w)}
     lexicon.known = {w for w in clean if (m := lexicon.match(w)) and m[1] < 1}
-    hits = {w: m for t, _ in samples for w in set(_WORD.findall(t.lower())) if (m := lexicon.match(w))}
+    hits = {w: m for t, _ in samples for w in _words(t) if (m := lexicon.match(w))}
     x = np.array([document_features(t, hits) for t, _ in samples])
     return {"terms": lexicon.terms, "stems": lexicon.stems, "known": sorted(lexicon.known), "weights": logistic(x, y)}
 
