@@ -57,6 +57,22 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def small(batches, column: str, limit: int = 1_000_000):
+    """The batches in slices of about `limit` bytes of a text column: what a task makes of one is soon freed."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.cast(pc.binary_length(batch.column(column)), "int64"), 0).to_numpy(zero_copy_only=False) + 50
+        start, size = 0, 0
+        for i, n in enumerate(sizes):
+            size += n
+            if size >= limit:
+                yield batch.slice(start, i + 1 - start)
+                start, size = i + 1, 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def pieces(texts: list, limit: int = 1_000_000):
     """Slices (start, stop) of a list of texts with about `limit` characters each, so that a task's memory is bounded."""
     start = size = 0

@@ -5,17 +5,22 @@ key is a pair of one band of either collection, so 6m minhashes are computed for
 share a key if some band of the first collection and some band of the second agree; m is the least for
 which either fails with probability at most `MISS` at the threshold.
 
-1. One pass over the texts makes each document's set, its digest and its bands (numpy, block by block).
-   Documents with equal sets are one class from here on; a class is represented by its smallest id.
+1. One pass over the texts makes each document's set, its digest, its bands and a byte of each minhash
+   (numpy, block by block).  Documents with equal sets are one class from here on; a class is represented
+   by its smallest id.
 2. Bands that no other class has are dropped before keys are formed, so most documents form none.
-3. In each table bucket, every class is compared with the bucket's pivot, so candidates grow with the
-   bucket, not with its square.  Confirmed links join classes into components.
-4. Buckets whose classes are now in one component are done: any further link would join nothing.  The
-   others get another pivot, for `PIVOTS` rounds, and after these the pairs of classes in different
-   components that haven't met are compared, all of them.  So no link between texts is lost to pivots.
+3. In each table bucket, every class is compared with the bucket's pivot, the class that most others share
+   bands with (of a text and its edited copies, the text), so candidates grow with the bucket, not with its
+   square.  Confirmed links join classes into components.
+4. Buckets whose classes are now in one component are done: any further link would join nothing.  For the
+   others, classes of different components that share a band of the first collection and agree in enough
+   minhash bytes are chained into families.  In a family the classes outside its largest component are
+   compared with all others, block by block; within a block pairs go from the likest down, and a pair
+   that earlier links have joined is skipped.  So no link between texts is lost to pivots, and no list of
+   all pairs is made.
 
 Sets are compared as sorted 64-bit shingle hashes, rebuilt from the texts of candidates only.  A hot bucket's
-rows are spread: pairs are formed by a join with its pivot, and joins by id are left to adaptive skew splits.
+rows are spread: they meet the pivot in a join that adaptive execution can split, and each other in blocks.
 
 Defined results: a null text or one without words has an empty set and no links (its component is its own
 id); a text with fewer words than a shingle has its whole sequence as its one shingle; repeated rows with one
@@ -28,14 +33,15 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, pieces, without
+from .common import durable, pieces, small, without
 
-ROWS_IN_BAND, MISS, PIVOTS = 3, 1e-5, 3
+ROWS_IN_BAND, MISS, BLOCK = 3, 1e-5, 256
 _SPLIT = str.maketrans("\t\n\x0b\x0c\r", "     ")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -44,6 +50,16 @@ def bands_for(threshold: float) -> int:
     return max(1, math.ceil(math.log(MISS) / math.log(1 - threshold**ROWS_IN_BAND)))
 
 
+def least_agreement(threshold: float, n: int) -> int:
+    """The fewest of n minhash bytes in which documents at the threshold agree, but for a share of MISS."""
+    below = 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k)
+        if below > MISS:
+            return k
+    return n
+
+
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles."""
     lists = [[w for w in t.translate(_LOWER).translate(_SPLIT).split(" ") if w] if t else [] for t in texts]
@@ -76,11 +92,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bands(sets: list[np.ndarray], m: int) -> np.ndarray:
-    """(documents, 2m): the first collection's bands, then the second's.  Sets aren't empty."""
+def bands(sets: list[np.ndarray], m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, 2m): the first collection's bands, then the second's; and a byte of each minhash.  Sets aren't empty."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
     out = np.zeros((len(sets), 2 * m), np.uint64)
+    low_bytes = np.zeros((len(sets), 2 * m * ROWS_IN_BAND), np.uint8)
     rng = np.random.default_rng(20240229)
     salts = rng.integers(1, 2**63, size=(2 * m, ROWS_IN_BAND), dtype=np.uint64) | np.uint64(1)
     for b in range(2 * m):
@@ -88,40 +105,46 @@ def bands(sets: list[np.ndarray], m: int) -> np.ndarray:
             x = flat * salts[b, r]
             x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
             low = np.minimum.reduceat(x, starts)
+            low_bytes[:, b * ROWS_IN_BAND + r] = _mix(low) & np.uint64(255)
             out[:, b] = _mix(out[:, b] * np.uint64(0x9E3779B97F4A7C15) + low)
-    return out
+    return out, low_bytes
 
 
 def sketch(docs: DataFrame, shingle: int, m: int) -> DataFrame:
-    """doc_id, n_shingles, digest (null for an empty set), bands."""
+    """doc_id, n_shingles, digest (null for an empty set), bands, low (a byte of each minhash)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, "text"):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, b in pieces(texts):
                 sets = shingle_sets(texts[a:b], shingle)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(sets)
                 digests: list = [None] * len(sets)
+                lows: list = [None] * len(sets)
                 if full:
-                    for i, row in zip(full, bands([sets[i] for i in full], m).view(np.int64), strict=True):
-                        keys[i], digests[i] = row, hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                    found, low = bands([sets[i] for i in full], m)
+                    for i, row, own in zip(full, found.view(np.int64), low, strict=True):
+                        keys[i], lows[i], digests[i] = row, own.tobytes(), hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a:b], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "bands"],
+                    [pa.array(ids[a:b], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.binary())],
+                    names=["doc_id", "n_shingles", "digest", "bands", "low"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, low binary")
 
 
 def keyed(classes: DataFrame, m: int) -> DataFrame:
-    """key, id: the table keys of the classes that share a band of either collection with another class."""
+    """key, id, weight: the table keys of the classes that share bands of both collections with other classes.
+
+    weight: how many classes share the class's bands, all told.
+    """
     rows = classes.select("id", F.posexplode("bands").alias("band", "value"))
-    shared = rows.groupBy("band", "value").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("band", "value")
-    own = rows.join(shared, ["band", "value"]).groupBy("id").agg(F.collect_list(F.struct("band", "value")).alias("b"))
+    shared = rows.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    own = rows.join(shared, ["band", "value"]).groupBy("id").agg(F.collect_list(F.struct("band", "value")).alias("b"), F.sum("n").alias("weight"))
     first, second = F.filter("b", lambda x: x["band"] < m), F.filter("b", lambda x: x["band"] >= m)
-    pairs = own.select("id", F.explode(first).alias("x"), second.alias("second")).select("id", "x", F.explode("second").alias("y"))
-    keys = pairs.select(F.xxhash64("x.band", "x.value", "y.band", "y.value").alias("key"), "id")
+    pairs = own.select("id", "weight", F.explode(first).alias("x"), second.alias("second")).select("id", "weight", "x", F.explode("second").alias("y"))
+    keys = pairs.select(F.xxhash64("x.band", "x.value", "y.band", "y.value").alias("key"), "id", "weight")
     alone = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
     return keys.join(alone, "key")
 
@@ -131,17 +154,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     wide = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "left"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "right"}), "b")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, "left"):
             left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
             keep = np.zeros(len(left), bool)
             for s, e in pieces([x + y for x, y in zip(left, right, strict=True)]):
                 distinct = {t: i for i, t in enumerate(dict.fromkeys(left[s:e] + right[s:e]))}
                 sets = shingle_sets(list(distinct), shingle)
                 for i in range(s, e):
-                    x, y = sets[distinct[left[i]]], sets[distinct[right[i]]]
-                    if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                        common = len(np.intersect1d(x, y, assume_unique=True))
-                        keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
+                    keep[i] = _linked(sets[distinct[left[i]]], sets[distinct[right[i]]], percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return wide.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
@@ -168,15 +188,106 @@ def components(links: DataFrame) -> DataFrame:
             return now
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows: key, id; adds the component, the id itself without links."""
-    return rows.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+def _open_ids(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, component of the classes in buckets with more than one component.  rows: key, id."""
+    named = rows.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    return named.join(several, "key").select("id", "component").distinct()
+
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(a), len(b)), np.int16)
+    for k in range(a.shape[1]):
+        out += a[:, k, None] == b[None, :, k]
+    return out
+
+
+def _bytes(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(bytes(x) for x in column), np.uint8).reshape(len(column), -1)
+
+
+class _Union(dict):
+    def find(self, x):
+        while (up := self.get(x, x)) != x:
+            x = up
+        return x
 
 
-def _open_buckets(rows: DataFrame) -> DataFrame:
-    """rows: key, id, component; those of buckets with more than one component."""
-    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    return rows.join(several, "key")
+def _blocked(rows: DataFrame, size_of: str, some: DataFrame | None = None) -> DataFrame:
+    """Rows of a group dealt to pairs of blocks: side 0 holds `some` (or all), side 1 all.  size_of: the group's row count."""
+    block = lambda n: F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / BLOCK)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK) - 1).cast("int"))
+    if some is None:
+        left = rows.withColumn("i", block(size_of)).withColumn("j", F.explode(F.sequence("i", (F.ceil(F.col(size_of) / BLOCK) - 1).cast("int"))))
+        right = rows.withColumn("j", block(size_of)).withColumn("i", F.explode(F.sequence(F.lit(0), "j")))
+    else:
+        left = some.withColumn("i", block("few")).withColumn("j", F.explode(upto(size_of)))
+        right = rows.withColumn("j", block(size_of)).withColumn("i", F.explode(upto("few")))
+    return left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+
+
+def families(ids: DataFrame, classes: DataFrame, m: int, least: int) -> DataFrame:
+    """id, component, family of open classes that chains of likely links join across components.
+
+    Classes with a band of the first collection in common meet in blocks of bounded size; only a chain of
+    the likely links leaves a block, not its pairs.
+    """
+    own = ids.join(classes, "id").select("id", "component", "low", F.posexplode(F.slice("bands", 1, m)).alias("band", "value"))
+    sizes = own.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("component").alias("one"), F.max("component").alias("other")).where("n > 1 AND one <> other").select("band", "value", "n")
+    dealt = _blocked(own.join(sizes, ["band", "value"]), "n")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": []})
+        x, y = a["id"].to_numpy(), b["id"].to_numpy()
+        like = _agreement(_bytes(a["low"]), _bytes(b["low"])) >= least
+        joined, out = _Union(), []
+        for i, j in np.argwhere(like & (x[:, None] != y[None])):
+            p, q = joined.find(x[i]), joined.find(y[j])
+            if p != q:
+                joined[max(p, q)] = min(p, q)
+                out.append((x[i], y[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    chains = dealt.groupBy("band", "value", "i", "j").applyInPandas(run, "a long, b long")
+    found = components(chains).withColumnRenamed("component", "family")
+    return ids.join(found, "id")
+
+
+def settle(members: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, percent: int, least: int) -> DataFrame:
+    """Confirmed links a, b between the components of each family.  members: id, component, family."""
+    counts = members.groupBy("family", "component").agg(F.count("*").alias("n"))
+    most = counts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("components")).where("components > 1")
+    most = most.select("family", F.col("m.component").alias("main"), "n", (F.col("n") - F.col("m.n")).alias("few"))
+    rows = durable(members.join(most, "family").join(classes.select("id", "low"), "id").join(texts, "id"))
+    dealt = _blocked(rows, "n", rows.where("component <> main"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": []})
+        agree = _agreement(_bytes(a["low"]), _bytes(b["low"]))
+        left, right = a["component"].to_numpy(), b["component"].to_numpy()
+        likely = np.argwhere((agree >= least) & (left[:, None] != right[None]))
+        likely = likely[np.argsort(-agree[likely[:, 0], likely[:, 1]], kind="stable")]
+        sets_a, sets_b = shingle_sets(a["text"].tolist(), shingle), shingle_sets(b["text"].tolist(), shingle)
+        joined, out = _Union(), []
+        for i, j in likely:
+            p, q = joined.find(left[i]), joined.find(right[j])
+            if p != q and _linked(sets_a[i], sets_b[j], percent):
+                joined[max(p, q)] = min(p, q)
+                out.append((a["id"].iloc[i], b["id"].iloc[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return dealt.groupBy("family", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -185,38 +296,25 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     class_id is the smallest id with the same set.
     """
     m = bands_for(percent / 100)
+    least = least_agreement(percent / 100, 2 * m * ROWS_IN_BAND)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     sketched = durable(sketch(own, shingle, m))
-    classes = sketched.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"))
-    classes = durable(classes)
-    open_rows = durable(keyed(classes.select("id", "bands"), m).select("key", "id", F.col("id").alias("component")))
-    if open_rows.isEmpty():
-        labels = classes.select("id", F.col("id").alias("component"))
-    else:
-        candidates = open_rows.select("id").distinct()
-        texts = durable(own.withColumnRenamed("doc_id", "id").join(candidates, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-        links = met = None
-        for turn in range(PIVOTS + 1):
-            if turn < PIVOTS:
-                # the pivot differs from turn to turn: the first by a hash with the turn's number
-                by = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"), F.col("component"))
-                pivots = open_rows.groupBy("key").agg(F.min(by).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.component").alias("pivot_component"))
-                pairs = open_rows.join(pivots, "key").where("component <> pivot_component")
-                pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-            else:
-                other = open_rows.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-                pairs = open_rows.select("key", F.col("id").alias("a"), "component").join(other, "key").where("component <> other AND a < b").select("a", "b").distinct()
-            if met is not None:
-                pairs = pairs.join(met, ["a", "b"], "left_anti")
-            pairs = durable(pairs)
-            found = durable(confirm(pairs, texts, shingle, percent))
-            met = pairs if met is None else met.unionByName(pairs)
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-            if turn < PIVOTS:
-                open_rows = durable(_open_buckets(_labelled(open_rows.select("key", "id"), labels)))
-                if open_rows.isEmpty():
-                    break
+    first = F.min_by(F.struct("bands", "low"), "doc_id")
+    classes = durable(sketched.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"), first.alias("s")).select("digest", "id", "s.bands", "s.low"))
+    rows = durable(keyed(classes.select("id", "bands"), m))
+    labels = classes.select("id", F.col("id").alias("component"))
+    if not rows.isEmpty():
+        texts = durable(own.withColumnRenamed("doc_id", "id").join(rows.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+        pivots = rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("p")).select("key", (-F.col("p.minus")).alias("pivot"))
+        pairs = rows.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        links = durable(confirm(pairs, texts, shingle, percent))
+        labels = components(links)
+        ids = durable(_open_ids(rows.select("key", "id"), labels))
+        if not ids.isEmpty():
+            members = durable(families(ids, classes.select("id", "bands", "low"), m, least))
+            more = durable(settle(members, texts, classes, shingle, percent, least))
+            if not more.isEmpty():
+                labels = components(links.unionByName(more))
     members = sketched.select("doc_id", "n_shingles", "digest").dropDuplicates(["doc_id"])
     named = members.join(classes.select("digest", "id"), "digest", "left").join(labels, "id", "left")
     class_id = F.coalesce("id", "doc_id")
