@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, pieces
+from .common import fold, pieces, small
 from .learning import thinned
 
 WINDOW, WIDTHS, FILTERS, DIM, PAD = 128, (2, 3, 4), 16, 8, 256
@@ -166,7 +166,7 @@ def classify(docs: DataFrame, model: dict | None, flag) -> DataFrame:
 
     def run(batches):
         tables = _tables(model) if model else None
-        for batch in batches:
+        for batch in small(batches, "text"):
             texts = batch.column("text").to_pylist()
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))
             for a, b in pieces(texts):

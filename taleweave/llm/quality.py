@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, pieces
+from .common import fold, pieces, small
 from .learning import labelled_sample, logistic, sigmoid
 
 PER_CLASS, THRESHOLD = 1500, 0.5
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: dict | None, flag, threshold: float = THRESHOL
     """doc_id, held_out, score, predicted."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, "text"):
             s = score_texts(model, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 

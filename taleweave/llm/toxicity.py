@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, pieces
+from .common import fold, pieces, small
 from .learning import labelled_sample, logistic, sigmoid
 
 #: Labelled documents of either class that are learned from, about.
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: dict | None, flag, threshold: float = THRESHOL
 
     def run(batches):
         lexicon = Lexicon(model["terms"], model["stems"], model["known"]) if model else None
-        for batch in batches:
+        for batch in small(batches, "text"):
             s = score_texts(model, lexicon, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -237,7 +237,7 @@ def keep_clean(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD
 
     def run(batches):
         lexicon = Lexicon(model["terms"], model["stems"], model["known"]) if model else None
-        for batch in batches:
+        for batch in small(batches, "text"):
             texts = batch.column("text").cast(pa.string()).to_pylist()
             yield batch.filter(pa.array(score_texts(model, lexicon, texts) < threshold))
 
