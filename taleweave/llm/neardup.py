@@ -9,9 +9,9 @@ which either fails with probability at most `MISS` at the threshold.
    (numpy, block by block).  Documents with equal sets are one class from here on; a class is represented
    by its smallest id.
 2. Bands that no other class has are dropped before keys are formed, so most documents form none.
-3. In each table bucket, every class is compared with the bucket's pivot, the class that most others share
-   bands with (of a text and its edited copies, the text), so candidates grow with the bucket, not with its
-   square.  Confirmed links join classes into components.
+3. A table bucket's pivot is its class that most others share bands with (of a text and its edited copies,
+   the text).  Every class is compared with the weightiest pivot of its buckets, so candidates grow with
+   the classes, not with the square of a bucket.  Confirmed links join classes into components.
 4. Buckets whose classes are now in one component are done: any further link would join nothing.  For the
    others, classes of different components that share a band of the first collection and agree in enough
    minhash bytes are chained into families.  In a family the classes outside its largest component are
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,8 +43,6 @@ from pyspark.sql import functions as F
 from .common import durable, pieces, small, without
 
 ROWS_IN_BAND, MISS, BLOCK = 3, 1e-5, 256
-_SPLIT = str.maketrans("\t\n\x0b\x0c\r", "     ")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def bands_for(threshold: float) -> int:
@@ -60,13 +59,23 @@ def least_agreement(threshold: float, n: int) -> int:
     return n
 
 
+class _Hashes(dict):
+    """The hash of a word, remembered; forgotten before it holds too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_HASHES = _Hashes()
+
+
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
-    """The sorted distinct hashes of each text's shingles."""
-    lists = [[w for w in t.translate(_LOWER).translate(_SPLIT).split(" ") if w] if t else [] for t in texts]
-    number: dict[str, int] = {}
-    flat = np.fromiter((number.setdefault(w, len(number)) for ws in lists for w in ws), np.int64)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in number), np.uint64, len(number))
-    h = hashes[flat] if len(flat) else np.zeros(0, np.uint64)
+    """The sorted distinct hashes of each text's shingles.  Bytes are lower-cased and split in ASCII only, as the contract has it."""
+    lists = [t.encode("utf-8", "replace").lower().split() if t else [] for t in texts]
+    h = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(lists)), np.uint64, sum(map(len, lists)))
     rolled = np.zeros(len(h), np.uint64)
     for j in range(k):
         shifted = np.zeros(len(h), np.uint64)
@@ -79,7 +88,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
             out.append(np.unique(rolled[at : at + n - k + 1]))
         elif n:
             # another kind of hash than that of k words, so that they never meet
-            out.append(np.array([xxhash.xxh64_intdigest("\0".join(ws).encode("utf-8", "replace"), seed=n)], np.uint64))
+            out.append(np.array([xxhash.xxh64_intdigest(b"\0".join(ws), seed=n)], np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))
         at += n
@@ -94,17 +103,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def bands(sets: list[np.ndarray], m: int) -> tuple[np.ndarray, np.ndarray]:
     """(documents, 2m): the first collection's bands, then the second's; and a byte of each minhash.  Sets aren't empty."""
-    flat = np.concatenate(sets)
+    flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
     out = np.zeros((len(sets), 2 * m), np.uint64)
     low_bytes = np.zeros((len(sets), 2 * m * ROWS_IN_BAND), np.uint8)
     rng = np.random.default_rng(20240229)
-    salts = rng.integers(1, 2**63, size=(2 * m, ROWS_IN_BAND), dtype=np.uint64) | np.uint64(1)
+    # the shingles' hashes are mixed already: an odd factor and a summand put them into another order
+    factors = rng.integers(0, 2**32, size=(2 * m, ROWS_IN_BAND), dtype=np.uint32) | np.uint32(1)
+    summands = rng.integers(0, 2**32, size=(2 * m, ROWS_IN_BAND), dtype=np.uint32)
+    x = np.empty_like(flat)
     for b in range(2 * m):
         for r in range(ROWS_IN_BAND):
-            x = flat * salts[b, r]
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
-            low = np.minimum.reduceat(x, starts)
+            np.multiply(flat, factors[b, r], out=x)
+            np.add(x, summands[b, r], out=x)
+            low = np.minimum.reduceat(x, starts).astype(np.uint64)
             low_bytes[:, b * ROWS_IN_BAND + r] = _mix(low) & np.uint64(255)
             out[:, b] = _mix(out[:, b] * np.uint64(0x9E3779B97F4A7C15) + low)
     return out, low_bytes
@@ -305,8 +317,10 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     labels = classes.select("id", F.col("id").alias("component"))
     if not rows.isEmpty():
         texts = durable(own.withColumnRenamed("doc_id", "id").join(rows.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-        pivots = rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("p")).select("key", (-F.col("p.minus")).alias("pivot"))
-        pairs = rows.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        pivots = rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("p")).select("key", F.col("p.weight").alias("heft"), (-F.col("p.minus")).alias("pivot"))
+        # a class is compared with the weightiest pivot of its buckets only: what that leaves open is settled below
+        best = rows.join(pivots, "key").where("id <> pivot").groupBy("id").agg(F.max(F.struct("heft", (-F.col("pivot")).alias("minus"))).alias("p")).select("id", (-F.col("p.minus")).alias("pivot"))
+        pairs = best.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         links = durable(confirm(pairs, texts, shingle, percent))
         labels = components(links)
         ids = durable(_open_ids(rows.select("key", "id"), labels))
