@@ -107,7 +107,7 @@ def communities(events: DataFrame, weights: DataFrame, resolution: float = 0.5,
     def run(key, nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.rename(columns={"node_chat": "chat_id"}).sort_values(["message_index", "id"]).reset_index(drop=True)
         if len(nodes) < LEAST_EVENTS:
-            return pd.DataFrame({"chat_id": [], "id": [], "community": []})
+            return nodes.assign(community=0).loc[[], ["chat_id", "id", "community"]]
         number = {x: i for i, x in enumerate(nodes["id"])}
         pairs = pairs.sort_values(["a", "b"])
         found = louvain(pairs["a"].map(number).to_numpy(int), pairs["b"].map(number).to_numpy(int), pairs["w"].to_numpy(float), len(nodes), resolution, seed)

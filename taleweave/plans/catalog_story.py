@@ -22,8 +22,8 @@ _E = """edges AS (
     UNION ALL SELECT owner_id, 'character', id, 'item', 'owns' FROM items WHERE chat_id = 'BUILDING' UNION ALL SELECT id, 'item', location_id, 'location', 'lies_at' FROM items WHERE chat_id = 'BUILDING'
     UNION ALL SELECT c.from_id, 'event', c.to_id, 'event', 'chain' FROM chains c JOIN story_events e ON e.id = c.from_id AND e.chat_id = 'BUILDING')"""
 _edges = lambda t: graph.edges(t, ["BUILDING"])
-_seed = lambda t: t("characters").where("id = 'chr-c7'").select("id", F.lit("character").alias("type"))
-_REACH = """reach AS (SELECT 'chr-c7' AS id, 'character' AS type, 0 AS hop UNION SELECT e.dst, e.dt, r.hop + 1 FROM reach r JOIN edges e ON e.src = r.id AND e.st = r.type WHERE r.hop < {0})"""
+_seed = lambda t: t("characters").where("id = 'chr-s7'").select("id", F.lit("character").alias("type"))
+_REACH = """reach AS (SELECT 'chr-s7' AS id, 'character' AS type, 0 AS hop UNION SELECT e.dst, e.dt, r.hop + 1 FROM reach r JOIN edges e ON e.src = r.id AND e.st = r.type WHERE r.hop < {0})"""
 query("gr_edges", f"WITH {_E} SELECT edge, src, st AS src_type, dst, dt AS dst_type FROM edges")(_edges)
 query("so_union_all_edges", f"WITH {_E} SELECT edge, count(*) AS n FROM edges GROUP BY edge")(lambda t: _edges(t).groupBy("edge").agg(F.count("*").alias("n")))
 query("gr_traverse", f"WITH RECURSIVE {_E}, {_REACH.format(3)} SELECT id, type, min(hop) AS hop FROM reach GROUP BY id, type")(lambda t: graph.expand(_edges(t), _seed(t), 3, durable))
