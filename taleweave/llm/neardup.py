@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, pieces, small, without
 
-ROWS_IN_BAND, MISS, BLOCK = 3, 1e-5, 256
+ROWS_IN_BAND, MISS, BLOCK = 3, 1e-5, 512
 
 
 def bands_for(threshold: float) -> int:
@@ -221,7 +221,7 @@ def _bytes(column: pd.Series) -> np.ndarray:
 class _Union(dict):
     def find(self, x):
         while (up := self.get(x, x)) != x:
-            x = up
+            self[x] = x = self.get(up, up)
         return x
 
 
@@ -238,6 +238,18 @@ def _blocked(rows: DataFrame, size_of: str, some: DataFrame | None = None) -> Da
     return left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
 
 
+def _chained(like: np.ndarray) -> np.ndarray:
+    """The first member of each row's component in a symmetric matrix of likely pairs."""
+    label = np.full(len(like), -1)
+    for start in range(len(like)):
+        new = np.zeros(len(like), bool)
+        new[start] = label[start] < 0
+        while new.any():
+            label[new] = start
+            new = like[new].any(axis=0) & (label < 0)
+    return label
+
+
 def families(ids: DataFrame, classes: DataFrame, m: int, least: int) -> DataFrame:
     """id, component, family of open classes that chains of likely links join across components.
 
@@ -252,15 +264,18 @@ def families(ids: DataFrame, classes: DataFrame, m: int, least: int) -> DataFram
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": []})
-        x, y = a["id"].to_numpy(), b["id"].to_numpy()
-        like = _agreement(_bytes(a["low"]), _bytes(b["low"])) >= least
-        joined, out = _Union(), []
-        for i, j in np.argwhere(like & (x[:, None] != y[None])):
-            p, q = joined.find(x[i]), joined.find(y[j])
-            if p != q:
-                joined[max(p, q)] = min(p, q)
-                out.append((x[i], y[j]))
-        return pd.DataFrame(out, columns=["a", "b"])
+        both = a["i"].iloc[0] != a["j"].iloc[0]
+        ids = np.concatenate([a["id"].to_numpy(), b["id"].to_numpy()]) if both else a["id"].to_numpy()
+        low = np.concatenate([_bytes(a["low"]), _bytes(b["low"])]) if both else _bytes(a["low"])
+        like = _agreement(low, low) >= least
+        label = _chained(like)
+        # what either block's own task tells already is left out: only its components' first members are tied
+        tied = np.arange(len(ids))
+        if both:
+            n = len(a)
+            tied = np.unique(np.concatenate([_chained(like[:n, :n]), n + _chained(like[n:, n:])]))
+        tied = tied[label[tied] != tied]
+        return pd.DataFrame({"a": ids[tied], "b": ids[label[tied]]})
 
     chains = dealt.groupBy("band", "value", "i", "j").applyInPandas(run, "a long, b long")
     found = components(chains).withColumnRenamed("component", "family")
