@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable as shared_copy
+
 
 def _edge(rows: DataFrame, kind: str, a, a_type: str, b, b_type: str, two_way: bool = False) -> DataFrame:
     out = rows.select(F.lit(kind).alias("edge"), F.col(a).alias("src"), F.lit(a_type).alias("src_type"), F.col(b).alias("dst"), F.lit(b_type).alias("dst_type")).where("src IS NOT NULL AND dst IS NOT NULL")
@@ -41,9 +43,9 @@ def expand(all_edges: DataFrame, seeds: DataFrame, depth: int = 3, durable=None)
     """id, type, hop: everything within `depth` steps of the seeds (id, type), at its least number of steps.
 
     A frontier join for each step: only nodes that are new go on, so the edges are never joined with all
-    that was seen.  durable(df), if given, cuts the lineage after each step.
+    that was seen.  durable(df) cuts the lineage after each step, without which plans would double with it.
     """
-    keep = durable or (lambda x: x)
+    keep = durable or (shared_copy if depth > 2 else lambda x: x)
     step = keep(seeds.select("id", "type", F.lit(0).alias("hop")).distinct())
     seen = step
     links = all_edges.select(F.col("src").alias("id"), F.col("src_type").alias("type"), "dst", "dst_type")

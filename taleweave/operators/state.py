@@ -114,14 +114,27 @@ def presence(history: DataFrame, arrivals: DataFrame) -> DataFrame:
     return old.select(*history.columns).unionByName(arrivals.withColumn("is_current", F.lit(True)).select(*history.columns))
 
 
-def match_facts(new: DataFrame, known: DataFrame, least: float = FACT_SIMILARITY) -> DataFrame:
+def match_facts(new: DataFrame, known: DataFrame, least: float = FACT_SIMILARITY, spread: int = 16) -> DataFrame:
     """new_id, id: the known fact of the same domain that each new one repeats; none is null.
 
     Equal, contained either way, or trigram similarity above the limit; the longest, then the likest.
     """
-    n, k = new.select(F.col("id").alias("new_id"), "domain", F.lower("content").alias("a")), known.select("id", "domain", F.lower("content").alias("b"))
-    pairs = n.join(k, "domain").where("new_id <> id").withColumn("like", F.round(R.trigram_similarity("a", "b"), 9))
-    same = pairs.where(F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")) | (F.col("like") > least))
+    def side(rows: DataFrame, key: str, text: str, grams: str) -> DataFrame:
+        # trigrams are made before the exchange: once for each fact, not once for each pair
+        return rows.select(F.col("id").alias(key), "domain", F.lower("content").alias(text), R.trigrams(F.lower("content")).alias(grams))
+
+    # domains are few: new facts are dealt over `spread` parts of each, which the known ones go to as well
+    n = side(new, "new_id", "a", "x").withColumn("part", F.pmod(F.xxhash64("new_id"), F.lit(spread)).cast("int"))
+    k = side(known, "id", "b", "y").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    pairs = n.join(k, ["domain", "part"]).where("new_id <> id")
+    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+    inside = F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a"))
+    # the likeness can't exceed the ratio of the sizes
+    pairs = pairs.where(inside | (small > least * large))
+    common = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - common
+    pairs = pairs.withColumn("like", F.when(union > 0, F.round(common / union, 9)).otherwise(0.0))
+    same = pairs.where(inside | (F.col("like") > least))
     best = same.groupBy("new_id").agg(F.min(F.struct((-F.length("b")).alias("l"), (-F.col("like")).alias("s"), "id")).alias("m"))
     return n.select("new_id").join(best.select("new_id", "m.id"), "new_id", "left")
 
