@@ -57,6 +57,14 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def frugal(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The frame itself.  Its session sends at most so many rows to Python at once from here on: texts are long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def small(batches, column: str, limit: int = 1_000_000):
     """The batches in slices of about `limit` bytes of a text column: what a task makes of one is soon freed."""
     import pyarrow.compute as pc

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, pieces, small
+from .common import fold, frugal, pieces, small
 from .learning import thinned
 
 WINDOW, WIDTHS, FILTERS, DIM, PAD = 128, (2, 3, 4), 16, 8, 256
@@ -178,7 +178,7 @@ def classify(docs: DataFrame, model: dict | None, flag) -> DataFrame:
                         langs[i] = lang
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(np.clip(scores, 0, 1))], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), flag.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), flag.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,9 +40,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, pieces, small, without
+from .common import durable, frugal, pieces, small, without
 
-ROWS_IN_BAND, MISS, BLOCK = 3, 1e-5, 512
+ROWS_IN_BAND, MISS, BLOCK = 3, 1e-5, 384
 
 
 def bands_for(threshold: float) -> int:
@@ -63,7 +63,7 @@ class _Hashes(dict):
     """The hash of a word, remembered; forgotten before it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -324,7 +324,7 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """
     m = bands_for(percent / 100)
     least = least_agreement(percent / 100, 2 * m * ROWS_IN_BAND)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
+    own = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     sketched = durable(sketch(own, shingle, m))
     first = F.min_by(F.struct("bands", "low"), "doc_id")
     classes = durable(sketched.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"), first.alias("s")).select("digest", "id", "s.bands", "s.low"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, pieces, small
+from .common import fold, frugal, pieces, small
 from .learning import labelled_sample, logistic, sigmoid
 
 #: Labelled documents of either class that are learned from, about.
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: dict | None, flag, threshold: float = THRESHOL
             s = score_texts(model, lexicon, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), flag.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), flag.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -241,7 +241,7 @@ def keep_clean(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD
             texts = batch.column("text").cast(pa.string()).to_pylist()
             yield batch.filter(pa.array(score_texts(model, lexicon, texts) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return frugal(docs).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
