@@ -52,3 +52,13 @@ def mean_vectors(rows: DataFrame, key: str, vector: str = "embedding") -> DataFr
 def jaccard(a: Column, b: Column) -> Column:
     """Of arrays as sets; 0 if either is empty."""
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+
+
+def embed_text(c, size: int = 64) -> Column:
+    """The local stand-in for an embedding model: signed counts of hashed tokens, of length 1.  Null without tokens."""
+    from .text import tokens
+
+    hashes = F.transform(tokens(c), lambda w: F.xxhash64(w))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(hashes, lambda h: F.pmod(h, F.lit(size)) == i), F.lit(0.0), lambda s, h: s + F.when(h < 0, -1.0).otherwise(1.0)))
+    length = norm(sums)
+    return F.when(length > 0, F.transform(sums, lambda x: x / length))

@@ -231,3 +231,20 @@ query("map_ws_snapshot", "SELECT chat_id, string_agg(key || '=' || value, ';' OR
 query("json_extract", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")(
     lambda t: t("events").select("event_id", F.coalesce(F.from_json("props", "persistent_k int, k int")["persistent_k"], F.from_json("props", "k int")["k"]).alias("k"))
 )
+
+_one("fn_item_slug", "part", "p_partkey", lambda t: X.item_slug("p_name"), "'item-' || " + DASH.format("p_name"))
+query("fn_lore_char", f"SELECT doc_id, CASE WHEN {_PERSON} AND {_NAMED.format('c')} THEN c END AS v FROM (SELECT doc_id, text, {_WORD} AS c FROM documents) x")(lambda t: t("documents").select("doc_id", X.lore_character(_extra(), "text").alias("v")))
+query("fn_lore_loc", f"SELECT doc_id, CASE WHEN {_PLACE} THEN CASE WHEN {_NAMED.format('c')} THEN c WHEN length(source) < 40 AND source <> '' THEN source END END AS v FROM (SELECT doc_id, text, source, {_WORD} AS c FROM documents) x")(
+    lambda t: t("documents").select("doc_id", X.lore_location(_extra(), F.array("source"), F.concat("text", F.when(F.col("doc_id") % 3 == 0, " a village").otherwise(""))).alias("v"))
+)
+_one(
+    "fn_stem_content", "traits", "id", lambda t: F.array_join(F.array_sort(F.array_distinct(F.transform(X.meaningful_words("content"), lambda w: X.approx_stem(w)))), " "),
+    f"array_to_string(list_sort(list_distinct(list_transform({MEANINGFUL.format('content')}, lambda w: {STEM.format('w')}))), ' ')",
+)
+query("src_embed")(lambda t: t("benchmark").select("item_id", V.embed_text("text").alias("embedding")))
+query("fn_prng")(lambda t: t.spark.createDataFrame((lambda draw: [(i, draw()) for i in range(10)])(__import__("taleweave.functions.random", fromlist=["Mulberry32"]).Mulberry32(42)), "k int, v double"))
+query("src_sample_chunks")(lambda t: t.spark.createDataFrame(__import__("taleweave.sources.chat", fromlist=["sample_chunks"]).sample_chunks(t("documents").orderBy(F.length("text").desc(), "doc_id").select("text").first()[0], 5), "start int, piece string"))
+query("rd_config", "SELECT c_name AS name, coalesce(m, 'persistent') AS mode FROM (SELECT c_name, CASE WHEN c_custkey % 10 = 0 THEN 'readonly' END AS m FROM customer) x")(
+    lambda t: t("customer").select(F.col("c_name").alias("name"), F.coalesce(F.when(F.col("c_custkey") % 10 == 0, "readonly"), F.lit("persistent")).alias("mode"))
+)
+query("up_arc_link", "SELECT arc_id, event_id FROM arc_events")(lambda t: __import__("taleweave.operators.state", fromlist=["insert_new"]).insert_new(t("arc_events").where("position < 3"), t("arc_events"), ["arc_id", "event_id"]).select("arc_id", "event_id"))

@@ -138,3 +138,27 @@ def test_stream_is_batch(spark, tmp_path):
 def test_holding_back(spark):
     m = spark.createDataFrame([("a", i) for i in range(8)] + [("b", 0)], "chat_id string, message_index int")
     assert rows(ingest.settled(m), "chat_id", "message_index") == [("a", 0), ("a", 1), ("a", 2)]
+
+
+def test_extraction(spark):
+    from taleweave.streaming import extraction as E
+
+    record = {
+        "characters": [{"name": "Ann", "aliases": ["annie"], "significance": 2}, {"name": "Bo"}],
+        "relationships": [{"from": "Ann", "to": "Bo", "sentiment": 0.4, "intensity": 0}],
+        "events": [{"key": "e1", "summary": "They meet", "participants": ["Ann", "Bo"], "location": "Old Mill"}, {"key": "e2", "summary": "They part"}],
+        "event_chains": [{"from": "e1", "to": "e2", "type": "causal"}, {"from": "e1", "to": "none"}],
+        "world_state": [{"key": "Gate status", "value": "open"}],
+        "knowledge_updates": [{"character": "Ann", "content": "Bo lies"}],
+        "present": [{"character": "Ann", "location": "Old Mill"}],
+        "plot_threads": [{"title": "The gate", "importance": 3}],
+    }
+    raw = spark.createDataFrame([("c", 4, T0, "Here:\n```json\n" + json.dumps(record) + "\n```"), ("c", 5, T0, "no json")], "chat_id string, message_index int, at timestamp_ntz, reply string")
+    empty = {n: spark.createDataFrame([], s) for n, s in E.TABLES.items()}
+    once = {n: spark.createDataFrame(df.collect(), df.schema) for n, df in E.apply(empty, E.parse(raw)).items()}
+    want = {"characters": 2, "feels_about": 1, "events": 2, "participated_in": 2, "event_chains": 1, "world_state": 1, "facts": 1, "knows": 1, "items": 0, "present_at": 1, "plot_threads": 1}
+    assert {n: once[n].count() for n in want} == want
+    assert once["feels_about"].first()["intensity"] == 0.5 and once["world_state"].first()["key"] == "gate"
+    twice = E.apply(once, E.parse(raw))
+    assert {n: twice[n].count() for n in want if n != "present_at"} == {n: v for n, v in want.items() if n != "present_at"}
+    assert twice["present_at"].where("is_current").count() == 1
