@@ -104,6 +104,11 @@ query("se_arc_exp", """WITH a AS (SELECT arc_id, event_id, lag(event_id) OVER w
     JOIN story_events e ON e.id = a.event_id WHERE e.chat_id = 'BUILDING' AND e.message_index < 200) x WHERE r = 1""")(
     lambda t: search.arc_context(t("story_events").where("chat_id = 'BUILDING' AND message_index < 200"), t("arc_events"), t("story_arcs"))
 )
+query("se_arc_exp_all", """WITH a AS (SELECT arc_id, event_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after FROM arc_events WINDOW w AS (PARTITION BY arc_id ORDER BY position))
+    SELECT event_id, arc_id, parent_arc_id, before, after FROM (SELECT a.*, s.parent_arc_id, row_number() OVER (PARTITION BY a.event_id ORDER BY s.importance DESC, a.arc_id) AS r FROM a JOIN story_arcs s ON s.id = a.arc_id AND s.hierarchy_level = 1
+    JOIN story_events e ON e.id = a.event_id WHERE e.chat_id = 'BUILDING') x WHERE r = 1""")(
+    lambda t: search.arc_context(t("story_events").where("chat_id = 'BUILDING'"), t("arc_events"), t("story_arcs"))
+)
 query("se_budget", "SELECT * FROM (VALUES ('inject', 12, 8, 10, 3, 3000), ('mindmap', 30, 0, 0, 0, 8000), ('panel', 5, 0, 5, 0, 1500)) v(profile, memory, event, dialogue, snapshot, chars)")(
     lambda t: t.spark.createDataFrame([(p, *[b[k] for k in ("memory", "event", "dialogue", "snapshot", "chars")]) for p in search.BUDGETS for b in [search.resolve_budgets(profile=p)]], "profile string, memory int, event int, dialogue int, snapshot int, chars int")
 )

@@ -43,7 +43,7 @@ query("gr_neighborhood", f"WITH RECURSIVE {_N2}, n AS (SELECT 'chr-c7' AS id, 0
 )
 query("gr_degree", f"WITH {_E} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) x GROUP BY id")(lambda t: graph.degrees(_edges(t).select(F.col("src").alias("from_id"), F.col("dst").alias("to_id"))))
 
-# arcs: the first 200 events of each chat, as long as a chat of the kernel's kind
+# arcs: the first 200 events of each chat, as the SQL has it; all events further below
 _FEW = "few AS (SELECT s.*, v.embedding FROM story_events s JOIN event_vectors v ON v.id = s.id WHERE s.message_index < 200)"
 _PAIRS = f"""{_FEW}, ppl AS (SELECT event_id, list(DISTINCT character_id) AS p FROM participated GROUP BY event_id), span AS (SELECT chat_id, greatest(max(message_index) - min(message_index), 1) AS s FROM few GROUP BY chat_id),
     link AS (SELECT DISTINCT least(from_id, to_id) AS lo, greatest(from_id, to_id) AS hi FROM chains),
@@ -67,9 +67,21 @@ query("fn_density", f"""WITH {_PAIRS}, m AS (SELECT f.chat_id, f.id, a.arc_id AS
     FROM k JOIN n ON n.chat_id = k.chat_id LEFT JOIN e ON e.chat_id = k.chat_id LEFT JOIN i ON i.c = k.c""")(
     lambda t: arcs.density(_few(t).select("chat_id", "id").join(t("arc_events").select(F.col("event_id").alias("id"), F.col("arc_id").alias("community")), "id"), _weights(t)).select("community", F.round("density", 6).alias("density"))
 )
-query("gr_louvain")(lambda t: arcs.communities(_few(t), _weights(t)))
-query("gr_hier")(lambda t: arcs.rebuild(durable(_few(t)), t("participated"), t("chains"), durable)[0].select("id", "chat_id", "hierarchy_level", "spine", "size", "parent_arc_id"))
-query("gr_rebuild")(lambda t: arcs.rebuild(durable(_few(t)), t("participated"), t("chains"), durable)[1])
+# all events of each chat, which a nested loop in SQL takes too long for; the queries above are the same code where it can be checked
+_every = lambda t: t("story_events").join(t("event_vectors").select("id", "embedding"), "id")
+_every_weight = lambda t: arcs.pair_weights(_every(t).select("id", "chat_id", "message_index", "location_id", "embedding"), t("participated"), t("chains"))
+query("gr_event_graph_all")(lambda t: _every_weight(t).withColumn("w", F.round("w", 6)))
+query("jn_pairs_all")(lambda t: _every_weight(t).groupBy("chat_id").agg(F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("total")))
+query("fn_edge_w_all")(lambda t: _every_weight(t).groupBy("chat_id").agg(F.round(F.max("w"), 6).alias("most"), F.round(F.min("w"), 6).alias("least")))
+query("gr_dryrun_all")(
+    lambda t: _every(t).groupBy("chat_id").agg(F.count("*").alias("events")).join(_every_weight(t).groupBy("chat_id").agg(F.count("*").alias("edges")), "chat_id", "left").na.fill(0).withColumn("degree", F.round(2 * F.col("edges") / F.col("events"), 6))
+)
+query("fn_density_all")(
+    lambda t: arcs.density(_every(t).select("chat_id", "id").join(t("arc_events").select(F.col("event_id").alias("id"), F.col("arc_id").alias("community")), "id"), durable(_every_weight(t))).select("community", F.round("density", 6).alias("density"))
+)
+query("gr_louvain")(lambda t: arcs.communities(_every(t), _every_weight(t)))
+query("gr_hier")(lambda t: arcs.rebuild(durable(_every(t)), t("participated"), t("chains"), durable)[0].select("id", "chat_id", "hierarchy_level", "spine", "size", "parent_arc_id"))
+query("gr_rebuild")(lambda t: arcs.rebuild(durable(_every(t)), t("participated"), t("chains"), durable)[1])
 query("gr_spine", "SELECT arc_id, id FROM (SELECT a.arc_id, e.id, row_number() OVER (PARTITION BY a.arc_id ORDER BY e.significance DESC, e.message_index, e.id) AS r FROM arc_events a JOIN story_events e ON e.id = a.event_id) x WHERE r = 1")(
     lambda t: arcs.describe(t("arc_events").select(F.col("arc_id").alias("community"), F.col("event_id").alias("id")).join(t("story_events"), "id")).select(F.col("community").alias("arc_id"), F.col("spine").alias("id"))
 )

@@ -162,3 +162,36 @@ def test_extraction(spark):
     twice = E.apply(once, E.parse(raw))
     assert {n: twice[n].count() for n in want if n != "present_at"} == {n: v for n, v in want.items() if n != "present_at"}
     assert twice["present_at"].where("is_current").count() == 1
+
+
+def test_arcs_of_all_events(spark, monkeypatch):
+    """Three hundred events of a chat, of which the last hundred resemble each other only: pairs against brute force, arcs beyond the 200th."""
+    from taleweave.plans import catalog, registry
+
+    r = np.random.default_rng(7)
+    events = []
+    for i in range(300):
+        v = r.normal(size=4) * 0.1 + np.eye(4)[i // 100]
+        events.append((f"e{i:03}", "c", i, f"loc-{i // 100}", i % 5, f"event {i}", [float(x) for x in v]))
+    frame = spark.createDataFrame(events, "id string, chat_id string, message_index int, location_id string, significance int, source_text string, embedding array<float>")
+    tables = {
+        "story_events": frame.drop("embedding"),
+        "event_vectors": frame.select("id", "embedding"),
+        "participated": spark.createDataFrame([(f"p{i // 50}", f"e{i:03}") for i in range(300)], "character_id string, event_id string"),
+        "chains": spark.createDataFrame([("e000", "e299"), ("e010", "e020")], "from_id string, to_id string"),
+    }
+    cos = lambda x, y: float(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y)))
+    want = {}
+    for i in range(300):
+        for j in range(i + 1, 300):
+            x, y = np.array(events[i][6], np.float32).astype(float), np.array(events[j][6], np.float32).astype(float)
+            w = 0.5 * ((i, j) in ((0, 299), (10, 20))) + 0.6 * max(0, cos(x, y)) + 0.2 * 0.6 * (i // 50 == j // 50) + 0.4 * (i // 100 == j // 100) - (j - i) / 299
+            if w >= 0.5:
+                want[events[i][0], events[j][0]] = w
+    monkeypatch.setattr(registry, "Tables", lambda *_: tables.__getitem__)
+    ask = lambda name: catalog.QUERIES[name](spark, "")
+    got = {(x["a"], x["b"]): x["w"] for x in ask("gr_event_graph_all").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert any(a > "e200" for a, _ in got)
+    assert max(x["id"] for x in ask("gr_louvain").collect()) == "e299"
+    assert max(x["event_id"] for x in ask("gr_rebuild").collect()) == "e299"
