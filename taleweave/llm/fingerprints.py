@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, words
 
-BITS = 7
+BITS = 8
 BINS, KEEP_BITS, SHINGLE = 1 << BITS, 4, 5
 _LOW = (1 << (64 - BITS)) - 1
 #: Rows of a sorted run in `with_next`.

@@ -252,6 +252,11 @@ def test_fingerprints_against_brute_force(spark):
     assert got[2]["near_next"] == 1.0 and got[4]["near_next"] == 1.0 and got[5]["near_next"] == 1.0 and got[7]["near_next"] < 0.2
 
 
+def test_fingerprints_have_256_bins(spark):
+    got = [r[0] for r in fingerprints.fingerprint(docs(spark).where("length(trim(text)) > 5")).select("fingerprint").collect()]
+    assert fingerprints.BINS == 256 and got and {len(x) for x in got} == {256}
+
+
 def test_next_rows_over_many_runs(spark):
     frame = spark.range(1000).select((F.col("id") * 7919 % 100_003).alias("k"), F.col("id").cast("string").alias("t")).repartition(5)
     got = {r["k"]: r["next_k"] for r in fingerprints.with_next(frame, "k", "t", ["k"]).collect()}
