@@ -3,8 +3,9 @@
 The lexicon is learned from a bounded sample of labelled documents: words, and stems with several endings,
 that are many times commoner in toxic documents than in others.  Near copies of a document count once, so
 the words of one copied text don't enter it.  The trie is walked with the automaton's rows: a word of five
-letters or more may differ from a term by one insertion, deletion, substitution or swap.  The parts of a
-term that one edit leaves whole select the few words for which the walk is worth it.
+letters or more may differ from a term by one insertion, deletion, substitution or swap.  A stem's node
+accepts any ending, so a word may differ by one edit within the stem, if that has five letters or more.
+The parts of a term or stem that one edit leaves whole select the few words for which the walk is worth it.
 
 Each hit is scored in a window of words: hits beside it raise the score, and one inside quotation marks
 counts for a third, as someone else's words.  A logistic regression over a document's hit scores gives
@@ -48,6 +49,8 @@ class Lexicon:
         self.root: dict = {}
         for term in self.terms:
             self._add(term)["word"] = term
+        for stem in self.stems:
+            self._add(stem)["stem"] = stem
         self.exact, self.stem_set = set(self.terms), set(self.stems)
         self.lengths = sorted({len(s) for s in self.stems})
         self.heads, self.tails, self.swaps = defaultdict(set), defaultdict(set), set()
@@ -58,6 +61,16 @@ class Lexicon:
                 self.tails[len(t) - h].add(t[h:])
                 self.swaps.add(t[: h - 1] + t[h] + t[h - 1] + t[h + 1 :])
         self.heads, self.tails = dict(self.heads), dict(self.tails)
+        # of stems: first halves, last halves by where they may start, and stems with the middle letters swapped
+        self.stem_heads, self.stem_tails, self.stem_swaps = defaultdict(set), defaultdict(set), defaultdict(set)
+        for s in self.stems:
+            if len(s) >= FUZZY_FROM:
+                h = len(s) // 2
+                self.stem_heads[h].add(s[:h])
+                for start in (h - 1, h, h + 1):
+                    self.stem_tails[start, start + len(s) - h].add(s[h:])
+                self.stem_swaps[len(s)].add(s[: h - 1] + s[h] + s[h - 1] + s[h + 1 :])
+        self.stem_heads, self.stem_tails, self.stem_swaps = dict(self.stem_heads), dict(self.stem_tails), dict(self.stem_swaps)
 
     def _add(self, term: str) -> dict:
         node = self.root
@@ -66,10 +79,10 @@ class Lexicon:
         return node
 
     def walk(self, word: str) -> str | None:
-        """The first term within one edit of the word: rows of the automaton go down the trie's branches."""
+        """The first term within one edit of the word, or else stem of its beginning: rows of the automaton go down the trie's branches."""
         n = len(word)
         stack = [(self.root, None, None, "", list(range(n + 1)))]
-        found = None
+        found = began = None
         while stack:
             node, above, last, char, row = stack.pop()
             for c, child in node.items():
@@ -84,9 +97,15 @@ class Lexicon:
                 term = child.get("word")
                 if term and len(term) >= FUZZY_FROM and new[n] <= 1 and (found is None or term < found):
                     found = term
+                stem = child.get("stem")
+                if stem and len(stem) >= FUZZY_FROM and min(new) <= 1 and (began is None or stem < began):
+                    began = stem
                 if min(new) <= 1 or min(row) <= 1:
                     stack.append((child, row, last, c, new))
-        return found
+        return found or began
+
+    def _near_stem(self, word: str) -> bool:
+        return any(word[:k] in s for k, s in self.stem_heads.items()) or any(word[a:b] in s for (a, b), s in self.stem_tails.items()) or any(word[:k] in s for k, s in self.stem_swaps.items())
 
     def match(self, word: str) -> tuple[str, float] | None:
         """The term that a lower-cased word stands for, and how surely."""
@@ -97,7 +116,7 @@ class Lexicon:
                 return word[:k], 1.0
         if len(word) < FUZZY_FROM - 1 or word in self.known:
             return None
-        if word in self.swaps or any(word[:k] in s for k, s in self.heads.items()) or any(word[-k:] in s for k, s in self.tails.items()):
+        if word in self.swaps or any(word[:k] in s for k, s in self.heads.items()) or any(word[-k:] in s for k, s in self.tails.items()) or self._near_stem(word):
             term = self.walk(word)
             return (term, FUZZY) if term else None
         return None

@@ -143,6 +143,16 @@ def test_lexicon():
         assert lex.match(clean) is None, clean
 
 
+def test_misspelt_stems():
+    lex = toxicity.Lexicon(["scum"], ["achlich", "réeux", "lowe"], ["bchlichen"])
+    for typo in ("achlihen", "acchlichen", "ahclichen", "achilchen", "axhlichkeit", "achlixhes", "chlichen", "réuxment", "rééuxes", "rézuxant", "érexuse", "réexuse"):
+        m = lex.match(typo)
+        assert (m is None) if typo == "érexuse" else (m and m[0] in ("achlich", "réeux") and m[1] == toxicity.FUZZY), typo
+    assert lex.match("achlichkeit") == ("achlich", 1.0)
+    for clean in ("bchlichen", "ahclihcen", "lwoer", "loewing", "world", "achtung", "reu"):
+        assert lex.match(clean) is None, clean
+
+
 def test_quotation_weighs_less():
     hits = {"scum": ("scum", 1.0)}
     said, quoted = toxicity.document_features("you are scum here", hits), toxicity.document_features('it said "you are scum" here', hits)
