@@ -10,8 +10,8 @@ stands, the text stands too, as often.  Such text belongs to the template.
 
 What is left are the slots.  A slot is content unless the role that holds it is a menu, header, footer,
 sidebar, notice, advert, form, script, style or reader comments, by its tag or by a class, id or role name.
-If a page has article or main elements, only slots inside count, and no text in them is taken for template:
-a host may well publish one article many times.
+If a page has article or main elements, only slots inside count.  Template text inside goes too, unless all
+text inside is template: a host may well publish one article many times.
 
 Defined results: null and empty html give an empty text; a null url or one without a host belongs to the
 host ""; repeated pages count as one page of the template; other columns are ignored.
@@ -202,7 +202,9 @@ def templates(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
 def main_text(source: str | None, template: frozenset[int] = frozenset()) -> str:
     page = Page(source or "")
     article = any(inside and not dropped for *_, dropped, inside in page.blocks)
-    kept = [text for text, role, dropped, inside in page.blocks if not dropped and (inside or not article) and not (template and not inside and _block(role, text) in template)]
+    own = [(text, bool(template) and _block(role, text) in template) for text, role, dropped, inside in page.blocks if not dropped and (inside or not article)]
+    whole = article and all(known for _, known in own)
+    kept = [text for text, known in own if whole or not known]
     return " ".join(kept)
 
 

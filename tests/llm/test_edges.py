@@ -220,6 +220,14 @@ def test_template_text_goes(spark):
     assert webpages.extract(pages.where("false")).count() == 0
 
 
+def test_template_text_in_articles(spark):
+    body = lambda i: f"<body><main><h1>Title {i}</h1><div><p>Story {i} is told</p></div><div class=x>Written by our staff</div></main></body>"
+    rows = [(i, f"http://h.x/{i}", body(i)) for i in range(8)]
+    rows += [(i, f"http://same.x/{i}", f"<body><nav>{i}</nav><article><h1>One</h1><p>Often told</p></article></body>") for i in range(8, 16)]
+    got = {r["page_id"]: r["text"] for r in webpages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3 Story 3 is told" and got[9] == "One Often told"
+
+
 def test_fingerprints_against_brute_force(spark):
     import xxhash
 
