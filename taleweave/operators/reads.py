@@ -57,9 +57,13 @@ def snapshots(rows: DataFrame, locations: DataFrame, chats, limit: int = 3) -> D
     return top.join(locations.select(F.col("id").alias("location_id"), F.col("name").alias("location_name")), "location_id", "left")
 
 
-def current_places(present_at: DataFrame, characters: DataFrame, locations: DataFrame, recent: DataFrame, ids: list[str], chats) -> DataFrame:
-    """name, location of the characters, only of those present lately (recent: name) if anyone was."""
-    rows = _in(present_at, chats).where(F.col("is_current") & F.col("character_id").isin(ids))
+def current_places(present_at: DataFrame, characters: DataFrame, locations: DataFrame, recent: DataFrame, ids: list[str] | DataFrame, chats) -> DataFrame:
+    """name, location of the characters (a list, or rows of id), only of those present lately (recent: name) if anyone was."""
+    rows = _in(present_at, chats).where("is_current")
+    if isinstance(ids, DataFrame):
+        rows = rows.join(ids.select(F.col("id").alias("character_id")), "character_id", "left_semi")
+    else:
+        rows = rows.where(F.col("character_id").isin(ids))
     rows = rows.join(characters.select(F.col("id").alias("character_id"), "name"), "character_id").join(locations.select(F.col("id").alias("location_id"), F.col("name").alias("location")), "location_id")
     names = recent.select(F.lower(F.trim("name")).alias("n")).where("n <> ''").distinct()
     seen = rows.join(names, F.lower("name") == F.col("n"), "left_semi")

@@ -154,7 +154,7 @@ query("rd_locations", f"SELECT DISTINCT c.name, l.name AS location FROM present_
     lambda t: reads.current_places(
         t("present_at"), t("characters"), t("locations"),
         t("snapshot_chars").join(reads.snapshots(t("snapshots"), t("locations"), C_EVT).select(F.col("id").alias("snapshot_id")), "snapshot_id", "left_semi"),
-        [r[0] for r in t("characters").where("id LIKE 'chr-s%'").select("id").limit(20_000).collect()], C_EVT,
+        t("characters").where("id LIKE 'chr-s%'").select("id"), C_EVT,
     ).select("name", "location")
 )
 query("rd_traits", "SELECT id, 'chat' AS pool FROM traits WHERE character_id IN ('src1', 'src2') AND canonical_id IS NULL AND id IN (SELECT coalesce(canonical_id, id) FROM traits WHERE character_id IN ('src1', 'src2') AND source_chat = 't1') UNION ALL SELECT id, 'persona' FROM traits WHERE canonical_id IS NULL AND character_id = 'src3'")(

@@ -195,3 +195,21 @@ def test_arcs_of_all_events(spark, monkeypatch):
     assert any(a > "e200" for a, _ in got)
     assert max(x["id"] for x in ask("gr_louvain").collect()) == "e299"
     assert max(x["event_id"] for x in ask("gr_rebuild").collect()) == "e299"
+
+
+def test_places_of_all_suppliers(spark, monkeypatch):
+    """25,000 characters, all present: none loses its place."""
+    from taleweave.plans import catalog, registry
+
+    n, one = 25_000, spark.range(25_000)
+    name = F.concat(F.lit("Name"), "id").alias("name")
+    key = F.concat(F.lit("chr-s"), "id")
+    tables = {
+        "characters": one.select(key.alias("id"), name),
+        "locations": spark.createDataFrame([("loc-1", "Here")], "id string, name string"),
+        "present_at": one.select(key.alias("character_id"), F.lit("loc-1").alias("location_id"), F.lit("BUILDING").alias("chat_id"), F.lit(True).alias("is_current")),
+        "snapshots": spark.createDataFrame([("x", "BUILDING", 0, "loc-1", "s", "calm")], "id string, chat_id string, message_index int, location_id string, summary string, tone string"),
+        "snapshot_chars": one.select(F.lit("x").alias("snapshot_id"), name),
+    }
+    monkeypatch.setattr(registry, "Tables", lambda *_: tables.__getitem__)
+    assert catalog.QUERIES["rd_locations"](spark, "").count() == n
