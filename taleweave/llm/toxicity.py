@@ -8,7 +8,7 @@ accepts any ending, so a word may differ by one edit within the stem, if that ha
 The parts of a term or stem that one edit leaves whole select the few words for which the walk is worth it.
 
 Each hit is scored in a window of words: hits beside it raise the score, and one inside quotation marks
-counts for a third, as someone else's words.  A logistic regression over a document's hit scores gives
+counts for a third, as someone else's words; a quotation may have any length within its paragraph.  A logistic regression over a document's hit scores gives
 its score.
 
 Defined results: null and empty texts have no hits and get the score of such; without both classes to learn
@@ -37,7 +37,10 @@ LEAST_RATIO, FUZZY_FROM, STEM_FROM, STEM_TO = 20.0, 5, 4, 8
 QUOTED, NEIGHBOUR, FUZZY = 0.33, 0.25, 0.5
 LEAST_SHARE, CHANCE = 0.01, 0.05
 _WORD = re.compile(r"[^\W_]+")
-_QUOTES = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«[^»\n]{1,400}»|‘[^’\n]{1,400}’")
+#: Quotation marks, and the ends of paragraphs.
+_MARKS = re.compile(r"[\"“”„«»‘’]|\n[^\S\n]*\n")
+#: The marks that close each opening one.
+_CLOSED_BY = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’"}
 
 
 class Lexicon:
@@ -122,10 +125,32 @@ class Lexicon:
         return None
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Where text is quoted, in order and apart, by one scan.  Each kind of mark pairs by itself; one that its paragraph doesn't close is none."""
+    found, opened = [], {}
+    for m in _MARKS.finditer(text):
+        mark, at = m.group(), m.start()
+        if mark[0] == "\n":
+            opened.clear()
+            continue
+        closes = next((o for o in opened if mark in _CLOSED_BY[o]), None)
+        if closes and at > opened[closes] + 1:
+            found.append((opened.pop(closes), at + 1))
+        elif mark in _CLOSED_BY:
+            opened[mark] = at
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def document_features(text: str, hits: dict[str, tuple[str, float]]) -> list[float]:
     """hits: the words of this text (or of others too) that stand for terms."""
     spans = [(m.start(), m.end(), hits.get(m.group())) for m in _WORD.finditer(text.lower())]
-    quotes = [(m.start(), m.end()) for m in _QUOTES.finditer(text)]
+    quotes = quotations(text)
     starts = [a for a, _ in quotes]
     at = [i for i, (_, _, hit) in enumerate(spans) if hit]
     weights = []

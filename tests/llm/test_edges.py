@@ -159,6 +159,18 @@ def test_quotation_weighs_less():
     assert quoted[1] < said[1] and toxicity.document_features("clean", hits) == [0.0, 0.0, 0.0]
 
 
+def test_long_quotations():
+    hits = {"scum": ("scum", 1.0)}
+    weight = lambda text: toxicity.document_features(text, hits)[1]
+    long = "word " * 200
+    for a, b in ('""', "“”", "„“", "«»", "‘’"):
+        assert weight(f"it said {a}{long}scum{b} here") == weight(f"it said {a}one\ntwo scum{b} here") == toxicity.QUOTED
+        assert weight(f"{a}{long}{b} scum {a}x{b}") == 1.0
+        assert weight(f"a stray {a} here\n\nscum {b} there") == 1.0
+    assert toxicity.quotations("“one ‘two’ three” four \"\"five\"\"") == [(0, 17), (24, 30)]
+    assert weight("a " + '"' * 50_000 + " scum") == 1.0
+
+
 def test_quality_lines():
     import numpy as np
 
