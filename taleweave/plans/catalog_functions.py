@@ -180,6 +180,10 @@ query("fn_avg_vector", "WITH p AS (SELECT label, unnest(range(1, len(embedding)
 _J = "CASE WHEN len({0}) > 0 AND len({1}) > 0 THEN len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1})))::DOUBLE ELSE 0 END"
 _A, _B = f"list_distinct({TOKENS.format('substr(text, 1, 200)')})", f"list_distinct({TOKENS.format('substr(text, 100, 200)')})"
 _one("fn_jaccard", "documents", "doc_id", lambda t: F.round(V.jaccard(F.array_distinct(X.tokens(F.substring("text", 1, 200))), F.array_distinct(X.tokens(F.substring("text", 100, 200)))), 6), f"round({_J.format(_A, _B)}, 6)")
+_AW, _BW = f"list_distinct({TOKENS.format('a.text')})", f"list_distinct({TOKENS.format('b.text')})"
+query("fn_jaccard_all", f"SELECT a.doc_id, round({_J.format(_AW, _BW)}, 6) AS v FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")(
+    lambda t: t("documents").select("doc_id", F.array_distinct(X.tokens("text")).alias("a")).join(t("documents").select((F.col("doc_id") - 1).alias("doc_id"), F.array_distinct(X.tokens("text")).alias("b")), "doc_id").select("doc_id", F.round(V.jaccard(F.col("a"), F.col("b")), 6).alias("v"))
+)
 _T = "(SELECT text FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))"
 _TR = TRIGRAMS.format("text"), TRIGRAMS.format(_T)
 

@@ -88,6 +88,9 @@ query("ag_max_idx", "SELECT greatest(coalesce((SELECT max(message_index) FROM me
 query("ag_array_filter", "SELECT chat_id, string_agg(world_time, ',' ORDER BY world_time) AS v FROM story_events WHERE message_index < 50 AND world_time IS NOT NULL GROUP BY chat_id")(
     lambda t: t("story_events").where("message_index < 50").groupBy("chat_id").agg(F.array_join(F.array_sort(F.collect_list("world_time")), ",").alias("v"))
 )
+query("ag_array_filter_all", "SELECT chat_id, string_agg(world_time, ',' ORDER BY world_time) AS v FROM story_events WHERE world_time IS NOT NULL GROUP BY chat_id")(
+    lambda t: t("story_events").groupBy("chat_id").agg(F.array_join(F.array_sort(F.collect_list("world_time")), ",").alias("v"))
+)
 query("ag_array_distinct", "SELECT chat_id, string_agg(DISTINCT lower(name), ',' ORDER BY lower(name)) AS v FROM snapshot_chars s WHERE message_index IN (SELECT message_index FROM snapshots x WHERE x.chat_id = s.chat_id ORDER BY message_index DESC LIMIT 3) GROUP BY chat_id")(
     lambda t: t("snapshots").select("chat_id", "id", F.row_number().over(W.partitionBy("chat_id").orderBy(_last("message_index"))).alias("r")).where("r <= 3").join(t("snapshot_chars").select(F.col("snapshot_id").alias("id"), "name"), "id").groupBy("chat_id").agg(F.array_join(F.sort_array(F.collect_set(F.lower(F.trim("name")))), ",").alias("v"))
 )

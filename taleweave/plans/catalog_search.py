@@ -207,4 +207,9 @@ query("flt_pov_hits", f"WITH {_U} SELECT 'event' AS kind, id FROM seen WHERE mes
         t("story_events").where("chat_id = 'BUILDING' AND message_index % 10 = 0").select(F.lit("event").alias("kind"), "id", "message_index").unionByName(t("memory").where("chat_id = 'src:src1'").select(F.lit("memory").alias("kind"), F.col("id").cast("string").alias("id"), "message_index")), _uni(t),
     ).select("kind", "id")
 )
+query("flt_pov_hits_all", f"WITH {_U} SELECT 'event' AS kind, id FROM seen UNION ALL SELECT 'memory', CAST(id AS VARCHAR) FROM memory WHERE chat_id = 'src:src1' AND message_index IN (SELECT message_index FROM seen)")(
+    lambda t: pov.mask_hits(
+        t("story_events").where("chat_id = 'BUILDING'").select(F.lit("event").alias("kind"), "id", "message_index").unionByName(t("memory").where("chat_id = 'src:src1'").select(F.lit("memory").alias("kind"), F.col("id").cast("string").alias("id"), "message_index")), _uni(t),
+    ).select("kind", "id")
+)
 query("flt_pov_result", f"WITH {_U} SELECT id FROM story_events WHERE chat_id = 'FURNITURE' AND message_index IN (SELECT message_index FROM seen)")(lambda t: pov.mask_events(t("story_events").where("chat_id = 'FURNITURE'").select("id", "message_index"), _uni(t)).select("id"))
