@@ -215,6 +215,14 @@ def test_trust_and_distrust_spread(spark):
     assert got["fine.org"][0] > 0 and got["fine.org"][2] == "allow" and got["farm.org"][1] > 0 and got["farm.org"][2] == "block"
 
 
+def test_distrust_in_a_cycle(spark):
+    """Two hosts that link to each other; 3 of 20 pages of one are blocked: its share of distrust is 0.15 / (1 - 0.85^2)."""
+    links = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, links long")
+    shares = spark.createDataFrame([("a", 0.0, 0.15), ("b", 0.0, 0.0)], "host string, allowed double, blocked double")
+    got = {r["host"]: r["distrust"] for r in urls.propagate(shares, links).collect()}
+    assert abs(got["a"] / 0.15 - 0.15 / (1 - 0.85**2)) < 1e-4 and got["a"] / 0.15 > urls.THRESHOLD
+
+
 def test_main_text():
     page = '<html><head><title>T</title></head><body><nav><a>m</a></nav><article><h1>A&amp;B</h1><p>one <b>t</b>wo<br>three<p>four<div class="share-bar">no</div><script>var a="<p>x</p>";</script><form>f</form><aside>s</aside></article><footer>f</footer>'
     assert webpages.main_text(page) == "A&B one two three four"
