@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 #: The white space that every contract of this package names.
 SPACES = r"[\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A side is broadcast only when it has been counted and has no more rows than this.
-BROADCAST_ROWS = 100_000
+#: A side is broadcast only when it has been counted and measured and has no more rows and bytes than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8_000_000
+#: Parts that each key is dealt to where a side is too large to broadcast.
+SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; a folder of our own serves tests only."""
+    """The cluster names the shared folder in spark.checkpoint.dir; a folder of our own serves local mode only."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="taleweave-"))
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="taleweave-"))
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -31,11 +37,31 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_small(rows: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join on columns without nulls.  `small` has been made durable: it is counted, and only then broadcast."""
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return rows.join(small, on, how)
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a durable frame: eight for each number, and the length of each text or list of numbers."""
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        long = F.size(f.name) * 8 if kind == "array" else F.octet_length(f.name) if kind in ("string", "binary") else F.lit(0)
+        size = size + 8 + F.greatest(F.coalesce(long.cast("long"), F.lit(0)), F.lit(0))
+    n, total = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return n, total or 0
+
+
+def join_small(rows: DataFrame, small: DataFrame, on: list[str], how: str = "left", salt: Column | None = None) -> DataFrame:
+    """Join on columns without nulls.  `small` has been made durable: it is measured, and only then broadcast.
+
+    If it is too large for that, `salt`, a whole number that tells rows with one key apart, deals a hot key's
+    rows to `SALTS` parts, each with its own copy of the key's small row.
+    """
+    n, size = measured(small)
+    if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), on, how)
+    if salt is None:
+        return rows.join(small, on, how)
+    rows = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
