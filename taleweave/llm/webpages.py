@@ -12,7 +12,7 @@ page of the host holds it.  Vectors are never built: each is represented by a su
    holds at least `SHARE` of the host's slot text, and of its headings, lies on the way to the article; the
    deepest of them is the article's place.  A role whose slot text is nearly all links is a menu.
 3. A page's text is what its slots in the article's place hold.  Template text there goes too, unless
-   nine tenths of the place's text are template: then the host publishes the same articles again and again.
+   four fifths of the text there are template: then the host publishes the same articles again and again.
 
 Hosts with fewer pages share the tags' statistics of all pages with the same layout, whatever their host.
 Inside the article's place, forms, scripts, asides, reader comments and the like go by their tag or by a
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import durable, frugal, join_small, small
 from .urls import host_of
 
-LEAST_PAGES, SHARE, LINKED, NEARLY, AGAIN = 5, 0.5, 0.8, 0.9, 0.9
+LEAST_PAGES, SHARE, LINKED, NEARLY, AGAIN = 5, 0.5, 0.8, 0.9, 0.8
 OTHER, GROUP, HEADING = 0, 1, 2
 #: Levels that roles tell apart, and levels that elements nest to.
 ROLE_LEVELS, DEEPEST = 32, 512
