@@ -6,25 +6,29 @@ share a key if some band of the first collection and some band of the second agr
 which either fails with probability at most `MISS` at the threshold.
 
 1. One pass over the texts makes each document's set, its digest, its bands and a byte of each minhash
-   (numpy, block by block).  Documents with equal sets are one class from here on; a class is represented
-   by its smallest id.
+   (numpy, block by block).  Documents with equal sets are one class from here on, with a number of its own.
 2. Bands that no other class has are dropped before keys are formed, so most documents form none.
 3. A table bucket's pivot is its class that most others share bands with (of a text and its edited copies,
    the text).  Every class is compared with the weightiest pivot of its buckets, so candidates grow with
    the classes, not with the square of a bucket.  Confirmed links join classes into components.
-4. Buckets whose classes are now in one component are done: any further link would join nothing.  For the
-   others, classes of different components that share a band of the first collection and agree in enough
-   minhash bytes are chained into families.  In a family the classes outside its largest component are
-   compared with all others, block by block; within a block pairs go from the likest down, and a pair
-   that earlier links have joined is skipped.  So no link between texts is lost to pivots, and no list of
-   all pairs is made.
+4. Buckets whose classes are now in one component are done: any further link would join nothing.  In a band
+   of the others, the classes outside the band's largest component meet all its classes, block by block, and
+   those of different components that agree in enough minhash bytes are chained into families.  In a family
+   the classes outside its largest component are compared with all others in the same way; pairs go from
+   the likest down, and a pair that earlier links have joined is skipped.  So no link between texts is lost
+   to pivots, and no list of all pairs is made.
 
-Sets are compared as sorted 64-bit shingle hashes, rebuilt from the texts of candidates only.  A hot bucket's
-rows are spread: they meet the pivot in a join that adaptive execution can split, and each other in blocks.
+Sets are compared as sorted 64-bit shingle hashes, rebuilt from the texts of candidates only.  A hot pivot's
+text is dealt to as many parts as its weight asks for; what belongs to a hot band or family is broadcast after
+it was measured, or else salted, and their rows are dealt to blocks.
 
 Defined results: a null text or one without words has an empty set and no links (its component is its own
-id); a text with fewer words than a shingle has its whole sequence as its one shingle; repeated rows with one
-id are one document; a null doc_id can't be linked and is left out; an empty table gives an empty result.
+id); a text with fewer words than a shingle has its whole sequence as its one shingle; a text of any length is
+read whole.  Every row is a document and gets a row: rows with one id and equal texts are copies of each other
+(all are `kept`, as their id is the component's; `keep_one` keeps one of them), rows with one id and different
+texts are linked each by its text.  A row with a null doc_id is linked like others; null is no smallest id, so
+its component_id is null only if it reaches no id, and it is kept only then.  An empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,12 +41,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, frugal, pieces, small, without
+from .common import durable, frugal, join_small, pieces, small, without
 
-ROWS_IN_BAND, MISS, BLOCK = 3, 1e-5, 384
+#: PART: pairs that a part of a pivot has, about.
+ROWS_IN_BAND, MISS, BLOCK, PART = 3, 1e-5, 384, 64
 
 
 def bands_for(threshold: float) -> int:
@@ -123,11 +128,11 @@ def bands(sets: list[np.ndarray], m: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, shingle: int, m: int) -> DataFrame:
-    """doc_id, n_shingles, digest (null for an empty set), bands, low (a byte of each minhash)."""
+    """row (what tells a text among its id's), doc_id, n_shingles, digest (null for an empty set), bands, low (a byte of each minhash)."""
 
     def run(batches):
         for batch in small(batches, "text"):
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            ids, rows, texts = batch.column("doc_id"), batch.column("row"), batch.column("text").to_pylist()
             for a, b in pieces(texts):
                 sets = shingle_sets(texts[a:b], shingle)
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -139,11 +144,12 @@ def sketch(docs: DataFrame, shingle: int, m: int) -> DataFrame:
                     for i, row, own in zip(full, found.view(np.int64), low, strict=True):
                         keys[i], lows[i], digests[i] = row, own.tobytes(), hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a:b], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "bands", "low"],
+                    [rows.slice(a, b - a), ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.binary())],
+                    names=["row", "doc_id", "n_shingles", "digest", "bands", "low"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, low binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("row", "doc_id", "text").mapInArrow(run, f"row decimal(38,0), doc_id {kind}, n_shingles long, digest binary, bands array<long>, low binary")
 
 
 def keyed(classes: DataFrame, m: int) -> DataFrame:
@@ -162,8 +168,13 @@ def keyed(classes: DataFrame, m: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union.  texts: id, text."""
-    wide = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "left"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "right"}), "b")
+    """The pairs (id, pivot) whose sets have 100 * intersection >= percent * union, as a, b.  texts: id, text.
+
+    pairs: id, pivot, parts.  A pivot's text goes to its parts only, each of which has few of its pairs.
+    """
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    pivots = dealt.select("pivot", "part").distinct().join(texts.withColumnsRenamed({"id": "pivot", "text": "right"}), "pivot")
+    wide = dealt.join(texts.withColumnRenamed("text", "left"), "id").join(pivots, ["pivot", "part"]).withColumnsRenamed({"id": "a", "pivot": "b"})
 
     def run(batches):
         for batch in small(batches, "left"):
@@ -225,56 +236,58 @@ class _Union(dict):
         return x
 
 
-def _blocked(rows: DataFrame, size_of: str, some: DataFrame | None = None) -> DataFrame:
-    """Rows of a group dealt to pairs of blocks: side 0 holds `some` (or all), side 1 all.  size_of: the group's row count."""
+def _blocked(rows: DataFrame, size_of: str, some: DataFrame) -> DataFrame:
+    """Rows of a group dealt to pairs of blocks: side 0 holds `some`, side 1 all.  size_of: the group's row count."""
     block = lambda n: F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / BLOCK)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK) - 1).cast("int"))
-    if some is None:
-        left = rows.withColumn("i", block(size_of)).withColumn("j", F.explode(F.sequence("i", (F.ceil(F.col(size_of) / BLOCK) - 1).cast("int"))))
-        right = rows.withColumn("j", block(size_of)).withColumn("i", F.explode(F.sequence(F.lit(0), "j")))
-    else:
-        left = some.withColumn("i", block("few")).withColumn("j", F.explode(upto(size_of)))
-        right = rows.withColumn("j", block(size_of)).withColumn("i", F.explode(upto("few")))
+    left = some.withColumn("i", block("few")).withColumn("j", F.explode(upto(size_of)))
+    right = rows.withColumn("j", block(size_of)).withColumn("i", F.explode(upto("few")))
     return left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
 
 
 def _chained(like: np.ndarray) -> np.ndarray:
-    """The first member of each row's component in a symmetric matrix of likely pairs."""
-    label = np.full(len(like), -1)
-    for start in range(len(like)):
-        new = np.zeros(len(like), bool)
-        new[start] = label[start] < 0
+    """For the rows and then the columns of a matrix of likely pairs: the first row that chains of them reach, -1 for none."""
+    n, k = like.shape
+    rows, columns = np.full(n, -1), np.full(k, -1)
+    for start in range(n):
+        new = np.zeros(n, bool)
+        new[start] = rows[start] < 0 and like[start].any()
         while new.any():
-            label[new] = start
-            new = like[new].any(axis=0) & (label < 0)
-    return label
+            rows[new] = start
+            there = like[new].any(axis=0) & (columns < 0)
+            columns[there] = start
+            new = like[:, there].any(axis=1) & (rows < 0)
+    return np.concatenate([rows, columns])
+
+
+def _uneven(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Groups with several components: their largest one, their rows, and the rows outside of it."""
+    counts = rows.groupBy(*by, "component").agg(F.count("*").alias("n"))
+    most = counts.groupBy(*by).agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("components")).where("components > 1")
+    return most.select(*by, F.col("m.component").alias("main"), "n", (F.col("n") - F.col("m.n")).alias("few"))
 
 
 def families(ids: DataFrame, classes: DataFrame, m: int, least: int) -> DataFrame:
     """id, component, family of open classes that chains of likely links join across components.
 
-    Classes with a band of the first collection in common meet in blocks of bounded size; only a chain of
-    the likely links leaves a block, not its pairs.
+    Of the classes with a band of the first collection in common, those outside the band's largest component
+    meet all others in blocks of bounded size; only a chain of the likely links leaves a block, not its pairs.
     """
-    own = ids.join(classes, "id").select("id", "component", "low", F.posexplode(F.slice("bands", 1, m)).alias("band", "value"))
-    sizes = own.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("component").alias("one"), F.max("component").alias("other")).where("n > 1 AND one <> other").select("band", "value", "n")
-    dealt = _blocked(own.join(sizes, ["band", "value"]), "n")
+    own = durable(ids.join(classes, "id").select("id", "component", "low", F.posexplode(F.slice("bands", 1, m)).alias("band", "value")))
+    sizes = durable(_uneven(own, ["band", "value"]))
+    rows = join_small(own, sizes, ["band", "value"], "inner", F.xxhash64("id"))
+    dealt = _blocked(rows, "n", rows.where("component <> main"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": []})
-        both = a["i"].iloc[0] != a["j"].iloc[0]
-        ids = np.concatenate([a["id"].to_numpy(), b["id"].to_numpy()]) if both else a["id"].to_numpy()
-        low = np.concatenate([_bytes(a["low"]), _bytes(b["low"])]) if both else _bytes(a["low"])
-        like = _agreement(low, low) >= least
+        like = _agreement(_bytes(a["low"]), _bytes(b["low"])) >= least
+        like &= a["component"].to_numpy()[:, None] != b["component"].to_numpy()[None]
+        n = len(a)
+        ids = np.concatenate([a["id"].to_numpy(), b["id"].to_numpy()])
         label = _chained(like)
-        # what either block's own task tells already is left out: only its components' first members are tied
-        tied = np.arange(len(ids))
-        if both:
-            n = len(a)
-            tied = np.unique(np.concatenate([_chained(like[:n, :n]), n + _chained(like[n:, n:])]))
-        tied = tied[label[tied] != tied]
+        tied = np.flatnonzero((label >= 0) & (label != np.arange(len(ids))))
         return pd.DataFrame({"a": ids[tied], "b": ids[label[tied]]})
 
     chains = dealt.groupBy("band", "value", "i", "j").applyInPandas(run, "a long, b long")
@@ -284,10 +297,9 @@ def families(ids: DataFrame, classes: DataFrame, m: int, least: int) -> DataFram
 
 def settle(members: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, percent: int, least: int) -> DataFrame:
     """Confirmed links a, b between the components of each family.  members: id, component, family."""
-    counts = members.groupBy("family", "component").agg(F.count("*").alias("n"))
-    most = counts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("components")).where("components > 1")
-    most = most.select("family", F.col("m.component").alias("main"), "n", (F.col("n") - F.col("m.n")).alias("few"))
-    rows = durable(members.join(most, "family").join(classes.select("id", "low"), "id").join(texts, "id"))
+    most = durable(_uneven(members, ["family"]))
+    rows = join_small(members, most, ["family"], "inner", F.xxhash64("id"))
+    rows = durable(rows.join(classes.select("id", "low"), "id").join(texts, "id"))
     dealt = _blocked(rows, "n", rows.where("component <> main"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -317,25 +329,37 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def _row() -> Column:
+    """128 bits that tell a text among those of one id, nulls too."""
+    high, low = (F.xxhash64(F.lit(i), "text").cast("decimal(20,0)") for i in (1, 2))
+    return (high * F.lit(2**62).cast("decimal(20,0)") + low).cast("decimal(38,0)")
+
+
 def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id, kept for every document.
+    """doc_id, n_shingles, class_id, component_id, kept, first, and what tells the row's text, for every document.
 
-    class_id is the smallest id with the same set.
+    class_id is the smallest id with the same set.  first: the component's smallest row, if it has an id.
     """
     m = bands_for(percent / 100)
     least = least_agreement(percent / 100, 2 * m * ROWS_IN_BAND)
-    own = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
+    own = frugal(docs).select(_row().alias("row"), "doc_id", "text")
     sketched = durable(sketch(own, shingle, m))
-    first = F.min_by(F.struct("bands", "low"), "doc_id")
-    classes = durable(sketched.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"), first.alias("s")).select("digest", "id", "s.bands", "s.low"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = F.min_by(F.struct("bands", "low"), place)
+    groups = sketched.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(place).alias("place"), first.alias("s"))
+    # a number for each class: the checkpoint keeps it
+    classes = durable(groups.select(F.monotonically_increasing_id().alias("id"), "digest", "place", "s.bands", "s.low"))
     rows = durable(keyed(classes.select("id", "bands"), m))
     labels = classes.select("id", F.col("id").alias("component"))
     if not rows.isEmpty():
-        texts = durable(own.withColumnRenamed("doc_id", "id").join(rows.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+        wanted = classes.join(rows.select("id").distinct(), "id", "left_semi").select("id", "place.doc_id", "place.row")
+        same = own["doc_id"].eqNullSafe(wanted["doc_id"]) & (own["row"] == wanted["row"])
+        texts = durable(own.join(wanted, same).groupBy("id").agg(F.min("text").alias("text")))
         pivots = rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("p")).select("key", F.col("p.weight").alias("heft"), (-F.col("p.minus")).alias("pivot"))
         # a class is compared with the weightiest pivot of its buckets only: what that leaves open is settled below
-        best = rows.join(pivots, "key").where("id <> pivot").groupBy("id").agg(F.max(F.struct("heft", (-F.col("pivot")).alias("minus"))).alias("p")).select("id", (-F.col("p.minus")).alias("pivot"))
-        pairs = best.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        best = rows.join(pivots, "key").where("id <> pivot").groupBy("id").agg(F.max(F.struct("heft", (-F.col("pivot")).alias("minus"))).alias("p"))
+        # a pivot shares each of its 2m bands with at most heft classes, all told
+        pairs = best.select("id", (-F.col("p.minus")).alias("pivot"), F.ceil(F.col("p.heft") / (2 * m * PART)).alias("parts"))
         links = durable(confirm(pairs, texts, shingle, percent))
         labels = components(links)
         ids = durable(_open_ids(rows.select("key", "id"), labels))
@@ -344,16 +368,27 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
             more = durable(settle(members, texts, classes, shingle, percent, least))
             if not more.isEmpty():
                 labels = components(links.unionByName(more))
-    members = sketched.select("doc_id", "n_shingles", "digest").dropDuplicates(["doc_id"])
-    named = members.join(classes.select("digest", "id"), "digest", "left").join(labels, "id", "left")
-    class_id = F.coalesce("id", "doc_id")
-    component = F.coalesce("component", "id", "doc_id")
-    return named.select("doc_id", "n_shingles", class_id.alias("class_id"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    named = classes.select("id", "digest", "place").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lowest = named.groupBy("component").agg(F.min("place").alias("lowest"))
+    named = named.join(lowest, "component").select("digest", F.col("place.doc_id").alias("class_id"), "lowest")
+    out = sketched.drop("bands", "low").join(named, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("lowest.doc_id"))
+    class_id = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    is_first = F.col("digest").isNull() | (F.col("doc_id").eqNullSafe(F.col("lowest.doc_id")) & (F.col("row") == F.col("lowest.row")))
+    return out.select("doc_id", "n_shingles", class_id.alias("class_id"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), is_first.alias("first"), "row", F.col("digest").isNull().alias("empty"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, with all its columns; rows without an id stay."""
-    return without(docs, durable(link(docs, shingle, percent).where(~F.col("kept")).select("doc_id")))
+    """One document of each component, with all its columns: of its smallest id, and of such repeated rows one.  Documents without words stay, all of them."""
+    found = durable(link(docs, shingle, percent))
+    plain = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1 OR doc_id IS NULL").isEmpty()
+    if plain:
+        return without(docs, durable(found.where("NOT kept").select("doc_id")))
+    # rows that share an id are told apart by their text, at the price of a shuffle
+    told = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").alias("id"), _row().alias("row"))
+    stay = found.where("first").select(F.col("doc_id").alias("id2"), F.col("row").alias("row2"), "empty").distinct()
+    kept = told.join(stay, F.col("id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")))
+    return kept.where("NOT empty").dropDuplicates(["id", "row"]).unionByName(kept.where("empty")).select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

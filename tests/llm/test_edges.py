@@ -50,7 +50,7 @@ def test_odd_rows(op, spark):
     assert run(op, spark, docs(spark)).count() == len(TEXTS)
     assert run(op, spark, docs(spark, [])).count() == 0
     n = run(op, spark, repeated(spark)).count()
-    assert n == (len(TEXTS) if op == "op2" else len(TEXTS) + 4)  # near-dups are by id
+    assert n == len(TEXTS) + 4
     assert run(op, spark, docs(spark, [None, None])).count() == 2
 
 
