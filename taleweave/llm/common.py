@@ -37,6 +37,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A durable copy of narrow rows in no more partitions than they fill: a few rows of many tasks make few files in later shuffles."""
+    copy = durable(df)
+    parts = max(1, -(-copy.count() // rows))
+    return copy.coalesce(parts) if parts < copy.rdd.getNumPartitions() else copy
+
+
 def measured(df: DataFrame) -> tuple[int, int]:
     """Rows and bytes of a durable frame: eight for each number, and the length of each text or list of numbers."""
     size = F.lit(0).cast("long")

@@ -44,10 +44,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, frugal, join_small, pieces, small, without
+from .common import compact, durable, frugal, join_small, pieces, small, without
 
-#: PART: pairs that a part of a pivot has, about.
+#: PART: pairs that a part of a pivot has, about.  Groups of up to PACKED rows are packed to PACK_ROWS, about; a task compares TASK_PAIRS.
 ROWS_IN_BAND, MISS, BLOCK, PART = 3, 1e-5, 384, 64
+PACKED, PACK_ROWS, TASK_PAIRS = 64, 2000, 2_000_000
 
 
 def bands_for(threshold: float) -> int:
@@ -196,15 +197,15 @@ def components(links: DataFrame) -> DataFrame:
     Every round a vertex takes the least label around it, and then its label's label, so long chains
     shrink fast.  Labels are kept on disk between rounds; only a count comes to the driver.
     """
-    links = durable(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = compact(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = durable(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
+    now = compact(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
     while True:
-        around = both.join(now.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = now.join(around, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        step = durable(step)
+        near = both.join(now.select(F.col("id").alias("b"), "component"), "b").select(F.col("a").alias("id"), "component", F.lit(None).cast("long").alias("old"))
+        own = now.select("id", "component", F.col("component").alias("old"))
+        step = compact(near.unionByName(own).groupBy("id").agg(F.min("component").alias("component"), F.max("old").alias("old")))
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        step = durable(step.join(jump, "component").select("id", "old", F.least("component", "next").alias("component")))
+        step = compact(step.join(jump, "component").select("id", "old", F.least("component", "next").alias("component")))
         changed = not step.where("old <> component").isEmpty()
         now = step.select("id", "component")
         if not changed:
@@ -273,31 +274,43 @@ def families(ids: DataFrame, classes: DataFrame, m: int, least: int) -> DataFram
     Of the classes with a band of the first collection in common, those outside the band's largest component
     meet all others in blocks of bounded size; only a chain of the likely links leaves a block, not its pairs.
     """
-    own = durable(ids.join(classes, "id").select("id", "component", "low", F.posexplode(F.slice("bands", 1, m)).alias("band", "value")))
-    sizes = durable(_uneven(own, ["band", "value"]))
+    own = ids.join(classes, "id").select("id", "component", "low", F.posexplode(F.slice("bands", 1, m)).alias("band", "value"))
+    sizes = compact(_uneven(own, ["band", "value"]))
     rows = join_small(own, sizes, ["band", "value"], "inner", F.xxhash64("id"))
-    dealt = _blocked(rows, "n", rows.where("component <> main"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []})
+    # small groups go to Python many at once, and what takes long to compare isn't put into few tasks for its few bytes
+    packs, work = sizes.agg(F.ceil(F.sum(F.when(F.col("n") <= PACKED, F.col("n"))) / PACK_ROWS), F.ceil(F.sum(F.col("n") * F.col("few")) / TASK_PAIRS)).first()
+    own_key = F.xxhash64("band", "value")
+    pack = F.when(F.col("n") <= PACKED, F.pmod(own_key, F.lit(max(1, packs or 0)))).otherwise(own_key)
+    parts = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), work or 1)
+    dealt = _blocked(rows, "n", rows.where("component <> main")).withColumn("pack", pack).repartition(parts, "pack", "i", "j")
+
+    def chained(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         like = _agreement(_bytes(a["low"]), _bytes(b["low"])) >= least
         like &= a["component"].to_numpy()[:, None] != b["component"].to_numpy()[None]
-        n = len(a)
         ids = np.concatenate([a["id"].to_numpy(), b["id"].to_numpy()])
         label = _chained(like)
         tied = np.flatnonzero((label >= 0) & (label != np.arange(len(ids))))
-        return pd.DataFrame({"a": ids[tied], "b": ids[label[tied]]})
+        return ids[tied], ids[label[tied]]
 
-    chains = dealt.groupBy("band", "value", "i", "j").applyInPandas(run, "a long, b long")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["band", "value", "side"], kind="stable")
+        group = np.flatnonzero(np.diff(pdf["value"].to_numpy(), prepend=0).astype(bool) | np.diff(pdf["band"].to_numpy(), prepend=-1).astype(bool))
+        side = pdf["side"].to_numpy()
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for start, stop in zip(group, [*group[1:], len(pdf)], strict=True):
+            middle = start + int(np.searchsorted(side[start:stop], 1))
+            if start < middle < stop:
+                out.append(chained(pdf.iloc[start:middle], pdf.iloc[middle:stop]))
+        return pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([x for _, x in out])})
+
+    chains = dealt.groupBy("pack", "i", "j").applyInPandas(run, "a long, b long")
     found = components(chains).withColumnRenamed("component", "family")
     return ids.join(found, "id")
 
 
 def settle(members: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, percent: int, least: int) -> DataFrame:
     """Confirmed links a, b between the components of each family.  members: id, component, family."""
-    most = durable(_uneven(members, ["family"]))
+    most = compact(_uneven(members, ["family"]))
     rows = join_small(members, most, ["family"], "inner", F.xxhash64("id"))
     rows = durable(rows.join(classes.select("id", "low"), "id").join(texts, "id"))
     dealt = _blocked(rows, "n", rows.where("component <> main"))
@@ -360,12 +373,12 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
         best = rows.join(pivots, "key").where("id <> pivot").groupBy("id").agg(F.max(F.struct("heft", (-F.col("pivot")).alias("minus"))).alias("p"))
         # a pivot shares each of its 2m bands with at most heft classes, all told
         pairs = best.select("id", (-F.col("p.minus")).alias("pivot"), F.ceil(F.col("p.heft") / (2 * m * PART)).alias("parts"))
-        links = durable(confirm(pairs, texts, shingle, percent))
+        links = compact(confirm(pairs, texts, shingle, percent))
         labels = components(links)
-        ids = durable(_open_ids(rows.select("key", "id"), labels))
+        ids = compact(_open_ids(rows.select("key", "id"), labels))
         if not ids.isEmpty():
-            members = durable(families(ids, classes.select("id", "bands", "low"), m, least))
-            more = durable(settle(members, texts, classes, shingle, percent, least))
+            members = compact(families(ids, classes.select("id", "bands", "low"), m, least))
+            more = compact(settle(members, texts, classes, shingle, percent, least))
             if not more.isEmpty():
                 labels = components(links.unionByName(more))
     named = classes.select("id", "digest", "place").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
