@@ -11,8 +11,9 @@ likeness of two fingerprints is (agreement - 1/16) / (1 - 1/16), at least 0.
 of each bin is then its minimum, or the sentinel if the bin is empty, without a map or a group-by.
 
 Defined results: a text without words has an empty fingerprint; two empty fingerprints have likeness 1, an
-empty and another 0; a null doc_id is the smallest; equal ids are ordered by text; an empty table gives an
-empty result; other columns are ignored.
+empty and another 0; a null doc_id is the smallest; equal ids are ordered by a hash of their text, and
+repeated rows follow each other; texts of any length are read whole; an empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, words
+from .common import ascii_lower, durable, join_small, words
 
 BITS = 8
 BINS, KEEP_BITS, SHINGLE = 1 << BITS, 4, 5
 _LOW = (1 << (64 - BITS)) - 1
-#: Rows of a sorted run in `with_next`.
-RUN_ROWS = 4096
+#: Rows of a sorted run in `with_next`, about, and the quantiles that it cuts the order at.
+RUN_ROWS, CUTS = 4096, 256
 
 
 def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -65,34 +66,55 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a).isNull() & F.col(b).isNull(), 1.0).when(F.col(a).isNull() | F.col(b).isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), (same - chance) / (1 - chance)))
 
 
+def _place(key: Column, frac: Column, cuts: list[int], low: int, high: int) -> Column:
+    """Where a key stands in the order, as a number that never falls as the key rises: less than 2 * (cuts + 1).
+
+    A key between two cuts stands in the even stretch between them, as far along as its value is; one that
+    equals cuts stands in the odd stretches that these take up, as far along as `frac` says.
+    """
+    step = max(1, math.isqrt(len(cuts)))
+    array = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    whole = array(cuts)
+    # cuts below the key, found among every step-th of them and then in that stretch
+    coarse = F.size(F.filter(array(cuts[step - 1 :: step]), lambda q: q < key)) * step
+    below = coarse + F.size(F.filter(F.slice(whole, coarse + 1, F.lit(step)), lambda q: q < key))
+    equal = F.size(F.filter(whole, lambda q: q == key))
+    left, right = (F.coalesce(F.get(whole, i), F.lit(x)).cast("double") for i, x in ((below - 1, low), (below, high)))
+    along = F.when(right > left, F.least(F.greatest((key.cast("double") - left) / (right - left), F.lit(0.0)), F.lit(1 - 1e-9))).otherwise(F.lit(0.0))
+    return F.when(F.get(whole, below) == key, 2 * below + 1 + frac * (2 * equal - 1)).otherwise(2 * below + along)
+
+
 def with_next(df: DataFrame, key: str, ties: str, carry: list[str]) -> DataFrame:
-    """Adds next_<c> of the row with the next smaller key, after the last row that of the first.
+    """Adds next_<c> of the row with the next smaller key, after the last row that of the first.  Equal keys: by the hash of `ties`.
 
-    A single ordered window would put all rows into one task.  Quantiles of the key cut the order into
-    runs instead.  A quantile is itself a key in the table, and as the greatest of its run it is what the
-    next run's last row needs: such rows are sent to both runs.
+    A single ordered window would put all rows into one task.  A few quantiles of the key, whatever the size of
+    the table, and the stretches between them cut the order into runs instead; rows of one hot key are cut by
+    their hash.  A run's last row needs the next run's first: such rows, one a run, are sent to both runs.
     """
     spark = df.sparkSession
     n = df.count()
     if not n:
         return df.select("*", *[F.col(c).alias(f"next_{c}") for c in carry])
     runs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / RUN_ROWS))
-    shares = F.array(*[F.lit(i / runs) for i in range(1, runs)]) if runs > 1 else F.array(F.lit(0.5))
-    cuts, top = df.agg(F.percentile_approx(key, shares, F.lit(max(10_000, 20 * runs))), F.max(key)).first()
-    cuts = sorted(set(cuts))
-    step = max(1, math.isqrt(len(cuts)))
-    array = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    coarse, k = array(cuts[step - 1 :: step]), F.col(key)
-    # cuts below the key, found among every step-th of them and then in that stretch
-    df = df.withColumn("_c", F.size(F.filter(coarse, lambda q: q < k)) * step)
-    df = df.withColumn("_run", F.col("_c") + F.size(F.filter(F.slice(array(cuts), F.col("_c") + 1, F.lit(step)), lambda q: q < k)))
-    # as run r's greatest key, a cut also ends run r+1; the greatest of all ends run 0
+    m = min(CUTS, runs)
+    shares = F.array(*[F.lit((i + 0.5) / m) for i in range(m)])
+    cuts, low, high = df.agg(F.percentile_approx(key, shares, F.lit(10_000)), F.min(key), F.max(key)).first()
+    subs = math.ceil(runs / m)
+    hashed = F.xxhash64(ties)
+    place = _place(F.col(key), (F.shiftright(hashed, 11) + 2**52) / float(2**53), cuts, low, high)
+    df = df.withColumn("_hash", hashed).withColumn("_run", F.floor(place * subs).cast("long"))
+    tops = durable(df.groupBy("_run").agg(F.max(F.struct(key, "_hash")).alias("_top")))
+    order = Window.orderBy("_run")  # one narrow row a run
+    tops = durable(tops.select("_run", F.col("_top")[key].alias("_topkey"), F.col("_top._hash").alias("_top"), F.lead("_run").over(order).alias("_above"), F.min("_run").over(Window.partitionBy()).alias("_lowest")))
+    df = join_small(df, tops, ["_run"], "inner")
     own = F.struct(F.col("_run").alias("run"), F.lit(0).alias("tail"))
-    ahead = F.when(F.get(array(cuts), F.col("_run")) == k, F.struct((F.col("_run") + 1).alias("run"), F.lit(1).alias("tail")))
-    around = F.when(k == F.lit(top), F.struct(F.lit(0).alias("run"), F.lit(2).alias("tail")))
+    first = (F.col(key) == F.col("_topkey")) & (F.col("_hash") == F.col("_top"))
+    ahead = F.when(first & F.col("_above").isNotNull(), F.struct(F.col("_above").alias("run"), F.lit(1).alias("tail")))
+    around = F.when(first & F.col("_above").isNull(), F.struct(F.col("_lowest").alias("run"), F.lit(2).alias("tail")))
     df = df.withColumn("_at", F.explode(F.array_compact(F.array(own, ahead, around)))).select("*", "_at.run", "_at.tail")
-    w = Window.partitionBy("run").orderBy("tail", k.desc(), ties)
-    return df.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry]).where("tail = 0").drop("_c", "_run", "_at", "run", "tail")
+    w = Window.partitionBy("run").orderBy("tail", F.col(key).desc(), F.col("_hash").desc(), ties)
+    added = ("_hash", "_run", "_topkey", "_top", "_above", "_lowest", "_at", "run", "tail")
+    return df.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry]).where("tail = 0").drop(*added)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
