@@ -9,7 +9,9 @@ of them.  At prediction a filter's response is a sum of table rows, one for each
 needs a few MB of tables and one block of windows at a time.
 
 Defined results: lang_pred is `und` with score 0 if the text is null or has no letter, or if there was
-nothing to learn from; repeated rows are judged alike; other columns are ignored.
+nothing to learn from; a text of any length is read whole, in blocks of windows; repeated rows, of one id or
+not, are judged alike; of languages with equal probabilities the first by name is taken; an empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,12 @@ from .learning import thinned
 
 WINDOW, WIDTHS, FILTERS, DIM, PAD = 128, (2, 3, 4), 16, 8, 256
 PER_LANGUAGE, WINDOWS_EACH, EPOCHS = 400, 10, 6
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def _letter(text: str) -> bool:
+    """Whether the text has a letter: general category L.  What is wordlike may also be a number such as ½ or Ⅷ."""
+    return any(m.group().isalpha() for m in _WORDLIKE.finditer(text))
 
 
 def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +165,7 @@ def fit(docs: DataFrame, learn, per_language: int = PER_LANGUAGE) -> dict | None
     known = docs.select("doc_id", "text", "lang").where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull())
     rows = thinned(known, "lang", per_language).collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
-    return train([(r["text"], r["lang"]) for r in rows if _LETTER.search(r["text"])])
+    return train([(r["text"], r["lang"]) for r in rows if _letter(r["text"])])
 
 
 def classify(docs: DataFrame, model: dict | None, flag) -> DataFrame:
@@ -170,7 +177,7 @@ def classify(docs: DataFrame, model: dict | None, flag) -> DataFrame:
             texts = batch.column("text").to_pylist()
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))
             for a, b in pieces(texts):
-                some = [i for i in range(a, b) if model and texts[i] and _LETTER.search(texts[i])]
+                some = [i for i in range(a, b) if model and texts[i] and _letter(texts[i])]
                 if some:
                     found, score = predict(model, tables, [texts[i] for i in some])
                     scores[some] = score
