@@ -126,9 +126,9 @@ def communities(events: DataFrame, weights: DataFrame, resolution: float = 0.5,
 
 def describe(members: DataFrame) -> DataFrame:
     """community, spine, size, first, last, importance.  members: community, id, significance, message_index, summary."""
-    spine = F.min(F.struct((-F.col("significance")).alias("s"), "message_index", "id", "source_text")).alias("m")
+    spine = F.min(F.struct((-F.col("significance")).alias("s"), "message_index", "id", "summary")).alias("m")
     out = members.groupBy("community").agg(spine, F.count(F.lit(1)).alias("size"), F.min("message_index").alias("first"), F.max("message_index").alias("last"), F.max("significance").alias("top"))
-    return out.select("community", F.col("m.id").alias("spine"), "size", "first", "last", F.least(F.lit(5), F.greatest(F.lit(1), F.round(F.coalesce("top", F.lit(3))).cast("int"))).alias("importance"), F.substring("m.source_text", 1, 80).alias("spine_text"))
+    return out.select("community", F.col("m.id").alias("spine"), "size", "first", "last", F.least(F.lit(5), F.greatest(F.lit(1), F.round(F.coalesce("top", F.lit(3))).cast("int"))).alias("importance"), F.substring(F.coalesce(F.nullif(F.trim("m.summary"), F.lit("")), F.lit("(no summary)")), 1, 80).alias("spine_text"))
 
 
 def density(members: DataFrame, weights: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def rebuild(events: DataFrame, participated: DataFrame, chains: DataFrame, durab
     for name, (level, resolution) in LEVELS.items():
         own = enough if name == "arc" else enough.where(F.col("nodes") >= HIERARCHY_FROM)
         found = keep(communities(own, weights, resolution)).withColumn("hierarchy_level", F.lit(level))
-        keyed = found.join(own.select("id", "significance", "message_index", "source_text"), "id").withColumn("community", F.struct("chat_id", "community"))
+        keyed = found.join(own.select("id", "significance", "message_index", "summary"), "id").withColumn("community", F.struct("chat_id", "community"))
         told = describe(keyed).select("community.chat_id", "community.community", F.lit(level).alias("hierarchy_level"), "spine", "size", F.col("first").alias("start_idx"), F.col("last").alias("end_idx"), "importance", arc_title(name, "spine_text").alias("title"))
         told = told.join(density(found, weights).select("chat_id", "community", "density"), ["chat_id", "community"])
         told = told.withColumn("id", content_id("arc", F.concat_ws("|", "chat_id", "hierarchy_level", "spine")))

@@ -9,8 +9,8 @@ CHARS_PER_TOKEN, FRAME = 4, 200
 
 
 def matrix(questions: DataFrame, models: DataFrame, conditions: DataFrame) -> DataFrame:
-    """Every question with every model and condition, both of which are a few named rows."""
-    return questions.crossJoin(F.broadcast(models.limit(1000))).crossJoin(F.broadcast(conditions.limit(1000)))
+    """Every question with every model and condition; all of them, however many they are."""
+    return questions.crossJoin(models).crossJoin(conditions)
 
 
 def remaining(runs: DataFrame, done: DataFrame) -> DataFrame:

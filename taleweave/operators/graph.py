@@ -24,16 +24,18 @@ def edges(tables, chats: list[str] | None = None) -> DataFrame:
     in_scope = events.select(F.col("id").alias("event_id"))
     feels = tables("feels").withColumnRenamed("session_id", "chat_id")
     items = scoped(tables("items"))
+    threads = scoped(tables("plot_threads")).select(F.col("id").alias("plot_id"))
     return reduce(
         lambda a, b: a.unionByName(b),
         [
             _edge(scoped(feels), "feels_about", "from_id", "character", "to_id", "character", True),
             _edge(tables("participated").join(in_scope, "event_id", "left_semi"), "participated_in", "character_id", "character", "event_id", "event", True),
             _edge(tables("arc_events").join(in_scope, "event_id", "left_semi"), "arc_events", "arc_id", "story_arc", "event_id", "event", True),
-            _edge(tables("knows"), "knows", "character_id", "character", "fact_id", "fact"),
+            _edge(scoped(tables("knows")), "knows", "character_id", "character", "fact_id", "fact"),
             _edge(events, "at", "id", "event", "location_id", "location"),
             _edge(items, "owns", "owner_id", "character", "id", "item"),
             _edge(items, "lies_at", "id", "item", "location_id", "location"),
+            _edge(tables("plot_characters").join(threads, "plot_id", "left_semi"), "plot", "character_id", "character", "plot_id", "plot_thread"),
             _edge(tables("chains").join(in_scope.withColumnRenamed("event_id", "from_id"), "from_id", "left_semi"), "chain", "from_id", "event", "to_id", "event"),
         ],
     )

@@ -92,12 +92,14 @@ def replace(table: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
 
 # what a column does when a row comes again
 keep_filled = lambda o, n: F.coalesce(F.nullif(n, F.lit("")), o)
-first_filled = lambda o, n: F.coalesce(F.nullif(o, F.lit("")), n)
 greatest = lambda o, n: F.greatest(o, n)
 first = lambda o, n: F.coalesce(o, n)
 union = lambda o, n: F.array_distinct(F.filter(F.concat(F.coalesce(o, n), F.coalesce(n, o)), lambda x: F.trim(x) != ""))
-CHARACTER_RULES = {"aliases": union, "description": keep_filled, "role": first_filled, "status": first_filled, "significance": greatest}
-EVENT_RULES = {"source_text": first_filled, "world_time": first_filled}
+stays = lambda o, n: o
+CHARACTER_RULES = {"aliases": union, "description": keep_filled, "role": keep_filled, "status": keep_filled, "significance": greatest}
+#: An event that comes again brings a new summary and significance; where and when it stands stays.
+EVENT_RULES = {"source_text": keep_filled, "world_time": lambda o, n: keep_filled(o, F.trim(n)), "message_index": stays, "location_id": stays, "chat_id": stays, "ts": stays, "timestamp": stays}
+ITEM_RULES = {"name": stays, "chat_id": first}
 LOCATION_RULES = {"description": keep_filled, "importance": greatest}
 PLOT_RULES = {"resolved_at": first}
 

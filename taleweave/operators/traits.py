@@ -46,8 +46,8 @@ def fold(traits: DataFrame, merge: float = MERGE_FROM, verify: float = VERIFY_FR
 
     Substring containment merges first, then equal wording, then cosine: from `merge` on at once, from
     `verify` on if verdict(candidate, canonical) says MERGE (its default), REJECT drops the row, KEEP
-    makes it canonical.  Each insert changes what comes after, so a (character, category) is one
-    sequential fold; different ones run in parallel.
+    makes it canonical.  Each insert changes what comes after, so a (character, category, chat) is one
+    sequential fold; different ones run in parallel.  Wordings without a chat are a chat of their own.
     """
     decide = verdict or (lambda a, b: "MERGE")
 
@@ -83,5 +83,6 @@ def fold(traits: DataFrame, merge: float = MERGE_FROM, verify: float = VERIFY_FR
         found["merged_count"] = [merged.get(i, 0) for i in found["id"]]
         return found[["id", "canonical_id", "merged_count", "similarity"]]
 
-    rows = traits.select("character_id", "category", "id", "content", F.length("content").alias("size"), V.doubles("embedding").alias("embedding"))
-    return rows.groupBy("character_id", "category").applyInPandas(run, "id long, canonical_id long, merged_count long, similarity double")
+    chat = F.coalesce(F.col("source_chat"), F.lit("")) if "source_chat" in traits.columns else F.lit("")
+    rows = traits.select("character_id", "category", chat.alias("chat"), "id", "content", F.length("content").alias("size"), V.doubles("embedding").alias("embedding"))
+    return rows.groupBy("character_id", "category", "chat").applyInPandas(run, "id long, canonical_id long, merged_count long, similarity double")

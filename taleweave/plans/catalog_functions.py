@@ -82,8 +82,8 @@ _one("fn_sentiment", "events", "event_id", lambda t: X.sentiment_label(F.col("va
 _LORE = "CASE WHEN regexp_matches(x, '\\b(race|species|class|ability|magic|spell|skill)\\b') THEN 'lore' WHEN regexp_matches(x, '\\b(secret|hidden|unknown|forbidden|only .* knows)\\b') THEN 'secret' WHEN regexp_matches(x, '\\b(rule|law|custom|tradition|taboo|must|always|never)\\b') THEN 'rule' WHEN regexp_matches(x, '\\b(born|childhood|past|history|origin|backstory|used to)\\b') THEN 'backstory' ELSE 'lore' END"
 _WORD = "(['secret', 'old law', 'history', 'plain', 'magic secret'])[CAST(doc_id % 5 AS INT) + 1]"
 _extra = lambda: F.element_at(X.strings(["secret", "old law", "history", "plain", "magic secret"]), (F.col("doc_id") % 5 + 1).cast("int"))
-query("fn_lore_domain", f"SELECT doc_id, {_LORE} AS v FROM (SELECT doc_id, lower(concat({_WORD}, ' ', source, ' ', substr(text, 1, 100))) AS x FROM documents) y")(
-    lambda t: t("documents").select("doc_id", X.lore_domain(_extra(), F.array("source"), F.substring("text", 1, 100)).alias("v"))
+query("fn_lore_domain", f"SELECT doc_id, {_LORE} AS v FROM (SELECT doc_id, lower(concat({_WORD}, ' ', source, ' ', text)) AS x FROM documents) y")(
+    lambda t: t("documents").select("doc_id", X.lore_domain(_extra(), F.array("source"), F.col("text")).alias("v"))
 )
 _PERSON = "regexp_matches(lower(text), '\\b(he|she|they|his|her|their|personality|appearance|age|hair|eyes)\\b')"
 _PLACE = "regexp_matches(lower(concat(text, CASE WHEN doc_id % 3 = 0 THEN ' a village' ELSE '' END)), '\\b(located|situated|lies|stands|built|area|region|place|land|realm|city|town|village|forest|mountain|castle|tavern|temple)\\b')"
@@ -178,10 +178,8 @@ query("fn_avg_vector", "WITH p AS (SELECT label, unnest(range(1, len(embedding)
     lambda t: V.mean_vectors(t("embeddings"), "label").select("label", F.posexplode("centroid").alias("pos", "v")).select("label", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("v"))
 )
 _J = "CASE WHEN len({0}) > 0 AND len({1}) > 0 THEN len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1})))::DOUBLE ELSE 0 END"
-_A, _B = f"list_distinct({TOKENS.format('substr(text, 1, 200)')})", f"list_distinct({TOKENS.format('substr(text, 100, 200)')})"
-_one("fn_jaccard", "documents", "doc_id", lambda t: F.round(V.jaccard(F.array_distinct(X.tokens(F.substring("text", 1, 200))), F.array_distinct(X.tokens(F.substring("text", 100, 200)))), 6), f"round({_J.format(_A, _B)}, 6)")
 _AW, _BW = f"list_distinct({TOKENS.format('a.text')})", f"list_distinct({TOKENS.format('b.text')})"
-query("fn_jaccard_all", f"SELECT a.doc_id, round({_J.format(_AW, _BW)}, 6) AS v FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")(
+query("fn_jaccard", f"SELECT a.doc_id, round({_J.format(_AW, _BW)}, 6) AS v FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")(
     lambda t: t("documents").select("doc_id", F.array_distinct(X.tokens("text")).alias("a")).join(t("documents").select((F.col("doc_id") - 1).alias("doc_id"), F.array_distinct(X.tokens("text")).alias("b")), "doc_id").select("doc_id", F.round(V.jaccard(F.col("a"), F.col("b")), 6).alias("v"))
 )
 _T = "(SELECT text FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))"

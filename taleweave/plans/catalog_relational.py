@@ -47,7 +47,7 @@ query("jn_anti", "SELECT id FROM facts f WHERE NOT EXISTS (SELECT 1 FROM knows k
 query("jn_not_in", "SELECT id FROM facts WHERE id NOT IN (SELECT fact_id FROM knows WHERE character_id IN ('src1', 'src2')) AND domain <> 'knowledge'")(
     lambda t: t("facts").where("domain <> 'knowledge'").join(t("knows").where(F.col("character_id").isin("src1", "src2")).select(F.col("fact_id").alias("id")), "id", "left_anti").select("id")
 )
-query("jn_cross", "SELECT c.id AS target, f.id AS fact_id FROM locations c CROSS JOIN facts f WHERE f.domain = 'secret'")(lambda t: t("facts").where("domain = 'secret'").select(F.col("id").alias("fact_id")).crossJoin(F.broadcast(t("locations").select(F.col("id").alias("target")).limit(1000))))
+query("jn_cross", "SELECT c.id AS target, f.id AS fact_id FROM locations c CROSS JOIN facts f WHERE f.domain = 'secret'")(lambda t: t("facts").where("domain = 'secret'").select(F.col("id").alias("fact_id")).crossJoin(t("locations").select(F.col("id").alias("target"))))
 query("jn_self_offset", "SELECT a.event_id, b.event_id AS other FROM arc_events a JOIN arc_events b ON b.arc_id = a.arc_id AND b.position IN (a.position - 1, a.position + 1)")(
     lambda t: t("arc_events").select("arc_id", "event_id", F.explode(F.array(F.col("position") - 1, F.col("position") + 1)).alias("position")).join(t("arc_events").withColumnRenamed("event_id", "other"), ["arc_id", "position"]).select("event_id", "other")
 )
@@ -59,7 +59,7 @@ query("jn_theta_name", "SELECT DISTINCT q.c_custkey AS k, c.id FROM customer q J
 )
 query("jn_theta_contain", "SELECT n.n_name AS q, r.r_name AS name FROM nation n JOIN region own ON own.r_regionkey = n.n_regionkey JOIN region r ON length(r.r_name) >= 4 AND (contains(lower(n.n_name || ' of ' || own.r_name), lower(r.r_name)) OR contains(lower(r.r_name), lower(n.n_name)))")(
     lambda t: t("nation").join(t("region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey").select("n_name", "r_name").select(F.col("n_name").alias("q"), F.concat("n_name", F.lit(" of "), "r_name").alias("text"), "r_name")
-    .join(F.broadcast(t("region").select(F.col("r_name").alias("name")).limit(1000)), (F.length("name") >= 4) & (F.lower("text").contains(F.lower("name")) | F.lower("name").contains(F.lower("q")))).select("q", "name").distinct()
+    .join(t("region").select(F.col("r_name").alias("name")), (F.length("name") >= 4) & (F.lower("text").contains(F.lower("name")) | F.lower("name").contains(F.lower("q")))).select("q", "name").distinct()
 )
 query("jn_compound", "SELECT DISTINCT p.character_id, e.id FROM present_at p JOIN story_events e ON e.location_id = p.location_id AND e.chat_id = p.chat_id WHERE p.is_current AND p.character_id LIKE 'chr-s%1'")(
     lambda t: t("present_at").where(F.col("is_current") & F.col("character_id").like("chr-s%1")).select("character_id", "location_id", "chat_id").distinct().join(t("story_events").select("id", "location_id", "chat_id"), ["location_id", "chat_id"]).select("character_id", "id")
@@ -85,10 +85,7 @@ query("jn_label_map", "SELECT d.doc_id, coalesce(l.quality, 0) AS quality FROM d
 query("ag_max_idx", "SELECT greatest(coalesce((SELECT max(message_index) FROM memory WHERE chat_id = 'src:src1'), 0), coalesce((SELECT max(message_index) FROM story_events WHERE chat_id = 'BUILDING'), 0)) AS top")(
     lambda t: __import__("taleweave.operators.search", fromlist=["top_index"]).top_index([t("memory").where("chat_id = 'src:src1'"), t("story_events").where("chat_id = 'BUILDING'")])
 )
-query("ag_array_filter", "SELECT chat_id, string_agg(world_time, ',' ORDER BY world_time) AS v FROM story_events WHERE message_index < 50 AND world_time IS NOT NULL GROUP BY chat_id")(
-    lambda t: t("story_events").where("message_index < 50").groupBy("chat_id").agg(F.array_join(F.array_sort(F.collect_list("world_time")), ",").alias("v"))
-)
-query("ag_array_filter_all", "SELECT chat_id, string_agg(world_time, ',' ORDER BY world_time) AS v FROM story_events WHERE world_time IS NOT NULL GROUP BY chat_id")(
+query("ag_array_filter", "SELECT chat_id, string_agg(world_time, ',' ORDER BY world_time) AS v FROM story_events WHERE world_time IS NOT NULL GROUP BY chat_id")(
     lambda t: t("story_events").groupBy("chat_id").agg(F.array_join(F.array_sort(F.collect_list("world_time")), ",").alias("v"))
 )
 query("ag_array_distinct", "SELECT chat_id, string_agg(DISTINCT lower(name), ',' ORDER BY lower(name)) AS v FROM snapshot_chars s WHERE message_index IN (SELECT message_index FROM snapshots x WHERE x.chat_id = s.chat_id ORDER BY message_index DESC LIMIT 3) GROUP BY chat_id")(

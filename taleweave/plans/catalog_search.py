@@ -100,11 +100,6 @@ query("se_neighbor", f"SELECT chat_id, message_index, min(id) AS id FROM memory
     lambda t: search.neighbours(t("memory"), search.vector_memory(t("memory"), CHATS, query_vector(t), 10)).select("chat_id", "message_index", "id")
 )
 query("se_arc_exp", """WITH a AS (SELECT arc_id, event_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after FROM arc_events WINDOW w AS (PARTITION BY arc_id ORDER BY position))
-    SELECT event_id, arc_id, parent_arc_id, before, after FROM (SELECT a.*, s.parent_arc_id, row_number() OVER (PARTITION BY a.event_id ORDER BY s.importance DESC, a.arc_id) AS r FROM a JOIN story_arcs s ON s.id = a.arc_id AND s.hierarchy_level = 1
-    JOIN story_events e ON e.id = a.event_id WHERE e.chat_id = 'BUILDING' AND e.message_index < 200) x WHERE r = 1""")(
-    lambda t: search.arc_context(t("story_events").where("chat_id = 'BUILDING' AND message_index < 200"), t("arc_events"), t("story_arcs"))
-)
-query("se_arc_exp_all", """WITH a AS (SELECT arc_id, event_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after FROM arc_events WINDOW w AS (PARTITION BY arc_id ORDER BY position))
     SELECT event_id, arc_id, parent_arc_id, before, after FROM (SELECT a.*, s.parent_arc_id, row_number() OVER (PARTITION BY a.event_id ORDER BY s.importance DESC, a.arc_id) AS r FROM a JOIN story_arcs s ON s.id = a.arc_id AND s.hierarchy_level = 1
     JOIN story_events e ON e.id = a.event_id WHERE e.chat_id = 'BUILDING') x WHERE r = 1""")(
     lambda t: search.arc_context(t("story_events").where("chat_id = 'BUILDING'"), t("arc_events"), t("story_arcs"))
@@ -183,31 +178,13 @@ query("rd_known_entities_state", "SELECT key, value, 500 - source_message_index
     lambda t: reads.known_entities(t("characters"), t("present_at"), t("locations"), t("items"), t("plot_threads"), t("knows"), t("world_state"), "u7", 500)["state"]
 )
 _U = """here AS (SELECT id, message_index, location_id, chat_id FROM story_events WHERE chat_id = 'BUILDING' AND (message_index IS NULL OR message_index <= 1500)),
-    seen AS (SELECT * FROM here WHERE id IN (SELECT event_id FROM participated WHERE character_id IN ('chr-c7', 'chr-s7')) UNION SELECT h.* FROM here h JOIN (SELECT DISTINCT location_id, chat_id FROM present_at WHERE character_id IN ('chr-c7', 'chr-s7') AND location_id IN ('loc-1', 'loc-2', 'loc-3')) p ON p.location_id = h.location_id AND p.chat_id = h.chat_id)"""
-
-
-class _Few:
-    """Presence in three places only, so that the universe stays a part of the whole."""
-
-    def __init__(self, t):
-        self.t = t
-
-    def __call__(self, name):
-        rows = self.t(name)
-        return rows.where(F.col("location_id").isin("loc-1", "loc-2", "loc-3")) if name == "present_at" else rows
-
-
-_uni = lambda t: pov.universe(_Few(t), IDS, C_EVT, 1500)
+    seen AS (SELECT * FROM here WHERE id IN (SELECT event_id FROM participated WHERE character_id IN ('chr-c7', 'chr-s7')) UNION SELECT h.* FROM here h JOIN (SELECT DISTINCT location_id, chat_id FROM present_at WHERE character_id IN ('chr-c7', 'chr-s7')) p ON p.location_id = h.location_id AND p.chat_id = h.chat_id)"""
+_uni = lambda t: pov.universe(t, IDS, C_EVT, 1500)
 query("rd_known_universe_events", f"WITH {_U} SELECT id FROM seen")(lambda t: _uni(t)["events"])
 query("rd_known_universe_characters", f"WITH {_U} SELECT DISTINCT character_id AS id FROM participated WHERE event_id IN (SELECT id FROM seen)")(lambda t: _uni(t)["characters"])
-query("rd_known_universe_locations", f"WITH {_U} SELECT location_id AS id FROM seen UNION SELECT location_id FROM present_at WHERE chat_id = 'BUILDING' AND character_id IN ('chr-c7', 'chr-s7') AND location_id IN ('loc-1', 'loc-2', 'loc-3')")(lambda t: _uni(t)["locations"])
+query("rd_known_universe_locations", f"WITH {_U} SELECT location_id AS id FROM seen UNION SELECT location_id FROM present_at WHERE chat_id = 'BUILDING' AND character_id IN ('chr-c7', 'chr-s7')")(lambda t: _uni(t)["locations"])
 query("rd_known_universe", f"SELECT id FROM items WHERE chat_id = 'BUILDING' AND owner_id IN {_IDS}")(lambda t: _uni(t)["items"])
-query("flt_pov_hits", f"WITH {_U} SELECT 'event' AS kind, id FROM seen WHERE message_index % 10 = 0 UNION ALL SELECT 'memory', CAST(id AS VARCHAR) FROM memory WHERE chat_id = 'src:src1' AND message_index IN (SELECT message_index FROM seen)")(
-    lambda t: pov.mask_hits(
-        t("story_events").where("chat_id = 'BUILDING' AND message_index % 10 = 0").select(F.lit("event").alias("kind"), "id", "message_index").unionByName(t("memory").where("chat_id = 'src:src1'").select(F.lit("memory").alias("kind"), F.col("id").cast("string").alias("id"), "message_index")), _uni(t),
-    ).select("kind", "id")
-)
-query("flt_pov_hits_all", f"WITH {_U} SELECT 'event' AS kind, id FROM seen UNION ALL SELECT 'memory', CAST(id AS VARCHAR) FROM memory WHERE chat_id = 'src:src1' AND message_index IN (SELECT message_index FROM seen)")(
+query("flt_pov_hits", f"WITH {_U} SELECT 'event' AS kind, id FROM seen UNION ALL SELECT 'memory', CAST(id AS VARCHAR) FROM memory WHERE chat_id = 'src:src1' AND message_index IN (SELECT message_index FROM seen)")(
     lambda t: pov.mask_hits(
         t("story_events").where("chat_id = 'BUILDING'").select(F.lit("event").alias("kind"), "id", "message_index").unionByName(t("memory").where("chat_id = 'src:src1'").select(F.lit("memory").alias("kind"), F.col("id").cast("string").alias("id"), "message_index")), _uni(t),
     ).select("kind", "id")

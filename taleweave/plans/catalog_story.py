@@ -18,10 +18,11 @@ _E = """edges AS (
     SELECT from_id AS src, 'character' AS st, to_id AS dst, 'character' AS dt, 'feels_about' AS edge FROM feels WHERE session_id = 'BUILDING' UNION ALL SELECT to_id, 'character', from_id, 'character', 'feels_about' FROM feels WHERE session_id = 'BUILDING'
     UNION ALL SELECT p.character_id, 'character', p.event_id, 'event', 'participated_in' FROM participated p JOIN story_events e ON e.id = p.event_id AND e.chat_id = 'BUILDING' UNION ALL SELECT p.event_id, 'event', p.character_id, 'character', 'participated_in' FROM participated p JOIN story_events e ON e.id = p.event_id AND e.chat_id = 'BUILDING'
     UNION ALL SELECT a.arc_id, 'story_arc', a.event_id, 'event', 'arc_events' FROM arc_events a JOIN story_events e ON e.id = a.event_id AND e.chat_id = 'BUILDING' UNION ALL SELECT a.event_id, 'event', a.arc_id, 'story_arc', 'arc_events' FROM arc_events a JOIN story_events e ON e.id = a.event_id AND e.chat_id = 'BUILDING'
-    UNION ALL SELECT character_id, 'character', fact_id, 'fact', 'knows' FROM knows UNION ALL SELECT id, 'event', location_id, 'location', 'at' FROM story_events WHERE chat_id = 'BUILDING'
+    UNION ALL SELECT character_id, 'character', fact_id, 'fact', 'knows' FROM knows WHERE chat_id IN ('BUILDING', 'fr') UNION ALL SELECT id, 'event', location_id, 'location', 'at' FROM story_events WHERE chat_id = 'BUILDING'
     UNION ALL SELECT owner_id, 'character', id, 'item', 'owns' FROM items WHERE chat_id = 'BUILDING' UNION ALL SELECT id, 'item', location_id, 'location', 'lies_at' FROM items WHERE chat_id = 'BUILDING'
-    UNION ALL SELECT c.from_id, 'event', c.to_id, 'event', 'chain' FROM chains c JOIN story_events e ON e.id = c.from_id AND e.chat_id = 'BUILDING')"""
-_edges = lambda t: graph.edges(t, ["BUILDING"])
+    UNION ALL SELECT c.from_id, 'event', c.to_id, 'event', 'chain' FROM chains c JOIN story_events e ON e.id = c.from_id AND e.chat_id = 'BUILDING'
+    UNION ALL SELECT c.character_id, 'character', c.plot_id, 'plot_thread', 'plot' FROM plot_characters c JOIN plot_threads p ON p.id = c.plot_id AND p.chat_id = 'BUILDING')"""
+_edges = lambda t: graph.edges(t, ["BUILDING", "fr"])
 _seed = lambda t: t("characters").where("id = 'chr-s7'").select("id", F.lit("character").alias("type"))
 _REACH = """reach AS (SELECT 'chr-s7' AS id, 'character' AS type, 0 AS hop UNION SELECT e.dst, e.dt, r.hop + 1 FROM reach r JOIN edges e ON e.src = r.id AND e.st = r.type WHERE r.hop < {0})"""
 query("gr_edges", f"WITH {_E} SELECT edge, src, st AS src_type, dst, dt AS dst_type FROM edges")(_edges)
@@ -33,8 +34,8 @@ query("gr_induced", f"WITH RECURSIVE {_E}, {_REACH.format(1)}, n AS (SELECT DIST
 )
 query("gr_chats_of_char", "SELECT DISTINCT e.chat_id FROM characters c JOIN participated p ON p.character_id = c.id JOIN story_events e ON e.id = p.event_id WHERE c.alias = 'supplier#000000007'")(lambda t: graph.chats_of(t("characters"), t("participated"), t("story_events"), "Supplier#000000007"))
 query("gr_global", f"WITH {_E} SELECT src AS id, st AS type FROM edges WHERE edge <> 'knows' UNION SELECT dst, dt FROM edges WHERE edge <> 'knows'")(lambda t: graph.touched(_edges(t)))
-query("gr_edge_dto", f"""WITH {_E} SELECT DISTINCT CASE edge WHEN 'feels_about' THEN 'fa' WHEN 'knows' THEN 'kn' WHEN 'participated_in' THEN 'pi' WHEN 'at' THEN 'at' WHEN 'owns' THEN 'own' WHEN 'arc_events' THEN 'ae' ELSE 'ch' END || '-' || src || '-' || dst AS edge_id,
-    CASE edge WHEN 'knows' THEN 0.3 WHEN 'participated_in' THEN 0.5 WHEN 'at' THEN 0.4 WHEN 'owns' THEN 0.5 WHEN 'arc_events' THEN 0.7 WHEN 'chain' THEN 0.7 ELSE 0.5 END::DOUBLE AS intensity FROM edges WHERE edge <> 'lies_at' AND NOT (edge IN ('participated_in', 'arc_events') AND st = 'event')""")(
+query("gr_edge_dto", f"""WITH {_E} SELECT DISTINCT CASE edge WHEN 'feels_about' THEN 'fa' WHEN 'knows' THEN 'kn' WHEN 'participated_in' THEN 'pi' WHEN 'at' THEN 'at' WHEN 'owns' THEN 'own' WHEN 'arc_events' THEN 'ae' WHEN 'plot' THEN 'pt' ELSE 'ch' END || '-' || src || '-' || dst AS edge_id,
+    CASE edge WHEN 'knows' THEN 0.3 WHEN 'participated_in' THEN 0.5 WHEN 'at' THEN 0.4 WHEN 'plot' THEN 0.4 WHEN 'owns' THEN 0.5 WHEN 'arc_events' THEN 0.7 WHEN 'chain' THEN 0.7 ELSE 0.5 END::DOUBLE AS intensity FROM edges WHERE edge <> 'lies_at' AND NOT (edge IN ('participated_in', 'arc_events') AND st = 'event')""")(
     lambda t: graph.edge_rows(_edges(t)).select("edge_id", "intensity")
 )
 _N2 = "both_ways AS (SELECT from_id AS a, to_id AS b FROM feels UNION SELECT to_id, from_id FROM feels)"
@@ -43,43 +44,31 @@ query("gr_neighborhood", f"WITH RECURSIVE {_N2}, n AS (SELECT 'chr-c7' AS id, 0
 )
 query("gr_degree", f"WITH {_E} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) x GROUP BY id")(lambda t: graph.degrees(_edges(t).select(F.col("src").alias("from_id"), F.col("dst").alias("to_id"))))
 
-# arcs: the first 200 events of each chat, as the SQL has it; all events further below
-_FEW = "few AS (SELECT s.*, v.embedding FROM story_events s JOIN event_vectors v ON v.id = s.id WHERE s.message_index < 200)"
-_PAIRS = f"""{_FEW}, ppl AS (SELECT event_id, list(DISTINCT character_id) AS p FROM participated GROUP BY event_id), span AS (SELECT chat_id, greatest(max(message_index) - min(message_index), 1) AS s FROM few GROUP BY chat_id),
+# arcs, over all events of each chat
+_EVERY = "every_event AS (SELECT s.*, v.embedding FROM story_events s JOIN event_vectors v ON v.id = s.id)"
+_PAIRS = f"""{_EVERY}, ppl AS (SELECT event_id, list(DISTINCT character_id) AS p FROM participated GROUP BY event_id), span AS (SELECT chat_id, greatest(max(message_index) - min(message_index), 1) AS s FROM every_event GROUP BY chat_id),
     link AS (SELECT DISTINCT least(from_id, to_id) AS lo, greatest(from_id, to_id) AS hi FROM chains),
     w AS (SELECT a.chat_id, a.id AS a, b.id AS b, round(0.5::DOUBLE * (CASE WHEN l.lo IS NULL THEN 0 ELSE 1 END) + 0.6::DOUBLE * greatest(0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))
       + 0.2::DOUBLE * greatest(0, CASE WHEN len(coalesce(p.p, [])) > 0 AND len(coalesce(q.p, [])) > 0 THEN len(list_intersect(p.p, q.p)) / len(list_distinct(list_concat(p.p, q.p)))::DOUBLE ELSE 0 END - 0.4)
       + 0.4::DOUBLE * (CASE WHEN a.location_id = b.location_id THEN 1 ELSE 0 END) - abs(a.message_index - b.message_index) / s.s::DOUBLE, 9) AS w
-      FROM few a JOIN few b ON b.chat_id = a.chat_id AND (a.message_index, a.id) < (b.message_index, b.id) JOIN span s ON s.chat_id = a.chat_id
+      FROM every_event a JOIN every_event b ON b.chat_id = a.chat_id AND (a.message_index, a.id) < (b.message_index, b.id) JOIN span s ON s.chat_id = a.chat_id
       LEFT JOIN ppl p ON p.event_id = a.id LEFT JOIN ppl q ON q.event_id = b.id LEFT JOIN link l ON l.lo = least(a.id, b.id) AND l.hi = greatest(a.id, b.id)),
     kept AS (SELECT * FROM w WHERE w >= 0.5)"""
-_few = lambda t: t("story_events").where("message_index < 200").join(t("event_vectors").select("id", "embedding"), "id")
-_weights = lambda t: arcs.pair_weights(_few(t).select("id", "chat_id", "message_index", "location_id", "embedding"), t("participated"), t("chains"))
-query("gr_event_graph", f"WITH {_PAIRS} SELECT chat_id, a, b, round(w, 6) AS w FROM kept")(lambda t: _weights(t).withColumn("w", F.round("w", 6)))
-query("jn_pairs", f"WITH {_PAIRS} SELECT chat_id, count(*) AS n, round(sum(w), 4) AS total FROM kept GROUP BY chat_id")(lambda t: _weights(t).groupBy("chat_id").agg(F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("total")))
-query("fn_edge_w", f"WITH {_PAIRS} SELECT chat_id, round(max(w), 6) AS most, round(min(w), 6) AS least FROM kept GROUP BY chat_id")(lambda t: _weights(t).groupBy("chat_id").agg(F.round(F.max("w"), 6).alias("most"), F.round(F.min("w"), 6).alias("least")))
-query("gr_dryrun", f"WITH {_PAIRS}, n AS (SELECT chat_id, count(*) AS n FROM few GROUP BY chat_id), e AS (SELECT chat_id, count(*) AS m FROM kept GROUP BY chat_id) SELECT n.chat_id, n.n AS events, coalesce(m, 0) AS edges, round(2 * coalesce(m, 0) / n::DOUBLE, 6) AS degree FROM n LEFT JOIN e ON e.chat_id = n.chat_id")(
-    lambda t: _few(t).groupBy("chat_id").agg(F.count("*").alias("events")).join(_weights(t).groupBy("chat_id").agg(F.count("*").alias("edges")), "chat_id", "left").na.fill(0).withColumn("degree", F.round(2 * F.col("edges") / F.col("events"), 6))
-)
-query("fn_density", f"""WITH {_PAIRS}, m AS (SELECT f.chat_id, f.id, a.arc_id AS c FROM few f JOIN arc_events a ON a.event_id = f.id), n AS (SELECT chat_id, count(*) AS n FROM m GROUP BY chat_id), e AS (SELECT chat_id, count(*) AS m FROM kept GROUP BY chat_id),
+_every = lambda t: t("story_events").join(t("event_vectors").select("id", "embedding"), "id")
+_weights = lambda t: arcs.pair_weights(_every(t).select("id", "chat_id", "message_index", "location_id", "embedding"), t("participated"), t("chains"))
+query("gr_event_graph", f"WITH {_PAIRS} SELECT chat_id, a, b, round(w, 6) AS w FROM kept", slow=True)(lambda t: _weights(t).withColumn("w", F.round("w", 6)))
+query("jn_pairs", f"WITH {_PAIRS} SELECT chat_id, count(*) AS n, round(sum(w), 4) AS total FROM kept GROUP BY chat_id", slow=True)(lambda t: _weights(t).groupBy("chat_id").agg(F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("total")))
+query("fn_edge_w", f"WITH {_PAIRS} SELECT chat_id, round(max(w), 6) AS most, round(min(w), 6) AS least FROM kept GROUP BY chat_id", slow=True)(lambda t: _weights(t).groupBy("chat_id").agg(F.round(F.max("w"), 6).alias("most"), F.round(F.min("w"), 6).alias("least")))
+query("gr_dryrun", f"WITH {_PAIRS}, n AS (SELECT chat_id, count(*) AS n FROM every_event GROUP BY chat_id), e AS (SELECT chat_id, count(*) AS m FROM kept GROUP BY chat_id) SELECT n.chat_id, n.n AS events, coalesce(m, 0) AS edges, round(2 * coalesce(m, 0) / n::DOUBLE, 6) AS degree FROM n LEFT JOIN e ON e.chat_id = n.chat_id", slow=True)(
+    lambda t: _every(t).groupBy("chat_id").agg(F.count("*").alias("events")).join(_weights(t).groupBy("chat_id").agg(F.count("*").alias("edges")), "chat_id", "left").na.fill(0).withColumn("degree", F.round(2 * F.col("edges") / F.col("events"), 6))
+)
+query("fn_density", f"""WITH {_PAIRS}, m AS (SELECT f.chat_id, f.id, a.arc_id AS c FROM every_event f JOIN arc_events a ON a.event_id = f.id), n AS (SELECT chat_id, count(*) AS n FROM m GROUP BY chat_id), e AS (SELECT chat_id, count(*) AS m FROM kept GROUP BY chat_id),
     k AS (SELECT chat_id, c, count(*) AS k FROM m GROUP BY chat_id, c), i AS (SELECT x.c, count(*) AS i FROM kept t JOIN m x ON x.id = t.a JOIN m y ON y.id = t.b AND y.c = x.c GROUP BY x.c)
     SELECT k.c AS community, CASE WHEN coalesce(e.m, 0) * (k * (k - 1) / 2.0) / greatest(1, n * (n - 1) / 2.0) > 0 THEN round(coalesce(i, 0) / (e.m * (k * (k - 1) / 2.0) / greatest(1, n * (n - 1) / 2.0)), 6) ELSE 0 END AS density
-    FROM k JOIN n ON n.chat_id = k.chat_id LEFT JOIN e ON e.chat_id = k.chat_id LEFT JOIN i ON i.c = k.c""")(
-    lambda t: arcs.density(_few(t).select("chat_id", "id").join(t("arc_events").select(F.col("event_id").alias("id"), F.col("arc_id").alias("community")), "id"), _weights(t)).select("community", F.round("density", 6).alias("density"))
+    FROM k JOIN n ON n.chat_id = k.chat_id LEFT JOIN e ON e.chat_id = k.chat_id LEFT JOIN i ON i.c = k.c""", slow=True)(
+    lambda t: arcs.density(_every(t).select("chat_id", "id").join(t("arc_events").select(F.col("event_id").alias("id"), F.col("arc_id").alias("community")), "id"), durable(_weights(t))).select("community", F.round("density", 6).alias("density"))
 )
-# all events of each chat, which a nested loop in SQL takes too long for; the queries above are the same code where it can be checked
-_every = lambda t: t("story_events").join(t("event_vectors").select("id", "embedding"), "id")
-_every_weight = lambda t: arcs.pair_weights(_every(t).select("id", "chat_id", "message_index", "location_id", "embedding"), t("participated"), t("chains"))
-query("gr_event_graph_all")(lambda t: _every_weight(t).withColumn("w", F.round("w", 6)))
-query("jn_pairs_all")(lambda t: _every_weight(t).groupBy("chat_id").agg(F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("total")))
-query("fn_edge_w_all")(lambda t: _every_weight(t).groupBy("chat_id").agg(F.round(F.max("w"), 6).alias("most"), F.round(F.min("w"), 6).alias("least")))
-query("gr_dryrun_all")(
-    lambda t: _every(t).groupBy("chat_id").agg(F.count("*").alias("events")).join(_every_weight(t).groupBy("chat_id").agg(F.count("*").alias("edges")), "chat_id", "left").na.fill(0).withColumn("degree", F.round(2 * F.col("edges") / F.col("events"), 6))
-)
-query("fn_density_all")(
-    lambda t: arcs.density(_every(t).select("chat_id", "id").join(t("arc_events").select(F.col("event_id").alias("id"), F.col("arc_id").alias("community")), "id"), durable(_every_weight(t))).select("community", F.round("density", 6).alias("density"))
-)
-query("gr_louvain")(lambda t: arcs.communities(_every(t), _every_weight(t)))
+query("gr_louvain")(lambda t: arcs.communities(_every(t), _weights(t)))
 query("gr_hier")(lambda t: arcs.rebuild(durable(_every(t)), t("participated"), t("chains"), durable)[0].select("id", "chat_id", "hierarchy_level", "spine", "size", "parent_arc_id"))
 query("gr_rebuild")(lambda t: arcs.rebuild(durable(_every(t)), t("participated"), t("chains"), durable)[1])
 query("gr_spine", "SELECT arc_id, id FROM (SELECT a.arc_id, e.id, row_number() OVER (PARTITION BY a.arc_id ORDER BY e.significance DESC, e.message_index, e.id) AS r FROM arc_events a JOIN story_events e ON e.id = a.event_id) x WHERE r = 1")(
@@ -120,14 +109,19 @@ query("up_ws_cleanup", f"""SELECT id, CASE WHEN valid_until IS NOT NULL THEN val
 )
 _old = lambda t: t("items").where("significance <> 2")
 _new = lambda t: t("items").where("significance <= 3").withColumn("name", F.when(F.col("significance") == 1, F.lit("")).otherwise(F.upper("name")))
-query("up_item", "SELECT id, CASE significance WHEN 1 THEN name WHEN 2 THEN upper(name) WHEN 3 THEN upper(name) ELSE name END AS name, owner_id FROM items")(
-    lambda t: state.merge(_old(t), _new(t), ["id"], {"name": state.keep_filled, "significance": state.greatest}).select("id", "name", "owner_id")
+query("up_item", "SELECT id, CASE significance WHEN 2 THEN upper(name) ELSE name END AS name, owner_id, CASE WHEN significance = 1 THEN 4 ELSE significance END AS significance FROM items")(
+    lambda t: state.merge(_old(t), _new(t).withColumn("significance", F.when(F.col("significance") == 1, 4).otherwise(F.col("significance"))), ["id"], state.ITEM_RULES).select("id", "name", "owner_id", "significance")
 )
 query("up_character", "SELECT id, name, CASE WHEN significance > 2 THEN 5 ELSE significance END AS significance FROM characters")(
     lambda t: state.merge(t("characters"), t("characters").where("significance > 2").withColumn("significance", F.lit(5)).withColumn("name", F.lit("")), ["id"], {"significance": state.greatest, "name": state.keep_filled}).select("id", "name", "significance")
 )
 query("up_persona", "SELECT concat('persona-', regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g')) AS id, name FROM characters WHERE id = 'chr-c7'")(lambda t: t("characters").where("id = 'chr-c7'").select(F.concat(F.lit("persona-"), F.regexp_replace(X.slug("name"), "^chr-", "")).alias("id"), "name"))
-query("up_char_attr", "SELECT id, greatest(significance, 3) AS significance FROM characters")(lambda t: state.merge(t("characters"), t("characters").withColumn("significance", F.lit(3)), ["id"], {"significance": state.greatest}).select("id", "significance"))
+query("up_char_attr", "SELECT id, greatest(significance, 3) AS significance, CASE WHEN significance > 2 THEN 'guard' ELSE 'smith' END AS role, CASE WHEN significance > 2 THEN 'hurt' ELSE 'well' END AS status FROM characters")(
+    lambda t: state.merge(
+        t("characters").withColumns({"role": F.lit("smith"), "status": F.lit("well")}),
+        t("characters").withColumns({"role": F.when(F.col("significance") > 2, "guard").otherwise(""), "status": F.when(F.col("significance") > 2, "hurt"), "significance": F.lit(3)}), ["id"], state.CHARACTER_RULES,
+    ).select("id", "significance", "role", "status")
+)
 query("up_location", "SELECT id, name, CASE WHEN name LIKE '%1' THEN parent ELSE 'new' END AS parent FROM locations")(
     lambda t: state.merge(t("locations"), t("locations").withColumn("parent", F.when(F.col("name").like("%1"), F.lit("")).otherwise("new")), ["id"], {"parent": state.keep_filled})
 )
@@ -140,9 +134,12 @@ query("up_loc_adj", "SELECT DISTINCT e.chat_id, least(e.location_id, f.location_
 query("up_relation", "SELECT from_id, to_id, session_id, CASE WHEN intensity > 0.5 THEN 1.0 ELSE intensity END::DOUBLE AS intensity FROM feels")(
     lambda t: state.merge(t("feels"), t("feels").where("intensity > 0.5").withColumn("intensity", F.lit(1.0)), ["from_id", "to_id", "session_id"]).select("from_id", "to_id", "session_id", "intensity")
 )
-query("up_event", "SELECT id, source_text, coalesce(world_time, 'later') AS world_time FROM story_events")(
-    lambda t: state.merge(t("story_events").select("id", "source_text", "world_time"), t("story_events").select("id", F.lit("x").alias("source_text"), F.lit("later").alias("world_time")), ["id"], state.EVENT_RULES)
-)
+query("up_event", "SELECT id, CASE WHEN significance > 3 THEN 'x' ELSE source_text END AS source_text, CASE WHEN significance > 2 THEN 'later' ELSE world_time END AS world_time, location_id FROM story_events")(
+    lambda t: state.merge(
+        t("story_events").select("id", "source_text", "world_time", "location_id"),
+        t("story_events").select("id", F.when(F.col("significance") > 3, "x").otherwise("").alias("source_text"), F.when(F.col("significance") > 2, " later").otherwise(" ").alias("world_time"), F.lit("loc-0").alias("location_id")), ["id"], state.EVENT_RULES,
+    )
+)
 query("up_snapshot", "SELECT id, CASE WHEN message_index > 1000 THEN 'over' ELSE tone END AS tone FROM snapshots")(lambda t: state.merge(t("snapshots").select("id", "tone"), t("snapshots").where("message_index > 1000").select("id", F.lit("over").alias("tone")), ["id"]))
 query("up_presence", "SELECT character_id, location_id, is_current AND character_id NOT LIKE '%7' AS is_current FROM present_at WHERE chat_id = 'BUILDING' UNION ALL SELECT DISTINCT character_id, 'loc-0', true FROM present_at WHERE chat_id = 'BUILDING' AND character_id LIKE '%7'")(
     lambda t: state.presence(

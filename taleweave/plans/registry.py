@@ -10,9 +10,11 @@ from ..sources.fixtures import Tables, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: SQL that pairs all rows of a chat: the tests run it over the smallest tables, larger ones take it too long.
+SLOW_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, slow: bool = False):
     """Register f(tables) under a name."""
 
     def add(f: Callable[[Tables], DataFrame]):
@@ -20,7 +22,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} twice")
         QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
         if sql:
-            ORACLES[name] = oracle(sql)
+            (SLOW_SQL if slow else ORACLES)[name] = oracle(sql)
         return f
 
     return add

@@ -29,10 +29,12 @@ def session(name: str = "taleweave", master: str | None = None, **settings) -> S
 def durable(df: DataFrame) -> DataFrame:
     """A copy in the shared checkpoint folder: lineage is cut, and a lost executor costs no recomputation.
 
-    The cluster names the folder in spark.checkpoint.dir; one of our own serves tests only.
+    The cluster names the folder in spark.checkpoint.dir; one of our own serves local mode only.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.conf.get("spark.checkpoint.dir", None) and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="taleweave-"))
     return df.checkpoint(eager=True)

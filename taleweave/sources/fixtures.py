@@ -61,6 +61,7 @@ ADAPTERS = {
         FROM documents d CROSS JOIN vec_count c JOIN embeddings e ON e.vec_id = d.doc_id % c.n_vec""",
     "plot_threads": """SELECT concat('plot-', orderkey) AS id, e.chat_id, e.summary AS title, e.significance AS importance, o.o_orderstatus AS status,
         CASE WHEN o.o_orderstatus = 'F' THEN e.message_index END AS resolved_at, e.message_index AS planted_at FROM story_events e JOIN orders o ON o.o_orderkey = e.orderkey""",
+    "plot_characters": "SELECT concat('plot-', orderkey) AS plot_id, concat('chr-c', custkey) AS character_id FROM story_events",
     "quotes": """SELECT concat('q-', conv_id, '-', turn) AS id, concat('conv-', conv_id) AS chat_id, CAST(turn AS INT) AS message_index, role AS speaker, substr(text, 1, 400) AS quote FROM conversations""",
     "state_stream": """SELECT event_id, concat('u', user_id) AS chat_id, event_type AS key, CAST(value AS STRING) AS value, ts AS valid_from,
         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS source_message_index FROM events""",

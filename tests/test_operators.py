@@ -173,7 +173,7 @@ def test_arcs_of_all_events(spark, monkeypatch):
     for i in range(300):
         v = r.normal(size=4) * 0.1 + np.eye(4)[i // 100]
         events.append((f"e{i:03}", "c", i, f"loc-{i // 100}", i % 5, f"event {i}", [float(x) for x in v]))
-    frame = spark.createDataFrame(events, "id string, chat_id string, message_index int, location_id string, significance int, source_text string, embedding array<float>")
+    frame = spark.createDataFrame(events, "id string, chat_id string, message_index int, location_id string, significance int, summary string, embedding array<float>").withColumn("source_text", F.lit("x"))
     tables = {
         "story_events": frame.drop("embedding"),
         "event_vectors": frame.select("id", "embedding"),
@@ -190,7 +190,7 @@ def test_arcs_of_all_events(spark, monkeypatch):
                 want[events[i][0], events[j][0]] = w
     monkeypatch.setattr(registry, "Tables", lambda *_: tables.__getitem__)
     ask = lambda name: catalog.QUERIES[name](spark, "")
-    got = {(x["a"], x["b"]): x["w"] for x in ask("gr_event_graph_all").collect()}
+    got = {(x["a"], x["b"]): x["w"] for x in ask("gr_event_graph").collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
     assert any(a > "e200" for a, _ in got)
     assert max(x["id"] for x in ask("gr_louvain").collect()) == "e299"

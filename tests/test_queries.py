@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from taleweave.plans import catalog
+from taleweave.plans import catalog, registry
 from taleweave.sources.fixtures import RAW
 
 SF = "/root/testdata/sf0.001"
@@ -38,7 +38,13 @@ def test_same_rows(name, spark, duck):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
+@pytest.mark.parametrize("name", sorted(registry.SLOW_SQL))
+def test_same_rows_of_slow_sql(name, spark, duck, monkeypatch):
+    monkeypatch.setitem(catalog.ORACLES, name, registry.SLOW_SQL[name])
+    test_same_rows(name, spark, duck)
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - set(registry.SLOW_SQL)))
 def test_runs(name, spark):
     assert catalog.QUERIES[name](spark, SF).count() >= 0
 
