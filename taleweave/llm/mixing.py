@@ -12,8 +12,9 @@ The rank is a running sum.  It isn't computed in one task for a source: each sou
 about sqrt(n) buckets, whose sums are summed first, so that a hot source is spread over the cluster.
 
 Defined results: a null text has size 0; a null source is a source of its own and comes last; rows with
-equal ids have equal random numbers and are ranked by size (and, alike in size too, close a source together); an empty table gives an empty result; other
-columns are ignored.
+equal ids have equal random numbers and are ranked by size (and, alike in size too, close a source together);
+a text of any length is counted whole; an empty table gives an empty result; other columns are ignored by `mix`,
+whatever their names, and kept by `expand`.
 """
 
 from __future__ import annotations

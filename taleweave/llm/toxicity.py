@@ -12,7 +12,8 @@ counts for a third, as someone else's words; a quotation may have any length wit
 its score.
 
 Defined results: null and empty texts have no hits and get the score of such; without both classes to learn
-from, every score is 0; repeated rows are scored alike; other columns are ignored.
+from, every score is 0; a text of any length is scored whole; repeated rows, of one id or not, are scored alike;
+an empty table gives an empty result; `score` ignores other columns, whatever their names, `keep_clean` keeps them.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ target to the page that links to it.  A host whose distrust exceeds its trust by
 in shares of pages, is blocked.
 
 Defined results: a url that is null or has no `://` has an empty host and path, fits no rule and belongs
-to no host, so it is allowed; a null html has no links; repeated rows count as often as they stand there.
+to no host, so it is allowed; a null html has no links; urls and pages of any length are read whole; repeated
+rows count as often as they stand there; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ HREF = r"""(?i)href\s*=\s*["']?([^"'\s>]+)"""
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.5
 #: No host's trust or distrust changes by more in the last round.  `ROUNDS` is what the SQL stops after.
-TOLERANCE, EVERY = 1e-6, 6
+TOLERANCE, EVERY = 1e-9, 6
 
 
 def host_of(url: Column) -> Column:
@@ -94,7 +96,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, rounds: i
     shares = placed.where("host <> ''").groupBy("host").agg((F.count_if(F.col("ruled") == "allow") / n).alias("allowed"), (F.count_if(F.col("ruled") == "block") / n).alias("blocked"))
     scores = durable(propagate(shares, host_links(pages), rounds, damping))
     net = F.coalesce(F.round((F.col("distrust") - F.col("trust")) / (1 - damping), 9), F.lit(0.0))
-    judged = join_small(placed, scores, ["host"])
+    judged = join_small(placed, scores, ["host"], salt=F.xxhash64("page_id", "path"))
     method = F.when(net > threshold, F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "trust", "distrust")
 
