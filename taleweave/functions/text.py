@@ -166,6 +166,7 @@ def _rule(text: Column, words: str) -> Column:
 def lore_domain(comment, keys: Column, content) -> Column:
     """Ordered rules; the first that fits decides."""
     t = F.lower(F.concat_ws(" ", _text(comment), F.array_join(keys, " "), _text(content)))
+    # fixed values, as are _PERSON and _PLACE below
     rules = (
         ("lore", "race|species|class|ability|magic|spell|skill"),
         ("secret", "secret|hidden|unknown|forbidden|only .* knows"),
@@ -248,6 +249,11 @@ def file_date(c) -> Column:
     return F.regexp_extract(_text(c), r"(\d{4}[-/]\d{1,2}[-/]\d{1,2})", 1)
 
 
+def redacted(c) -> Column:
+    """What may be shown of a secret: that it is set, and its first four characters; null if it isn't."""
+    return F.when(_text(c) != "", F.concat(F.lit("set:"), F.substring(_col(c), 1, 4), F.lit("…")))
+
+
 def loose_json(c) -> Column:
     """Byte-order mark, line comments and trailing commas removed."""
     c = F.regexp_replace(F.regexp_replace(_text(c), r",(\s*[}\]])", "$1"), "^\ufeff", "")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import random
 from ..functions import relevance as R
 from ..functions import text as X
 from ..functions import vector as V
+from ..operators import state
+from ..sources import chat
 from .registry import query
 
 # Checking SQL for a few shared pieces.
@@ -145,10 +148,10 @@ query(
 _one("src_item_date", "documents", "doc_id", lambda t: X.file_date(F.concat(F.lit("chat - 2023/"), F.col("doc_id") % 12 + 1, F.lit("/7.jsonl"))), "concat('2023/', doc_id % 12 + 1, '/7')")
 _one("src_active_swipe", "conversations", "conv_id * 100 + turn", lambda t: F.coalesce(F.nullif(F.get(F.array("role", F.lit(""), "text"), F.col("turn").cast("int")), F.lit("")), "text"), "coalesce(nullif(CASE turn WHEN 0 THEN role WHEN 1 THEN '' WHEN 2 THEN text END, ''), text)")
 query("src_batch", "SELECT chat_id, CAST(floor(message_index / 3) * 3 AS INT) AS batch, count(*) AS n, string_agg(name, ',' ORDER BY message_index) AS names FROM messages GROUP BY ALL")(
-    lambda t: __import__("taleweave.sources.chat", fromlist=["batches"]).batches(t("messages"), 3).select("chat_id", "batch", F.size("messages").cast("long").alias("n"), F.array_join(F.transform("messages", lambda m: m["name"]), ",").alias("names"))
+    lambda t: chat.batches(t("messages"), 3).select("chat_id", "batch", F.size("messages").cast("long").alias("n"), F.array_join(F.transform("messages", lambda m: m["name"]), ",").alias("names"))
 )
 query("src_corpus", "SELECT chat_id, md5(string_agg('[' || name || ']: ' || mes, chr(10) || chr(10) ORDER BY message_index)) AS v FROM messages WHERE NOT is_system GROUP BY chat_id")(
-    lambda t: __import__("taleweave.sources.chat", fromlist=["corpus"]).corpus(t("messages")).select("chat_id", F.md5("corpus").alias("v"))
+    lambda t: chat.corpus(t("messages")).select("chat_id", F.md5("corpus").alias("v"))
 )
 _one(
     "src_llm_json", "events", "event_id", lambda t: F.get_json_object(F.get(X.json_candidates(F.concat(F.lit("Sure:\n```json\n"), F.regexp_replace("props", r"\}$", ",}"), F.lit("\n```"))), F.lit(1)), "$.k"),
@@ -243,10 +246,11 @@ _one(
     "fn_stem_content", "traits", "id", lambda t: F.array_join(F.array_sort(F.array_distinct(F.transform(X.meaningful_words("content"), lambda w: X.approx_stem(w)))), " "),
     f"array_to_string(list_sort(list_distinct(list_transform({MEANINGFUL.format('content')}, lambda w: {STEM.format('w')}))), ' ')",
 )
+_one("fn_redact", "customer", "c_custkey", lambda t: X.redacted(F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name"))), "CASE WHEN c_custkey % 3 <> 0 THEN 'set:' || substr(c_name, 1, 4) || '…' END")
 query("src_embed")(lambda t: t("benchmark").select("item_id", V.embed_text("text").alias("embedding")))
-query("fn_prng")(lambda t: t.spark.createDataFrame((lambda draw: [(i, draw()) for i in range(10)])(__import__("taleweave.functions.random", fromlist=["Mulberry32"]).Mulberry32(42)), "k int, v double"))
-query("src_sample_chunks")(lambda t: t.spark.createDataFrame(__import__("taleweave.sources.chat", fromlist=["sample_chunks"]).sample_chunks(t("documents").orderBy(F.length("text").desc(), "doc_id").select("text").first()[0], 5), "start int, piece string"))
+query("fn_prng")(lambda t: t.spark.createDataFrame((lambda draw: [(i, draw()) for i in range(10)])(random.Mulberry32(42)), "k int, v double"))
+query("src_sample_chunks")(lambda t: t.spark.createDataFrame(chat.sample_chunks(t("documents").orderBy(F.length("text").desc(), "doc_id").select("text").first()[0], 5), "start int, piece string"))
 query("rd_config", "SELECT c_name AS name, coalesce(m, 'persistent') AS mode FROM (SELECT c_name, CASE WHEN c_custkey % 10 = 0 THEN 'readonly' END AS m FROM customer) x")(
     lambda t: t("customer").select(F.col("c_name").alias("name"), F.coalesce(F.when(F.col("c_custkey") % 10 == 0, "readonly"), F.lit("persistent")).alias("mode"))
 )
-query("up_arc_link", "SELECT arc_id, event_id FROM arc_events")(lambda t: __import__("taleweave.operators.state", fromlist=["insert_new"]).insert_new(t("arc_events").where("position < 3"), t("arc_events"), ["arc_id", "event_id"]).select("arc_id", "event_id"))
+query("up_arc_link", "SELECT arc_id, event_id FROM arc_events")(lambda t: state.insert_new(t("arc_events").where("position < 3"), t("arc_events"), ["arc_id", "event_id"]).select("arc_id", "event_id"))

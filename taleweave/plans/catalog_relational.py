@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import vector as V
+from ..operators import arcs, evaluation, graph, search, traits
+from . import catalog_functions as functions
 from .registry import query
 
 W = Window
@@ -25,7 +28,7 @@ query("flt_min_msg", "SELECT chat_id, message_index FROM messages WHERE NOT is_s
     lambda t: t("messages").where(~F.col("is_system") & (F.length(F.concat("name", F.lit(": "), "mes")) >= 80)).select("chat_id", "message_index")
 )
 query("flt_attrib_guard", "SELECT id FROM traits WHERE NOT (category <> 'en' AND regexp_matches(content, '(?i)\\bde\\b') AND NOT regexp_matches(content, '(?i)\\ble\\b'))")(
-    lambda t: __import__("taleweave.operators.traits", fromlist=["attributed"]).attributed(t("traits").withColumns({"siblings": F.array(F.lit("de"), F.lit("d")), "own": F.array(F.lit("le"))}), F.col("category") != "en", "content").select("id")
+    lambda t: traits.attributed(t("traits").withColumns({"siblings": F.array(F.lit("de"), F.lit("d")), "own": F.array(F.lit("le"))}), F.col("category") != "en", "content").select("id")
 )
 query("flt_valid_edges", "SELECT from_id, to_id FROM feels WHERE from_id IN (SELECT id FROM characters WHERE significance > 2) AND to_id IN (SELECT id FROM characters WHERE significance > 2)")(
     lambda t: t("feels").join(t("characters").where("significance > 2").select(F.col("id").alias("from_id")), "from_id", "left_semi").join(t("characters").where("significance > 2").select(F.col("id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id")
@@ -68,7 +71,7 @@ query(
     "jn_knn",
     """SELECT a_id, b_id, rank FROM (SELECT a.id AS a_id, b.id AS b_id, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, b.id) AS rank
     FROM traits a JOIN traits b ON b.character_id = a.character_id AND b.category = a.category AND b.id <> a.id WHERE a.id % 50 = 0) x WHERE rank <= 3""",
-)(lambda t: __import__("taleweave.operators.traits", fromlist=["nearest"]).nearest(t("traits").where("id % 50 = 0"), t("traits"), 3).select("a_id", "b_id", "rank"))
+)(lambda t: traits.nearest(t("traits").where("id % 50 = 0"), t("traits"), 3).select("a_id", "b_id", "rank"))
 query("jn_update_from", "SELECT e.id, coalesce(n.v, e.significance) AS significance FROM story_events e LEFT JOIN (SELECT event_id AS id, position % 5 AS v FROM arc_events WHERE position < 10) n ON n.id = e.id")(
     lambda t: t("story_events").select("id", "significance").join(t("arc_events").where("position < 10").select(F.col("event_id").alias("id"), (F.col("position") % 5).alias("v")), "id", "left").select("id", F.coalesce("v", "significance").alias("significance"))
 )
@@ -83,7 +86,7 @@ query("jn_label_map", "SELECT d.doc_id, coalesce(l.quality, 0) AS quality FROM d
 
 # aggregates
 query("ag_max_idx", "SELECT greatest(coalesce((SELECT max(message_index) FROM memory WHERE chat_id = 'src:src1'), 0), coalesce((SELECT max(message_index) FROM story_events WHERE chat_id = 'BUILDING'), 0)) AS top")(
-    lambda t: __import__("taleweave.operators.search", fromlist=["top_index"]).top_index([t("memory").where("chat_id = 'src:src1'"), t("story_events").where("chat_id = 'BUILDING'")])
+    lambda t: search.top_index([t("memory").where("chat_id = 'src:src1'"), t("story_events").where("chat_id = 'BUILDING'")])
 )
 query("ag_array_filter", "SELECT chat_id, string_agg(world_time, ',' ORDER BY world_time) AS v FROM story_events WHERE world_time IS NOT NULL GROUP BY chat_id")(
     lambda t: t("story_events").groupBy("chat_id").agg(F.array_join(F.array_sort(F.collect_list("world_time")), ",").alias("v"))
@@ -99,7 +102,7 @@ query("ag_scalar_subq", "SELECT c.id, (SELECT count(*) FROM participated p WHERE
 )
 query("ag_group_having", "SELECT lower(p_name) AS name, count(*) AS n FROM part GROUP BY lower(p_name) HAVING count(*) >= 2")(lambda t: t("part").groupBy(F.lower("p_name").alias("name")).agg(F.count(one).alias("n")).where("n >= 2"))
 query("ag_top1_group", "SELECT arc_id, name FROM (SELECT a.arc_id, c.name, row_number() OVER (PARTITION BY a.arc_id ORDER BY count(*) DESC, c.name) AS r FROM arc_events a JOIN participated p ON p.event_id = a.event_id JOIN characters c ON c.id = p.character_id GROUP BY a.arc_id, c.name) x WHERE r = 1")(
-    lambda t: __import__("taleweave.operators.arcs", fromlist=["protagonists"]).protagonists(t("arc_events"), t("participated"), t("characters")).select("arc_id", "name")
+    lambda t: arcs.protagonists(t("arc_events"), t("participated"), t("characters")).select("arc_id", "name")
 )
 query("ag_recency_max", "SELECT character_id, max(i) AS last FROM (SELECT p.character_id, e.message_index AS i FROM participated p JOIN story_events e ON e.id = p.event_id UNION ALL SELECT character_id, message_index FROM snapshot_chars) x GROUP BY character_id")(
     lambda t: t("participated").join(t("story_events").select(F.col("id").alias("event_id"), "message_index"), "event_id").select("character_id", "message_index").unionByName(t("snapshot_chars").select("character_id", "message_index")).groupBy("character_id").agg(F.max("message_index").alias("last"))
@@ -112,31 +115,31 @@ query("ag_mode", "SELECT user_id, event_type FROM (SELECT user_id, event_type, r
 )
 query("ag_count", "SELECT chat_id, count(*) AS n FROM story_events GROUP BY chat_id")(lambda t: t("story_events").groupBy("chat_id").agg(F.count(one).alias("n")))
 query("ag_avg_vec", "WITH p AS (SELECT character_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM traits WHERE category = 'en') SELECT character_id, round(sum(v * v), 6) AS size FROM (SELECT character_id, i, avg(CAST(x AS DOUBLE)) AS v FROM p GROUP BY character_id, i) y GROUP BY character_id")(
-    lambda t: __import__("taleweave.functions.vector", fromlist=["mean_vectors"]).mean_vectors(t("traits").where("category = 'en'"), "character_id").select("character_id", F.round(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x), 6).alias("size"))
+    lambda t: V.mean_vectors(t("traits").where("category = 'en'"), "character_id").select("character_id", F.round(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x), 6).alias("size"))
 )
 query("ag_degree", "SELECT id, count(*) AS degree FROM (SELECT from_id AS id FROM feels UNION ALL SELECT to_id FROM feels) x GROUP BY id")(
-    lambda t: __import__("taleweave.operators.graph", fromlist=["degrees"]).degrees(t("feels").select("from_id", "to_id"))
+    lambda t: graph.degrees(t("feels").select("from_id", "to_id"))
 )
 _SPINE = "row_number() OVER (PARTITION BY a.arc_id ORDER BY e.significance DESC, e.message_index, e.id)"
 query("ag_community", f"SELECT arc_id, max(CASE WHEN r = 1 THEN id END) AS spine, count(*) AS n, min(message_index) AS first, max(message_index) AS last FROM (SELECT a.arc_id, e.id, e.message_index, {_SPINE} AS r FROM arc_events a JOIN story_events e ON e.id = a.event_id) x GROUP BY arc_id")(
-    lambda t: __import__("taleweave.operators.arcs", fromlist=["describe"]).describe(t("arc_events").select(F.col("arc_id").alias("community"), F.col("event_id").alias("id")).join(t("story_events"), "id")).select(F.col("community").alias("arc_id"), "spine", F.col("size").alias("n"), "first", "last")
+    lambda t: arcs.describe(t("arc_events").select(F.col("arc_id").alias("community"), F.col("event_id").alias("id")).join(t("story_events"), "id")).select(F.col("community").alias("arc_id"), "spine", F.col("size").alias("n"), "first", "last")
 )
 query("ag_modularity", """WITH e AS (SELECT from_id AS a, to_id AS b, intensity AS w FROM feels WHERE intensity > 0), c AS (SELECT id, significance AS c FROM characters),
     tot AS (SELECT c, sum(w) AS t FROM (SELECT c.c, e.w FROM e JOIN c ON c.id = e.a UNION ALL SELECT c.c, e.w FROM e JOIN c ON c.id = e.b) x GROUP BY c),
     ins AS (SELECT x.c, sum(e.w) AS i FROM e JOIN c x ON x.id = e.a JOIN c y ON y.id = e.b AND y.c = x.c GROUP BY x.c), m AS (SELECT sum(w) AS m FROM e)
     SELECT round(sum(coalesce(i, 0) / m - 0.5 * (t / (2 * m)) * (t / (2 * m))), 6) AS q FROM tot LEFT JOIN ins ON ins.c = tot.c CROSS JOIN m""")(
-    lambda t: __import__("taleweave.operators.arcs", fromlist=["modularity"]).modularity(t("feels").where("intensity > 0").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.col("intensity").alias("w")), t("characters").select("id", F.col("significance").alias("community")), 0.5)
+    lambda t: arcs.modularity(t("feels").where("intensity > 0").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.col("intensity").alias("w")), t("characters").select("id", F.col("significance").alias("community")), 0.5)
 )
 query("ag_eval", "SELECT model, cond, round(avg(score), 6) AS mean, round((count(*) FILTER (score = 2) + 0.5 * count(*) FILTER (score = 1)) / count(*), 6) AS accuracy, count(*) FILTER (score = 2) AS full_marks, count(*) FILTER (score = 1) AS part, count(*) FILTER (score = 0) AS wrong FROM answers GROUP BY model, cond")(
-    lambda t: __import__("taleweave.operators.evaluation", fromlist=["report"]).report(t("answers"))
+    lambda t: evaluation.report(t("answers"))
 )
 query("ag_winrate", "SELECT a.model, a.cond, count(*) FILTER (a.score > coalesce(b.score, 0)) AS wins, count(*) FILTER (a.score = coalesce(b.score, 0)) AS ties, count(*) FILTER (a.score < coalesce(b.score, 0)) AS losses FROM answers a LEFT JOIN answers b ON b.question_id = a.question_id AND b.model = a.model AND b.cond = 'raw-16k-only' WHERE a.cond <> 'raw-16k-only' GROUP BY a.model, a.cond")(
-    lambda t: __import__("taleweave.operators.evaluation", fromlist=["win_rates"]).win_rates(t("answers"), "raw-16k-only")
+    lambda t: evaluation.win_rates(t("answers"), "raw-16k-only")
 )
 query("ag_blocksize", "SELECT cond, round(avg(memory_block_chars), 6) AS mean_chars, count(error) AS errors FROM answers GROUP BY cond")(lambda t: t("answers").groupBy("cond").agg(F.round(F.avg("memory_block_chars"), 6).alias("mean_chars"), F.count("error").alias("errors")))
 query("ag_overlap", """SELECT child, parent, n FROM (SELECT c.arc_id AS child, s.id AS parent, count(*) AS n, row_number() OVER (PARTITION BY c.arc_id ORDER BY count(*) DESC, s.id) AS r
     FROM arc_events c JOIN story_events e ON e.id = c.event_id JOIN story_arcs s ON s.hierarchy_level = 0 AND s.chat_id = e.chat_id AND e.message_index BETWEEN s.start_idx AND s.end_idx GROUP BY c.arc_id, s.id) x WHERE r = 1""")(
-    lambda t: __import__("taleweave.operators.arcs", fromlist=["parents"]).parents(
+    lambda t: arcs.parents(
         t("arc_events").select(F.col("arc_id").alias("child"), "event_id"),
         t("story_events").alias("e").join(t("story_arcs").where("hierarchy_level = 0").alias("s"), (F.col("s.chat_id") == F.col("e.chat_id")) & F.col("e.message_index").between(F.col("s.start_idx"), F.col("s.end_idx"))).select(F.col("s.id").alias("parent"), F.col("e.id").alias("event_id")),
     )
@@ -155,7 +158,7 @@ query("wn_distinct_on_rel", "SELECT DISTINCT ON (to_id) to_id, session_id, inten
 )
 query("wn_rank_source", "SELECT id, CAST(row_number() OVER (PARTITION BY chat_id ORDER BY significance DESC, id) - 1 AS INT) AS rank FROM story_events")(lambda t: t("story_events").select("id", (F.row_number().over(W.partitionBy("chat_id").orderBy(F.desc("significance"), "id")) - 1).alias("rank")))
 query("wn_cap_kind", "SELECT id FROM (SELECT id, score, row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) AS r FROM (SELECT id, o_orderstatus AS kind, significance AS score FROM story_events e JOIN orders o ON o.o_orderkey = e.orderkey) x) y WHERE r <= 8 ORDER BY score DESC, id LIMIT 20")(
-    lambda t: __import__("taleweave.operators.search", fromlist=["cap_kinds"]).cap_kinds(t("story_events").join(t("orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_orderstatus").alias("kind")), "orderkey").select("id", "kind", F.col("significance").alias("score")), {"O": 8, "F": 8, "P": 8}, 20, ["id"]).select("id")
+    lambda t: search.cap_kinds(t("story_events").join(t("orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_orderstatus").alias("kind")), "orderkey").select("id", "kind", F.col("significance").alias("score")), {"O": 8, "F": 8, "P": 8}, 20, ["id"]).select("id")
 )
 query("wn_take_per_char", "SELECT character_id, fact_id FROM (SELECT character_id, fact_id, row_number() OVER (PARTITION BY character_id ORDER BY fact_id) AS r FROM knows) x WHERE r <= 10")(
     lambda t: t("knows").withColumn("r", F.row_number().over(W.partitionBy("character_id").orderBy("fact_id"))).where("r <= 10").select("character_id", "fact_id")
@@ -190,7 +193,7 @@ query("tk_entities", "SELECT character_id, max(message_index) AS last FROM prese
     lambda t: t("present_at").where("chat_id = 'BUILDING'").groupBy("character_id").agg(F.max("message_index").alias("last")).orderBy(F.desc("last"), "character_id").limit(50)
 )
 query("tk_knn", "SELECT id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])), 9) AS similarity FROM memory ORDER BY similarity DESC, id LIMIT 10")(
-    lambda t: __import__("taleweave.operators.search", fromlist=["nearest"]).nearest(t("memory"), __import__("taleweave.plans.catalog_functions", fromlist=["query_vector"]).query_vector(t), 10).select("id", "similarity")
+    lambda t: search.nearest(t("memory"), functions.query_vector(t), 10).select("id", "similarity")
 )
 query("sr_timeline", "SELECT id, world_time FROM story_events WHERE chat_id = 'BUILDING' ORDER BY world_time IS NULL, world_time, message_index LIMIT 100")(
     lambda t: t("story_events").where("chat_id = 'BUILDING'").orderBy(F.col("world_time").isNull(), "world_time", "message_index").limit(100).select("id", "world_time")

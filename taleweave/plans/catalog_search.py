@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import pov, reads, search
+from ..operators import graph, pov, reads, search
 from . import render
 from .catalog_functions import TOKENS, TRIGRAMS, first_text, query_vector
 from .registry import query
@@ -167,7 +167,7 @@ query("rd_panel_rels", "SELECT DISTINCT ON (f.to_id) f.to_id, c.name AS to_name,
 )
 query("rd_chats", "SELECT chat_id, max(t0) AS last_event FROM (SELECT chat_id, CAST(NULL AS TIMESTAMP) AS t0 FROM ingestion UNION ALL SELECT chat_id, ts FROM story_events) x GROUP BY chat_id")(lambda t: reads.chats(t("ingestion"), t("story_events")))
 query("rd_chats_for_char", "SELECT DISTINCT e.chat_id FROM characters c JOIN participated p ON p.character_id = c.id JOIN story_events e ON e.id = p.event_id WHERE lower(c.name) = 'customer#000000007' OR c.alias = 'customer#000000007'")(
-    lambda t: __import__("taleweave.operators.graph", fromlist=["chats_of"]).chats_of(t("characters"), t("participated"), t("story_events"), "Customer#000000007")
+    lambda t: graph.chats_of(t("characters"), t("participated"), t("story_events"), "Customer#000000007")
 )
 query("rd_char_names", "SELECT id, name FROM characters ORDER BY name, id")(lambda t: t("characters").orderBy("name", "id").select("id", "name"))
 query("rd_scope_pick", "SELECT DISTINCT chat_id FROM memory WHERE chat_id IN ('src:src3', 'src:src4')")(lambda t: search._scoped(t("memory"), ["src:src3", "", None, "src:src4"]).select("chat_id").distinct())

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import relevance as R
 from ..functions import text as X
-from ..operators import arcs, evaluation, graph, identity, reads, state, traits
-from ..streaming import ingest
+from ..functions import vector as V
+from ..operators import arcs, evaluation, graph, identity, models, reads, state, traits
+from ..streaming import extraction, ingest
 from ..session import durable
 from .catalog_functions import TOKENS, TRIGRAMS
 from .registry import query
@@ -112,9 +115,13 @@ _new = lambda t: t("items").where("significance <= 3").withColumn("name", F.when
 query("up_item", "SELECT id, CASE significance WHEN 2 THEN upper(name) ELSE name END AS name, owner_id, CASE WHEN significance = 1 THEN 4 ELSE significance END AS significance FROM items")(
     lambda t: state.merge(_old(t), _new(t).withColumn("significance", F.when(F.col("significance") == 1, 4).otherwise(F.col("significance"))), ["id"], state.ITEM_RULES).select("id", "name", "owner_id", "significance")
 )
-query("up_character", "SELECT id, name, CASE WHEN significance > 2 THEN 5 ELSE significance END AS significance FROM characters")(
-    lambda t: state.merge(t("characters"), t("characters").where("significance > 2").withColumn("significance", F.lit(5)).withColumn("name", F.lit("")), ["id"], {"significance": state.greatest, "name": state.keep_filled}).select("id", "name", "significance")
-)
+query("up_character", """SELECT CASE WHEN c_custkey % 2 = 0 THEN 'chr-c' || c_custkey ELSE 'chr-' || regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') END AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE upper(c_name) END AS name,
+    array_to_string(list_sort([upper(c_name), lower(c_name), 'x-' || c_custkey]), '|') AS aliases, CASE WHEN c_custkey % 4 = 0 THEN 'old' WHEN c_custkey % 4 = 2 THEN 'new' ELSE CASE WHEN c_custkey % 4 = 1 THEN 'new' ELSE '' END END AS description FROM customer""")(
+    lambda t: identity.upsert(
+        t("customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("chr-c"), "c_custkey").alias("id"), F.lit(None).cast("string").alias("chat_id"), F.col("c_name").alias("name"), F.array(F.lower("c_name")).alias("aliases"), F.lit("old").alias("description")),
+        t("customer").select(F.lit(None).cast("string").alias("chat_id"), F.upper("c_name").alias("name"), F.array(F.lower("c_name"), F.concat(F.lit("x-"), "c_custkey"), F.lit(" ")).alias("aliases"), F.when(F.col("c_custkey") % 4 == 0, "").when(F.col("c_custkey") % 4 == 3, "").otherwise("new").alias("description")),
+    ).select("id", "name", F.array_join("aliases", "|").alias("aliases"), "description")
+)
 query("up_persona", "SELECT concat('persona-', regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g')) AS id, name FROM characters WHERE id = 'chr-c7'")(lambda t: t("characters").where("id = 'chr-c7'").select(F.concat(F.lit("persona-"), F.regexp_replace(X.slug("name"), "^chr-", "")).alias("id"), "name"))
 query("up_char_attr", "SELECT id, greatest(significance, 3) AS significance, CASE WHEN significance > 2 THEN 'guard' ELSE 'smith' END AS role, CASE WHEN significance > 2 THEN 'hurt' ELSE 'well' END AS status FROM characters")(
     lambda t: state.merge(
@@ -164,7 +171,7 @@ query("up_trait_batch")(lambda t: traits.fold(t("traits"), traits.OFFLINE_MERGE_
 query("up_trait_merge")(lambda t: traits.fold(t("traits")).groupBy("canonical_id").agg(F.count("*").alias("wordings")))
 query("trait_norm_dedup", "SELECT character_id, category, regexp_replace(lower(content), '[^a-z0-9]', '', 'g') AS norm, min(id) AS id, count(*) AS n FROM traits GROUP BY ALL")(lambda t: t("traits").groupBy("character_id", "category", X.norm_content("content").alias("norm")).agg(F.min("id").alias("id"), F.count("*").alias("n")))
 query("up_summary_emb", "WITH p AS (SELECT character_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM traits), c AS (SELECT character_id, i, avg(CAST(x AS DOUBLE)) AS v FROM p GROUP BY character_id, i) SELECT character_id, round(max(v), 6) AS most, round(min(v), 6) AS least FROM c GROUP BY character_id")(
-    lambda t: __import__("taleweave.functions.vector", fromlist=["mean_vectors"]).mean_vectors(t("traits"), "character_id").select("character_id", F.round(F.array_max("centroid"), 6).alias("most"), F.round(F.array_min("centroid"), 6).alias("least"))
+    lambda t: V.mean_vectors(t("traits"), "character_id").select("character_id", F.round(F.array_max("centroid"), 6).alias("most"), F.round(F.array_min("centroid"), 6).alias("least"))
 )
 query("up_clear_msg", "SELECT 'events' AS rows, count(*) AS n FROM story_events WHERE NOT (chat_id = 'BUILDING' AND message_index = 7) UNION ALL SELECT 'participated', count(*) FROM participated WHERE event_id NOT IN (SELECT id FROM story_events WHERE chat_id = 'BUILDING' AND message_index = 7)")(
     lambda t: (lambda o: o["events"].agg(F.lit("events").alias("rows"), F.count("*").alias("n")).unionByName(o["participated"].agg(F.lit("participated").alias("rows"), F.count("*").alias("n"))))(state.clear_message({"events": t("story_events"), "participated": t("participated")}, "BUILDING", 7))
@@ -172,8 +179,54 @@ query("up_clear_msg", "SELECT 'events' AS rows, count(*) AS n FROM story_events
 query("up_clear_char", "SELECT 'participated' AS \"table\", count(*) AS removed FROM participated WHERE character_id = 'chr-s7' UNION ALL SELECT 'present_at', count(*) FROM present_at WHERE character_id = 'chr-s7' AND chat_id = 'BUILDING'")(
     lambda t: state.clear_character({"participated": t("participated"), "present_at": t("present_at")}, ["chr-s7"], ["BUILDING"])[1]
 )
-query("up_merge_chars", "SELECT DISTINCT CASE WHEN character_id = 'chr-s7' THEN 'chr-s8' ELSE character_id END AS character_id, event_id FROM participated")(
-    lambda t: identity.repoint(t("participated"), "character_id", t("characters").where("id = 'chr-s7'").select(F.col("id").alias("old"), F.lit("chr-s8").alias("new")), ["character_id", "event_id"]).select("character_id", "event_id")
+_TO = "CASE {0} WHEN 'chr-s7' THEN 'chr-s8' WHEN 'chr-s9' THEN 'chr-s8' WHEN 'chr-c7' THEN 'chr-c8' ELSE {0} END"
+_MERGED = {
+    "feels": (("from_id", "to_id"), ("session_id",)), "knows": (("character_id",), ("fact_id", "chat_id")), "participated": (("character_id",), ("event_id",)), "plot_characters": (("character_id",), ("plot_id",)),
+    "traits": (("character_id",), ("category", "normalized_content")), "present_at": (("character_id",), None), "items": (("owner_id",), None),
+}
+
+
+def _merge_tables(t) -> dict:
+    out = {name: t(name) for name in _MERGED}
+    out["knows"] = out["knows"].withColumn("character_id", F.concat(F.lit("chr-s"), F.regexp_replace("character_id", "[^0-9]", "")))
+    out["traits"] = out["traits"].select(F.concat(F.lit("chr-s"), F.regexp_replace("character_id", "[^0-9]", "")).alias("character_id"), "category", X.norm_content("content").alias("normalized_content")).distinct()
+    people = t("characters").withColumns({"aliases": F.array("alias"), "description": F.when(F.col("id") == "chr-s8", "").otherwise(F.col("name"))})
+    named = t("snapshot_chars").groupBy(F.col("snapshot_id").alias("id")).agg(F.array_sort(F.collect_set("character_id")).alias("present_chars"))
+    return out | {"characters": people.drop("alias"), "snapshots": named}
+
+
+def _merged(t) -> dict:
+    ids = t.spark.createDataFrame([("chr-s7", "chr-s8"), ("chr-s9", "chr-s8"), ("chr-c7", "chr-c8")], "old string, new string")
+    return identity.merge_characters(_merge_tables(t), ids)
+
+
+def _merged_rows(t):
+    out, rows = _merged(t), None
+    for name, (columns, _) in _MERGED.items():
+        own = [F.count_if(F.col(c).isin("chr-s8", "chr-c8")) for c in columns]
+        n = out[name].agg(F.lit(name).alias("name"), F.count("*").alias("n"), sum(own[1:], own[0]).alias("own"))
+        rows = n if rows is None else rows.unionByName(n)
+    return rows
+
+
+def _merged_sql() -> str:
+    digits = "'chr-s' || regexp_replace(character_id, '[^0-9]', '', 'g') AS character_id"
+    of = {"knows": f"(SELECT {digits}, fact_id, chat_id FROM knows) x", "traits": f"(SELECT DISTINCT {digits}, category, regexp_replace(lower(content), '[^a-z0-9]', '', 'g') AS normalized_content FROM traits) x"}
+    parts = []
+    for name, (columns, key) in _MERGED.items():
+        to = ", ".join(f"{_TO.format(c)} AS {c}" for c in columns)
+        some = f"SELECT DISTINCT {to}, {', '.join(key)}" if key else f"SELECT {to}"
+        own = " + ".join(f"count(*) FILTER ({c} IN ('chr-s8', 'chr-c8'))" for c in columns)
+        parts.append(f"SELECT '{name}' AS name, count(*) AS n, {own} AS own FROM ({some} FROM {of.get(name, name)}) y")
+    return " UNION ALL ".join(parts)
+
+
+query("up_merge_chars", _merged_sql())(_merged_rows)
+query("up_merge_chars_rows", "SELECT id, name, CASE id WHEN 'chr-s8' THEN array_to_string(list_sort(list_distinct([alias, 'Supplier#000000007', 'supplier#000000007', 'Supplier#000000009', 'supplier#000000009'])), '|') WHEN 'chr-c8' THEN array_to_string(list_sort([alias, 'Customer#000000007', 'customer#000000007']), '|') ELSE alias END AS aliases, CASE WHEN id = 'chr-s8' THEN 'Supplier#000000007' ELSE name END AS description FROM characters WHERE id NOT IN ('chr-s7', 'chr-s9', 'chr-c7')")(
+    lambda t: _merged(t)["characters"].select("id", "name", F.array_join("aliases", "|").alias("aliases"), "description")
+)
+query("up_merge_chars_arrays", f"SELECT snapshot_id AS id, string_agg(DISTINCT {_TO.format('character_id')}, '|' ORDER BY {_TO.format('character_id')}) AS present FROM snapshot_chars GROUP BY snapshot_id")(
+    lambda t: _merged(t)["snapshots"].select("id", F.array_join("present_chars", "|").alias("present"))
 )
 query("rd_audit_dups", "SELECT name, id, size, events, row_number() OVER (PARTITION BY name ORDER BY events DESC, id) = 1 AS keep FROM (SELECT lower(p_name) AS name, concat('itm-', p_partkey) AS id, count(*) OVER (PARTITION BY lower(p_name)) AS size, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS events FROM part) x WHERE size >= 2")(
     lambda t: identity.duplicates(t("part").select(F.concat(F.lit("itm-"), "p_partkey").alias("id"), F.col("p_name").alias("name")), t("lineitem").select(F.concat(F.lit("itm-"), "l_partkey").alias("character_id")))
@@ -189,6 +242,8 @@ query("up_messages", f"SELECT 'mem-' || substr(sha1(chat_id || '|' || message_in
     lambda t: ingest.message_rows(t("messages"))
 )
 query("up_backfill_emb", "SELECT id FROM traits WHERE id % 5 = 4")(lambda t: t("traits").withColumn("embedding", F.when(F.col("id") % 5 != 4, F.col("embedding"))).where(F.col("embedding").isNull()).select("id"))
+query("up_backfill_ctx", """SELECT a.id, md5(string_agg(b.raw_text, chr(10) || '---' || chr(10) ORDER BY b.message_index, b.node_id)) AS context_prefix FROM memory a JOIN memory b ON b.chat_id = a.chat_id AND b.message_index BETWEEN a.message_index - 4 AND a.message_index + 4 WHERE a.id % 3 = 0 GROUP BY a.id
+    UNION ALL SELECT id, 'known' FROM memory WHERE id % 3 <> 0""")(lambda t: models.backfill_context(t("memory").withColumn("context_prefix", F.when(F.col("id") % 3 != 0, "known")), lambda chat, around, text: F.md5(around)).select("id", "context_prefix"))
 query("snk_store_emb", "SELECT chat_id, nullif(message_index, 0) AS message_index FROM memory")(lambda t: t("memory").select("chat_id", F.nullif("message_index", F.lit(0)).alias("message_index")))
 query("snk_upsert_mem", "SELECT chat_id, node_id, CASE WHEN id % 10 = 0 THEN 'new' ELSE content END AS content FROM memory")(
     lambda t: state.replace(t("memory").select("chat_id", "node_type", "node_id", "content"), t("memory").where("id % 10 = 0").select("chat_id", "node_type", "node_id", F.lit("new").alias("content")), ["chat_id", "node_type", "node_id"]).select("chat_id", "node_id", "content")
@@ -201,6 +256,10 @@ query("snk_results", "SELECT b.item_id AS question_id, m.model, c.cond FROM benc
 query("snk_report")(lambda t: t.spark.createDataFrame([(evaluation.markdown(t("answers")),)], "text string"))
 
 # streams, in their batch form
+_reply = lambda prompt: '{"events": [{"summary": "' + hashlib.md5(prompt.encode()).hexdigest() + '"}]}'
+query("st_bulk", "SELECT 'evt-' || substr(sha1(md5(p) || '|' || chat_id || '|' || batch), 1, 16) AS id, chat_id, batch AS message_index FROM (SELECT chat_id, CAST(floor(message_index / 10) * 10 AS INT) AS batch, string_agg(name || ': ' || mes, chr(10) ORDER BY message_index) AS p FROM messages GROUP BY ALL) x")(
+    lambda t: extraction.bulk({n: t.spark.createDataFrame([], s) for n, s in extraction.TABLES.items()}, t("messages"), _reply, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))["events"].select("id", "chat_id", "message_index")
+)
 query("st_padding", "SELECT chat_id, message_index FROM (SELECT *, max(message_index) OVER (PARTITION BY chat_id) AS m FROM messages) x WHERE message_index <= m - 5")(lambda t: ingest.settled(t("messages")).select("chat_id", "message_index"))
 query("st_every_n", "SELECT chat_id, message_index FROM messages WHERE message_index % 3 = 0")(lambda t: ingest.every(t("messages"), 3).select("chat_id", "message_index"))
 query("st_retract", "SELECT id FROM story_events WHERE NOT (chat_id = 'BUILDING' AND message_index = 7)")(lambda t: state.clear_message({"events": t("story_events"), "participated": t("participated")}, "BUILDING", 7)["events"].select("id"))
@@ -232,3 +291,13 @@ query("ev_judge", "SELECT question_id, model, cond, CASE WHEN error IS NULL THEN
     lambda t: t("answers").select("question_id", "model", "cond", evaluation.judged(F.when(F.col("error").isNull(), F.concat(F.lit('Verdict: {"score": '), F.col("score") * 2 - 1, F.lit(', "reason": "r"}'))).otherwise("no answer")).alias("j")).select("question_id", "model", "cond", "j.score")
 )
 query("ev_report", "SELECT question_id, model, cond FROM answers WHERE score = 0 ORDER BY question_id, model, cond LIMIT 10")(lambda t: t("answers").where("score = 0").orderBy("question_id", "model", "cond").limit(10).select("question_id", "model", "cond"))
+
+
+def _question(prompt: str) -> str:
+    digest = hashlib.md5(prompt.encode()).hexdigest()
+    return "none comes to mind" if digest[0] == "0" else f'Here:\n```json\n{{"question": "{digest}", "ground_truth": "yes",}}\n```'
+
+
+query("ev_qgen", f"SELECT printf('q-%03d', item_id + 1) AS id, md5('{models.QUESTION}' || text) AS question, item_id * 1000 AS chunk_offset FROM benchmark WHERE md5('{models.QUESTION}' || text) NOT LIKE '0%'")(
+    lambda t: models.questions(t("benchmark").select(F.col("item_id").alias("idx"), (F.col("item_id") * 1000).alias("chunk_offset"), F.col("text").alias("chunk")), _question).select("id", "question", "chunk_offset")
+)

@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import models
 from ..operators import state as S
+from ..session import durable
+from ..sources import chat
 
 RECORD = """characters array<struct<name: string, aliases: array<string>, description: string, role: string, status: string, significance: int>>,
     relationships array<struct<from: string, to: string, sentiment: double, intensity: double, description: string>>,
@@ -86,7 +89,7 @@ def apply(tables: dict[str, DataFrame], batch: DataFrame, ttl: int = S.TTL_MESSA
     state = S.expire(state.join(now, "chat_id", "left"), F.col("_i"), F.col("_t"), ttl)
     out["world_state"] = state.select(*tables["world_state"].columns)
 
-    told = _each(batch, "knowledge_updates").select("chat_id", "x.*").where("trim(content) <> ''").withColumn("id", X.content_id("fact", F.lower("content"))).withColumn("domain", F.coalesce("domain", F.lit("knowledge")))
+    told = _each(batch, "knowledge_updates").select("chat_id", "x.*").where("trim(content) <> ''").withColumns({"content": F.trim("content"), "domain": F.coalesce("domain", F.lit("knowledge"))}).withColumn("id", X.content_id("fact", F.concat_ws("|", "content", "domain")))
     out["facts"] = S.insert_new(out["facts"], told.select("id", "content", "domain"), ["id"])
     out["knows"] = S.insert_new(out["knows"], told.select(person("character").alias("character_id"), F.col("id").alias("fact_id"), "chat_id"), ["character_id", "fact_id", "chat_id"])
 
@@ -107,6 +110,18 @@ def apply(tables: dict[str, DataFrame], batch: DataFrame, ttl: int = S.TTL_MESSA
     return out
 
 
+def bulk(tables: dict[str, DataFrame], messages: DataFrame, generate, at, size: int = 10, ttl: int = S.TTL_MESSAGES) -> dict[str, DataFrame]:
+    """The tables after all messages of all chats: generate(prompt) is called for every `size` of a chat, in parallel.
+
+    The replies are kept before they are applied, in the order of their messages, so that no call is made twice.
+    A group whose call fails after its retries is left out.  at: the time of writing, a column.
+    """
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["name"], F.lit(": "), m["mes"])), "\n")
+    asked = chat.batches(messages, size).select("chat_id", F.col("batch").alias("message_index"), said.alias("prompt"))
+    found = durable(models.replies(asked, "prompt", generate).withColumn("at", at))
+    return apply(tables, parse(found.where("error IS NULL")), ttl)
+
+
 def batches(store, extractor, ttl: int = S.TTL_MESSAGES):
     """foreachBatch over messages: extractor(messages) gives chat_id, message_index, at, reply; tables get new versions."""
 
