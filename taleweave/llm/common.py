@@ -77,7 +77,8 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def ascii_lower(c: Column) -> Column:
-    return F.translate(c, _UPPER, _UPPER.lower())
+    """A-Z lower-cased.  `translate` looks each character up, so texts of ASCII alone, where `lower` does the same, are spared it."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _UPPER.lower()))
 
 
 def words(c: Column) -> Column:

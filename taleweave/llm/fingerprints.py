@@ -3,8 +3,9 @@
 A document's set is its distinct shingles of five lower-cased words (the whole sequence if it has fewer).
 Each shingle is hashed once.  The top bits of the hash name one of `BINS` bins, and a bin keeps the least
 hash in it.  An empty bin takes the value of a full bin that is chosen uniformly by a hash of the empty
-bin's number and the candidate's, so that documents with the same full bins choose alike.  Only the lowest
-four bits of each bin are stored, as one hex digit.  Two unrelated bins agree with probability 1/16, so the
+bin's number and the candidate's, so that documents with the same full bins choose alike: the first `PROBES`
+bins in the order of that hash are looked up in a fixed table, and only if all of them are empty are the full
+bins hashed and compared.  Only the lowest four bits of each bin are stored, as one hex digit.  Two unrelated bins agree with probability 1/16, so the
 likeness of two fingerprints is (agreement - 1/16) / (1 - 1/16), at least 0.
 
 `BINS` sentinels, each the greatest hash of its bin, are sorted together with the shingles' hashes: the first
@@ -18,6 +19,7 @@ other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,10 +30,29 @@ from .common import ascii_lower, durable, join_small, words
 BITS = 8
 BINS, KEEP_BITS, SHINGLE = 1 << BITS, 4, 5
 _LOW = (1 << (64 - BITS)) - 1
+#: Bins that an empty bin looks up before it hashes all full ones; this changes the work, never the choice.
+PROBES = 16
 #: Rows of a sorted run in `with_next`, about, and the quantiles that it cuts the order at.
 RUN_ROWS, CUTS = 4096, 256
 
 
+def _rank(b: Column, j: Column) -> Column:
+    """Where bin j stands among the sources of the empty bin b, least first; j stands in the low bits."""
+    return F.xxhash64(b, j).bitwiseAND(F.lit(-BINS)).bitwiseOR(j.cast("long"))
+
+
+def _bin(rank: Column) -> Column:
+    return rank.bitwiseAND(F.lit(BINS - 1)).cast("int")
+
+
+@functools.cache
+def _first(spark: SparkSession) -> str:
+    """The `PROBES` first sources of each bin, bin after bin: a table of fixed size, as one text that Catalyst folds into one literal."""
+    sequence = F.sequence(F.lit(0), F.lit(BINS - 1))
+    ranked = F.transform(sequence, lambda b: F.slice(F.sort_array(F.transform(sequence, lambda j: _rank(b, j))), 1, PROBES))
+    return spark.range(1).select(F.array_join(F.transform(F.flatten(ranked), _bin).cast("array<string>"), ",")).first()[0]
+
+
 def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds `out`, an array of BINS small numbers, null for a text without words.
 
@@ -46,17 +67,19 @@ def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(h, F.sort_array(F.concat(shingles, sentinels)))
     bin_of = lambda x: F.shiftright(x, 64 - BITS)
     df = df.withColumn(d, F.filter(F.col(h), lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(F.col(h), i - 1)))))
-    empty = lambda x: x.bitwiseAND(F.lit(_LOW)) == _LOW
-    df = df.withColumn(full, F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: ~empty(F.get(F.col(d), b))))
-    # the full bin whose hash with b is least; its number stands in the hash's low bits
-    chosen = lambda b: F.array_min(F.transform(F.col(full), lambda j: F.xxhash64(b, j).bitwiseAND(F.lit(-BINS)).bitwiseOR(j.cast("long")))).bitwiseAND(F.lit(BINS - 1)).cast("int")
-    dense = F.transform(F.col(d), lambda x, b: F.when(empty(x), F.get(F.col(d), chosen(b))).otherwise(x).bitwiseAND(F.lit((1 << KEEP_BITS) - 1)).cast("tinyint"))
+    df = df.withColumn(d, F.transform(F.col(d), lambda x: F.when(x.bitwiseAND(F.lit(_LOW)) != _LOW, x)))  # null: empty
+    df = df.withColumn(full, F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.get(F.col(d), b).isNotNull()))
+    first = F.split(F.lit(_first(df.sparkSession)), ",").cast("array<int>")
+    probes = lambda b: [F.get(F.col(d), F.get(first, b * PROBES + k)) for k in range(PROBES)]
+    chosen = lambda b: _bin(F.array_min(F.transform(F.col(full), lambda j: _rank(b, j))))
+    dense = F.transform(F.col(d), lambda x, b: F.coalesce(x, *probes(b), F.get(F.col(d), chosen(b))).bitwiseAND(F.lit((1 << KEEP_BITS) - 1)).cast("tinyint"))
     return df.withColumn(out, F.when((F.size(w) > 0) & (F.size(full) > 0), dense)).drop(w, h, d, full)
 
 
 def packed(bins: Column) -> Column:
     """One hex digit for each bin."""
-    return F.coalesce(F.array_join(F.transform(bins, lambda x: F.lower(F.hex(x.cast("long")))), ""), F.lit(""))
+    digits = F.split(F.lit(",".join("0123456789abcdef")), ",")
+    return F.coalesce(F.array_join(F.transform(bins, lambda x: F.get(digits, x)), ""), F.lit(""))
 
 
 def likeness(a: str, b: str) -> Column:
