@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """A durable copy as a compressed table in the shared folder: for wide rows, and for row ids that must stay."""
+    use_checkpoints(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A durable copy of narrow rows in no more partitions than they fill: a few rows of many tasks make few files in later shuffles."""
     copy = durable(df)

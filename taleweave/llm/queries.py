@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, fingerprints, language, mixing, neardup, quality, sentencepieces, toxicity, urls, webpages
+from . import alignment, exact, fingerprints, language, mixing, neardup, quality, sentencepieces, toxicity, urls, webpages
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_url_filter": urls.query,
         "op9_html_extraction": webpages.query,
         "op10_fingerprints": fingerprints.query,
+        "op13_alignment": alignment.query,
     }
 
 
