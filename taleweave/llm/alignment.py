@@ -1,9 +1,9 @@
 """Two tokenizers' tokens of the same text, aligned by bytes, and how often their ids are linked in a corpus.
 
 Arrow tasks only tokenise: each text becomes the ids of A and of B and, for each token, the byte where it ends.
-All else is Spark's higher-order functions over these arrays, linear in a text's length.  `array_repeat` and `flatten`
-spell a token's position out for each byte, so that the token at any byte is one look-up.  The common ends
-(`array_intersect`) cut the tokens into groups.  The union of ends cuts the text into intervals, and every
+The tokenising task also says which token each byte belongs to (a tokenizer's offset mapping), so that the token at
+any byte is one look-up.  All else is Spark's higher-order functions over these arrays, linear in a text's length: the
+common ends (`array_intersect`) cut the tokens into groups.  The union of ends cuts the text into intervals, and every
 interval is one link: the A token and the B token there overlap, and two tokens share no second interval.
 
 Neither tokenizer joins what stands before a space to what follows it, so a text is cut before each space that
@@ -38,13 +38,13 @@ from .sentencepieces import BYTE, MARK, NORMAL, USER, parse_model
 #: Where the public vocabulary files are.  Parameters of every function here.
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Chunks whose ids a worker remembers, and id pairs that are broadcast at most (24 bytes each).
-REMEMBERED, BROADCAST_PAIRS = 500_000, 1_000_000
+REMEMBERED, BROADCAST_PAIRS = 200_000, 1_000_000
 #: Characters of the documents whose distinct chunks are aligned together.
-SHELF = 4_000_000
+SHELF = 1_000_000
 #: What the byte-level tokenizer's pre-tokenizer cuts a text by (fixed value, public).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_CUT = re.compile(r"(?<=\S) ")
-_LISTS = ("a_ids", "a_ends", "b_ids", "b_ends")
+_CUT, _RUN = re.compile(r"(?<=\S) "), re.compile(r"\s ")
+_LISTS = ("a_ids", "a_ends", "a_of", "b_ids", "b_ends", "b_of")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -66,6 +66,18 @@ def spaces_lead(pieces: list) -> bool:
     return not any(MARK in p.lstrip(MARK) for p, *_ in pieces)
 
 
+def cut(text: str | None) -> list[str]:
+    """A text's chunks: it is cut at each space that follows no white space."""
+    if not text:
+        return []
+    return _CUT.split(text) if text[0] == " " or _RUN.search(text) else text.split(" ")
+
+
+def _owners(sizes: np.ndarray) -> np.ndarray:
+    """For each byte, the position of what it belongs to."""
+    return np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+
+
 class Pair:
     """Both tokenizers of a worker, with the bytes of their tokens and the chunks that it remembers."""
 
@@ -109,27 +121,27 @@ class Pair:
             self.known[c] = a[i:p].tobytes(), b[j:q].tobytes()
             i, j = p, q
 
-    def chunks(self, texts: list[str | None]) -> list[list[str]]:
-        """Each text's chunks, all of them known; none for a text without tokens."""
-        found = [_CUT.split(t) if t else [] for t in texts]
+    def forget(self) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = [c for c in {c for own in found for c in own} if c not in self.known]
+
+    def learn(self, chunks) -> None:
+        """Encode those chunks that aren't known."""
+        new = [c for c in chunks if c not in self.known]
         apart = [c for c in new if not c or c[-1].isspace()]
         together = [c for c in new if c and not c[-1].isspace()]
         for own in [*([c] for c in apart), *(together[k : k + 2000] for k in range(0, len(together), 2000))]:
             self._learn(own)
-        if any(self.known[c] is None for c in new):
-            bad = {c for c in new if self.known[c] is None}
-            found = [[] if bad.intersection(own) else own for own in found]
-        return found
 
     def tokens(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
-        """a_ids, a_ends, b_ids, b_ends of one text's chunks."""
-        if not chunks:
-            return (np.zeros(0, np.int32),) * 4
-        a, b = (np.frombuffer(b"".join(x), np.int32) for x in zip(*map(self.known.__getitem__, chunks), strict=True))
-        return a, np.cumsum(self.a_sizes[a], dtype=np.int32), b, np.cumsum(self.b_sizes[b], dtype=np.int32)
+        """ids, ends and the token of each byte, of A and of B, for known chunks end to end; none if one has no tokens."""
+        if not chunks or any(self.known[c] is None for c in chunks):
+            return (np.zeros(0, np.int32),) * 6
+        out = []
+        for parts, sizes in zip(zip(*map(self.known.__getitem__, chunks), strict=True), (self.a_sizes, self.b_sizes), strict=True):
+            ids = np.frombuffer(b"".join(parts), np.int32)
+            out += [ids, np.cumsum(sizes[ids], dtype=np.int32), _owners(sizes[ids])]
+        return tuple(out)
 
 
 @lru_cache(1)
@@ -137,6 +149,10 @@ def _pair(a_file: bytes, b_file: bytes) -> Pair:
     return Pair(a_file, b_file)
 
 
+def _empty(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
 _INTS = ArrayType(IntegerType(), False)
 
 
@@ -151,58 +167,72 @@ def _files(*paths: str) -> tuple[bytes, ...]:
 
 
 def tokens(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
-    """doc_id, a_ids, a_ends, b_ids, b_ends: ids, and the bytes of space and text where each token ends."""
+    """doc_id, a_ids, a_ends, a_of, b_ids, b_ends, b_of: ids, the bytes of space and text where each token ends, and the token of each byte."""
     files, docs = _files(a_file, b_file), docs.select("doc_id", "text")
 
     def run(batches):
         pair = _pair(*files)
         for batch in small(batches, "text"):
-            found = [pair.tokens(own) for own in pair.chunks(batch.column("text").cast(pa.string()).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[_lists([x[k] for x in found]) for k in range(4)]], names=["doc_id", *_LISTS])
+            found = []
+            for own in map(cut, batch.column("text").cast(pa.string()).to_pylist()):
+                pair.learn(set(own))
+                found.append(pair.tokens(own))
+                pair.forget()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[_lists([x[k] for x in found]) for k in range(6)]], names=["doc_id", *_LISTS])
 
     return frugal(docs).mapInArrow(run, StructType([docs.schema["doc_id"], *[StructField(n, _INTS, False) for n in _LISTS]]))
 
 
+def _renumbered(own: list[np.ndarray], at: dict[str, int], bad: set[int]) -> tuple[list[np.ndarray], dict[str, int]]:
+    """Positions without the bad chunks, which no list has."""
+    left = [(c, i) for c, i in at.items() if i not in bad]
+    new = {i: k for k, (_, i) in enumerate(left)}
+    return [np.array([new[i] for i in x.tolist()], np.int32) for x in own], {c: k for k, (c, _) in enumerate(left)}
+
+
 def shelves(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
     """A row for some documents (about `SHELF` characters, or one longer text), with each distinct chunk of theirs tokenised once.
 
-    docs: doc_id, chunks (positions among the distinct chunks), n_a, n_b of each; chunk_ends, times: the byte where each
-    distinct chunk ends, and how often the documents have it; a_ids, a_ends, b_ids, b_ends: tokens of the distinct chunks, end to end.
+    docs: doc_id, chunks (positions among the distinct chunks), n_a, n_b of each; times: how often the documents have each
+    distinct chunk; chunk_of: the chunk of each byte; the columns of `tokens`: of the distinct chunks, end to end.
     """
     files, docs = _files(a_file, b_file), docs.select("doc_id", "text")
     one = StructType([docs.schema["doc_id"], StructField("chunks", _INTS, False), StructField("n_a", IntegerType(), False), StructField("n_b", IntegerType(), False)])
-    schema = StructType([StructField("docs", ArrayType(one, False), False), *[StructField(n, _INTS, False) for n in ("chunk_ends", "times", *_LISTS)]])
+    schema = StructType([StructField("docs", ArrayType(one, False), False), *[StructField(n, _INTS, False) for n in ("times", "chunk_of", *_LISTS)]])
+
+    fields = [pa.field("chunks", pa.list_(pa.field("element", pa.int32(), False)), False), pa.field("n_a", pa.int32(), False), pa.field("n_b", pa.int32(), False)]
+
+    def shelf(pair: Pair, ids: pa.Array, own: list, at: dict[str, int]) -> pa.RecordBatch:
+        if bad := {i for c, i in at.items() if pair.known[c] is None}:
+            own, at = _renumbered([x[:0] if bad.intersection(x.tolist()) else x for x in own], at, bad)
+        n = [np.array([len(pair.known[c][k]) // 4 for c in at], np.int32) for k in (0, 1)]
+        sums = [pa.array([int(x[i].sum()) for i in own], pa.int32()) for x in n]
+        listed = pa.StructArray.from_arrays([ids, _lists(own), *sums], fields=[pa.field("doc_id", ids.type), *fields])
+        times = np.bincount(np.concatenate(own), minlength=len(at)) if at else np.zeros(0, np.int32)
+        lists = (times, _owners(np.array([len(c.encode()) + 1 for c in at], np.int64)), *pair.tokens(list(at)))
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), listed), *[_lists([x]) for x in lists]], names=schema.names)
 
     def run(batches):
         pair = _pair(*files)
-        for batch in small(batches, "text", SHELF):
-            found = pair.chunks(batch.column("text").cast(pa.string()).to_pylist())
-            at: dict[str, int] = {}
-            own = [np.array([at.setdefault(c, len(at)) for c in x], np.int32) for x in found]
-            n = [np.array([len(pair.known[c][k]) // 4 for c in at], np.int32) for k in (0, 1)]
-            sums = [pa.array([int(x[i].sum()) for i in own], pa.int32()) for x in n]
-            listed = pa.StructArray.from_arrays([batch.column("doc_id"), _lists(own), *sums], fields=[batch.schema.field("doc_id"), pa.field("chunks", pa.list_(pa.field("element", pa.int32(), False)), False), pa.field("n_a", pa.int32(), False), pa.field("n_b", pa.int32(), False)])
-            times = np.bincount(np.concatenate(own), minlength=len(at)) if at else np.zeros(0)
-            ends = np.cumsum([len(c.encode()) + 1 for c in at])
-            shelf = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), listed)
-            yield pa.RecordBatch.from_arrays([shelf, *[_lists([x]) for x in (ends, times, *pair.tokens(list(at)))]], names=["docs", "chunk_ends", "times", *_LISTS])
+        ids, own, at, size = [], [], {}, 0
+        for batch in small(batches, "text"):
+            for t in batch.column("text").cast(pa.string()).to_pylist():
+                own.append(np.array([at.setdefault(c, len(at)) for c in cut(t)], np.int32))
+                size += len(t or "")
+            ids.append(batch.column("doc_id"))
+            pair.learn(at)
+            if size >= SHELF:
+                yield shelf(pair, pa.concat_arrays(ids), own, at)
+                ids, own, at, size = [], [], {}, 0
+                pair.forget()
+        if own:
+            yield shelf(pair, pa.concat_arrays(ids), own, at)
 
     return frugal(docs).mapInArrow(run, schema)
 
 
-def _empty(kind: str) -> Column:
-    return F.array().cast(f"array<{kind}>")
-
-
-def _positions(ends: str) -> Column:
-    """For each byte, the position of the token, group or link that it belongs to."""
-    last = F.size(ends) - 1
-    spans = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_repeat(i, F.get(ends, i) - F.when(i > 0, F.get(ends, i - 1)).otherwise(0)))
-    return F.when(last < 0, _empty("int")).otherwise(F.flatten(spans))
-
-
 def _there(*columns: str) -> Column:
-    """That none is empty.  These are long to make, and what a project reads twice the optimizer doesn't put into a lambda, to be made for each element."""
+    """That none is empty.  Sets are long to make: what a project reads twice, the optimizer doesn't put into a lambda, to be made for each element."""
     out = F.lit(True)
     for c in columns:
         out = out & (F.size(c) > 0)
@@ -210,64 +240,58 @@ def _there(*columns: str) -> Column:
 
 
 def aligned(found: DataFrame) -> DataFrame:
-    """Adds groups (positions of the first and the last token in A and in B), links (A id * 2^32 + B id) and the ends of both, in text order.
+    """Adds group_ends and link_ends, bytes in text order, and groups (`a1,a2|b1` for each).  `found` has the columns of `tokens`."""
+    made = {"group_ends": F.array_intersect("a_ends", "b_ends"), "link_ends": F.sort_array(F.array_union("a_ends", "b_ends")), "_sa": F.col("a_ids").cast("array<string>"), "_sb": F.col("b_ids").cast("array<string>")}
 
-    Only higher-order functions: `found` has the columns of `tokens`, whose ends are the same bytes for A and B.
-    """
-    made = {"_a": _positions("a_ends"), "_b": _positions("b_ends"), "group_ends": F.array_intersect("a_ends", "b_ends"), "link_ends": F.sort_array(F.array_union("a_ends", "b_ends"))}
-    at = found.withColumns(made)
+    def part(ids: str, of: str, before: Column, end: Column) -> Column:
+        first, last = F.get(of, before), F.get(of, end - 1)
+        more = F.array_join(F.transform(F.sequence(first, last), lambda i: F.get(ids, i)), ",")
+        return F.when(first == last, F.get(ids, first)).otherwise(more)
 
     def group(end: Column, k: Column) -> Column:
         before = F.when(k > 0, F.get("group_ends", k - 1)).otherwise(0)
-        return F.struct(F.get("_a", before).alias("a"), F.get("_a", end - 1).alias("a_last"), F.get("_b", before).alias("b"), F.get("_b", end - 1).alias("b_last"))
+        return F.concat(part("_sa", "a_of", before, end), F.lit("|"), part("_sb", "b_of", before, end))
 
-    def link(end: Column) -> Column:
-        return F.shiftleft(F.get("a_ids", F.get("_a", end - 1)).cast("long"), 32) + F.get("b_ids", F.get("_b", end - 1))
+    groups = F.when(_there("group_ends", "_sa", "_sb"), F.transform("group_ends", group)).otherwise(_empty("string"))
+    return found.withColumns(made).withColumn("groups", groups).drop("_sa", "_sb")
 
-    there = _there("_a", "_b", *made)
-    groups = F.when(there, F.transform("group_ends", group)).otherwise(_empty("struct<a:int,a_last:int,b:int,b_last:int>"))
-    return at.withColumns({"groups": groups, "links": F.when(there, F.transform("link_ends", link)).otherwise(_empty("bigint"))}).drop("_a", "_b")
 
+def at_links(*values) -> Column:
+    """A struct of some values for each link: each value is a function of the byte that the link ends with."""
+    return F.transform("link_ends", lambda end: F.struct(*[value(end - 1).alias(name) for name, value in values]))
 
-def with_texts(rows: DataFrame) -> DataFrame:
-    """Adds texts: `a1,a2|b1` for each group of `aligned`."""
-    rows = rows.withColumns({"_sa": F.col("a_ids").cast("array<string>"), "_sb": F.col("b_ids").cast("array<string>")})
 
-    def part(ids: str, first: Column, last: Column) -> Column:
-        more = F.array_join(F.transform(F.sequence(first, last), lambda i: F.get(ids, i)), ",")
-        return F.when(first == last, F.get(ids, first)).otherwise(more)
-
-    texts = F.transform("groups", lambda g: F.concat(part("_sa", g["a"], g["a_last"]), F.lit("|"), part("_sb", g["b"], g["b_last"])))
-    return rows.withColumn("texts", F.when(_there("groups", "_sa", "_sb"), texts).otherwise(_empty("string"))).drop("_sa", "_sb")
+def link(byte: Column) -> Column:
+    """A id * 2^32 + B id of the tokens there."""
+    return F.shiftleft(F.get("a_ids", F.get("a_of", byte)).cast("long"), 32) + F.get("b_ids", F.get("b_of", byte))
 
 
 def summary(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
-    """By shelf: docs (doc_id, chunks, n_a, n_b, groups_sha256), n_groups, times and links of each distinct chunk."""
-    rows = with_texts(aligned(shelves(docs, a_file, b_file))).withColumns({"_g": _positions("group_ends"), "_l": _positions("link_ends")})
-
-    def each(at: str, body, kind: str) -> Column:
-        """body(first, last) of each chunk, by what stands at its first and last byte."""
-        own = F.transform("chunk_ends", lambda end, k: body(F.get(at, F.when(k > 0, F.get("chunk_ends", k - 1)).otherwise(0)), F.get(at, end - 1)))
-        return F.when(_there("chunk_ends", at), own).otherwise(_empty(kind))
+    """By shelf: docs (doc_id, chunks, n_a, n_b, groups_sha256), n_groups of each distinct chunk, links (link, chunk, times)."""
+    rows = aligned(shelves(docs, a_file, b_file))
+    chunk = lambda byte: F.get("chunk_of", byte)
+    links = at_links(("link", link), ("chunk", chunk), ("times", lambda byte: F.get("times", chunk(byte))))
 
-    def taken(values: str, first: Column, last: Column) -> Column:
-        return F.transform(F.sequence(first, last), lambda i: F.get(values, i))
+    def closed(text: Column, k: Column) -> Column:
+        """A group's text with what parts it from the next: a line end between chunks."""
+        end = F.get("group_ends", k)
+        return F.concat(text, F.when(chunk(end - 1) < F.coalesce(chunk(end), F.lit(-1)), "\n").otherwise(";"))
 
-    rows = rows.select(
-        "docs", "times", each("_g", lambda i, j: j - i + 1, "int").alias("n_groups"), each("_l", lambda i, j: taken("links", i, j), "array<bigint>").alias("links"),
-        each("_g", lambda i, j: F.array_join(taken("texts", i, j), ";"), "string").alias("_texts"),
-    )
+    joined = F.array_join(F.transform("groups", closed), "")
+    texts = F.when(_there("groups", "group_ends"), F.split(F.substr(joined, F.lit(1), F.length(joined) - 1), "\n")).otherwise(_empty("string"))
+    rows = rows.select("docs", F.when(_there("link_ends"), links).alias("links"), texts.alias("_texts"))
+    n_groups = F.transform("_texts", lambda t: F.length(t) - F.length(F.replace(t, F.lit(";"), F.lit(""))) + 1)
 
     def digest(d: Column) -> Column:
         text = F.array_join(F.transform(d["chunks"], lambda k: F.get("_texts", k)), ";")
         return d.withField("groups_sha256", F.when((F.size(d["chunks"]) > 0) & (F.size("_texts") > 0), F.sha2(text, 256)).otherwise(""))
 
-    return rows.select(F.transform("docs", digest).alias("docs"), "n_groups", "times", "links")
+    return rows.select(F.transform("docs", digest).alias("docs"), F.when(_there("_texts"), n_groups).alias("n_groups"), "links")
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
     """link, count, best (whether no link of its B id has a higher count) over all shelves."""
-    each = rows.select(F.inline(F.arrays_zip("links", "times"))).select(F.explode("links").alias("link"), "times")
+    each = rows.select(F.inline("links"))
     counts = durable(each.groupBy("link").agg(F.sum("times").alias("count")))
     own = F.col("link").bitwiseAND(F.lit(2**32 - 1))
     highest = counts.groupBy(own.alias("_b")).agg(F.max("count").alias("_highest"))
@@ -290,7 +314,7 @@ def weights(rows: DataFrame, counts: DataFrame, most: int = BROADCAST_PAIRS) ->
     """_row, sums: (chunk, n_best, count_sum) of each distinct chunk of a shelf, in order."""
     least = frequent(counts, most)
     head, tail = counts.where(F.col("count") >= least), counts.where(F.col("count") < least)
-    each = rows.repartition("_row").select("_row", F.posexplode("links").alias("chunk", "own")).select("_row", "chunk", F.explode("own").alias("link"))
+    each = rows.select("_row", "links").repartition("_row").select("_row", F.inline("links")).select("_row", "chunk", "link")
 
     def summed(links: DataFrame) -> DataFrame:
         return links.groupBy("_row", "chunk").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
@@ -306,7 +330,7 @@ def linked(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, most: in
     """One row for each document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     rows = stored(summary(docs, a_file, b_file).withColumn("_row", F.monotonically_increasing_id()), "links", "zstd")
     sums = weights(rows, pair_counts(rows), most)
-    whole = rows.drop("links", "times").join(sums, "_row", "left")
+    whole = rows.drop("links").join(sums, "_row", "left")
     long = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in ("n_groups", "n_best", "count_sum")])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, exact, fingerprints, language, mixing, neardup, quality, sentencepieces, toxicity, urls, webpages
+from . import alignment, centroids, exact, fingerprints, language, mixing, neardup, quality, repeats, sentencepieces, toxicity, urls, webpages
 
 
 def queries() -> dict:
@@ -17,9 +17,11 @@ def queries() -> dict:
         "op8_url_filter": urls.query,
         "op9_html_extraction": webpages.query,
         "op10_fingerprints": fingerprints.query,
+        "op11_substrings": repeats.query,
+        "op12_centroids": centroids.query,
         "op13_alignment": alignment.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mixing": mixing.SQL, "op2_near_duplicates": neardup.SQL, "op3_exact_dedup": exact.SQL, "op8_url_filter": urls.SQL}
+    return {"op1_pareto_mixing": mixing.SQL, "op2_near_duplicates": neardup.SQL, "op3_exact_dedup": exact.SQL, "op8_url_filter": urls.SQL, "op11_substrings": repeats.SQL, "op12_centroids": centroids.SQL}

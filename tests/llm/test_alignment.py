@@ -84,9 +84,11 @@ def test_equals_the_plain_loop_on_the_smallest_table(spark, most):
 
 
 def test_groups_and_links_of_a_text(spark):
-    found = alignment.aligned(alignment.tokens(spark.createDataFrame([("k", "naïve text")], "doc_id string, text string"))).first()
+    rows = alignment.aligned(alignment.tokens(spark.createDataFrame([("k", "naïve text")], "doc_id string, text string")))
+    found = rows.withColumn("links", alignment.at_links(("link", alignment.link))).first()
     assert len(found.links) == len(found.a_ids) + len(found.b_ids) - len(found.groups)
-    assert found.doc_id == "k" and found.groups[-1].a_last == len(found.a_ids) - 1 and found.groups[-1].b_last == len(found.b_ids) - 1
+    assert found.doc_id == "k" and ",".join(g.split("|")[0] for g in found.groups) == ",".join(map(str, found.a_ids)) and ",".join(g.split("|")[1] for g in found.groups) == ",".join(map(str, found.b_ids))
+    assert {(x.link >> 32, x.link & 0xFFFFFFFF) for x in found.links} <= {(a, b) for a in found.a_ids for b in found.b_ids}
 
 
 def test_shelves_of_any_size_give_equal_rows(spark, monkeypatch):
