@@ -43,7 +43,7 @@ def integers(vectors: DataFrame, id: str = "vec_id", column: str = "embedding",
 def first_centroids(rows: DataFrame, id: str = "vec_id", k: int = K, salt: str = SALT) -> np.ndarray:
     """The k vectors (a parameter, so the driver holds few) with the smallest hash of their ids."""
     found = rows.select(F.sha2(F.concat(F.lit(salt), F.coalesce(F.col(id).cast("string"), F.lit(""))), 256).alias("h"), "v").orderBy("h", "v").limit(k).collect()
-    return np.array([r["v"] for r in found], np.int64).reshape(len(found), -1)
+    return np.array([r["v"] for r in found], np.int64) if found else np.zeros((0, 0), np.int64)
 
 
 class Annulus:
@@ -150,20 +150,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     """The rounds written out, each with all distances."""
-    apart = "list_sum(list_transform(list_zip(v.v, c.c), x -> (x[1] - x[2]) * (x[1] - x[2])))::BIGINT"
+    apart = "list_sum(list_transform(list_zip(v.v, c.c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT"
     near = f"SELECT v.id, min(({apart}, c.k)) AS m FROM v CROSS JOIN c{{}} c GROUP BY v.id"
-    steps = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, x -> floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE len(embedding) = {WIDTH} AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)""",
+    steps = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {WIDTH} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
         f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('{SALT}' || vec_id::VARCHAR), v) - 1)::INT AS k, v AS c FROM v QUALIFY k < {K})"]
     for r in range(ROUNDS):
         steps.append(f"n{r} AS MATERIALIZED ({near.format(r)})")
-        steps.append(f"""s{r} AS (SELECT k, list(q ORDER BY i) AS c FROM (SELECT n.m[2] AS k, i, floor(sum(v.v[i])::DECIMAL(38,0) / count(*))::BIGINT AS f,
-  (sum(v.v[i]) - ((sum(v.v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS q FROM n{r} n JOIN v USING (id) CROSS JOIN range(1, {WIDTH + 1}) t(i) GROUP BY 1, 2) GROUP BY k)""")
+        steps.append(f"""s{r} AS (SELECT k, list(q ORDER BY i) AS c FROM (SELECT n.m[2] AS k, i, ((sum(v.v[i]) - ((sum(v.v[i]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS q FROM n{r} n JOIN v USING (id) CROSS JOIN range(1, {WIDTH + 1}) t(i) GROUP BY 1, 2) GROUP BY k)""")
         steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(s.c, c.c) AS c FROM c{r} c LEFT JOIN s{r} s USING (k))")
     steps.append(f"n{ROUNDS} AS MATERIALIZED ({near.format(ROUNDS)})")
     return f"""WITH {', '.join(steps)}
 SELECT v.vec_id, n.m[2]::INT AS cluster, n.m[1] AS distance, sum(n.m[1]) OVER (PARTITION BY n.m[2])::BIGINT AS cluster_inertia, sum(n.m[1]) OVER ()::BIGINT AS inertia,
-  sha256(list_aggregate(c.c, 'string_agg', ',')) AS centroid_sha256
+  sha256(array_to_string(c.c, ',')) AS centroid_sha256
 FROM n{ROUNDS} n JOIN v USING (id) JOIN c{ROUNDS} c ON c.k = n.m[2]"""
 
 

@@ -335,7 +335,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 
 
-SQL = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+SQL = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 g AS MATERIALIZED (SELECT r, doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
 f AS (SELECT s, min(doc_id) AS m FROM g GROUP BY s),
 gone AS (SELECT DISTINCT r, i + j AS p FROM g JOIN f USING (s) CROSS JOIN range(0, {WINDOW}) t(j) WHERE m < doc_id),
