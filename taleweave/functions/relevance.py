@@ -42,13 +42,3 @@ def trigram_similarity(a, b) -> Column:
 def reciprocal(rank: Column) -> Column:
     """Of a rank that starts at 1."""
     return F.lit(1.0) / (RRF_K + rank)
-
-
-def headline(text, terms: list[str], around: int = 15, most: int = 5) -> Column:
-    """Up to five stretches of words around matches, matches marked; an approximation of the database's fragments."""
-    w = F.split(F.trim(F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"\s+", " ")), " ")
-    bare = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
-    known = F.array(*[F.lit(t) for t in terms])
-    hits = F.slice(F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(known, bare(x)), i)), lambda i: i.isNotNull()), 1, most)
-    part = lambda i: F.array_join(F.transform(F.slice(w, F.greatest(i - around, F.lit(0)) + 1, F.lit(2 * around + 1)), lambda x: F.when(F.array_contains(known, bare(x)), F.concat(F.lit("<b>"), x, F.lit("</b>"))).otherwise(x)), " ")
-    return F.array_join(F.transform(hits, part), " ... ")

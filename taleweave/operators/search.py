@@ -11,9 +11,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import english
 from ..functions import relevance as R
 from ..functions import text as X
 from ..functions import vector as V
+from . import postings
 
 # Caps by kind, and how many rows a source fetches for a limit.
 DEFAULT_CAPS = {"memory": 24, "event": 10, "dialogue": 10, "snapshot": 8}
@@ -55,10 +57,12 @@ def nearest(rows: DataFrame, vector: list[float], limit: int) -> DataFrame:
 
 
 def ranked_text(rows: DataFrame, text: str, query: str, limit: int) -> DataFrame:
-    terms = terms_of(query)
+    """The best rows by the English OR rank, in one pass over the texts of the rows; `postings.ranked` reads an index instead."""
+    terms = english.query_lexemes(terms_of(query))
     if not terms:
         return rows.where(F.lit(False)).withColumn("rank", F.lit(0.0))
-    return rows.where(R.matches_any(text, terms)).withColumn("rank", F.round(R.or_rank(text, terms), 9)).orderBy(F.desc("rank"), "id").limit(limit)
+    found = rows.withColumn("_n", english.times_of(text, terms)).where(F.exists("_n", lambda n: n > 0))
+    return found.withColumn("rank", F.round(postings.or_rank(F.col("_n")), 9)).drop("_n").orderBy(F.desc("rank"), "id").limit(limit)
 
 
 def vector_memory(memory: DataFrame, chats, vector, limit: int = 5) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import relevance as R
 from ..functions import text as X
+from ..session import durable
+from . import similarity
 
 TTL_MESSAGES, FACT_SIMILARITY = 12, 0.45
 
@@ -24,7 +26,7 @@ def apply_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
     Keys are made canonical.  Only current rows of changed keys are closed, so history isn't sorted again.
     """
     new = changes.withColumn("key", X.state_key("key"))
-    new = versions(new, ["chat_id", "key"], ["valid_from", "source_message_index"])
+    new = versions(new, ["chat_id", "key"], ["valid_from", "source_message_index", *(["ord"] if "ord" in changes.columns else [])])
     first = new.groupBy("chat_id", "key").agg(F.min("valid_from").alias("_at"))
     closed = state.join(first, ["chat_id", "key"], "left").withColumn("valid_until", F.coalesce("valid_until", "_at")).drop("_at")
     return closed.select(*state.columns).unionByName(new.select(*state.columns))
@@ -96,9 +98,38 @@ greatest = lambda o, n: F.greatest(o, n)
 first = lambda o, n: F.coalesce(o, n)
 union = lambda o, n: F.array_distinct(F.filter(F.concat(F.coalesce(o, n), F.coalesce(n, o)), lambda x: F.trim(x) != ""))
 stays = lambda o, n: o
+
+
+
+def _order() -> Column:
+    return F.struct("message_index", "ord")
+
+
+def _filled(c: str) -> Column:
+    return F.coalesce(F.max_by(c, F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), _order())), F.min_by(c, _order()))
+
+
+def _all_of(c: str) -> Column:
+    lists = F.array_sort(F.collect_list(F.struct("message_index", "ord", F.col(c).alias("x"))))
+    return F.array_distinct(F.filter(F.flatten(F.transform(lists, lambda r: r["x"])), lambda x: F.trim(x) != ""))
+
+
+#: What each rule comes to over the rows of a batch, in the order of message_index and ord: the same as one merge after the other.
+FOLDS = {
+    keep_filled: _filled, union: _all_of, greatest: F.max, stays: lambda c: F.min_by(c, _order()), first: lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), _order())),
+}
+
+
+def fold(rows: DataFrame, keys: list[str], columns: list[str], rules: dict | None = None) -> DataFrame:
+    """One row for each key: what merging its rows one by one would leave.  rows have message_index and ord; columns without a rule keep the last value."""
+    rules = rules or {}
+    out = [FOLDS[rules[c]](c).alias(c) if c in rules else F.max_by(c, _order()).alias(c) for c in columns if c not in keys]
+    return rows.groupBy(*keys).agg(*out).select(*columns)
+
+
 CHARACTER_RULES = {"aliases": union, "description": keep_filled, "role": keep_filled, "status": keep_filled, "significance": greatest}
 #: An event that comes again brings a new summary and significance; where and when it stands stays.
-EVENT_RULES = {"source_text": keep_filled, "world_time": lambda o, n: keep_filled(o, F.trim(n)), "message_index": stays, "location_id": stays, "chat_id": stays, "ts": stays, "timestamp": stays}
+EVENT_RULES = {"source_text": keep_filled, "world_time": keep_filled, "message_index": stays, "location_id": stays, "chat_id": stays, "ts": stays, "timestamp": stays}
 ITEM_RULES = {"name": stays, "chat_id": first}
 LOCATION_RULES = {"description": keep_filled, "importance": greatest}
 PLOT_RULES = {"resolved_at": first}
@@ -116,29 +147,57 @@ def presence(history: DataFrame, arrivals: DataFrame) -> DataFrame:
     return old.select(*history.columns).unionByName(arrivals.withColumn("is_current", F.lit(True)).select(*history.columns))
 
 
-def match_facts(new: DataFrame, known: DataFrame, least: float = FACT_SIMILARITY, spread: int = 16) -> DataFrame:
+def arrivals(history: DataFrame, batch: DataFrame) -> DataFrame:
+    """The history (character_id, chat_id, message_index, ...) with a batch's arrivals; of each character in a chat the latest message's is current.
+
+    A message says once where a character is; what is there already stays, so that a batch that comes again changes nothing.
+    """
+    keys = ["character_id", "chat_id"]
+    both = insert_new(history, batch.withColumn("is_current", F.lit(False)), [*keys, "message_index"])
+    top = both.join(batch.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.max("message_index").alias("_top"))
+    now = F.when(F.col("_top").isNull(), F.col("is_current")).otherwise(F.col("message_index") == F.col("_top"))
+    return both.join(top, keys, "left").withColumn("is_current", now).select(*history.columns)
+
+
+def closings(state: DataFrame, before: DataFrame, over: DataFrame, moments: DataFrame, ttl: int = TTL_MESSAGES) -> DataFrame:
+    """The state after a batch's messages have superseded and expired rows, each at the first message that does so.
+
+    before: the state before the batch (its closed rows stay); over: chat_id, key, message_index, at of superseded keys;
+    moments: chat_id, message_index, at of the batch's messages.
+    """
+    said = lambda rows, *by: rows.groupBy(*by).agg(F.array_sort(F.collect_set(F.struct("message_index", "at"))).alias("_m"))
+    gone = said(over, "chat_id", "key").withColumnRenamed("_m", "_over")
+    seen = said(moments, "chat_id").withColumnRenamed("_m", "_seen")
+    done = before.where("valid_until IS NOT NULL").select("id", F.lit(True).alias("_done"))
+    rows = state.join(gone, ["chat_id", "key"], "left").join(seen, "chat_id", "left").join(done, "id", "left")
+    own = F.col("source_message_index")
+    superseded = F.get(F.filter("_over", lambda m: m["message_index"] >= own), F.lit(0))["at"]
+    expired = F.when(X.is_snapshot_key("key"), F.get(F.filter("_seen", lambda m: m["message_index"] - own > ttl), F.lit(0))["at"])
+    until = F.when(F.col("_done"), F.col("valid_until")).otherwise(F.least("valid_until", superseded, expired))
+    return rows.withColumn("valid_until", until).select(*state.columns)
+
+
+def match_facts(new: DataFrame, known: DataFrame, least: float = FACT_SIMILARITY) -> DataFrame:
     """new_id, id: the known fact of the same domain that each new one repeats; none is null.
 
-    Equal, contained either way, or trigram similarity above the limit; the longest, then the likest.
+    Equal, contained either way, or trigram similarity above the limit; the longest, then the likest.  Pairs meet by the
+    rarest trigrams, or by the rarest run of the contained text: never all facts of a domain with each other.
     """
-    def side(rows: DataFrame, key: str, text: str, grams: str) -> DataFrame:
-        # trigrams are made before the exchange: once for each fact, not once for each pair
-        return rows.select(F.col("id").alias(key), "domain", F.lower("content").alias(text), R.trigrams(F.lower("content")).alias(grams))
-
-    # domains are few: new facts are dealt over `spread` parts of each, which the known ones go to as well
-    n = side(new, "new_id", "a", "x").withColumn("part", F.pmod(F.xxhash64("new_id"), F.lit(spread)).cast("int"))
-    k = side(known, "id", "b", "y").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    pairs = n.join(k, ["domain", "part"]).where("new_id <> id")
-    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
-    inside = F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a"))
-    # the likeness can't exceed the ratio of the sizes
-    pairs = pairs.where(inside | (small > least * large))
-    common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - common
-    pairs = pairs.withColumn("like", F.when(union > 0, F.round(common / union, 9)).otherwise(0.0))
-    same = pairs.where(inside | (F.col("like") > least))
-    best = same.groupBy("new_id").agg(F.min(F.struct((-F.length("b")).alias("l"), (-F.col("like")).alias("s"), "id")).alias("m"))
-    return n.select("new_id").join(best.select("new_id", "m.id"), "new_id", "left")
+    def side(rows: DataFrame) -> DataFrame:
+        text = F.lower(F.coalesce("content", F.lit("")))
+        return durable(rows.select("id", F.col("domain").alias("block"), text.alias("text"), R.trigrams(text).alias("grams")))
+
+    n, k = side(new), side(known)
+    like = similarity.jaccard_pairs(n, k, least).select(F.col("l").alias("new_id"), F.col("r").alias("id"))
+    inside = similarity.contained_pairs(n, k).select(F.col("o").alias("new_id"), F.col("i").alias("id"))
+    around = similarity.contained_pairs(k, n).select(F.col("i").alias("new_id"), F.col("o").alias("id"))
+    pairs = like.unionByName(inside).unionByName(around).where("new_id <> id").distinct()
+    x, y = n.select(F.col("id").alias("new_id"), F.col("grams").alias("_x")), k.select("id", F.col("grams").alias("_y"), F.length("text").alias("_n"))
+    common = F.size(F.array_intersect("_x", "_y"))
+    union = F.size("_x") + F.size("_y") - common
+    same = pairs.join(x, "new_id").join(y, "id").withColumn("like", F.when(union > 0, F.round(common / union, 9)).otherwise(0.0))
+    best = same.groupBy("new_id").agg(F.min(F.struct((-F.col("_n")).alias("l"), (-F.col("like")).alias("s"), "id")).alias("m"))
+    return n.select(F.col("id").alias("new_id")).join(best.select("new_id", "m.id"), "new_id", "left")
 
 
 def clear_message(tables: dict[str, DataFrame], chat: str, index: int) -> dict[str, DataFrame]:

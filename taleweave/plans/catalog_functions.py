@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import random
+from ..functions import english, random
 from ..functions import relevance as R
 from ..functions import text as X
 from ..functions import vector as V
-from ..operators import state
+from ..operators import postings, state
 from ..sources import chat
 from .registry import query
 
@@ -52,8 +52,8 @@ _one(
 _one("fn_approx_stem", "part", "p_partkey", lambda t: X.approx_stem(F.lower(F.col("p_name"))), STEM.format("lower(p_name)"))
 _one("fn_meaningful", "documents", "doc_id", lambda t: F.array_join(X.meaningful_words("text"), " "), f"array_to_string({MEANINGFUL.format('text')}, ' ')")
 _one(
-    "fn_transient", "conversations", "conv_id * 100 + turn", lambda t: X.is_transient(F.substring("text", 1, 24), STATES),
-    f"coalesce(len({MEANINGFUL.format('substr(text, 1, 24)')}) <= 4 AND (list_contains({_list(STATES)}, {STEM.format('(' + MEANINGFUL.format('substr(text, 1, 24)') + ')[1]')}) OR list_contains({_list(STATES)}, ({MEANINGFUL.format('substr(text, 1, 24)')})[1])), false)",
+    "fn_transient", "conversations", "conv_id * 100 + turn", lambda t: X.is_transient("text", STATES),
+    f"coalesce(len({MEANINGFUL.format('text')}) <= 4 AND (list_contains({_list(STATES)}, {STEM.format('(' + MEANINGFUL.format('text') + ')[1]')}) OR list_contains({_list(STATES)}, ({MEANINGFUL.format('text')})[1])), false)",
 )
 query(
     "fn_disposition",
@@ -64,7 +64,11 @@ query(
       ELSE 'verify' END AS v FROM s""",
 )(lambda t: t("documents").select("doc_id", X.disposition("text", F.when(F.col("lang") == "en", F.lit("personality")).otherwise(F.col("lang")), ACCEPTED, EMOTIONS, AROUSAL).alias("v")))
 _one("fn_norm_content", "documents", "doc_id", lambda t: X.norm_content("text"), "regexp_replace(lower(text), '[^a-z0-9]', '', 'g')")
-_one("fn_tsvector", "documents", "doc_id", lambda t: F.md5(F.array_join(X.tokens("text"), " ")), f"md5(array_to_string({TOKENS.format('text')}, ' '))")
+query("fn_tsvector", f"""WITH {english.lexemes_sql('documents', 'doc_id', 'text')} SELECT d.doc_id, md5(coalesce(v, '')) AS v FROM documents d LEFT JOIN
+    (SELECT id, string_agg(chr(39) || stem || chr(39) || ':' || p, ' ' ORDER BY stem) AS v FROM (SELECT id, stem, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS p FROM lexemes GROUP BY id, stem) x GROUP BY id) y ON y.id = d.doc_id""")(
+    lambda t: t("documents").select("doc_id", F.md5(postings.vector_text(postings.postings("text"))).alias("v"))
+)
+query("fn_tsvector_simple", f"SELECT doc_id, md5(array_to_string({TOKENS.format('text')}, ' ')) AS v FROM documents")(lambda t: t("documents").select("doc_id", F.md5(F.array_join(X.tokens("text"), " ")).alias("v")))
 _one(
     "fn_or_tsquery", "benchmark", "item_id", lambda t: F.array_join(F.array_sort(X.query_terms("text")), " | "),
     f"array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains({STOPS}, w)))), ' | ')",
@@ -198,10 +202,20 @@ query("fn_trgm_match", f"SELECT item_id FROM benchmark WHERE round(len(list_inte
     lambda t: t("benchmark").where(F.round(R.trigram_similarity("text", F.lit(first_text(t))), 9) >= R.TRIGRAM_MATCH).select("item_id")
 )
 TERMS = ["the", "tion", "thea", "onan"]
-_RANK = " + ".join(f"CASE WHEN len(list_filter(w, lambda x: x = '{x}')) > 0 THEN list_sum(list_transform(range(1, len(list_filter(w, lambda x: x = '{x}')) + 1), lambda j: 1.0::DOUBLE / (j * j))) ELSE 0 END" for x in TERMS)
-query("fn_ts_rank", f"SELECT doc_id, round(({_RANK}) * (0.1 / 1.64493406685) / 4, 6) AS v FROM (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents) x")(lambda t: t("documents").select("doc_id", F.round(R.or_rank("text", TERMS), 6).alias("v")))
-query("fn_ts_match", f"SELECT doc_id FROM documents WHERE list_has_any({TOKENS.format('text')}, {_list(TERMS[1:])})")(lambda t: t("documents").where(R.matches_any("text", TERMS[1:])).select("doc_id"))
-query("fn_ts_headline")(lambda t: t("documents").where(R.matches_any("text", TERMS[2:])).select("doc_id", R.headline("text", TERMS[2:]).alias("v")))
+LEXEMES = english.query_lexemes(["edsts", "tioning", "thea", "onan", "the", "hations"])
+_LEX = english.lexemes_sql("documents", "doc_id", "text")
+_OWN = ", ".join(f"'{x}'" for x in LEXEMES)
+query("fn_ts_rank", f"""WITH {_LEX} SELECT d.doc_id, round(coalesce(v, 0) * (0.1 / 1.64493406685) / {len(LEXEMES)}, 6) AS v FROM documents d LEFT JOIN
+    (SELECT id, sum(list_sum(list_transform(range(1, n + 1), lambda j: 1.0::DOUBLE / (j * j)))) AS v FROM (SELECT id, stem, count(*) AS n FROM lexemes WHERE stem IN ({_OWN}) GROUP BY id, stem) x GROUP BY id) y ON y.id = d.doc_id""")(
+    lambda t: t("documents").select("doc_id", F.round(postings.or_rank(english.times_of("text", LEXEMES)), 6).alias("v"))
+)
+query("fn_ts_match", f"WITH {_LEX} SELECT DISTINCT id AS doc_id FROM lexemes WHERE stem IN ({_OWN})")(
+    lambda t: t("documents").where(F.exists(english.times_of("text", LEXEMES), lambda n: n > 0)).select("doc_id")
+)
+query("fn_ts_phrase", f"WITH {_LEX} SELECT DISTINCT a.id FROM lexemes a JOIN lexemes b ON b.id = a.id AND b.pos = a.pos + 1 WHERE a.stem = '{english.stem('tion')}' AND b.stem = '{english.stem('thea')}'")(
+    lambda t: postings.phrase(postings.build(t("documents").select(F.col("doc_id").alias("id"), "text"), "text", ["id"]), ["tion", "thea"], ("id",))
+)
+query("fn_ts_headline")(lambda t: t("documents").select("doc_id", english.headline("text", LEXEMES).alias("v")))
 _one("fn_rrf", "story_events", "id", lambda t: F.round(R.reciprocal(F.col("message_index") + 1), 9), "round(1.0::DOUBLE / (60 + message_index + 1), 9)")
 query("fn_recency", "SELECT id, round(0.003 * message_index / CAST(max(message_index) OVER (PARTITION BY chat_id) AS DOUBLE), 9) AS v FROM story_events")(
     lambda t: t("story_events").join(t("story_events").groupBy("chat_id").agg(F.max("message_index").alias("top")), "chat_id").select("id", F.round(R.RECENCY * F.col("message_index") / F.col("top"), 9).alias("v"))
@@ -242,8 +256,11 @@ query("fn_lore_char", f"SELECT doc_id, CASE WHEN {_PERSON} AND {_NAMED.format('c
 query("fn_lore_loc", f"SELECT doc_id, CASE WHEN {_PLACE} THEN CASE WHEN {_NAMED.format('c')} THEN c WHEN length(source) < 40 AND source <> '' THEN source END END AS v FROM (SELECT doc_id, text, source, {_WORD} AS c FROM documents) x")(
     lambda t: t("documents").select("doc_id", X.lore_location(_extra(), F.array("source"), F.concat("text", F.when(F.col("doc_id") % 3 == 0, " a village").otherwise(""))).alias("v"))
 )
+query("fn_stem_content", f"""WITH {english.lexemes_sql('traits', 'id', 'content')} SELECT t.id, coalesce(v, '') AS v FROM traits t LEFT JOIN (SELECT id, string_agg(DISTINCT stem, ' ' ORDER BY stem) AS v FROM lexemes GROUP BY id) x ON x.id = t.id""")(
+    lambda t: t("traits").select("id", F.array_join(F.array_sort(F.array_distinct(english.analysed("content")["terms"])), " ").alias("v"))
+)
 _one(
-    "fn_stem_content", "traits", "id", lambda t: F.array_join(F.array_sort(F.array_distinct(F.transform(X.meaningful_words("content"), lambda w: X.approx_stem(w)))), " "),
+    "fn_stem_approx", "traits", "id", lambda t: F.array_join(F.array_sort(F.array_distinct(F.transform(X.meaningful_words("content"), lambda w: X.approx_stem(w)))), " "),
     f"array_to_string(list_sort(list_distinct(list_transform({MEANINGFUL.format('content')}, lambda w: {STEM.format('w')}))), ' ')",
 )
 _one("fn_redact", "customer", "c_custkey", lambda t: X.redacted(F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name"))), "CASE WHEN c_custkey % 3 <> 0 THEN 'set:' || substr(c_name, 1, 4) || '…' END")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, pov, reads, search
+from ..functions import english
+from ..operators import graph, postings, pov, reads, search
 from . import render
-from .catalog_functions import TOKENS, TRIGRAMS, first_text, query_vector
+from .catalog_functions import TRIGRAMS, query_vector
 from .registry import query
 from .retrieve import Request, block, retrieve
 
@@ -17,33 +18,30 @@ _V = "CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])"
 _SIM = f"round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_V}), 9)"
 #: A fixed query, of words that the synthetic texts and events share.
 TEXT = "the urgent medium order thea tion onea supplier#000000007 and brand"
-TERMS = search.terms_of(TEXT)
 QUOTE = "tion thea onea"
 
 
-def _rank(text: str, terms: list[str]) -> str:
-    one = "CASE WHEN list_contains(w, '{0}') THEN list_sum(list_transform(range(1, len(list_filter(w, lambda x: x = '{0}')) + 1), lambda j: 1.0::DOUBLE / (j * j))) ELSE 0 END"
-    total = " + ".join(one.format(t) for t in terms)
-    return f"round((0.0::DOUBLE + {total}) * (0.1 / 1.64493406685) / {len(terms)}, 9)"
-
-
-def _any(terms: list[str]) -> str:
-    return "list_has_any(w, [" + ", ".join(f"'{t}'" for t in terms) + "])"
+def ranked_sql(rows: str, text: str, query_: str, limit: str) -> str:
+    """id, rank, message_index, chat_id of the best rows by English OR rank, the stems found by SQL rules of their own."""
+    terms = english.query_lexemes(search.terms_of(query_))
+    own = ", ".join(f"'{t}'" for t in terms)
+    return f"""SELECT id, rank, message_index, chat_id FROM (WITH hits AS (SELECT * FROM {rows} WHERE {_IN}), {english.lexemes_sql('hits', 'id', text)}
+      SELECT h.id, round(sum(list_sum(list_transform(range(1, c.n + 1), lambda j: 1.0::DOUBLE / (j * j)))) * (0.1 / 1.64493406685) / {len(terms)}, 9) AS rank, h.message_index, h.chat_id
+      FROM (SELECT id, stem, count(*) AS n FROM lexemes WHERE stem IN ({own}) GROUP BY id, stem) c JOIN hits h ON h.id = c.id GROUP BY h.id, h.message_index, h.chat_id) z ORDER BY rank DESC, id LIMIT {limit}"""
 
 
 MEM_VEC = f"SELECT id, {_SIM} AS similarity, message_index, chat_id FROM memory WHERE {_IN} ORDER BY similarity DESC, id LIMIT {{n}}"
-MEM_TEXT = f"SELECT id, {_rank('content', TERMS)} AS rank, message_index, chat_id FROM (SELECT *, {TOKENS.format('content')} AS w FROM memory WHERE {_IN}) x WHERE {_any(TERMS)} ORDER BY rank DESC, id LIMIT {{n}}"
+MEM_TEXT = ranked_sql("memory", "content", TEXT, "{n}")
 EVT_VEC = f"SELECT id, {_SIM} AS similarity, message_index, chat_id FROM event_vectors WHERE {_IN} ORDER BY similarity DESC, id LIMIT {{n}}"
-EVT_TEXT = f"SELECT id, {_rank('source_text', TERMS)} AS rank, message_index, chat_id FROM (SELECT *, {TOKENS.format('source_text')} AS w FROM story_events WHERE {_IN}) x WHERE {_any(TERMS)} ORDER BY rank DESC, id LIMIT {{n}}"
+EVT_TEXT = ranked_sql("story_events", "source_text", TEXT, "{n}")
 SNAP_VEC = f"SELECT id, {_SIM} AS similarity, message_index, chat_id FROM snapshots WHERE {_IN} ORDER BY similarity DESC, id LIMIT {{n}}"
 
 
 def _dialogue(q: str, n: int) -> str:
-    terms = search.terms_of(q)
     a, b = TRIGRAMS.format("quote"), TRIGRAMS.format(f"'{q}'")
     like = f"round(len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))::DOUBLE, 9)"
     return f"""SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 12) AS score, min(message_index) AS message_index, min(chat_id) AS chat_id FROM (
-      SELECT id, message_index, chat_id, row_number() OVER (ORDER BY rank DESC, id) AS r FROM (SELECT id, message_index, chat_id, {_rank('quote', terms)} AS rank FROM (SELECT *, {TOKENS.format('quote')} AS w FROM quotes WHERE {_IN}) x WHERE {_any(terms)} ORDER BY rank DESC, id LIMIT {2 * n}) t
+      SELECT id, message_index, chat_id, row_number() OVER (ORDER BY rank DESC, id) AS r FROM ({ranked_sql("quotes", "quote", q, str(2 * n))}) t
       UNION ALL SELECT id, message_index, chat_id, row_number() OVER (ORDER BY rank DESC, id) FROM (SELECT id, message_index, chat_id, {like} AS rank FROM quotes WHERE {_IN} AND {like} >= 0.3 ORDER BY rank DESC, id LIMIT {2 * n}) u) y
       GROUP BY id ORDER BY score DESC, id LIMIT {n}"""
 
@@ -53,6 +51,9 @@ _BOOST = f"SELECT id, significance, message_index, chat_id FROM story_events WHE
 
 query("se_vec_mem", MEM_VEC.format(n=5).replace("similarity, message_index, chat_id", "similarity"))(lambda t: search.vector_memory(t("memory"), CHATS, query_vector(t)).select("id", "similarity"))
 query("se_lex_mem", MEM_TEXT.format(n=5).replace("rank, message_index, chat_id", "rank"))(lambda t: search.text_memory(t("memory"), CHATS, TEXT).select("id", "rank"))
+query("se_lex_index", MEM_TEXT.replace(f"WHERE {_IN}", "WHERE true").format(n=50).replace("rank, message_index, chat_id", "rank"))(
+    lambda t: postings.ranked(postings.build(t("memory"), "content", ["id", "chat_id", "message_index"]), english.query_lexemes(search.terms_of(TEXT)), 50).select("id", "rank")
+)
 query("se_vec_evt", EVT_VEC.format(n=5).replace("similarity, message_index, chat_id", "similarity"))(lambda t: search.vector_events(t("event_vectors"), CHATS, query_vector(t)).select("id", "similarity"))
 query("se_lex_evt", EVT_TEXT.format(n=5).replace("rank, message_index, chat_id", "rank"))(lambda t: search.text_events(t("story_events"), CHATS, TEXT).select("id", "rank"))
 query("se_vec_snap", f"SELECT s.id, s.similarity, l.name AS location_name FROM (SELECT id, location_id, {_SIM} AS similarity FROM snapshots WHERE {_IN} ORDER BY similarity DESC, id LIMIT 5) s LEFT JOIN locations l ON l.id = s.location_id")(

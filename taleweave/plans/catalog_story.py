@@ -260,6 +260,28 @@ _reply = lambda prompt: '{"events": [{"summary": "' + hashlib.md5(prompt.encode(
 query("st_bulk", "SELECT 'evt-' || substr(sha1(md5(p) || '|' || chat_id || '|' || batch), 1, 16) AS id, chat_id, batch AS message_index FROM (SELECT chat_id, CAST(floor(message_index / 10) * 10 AS INT) AS batch, string_agg(name || ': ' || mes, chr(10) ORDER BY message_index) AS p FROM messages GROUP BY ALL) x")(
     lambda t: extraction.bulk({n: t.spark.createDataFrame([], s) for n, s in extraction.TABLES.items()}, t("messages"), _reply, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))["events"].select("id", "chat_id", "message_index")
 )
+_RECORD = """to_json(named_struct('characters', array(named_struct('name', concat('Teller ', o_custkey % 50), 'aliases', array(o_orderpriority), 'description', if(o_orderkey % 3 = 0, summary, ''), 'role', if(o_orderkey % 4 = 1, o_orderstatus, ''), 'significance', significance)),
+    'locations_detail', array(named_struct('name', location_id, 'description', if(o_orderkey % 5 = 2, summary, ''), 'importance', significance)), 'present', array(named_struct('character', concat('Teller ', o_custkey % 50), 'location', location_id))))"""
+
+
+def _extracted(t) -> dict:
+    rows = t("story_events").join(t("orders"), F.col("orderkey") == F.col("o_orderkey"))
+    raw = rows.select("chat_id", "message_index", F.col("ts").cast("timestamp_ntz").alias("at"), F.expr(_RECORD).alias("reply"))
+    return extraction.apply({n: t.spark.createDataFrame([], s) for n, s in extraction.TABLES.items()}, extraction.parse(raw))
+
+
+_SAID = "FROM (SELECT e.*, o.*, concat('Teller ', o_custkey % 50) AS who FROM story_events e JOIN orders o ON o.o_orderkey = e.orderkey) e GROUP BY"
+query("up_extraction", f"""SELECT chat_id, who AS name, coalesce(arg_max(summary, message_index) FILTER (o_orderkey % 3 = 0), '') AS description, coalesce(arg_max(o_orderstatus, message_index) FILTER (o_orderkey % 4 = 1), '') AS role,
+    max(significance) AS significance, count(DISTINCT o_orderpriority) AS aliases {_SAID} chat_id, who""")(
+    lambda t: _extracted(t)["characters"].select("chat_id", "name", "description", "role", "significance", F.size("aliases").cast("long").alias("aliases"))
+)
+query("up_extraction_places", f"SELECT max(e.location_id) AS name, coalesce(arg_max(summary, (message_index, chat_id)) FILTER (o_orderkey % 5 = 2), '') <> '' AS told, max(significance) AS importance {_SAID} e.location_id")(
+    lambda t: _extracted(t)["locations"].select("name", (F.col("description") != "").alias("told"), "importance")
+)
+query("up_extraction_presence", f"SELECT chat_id, who, count(*) AS arrivals, replace(arg_max(e.location_id, message_index), 'loc-', 'loc-loc-') AS place {_SAID} chat_id, who")(
+    lambda t: (lambda out: out["present_at"].groupBy(F.col("character_id").alias("id"), "chat_id").agg(F.count("*").alias("arrivals"), F.max(F.when(F.col("is_current"), F.col("location_id"))).alias("place"))
+    .join(out["characters"].select("id", "chat_id", F.col("name").alias("who")), ["id", "chat_id"]).select("chat_id", "who", "arrivals", "place"))(_extracted(t))
+)
 query("st_padding", "SELECT chat_id, message_index FROM (SELECT *, max(message_index) OVER (PARTITION BY chat_id) AS m FROM messages) x WHERE message_index <= m - 5")(lambda t: ingest.settled(t("messages")).select("chat_id", "message_index"))
 query("st_every_n", "SELECT chat_id, message_index FROM messages WHERE message_index % 3 = 0")(lambda t: ingest.every(t("messages"), 3).select("chat_id", "message_index"))
 query("st_retract", "SELECT id FROM story_events WHERE NOT (chat_id = 'BUILDING' AND message_index = 7)")(lambda t: state.clear_message({"events": t("story_events"), "participated": t("participated")}, "BUILDING", 7)["events"].select("id"))

@@ -51,18 +51,18 @@ ADAPTERS = {
         CASE WHEN s.significance >= 4 THEN 'tense' ELSE 'calm' END AS tone, e.embedding
         FROM story_events s CROSS JOIN vec_count c JOIN embeddings e ON e.vec_id = s.message_index % c.n_vec WHERE s.message_index % 20 = 0""",
     "snapshot_chars": "SELECT s.id AS snapshot_id, s.chat_id, s.message_index, c.id AS character_id, c.name FROM snapshots s JOIN participated p ON p.event_id = s.event_id JOIN characters c ON c.id = p.character_id",
-    "facts": """SELECT concat('fact-', substr(sha1(lower(substr(d.text, 1, 200))), 1, 16)) AS id, min(substr(d.text, 1, 200)) AS content,
+    "facts": """SELECT concat('fact-', substr(sha1(lower(d.text)), 1, 16)) AS id, min(d.text) AS content,
         min(CASE WHEN l.toxic = 1 THEN 'secret' WHEN l.quality = 0 THEN 'backstory' ELSE 'knowledge' END) AS domain
-        FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY sha1(lower(substr(d.text, 1, 200)))""",
-    "knows": """SELECT DISTINCT d.source AS character_id, concat('fact-', substr(sha1(lower(substr(d.text, 1, 200))), 1, 16)) AS fact_id, d.lang AS chat_id
+        FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY sha1(lower(d.text))""",
+    "knows": """SELECT DISTINCT d.source AS character_id, concat('fact-', substr(sha1(lower(d.text)), 1, 16)) AS fact_id, d.lang AS chat_id
         FROM documents d JOIN labels l ON l.doc_id = d.doc_id""",
-    "traits": """SELECT d.doc_id AS id, d.source AS character_id, d.lang AS category, substr(d.text, 1, 80) AS content, concat('t', d.doc_id % 4) AS source_chat,
+    "traits": """SELECT d.doc_id AS id, d.source AS character_id, d.lang AS category, d.text AS content, concat('t', d.doc_id % 4) AS source_chat,
         CASE WHEN d.doc_id % 5 = 4 THEN d.doc_id - 4 END AS canonical_id, d.doc_id % 7 AS merged_count, e.embedding
         FROM documents d CROSS JOIN vec_count c JOIN embeddings e ON e.vec_id = d.doc_id % c.n_vec""",
     "plot_threads": """SELECT concat('plot-', orderkey) AS id, e.chat_id, e.summary AS title, e.significance AS importance, o.o_orderstatus AS status,
         CASE WHEN o.o_orderstatus = 'F' THEN e.message_index END AS resolved_at, e.message_index AS planted_at FROM story_events e JOIN orders o ON o.o_orderkey = e.orderkey""",
     "plot_characters": "SELECT concat('plot-', orderkey) AS plot_id, concat('chr-c', custkey) AS character_id FROM story_events",
-    "quotes": """SELECT concat('q-', conv_id, '-', turn) AS id, concat('conv-', conv_id) AS chat_id, CAST(turn AS INT) AS message_index, role AS speaker, substr(text, 1, 400) AS quote FROM conversations""",
+    "quotes": """SELECT concat('q-', conv_id, '-', turn) AS id, concat('conv-', conv_id) AS chat_id, CAST(turn AS INT) AS message_index, role AS speaker, text AS quote FROM conversations""",
     "state_stream": """SELECT event_id, concat('u', user_id) AS chat_id, event_type AS key, CAST(value AS STRING) AS value, ts AS valid_from,
         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS source_message_index FROM events""",
     "world_state": """SELECT event_id AS id, chat_id, key, value, valid_from, lead(valid_from) OVER (PARTITION BY chat_id, key ORDER BY valid_from, event_id) AS valid_until,

@@ -213,3 +213,68 @@ def test_places_of_all_suppliers(spark, monkeypatch):
     }
     monkeypatch.setattr(registry, "Tables", lambda *_: tables.__getitem__)
     assert catalog.QUERIES["rd_locations"](spark, "").count() == n
+
+
+def _records(seed, n=14):
+    """Records of two chats that name the same few things again and again."""
+    import json
+    import random
+
+    rng = random.Random(seed)
+    some = lambda xs: rng.choice(xs)
+    rows = []
+    for i in range(n):
+        rec = {
+            "characters": [{"name": some(["Ann", "Bo", "Cy"]), "aliases": [some(["A", "B", " "])], "description": some(["", "tall", "old", None]), "role": some(["", "smith"]), "status": some([None, "alive"]), "significance": some([1, 5, None])} for _ in range(2)],
+            "relationships": [{"from": some(["Ann", "Bo"]), "to": "Cy", "sentiment": rng.random(), "intensity": some([0, 0.4]), "description": some([None, "d"])}],
+            "events": [{"key": "k1", "summary": some(["s1", "s2"]), "quote": some(["", "q"]), "participants": ["Ann", "Bo"], "location": some(["Inn", ""]), "significance": some([0, 4]), "world_time": some([" ", " noon "])}, {"key": "k2", "summary": "t", "participants": []}],
+            "event_chains": [{"from": "k1", "to": "k2", "type": "causal"}],
+            "world_state": [{"key": some(["Weather status", "gold", "battle"]), "value": str(i)}, {"key": "gold", "value": f"{i}b"}], "world_state_supersede": some([["gold"], ["weather"], []]),
+            "knowledge_updates": [{"character": "Ann", "content": some(["f1", "f2"]), "domain": None}],
+            "items": [{"name": "Sword", "owner": some(["Ann", "Bo", None]), "location": some(["Inn", None]), "status": some(["new", None])}],
+            "locations_detail": [{"name": "Inn", "description": some(["", "warm", "cold"]), "importance": some([1, 3])}],
+            "present": [{"character": some(["Ann", "Bo"]), "location": some(["Inn", "Port"])} for _ in range(2)],
+            "plot_threads": some([[], [{"title": "quest", "thread_type": some(["a", "b"]), "importance": i}]]),
+        }
+        rows.append([f"c{i % 2}", 7 * i, rec, json.dumps(rec)])
+    return rows
+
+
+def test_one_batch_equals_many(spark):
+    from taleweave.functions import text as X
+    from taleweave.streaming import extraction as E
+
+    ids = {c: spark.range(1).select(X.content_id("plot", F.lit(f"{c}|quest"))).first()[0] for c in ("c0", "c1")}
+    rows = _records(4)
+    for r in rows[3::3]:
+        r[2]["resolves_thread_ids"] = [ids[r[0]]]
+        r[3] = json.dumps(r[2])
+    raw = spark.createDataFrame([(c, i, j) for c, i, _, j in rows], "chat_id string, message_index int, reply string").withColumn("at", F.timestamp_seconds(F.col("message_index") * 60).cast("timestamp_ntz"))
+    empty = {n: spark.createDataFrame([], s) for n, s in E.TABLES.items()}
+
+    def run(steps):
+        tables = empty
+        for low, high in steps:
+            tables = {n: spark.createDataFrame(d.collect(), d.schema) for n, d in E.apply(tables, E.parse(raw.where(f"message_index BETWEEN {low} AND {high}"))).items()}
+        return {n: sorted((tuple(r) for r in d.collect()), key=str) for n, d in tables.items()}
+
+    whole = run([(0, 10_000)])
+    for name, got in run([(0, 20), (21, 50), (51, 10_000)]).items():
+        assert got == whole[name], name
+    for name, got in run([(0, 10_000), (0, 10_000)]).items():
+        if name != "world_state":
+            assert got == whole[name], name
+
+
+def test_failed_calls_are_returned(spark):
+    from taleweave.streaming import extraction as E
+
+    messages = spark.createDataFrame([("a", i, "n", f"m{i}") for i in range(30)], "chat_id string, message_index int, name string, mes string")
+
+    def generate(prompt):
+        if "m15" in prompt:
+            raise ValueError("no")
+        return "nothing" if "m25" in prompt else '{"events": [{"summary": "s"}]}'
+
+    out = E.bulk({n: spark.createDataFrame([], s) for n, s in E.TABLES.items()}, messages, generate, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    assert out["events"].count() == 1 and {r.message_index for r in out["failed"].collect()} == {10, 20}
