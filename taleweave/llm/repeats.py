@@ -37,6 +37,8 @@ from .common import compact, durable, frugal, join_small, small, stored, table
 WINDOW, GRAM = 13, 5
 #: Places of an anchor beyond which its windows are dealt one by one, and places that a shard has about.
 CROWD, SHARD = 2_000, 4_000
+#: Characters that a task looks at together: its arrays take about fifty times as many bytes.
+SLICE = 300_000
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 _NONE = hashlib.sha256(b"").digest()
 
@@ -95,7 +97,7 @@ def anchors(words: list[list[bytes]], window: int = WINDOW, gram: int = GRAM):
 
 def _scan(batches):
     """(batch, words of each text, key of each text) in slices: the key is the digest of the words joined by spaces."""
-    for batch in small(batches, "text"):
+    for batch in small(batches, "text", SLICE):
         words = [(t or "").encode().split() for t in batch.column("text").cast(pa.string()).to_pylist()]
         yield batch, words, [hashlib.sha256(b" ".join(w)).digest() for w in words]
 
@@ -116,15 +118,17 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def _anchored(docs: DataFrame, places: bool, window: int, gram: int) -> DataFrame:
-    """hash and short of each anchor, and with places its first window."""
+    """hash and short of each anchor, and with places `at`: 16 times its first window, and how many windows it has."""
+    if window - gram >= 15:
+        raise ValueError("an anchor has fewer than 16 windows")
 
     def run(batches):
         for _, words, keys in _scan(batches):
-            own, h, at, _ = anchors(words, window, gram)
-            columns = [pa.array(h), pa.array(_short(keys)[own]), *([pa.array(at.astype(np.int32))] if places else [])]
+            own, h, at, n = anchors(words, window, gram)
+            columns = [pa.array(h), pa.array(_short(keys)[own]), *([pa.array(16 * at + n)] if places else [])]
             yield pa.RecordBatch.from_arrays(columns, names=["hash", "short", "at"][: len(columns)])
 
-    return docs.select("text").mapInArrow(run, "hash long, short long" + ", at int" * places)
+    return docs.select("text").mapInArrow(run, "hash long, short long" + ", at long" * places)
 
 
 def shared_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -137,8 +141,9 @@ def _with_places(docs: DataFrame, rows: DataFrame, window: int, gram: int, crowd
     """_row, key, first, text and places of the smallest document of each class with shared anchors; and the number of shards."""
     shared = shared_anchors(docs, window, gram)
     shards = max(1, -(-int(shared.agg(F.sum(F.least("n", F.lit(crowd)))).first()[0] or 0) // SHARD))
-    marked = shared.select("hash", (F.col("n") > crowd).alias("crowded"))
-    places = join_small(_anchored(docs, True, window, gram), marked, ["hash"], "inner").groupBy("short").agg(F.collect_set(F.struct("at", "crowded")).alias("places"))
+    shard = F.when(F.col("n") > crowd, -1).otherwise(F.pmod("hash", F.lit(shards))).cast("long")  # -1: window by window
+    places = join_small(_anchored(docs, True, window, gram), shared.select("hash", shard.alias("shard")), ["hash"], "inner")
+    places = places.groupBy("short").agg(F.collect_set(F.struct("at", "shard")).alias("places"))
     firsts = rows.groupBy("key", "short").agg(F.min("doc_id").alias("first"))
     chosen = firsts.join(places, "short").select("key", "first", "places")
     schema = StructType([docs.schema["doc_id"], StructField("text", StringType()), StructField("key", BinaryType())])
@@ -149,32 +154,38 @@ def _with_places(docs: DataFrame, rows: DataFrame, window: int, gram: int, crowd
 
     texts = docs.mapInArrow(keyed, schema)
     both = texts.join(chosen, (texts["key"] == chosen["key"]) & texts["doc_id"].eqNullSafe(chosen["first"])).select(chosen["key"], "first", "text", "places")
-    return stored(both.withColumn("_row", F.monotonically_increasing_id()), "places"), shards
+    return stored(both.withColumn("_row", F.monotonically_increasing_id()), "places", "zstd"), shards
 
 
-def _pieces(found: DataFrame, shards: int, text: bool, window: int, gram: int) -> DataFrame:
-    """_row, first, at, pid of each piece, or first, piece, shard."""
-    own = [found.schema["first"]]
-    own = [*own, StructField("piece", BinaryType()), StructField("shard", IntegerType())] if text else [StructField("_row", LongType()), *own, StructField("at", IntegerType()), StructField("pid", BinaryType())]
+def _pieces(found: DataFrame, shards: int, text: bool, window: int) -> DataFrame:
+    """_row, first, at, p, q of each piece (p and q are its digest), or first, piece, shard."""
+    first = found.schema["first"]
+    own = [first, StructField("piece", BinaryType()), StructField("shard", IntegerType())] if text else [StructField("_row", LongType()), first, StructField("at", IntegerType()), StructField("p", LongType()), StructField("q", LongType())]
 
     def run(batches):
-        for batch in small(batches, "text"):
-            words = [(t or "").encode().split() for t in batch.column("text").to_pylist()]
-            wanted = [{p["at"]: p["crowded"] for p in x} for x in batch.column("places").to_pylist()]
-            doc, h, at, n = anchors(words, window, gram)
+        for batch in small(batches, "text", SLICE):
             there, starts, cuts, dealt = [], [], [], []
-            for d, x, i, m in zip(doc.tolist(), h.tolist(), at.tolist(), n.tolist(), strict=True):
-                crowded = wanted[d].get(i)
-                if crowded is None:
-                    continue
-                for j, size in ((j, window) for j in range(i, i + m)) if crowded else ((i, m + window - 1),):
-                    piece = b" ".join(words[d][j : j + size])
-                    there.append(d)
-                    starts.append(j)
-                    cuts.append(hashlib.md5(piece).digest() if not text else piece)
-                    dealt.append(int.from_bytes(hashlib.md5(piece).digest()[:6]) % shards if crowded and text else x % shards)
-            first = batch.column("first").take(pa.array(there, pa.int64()))
-            columns = [first, pa.array(cuts, pa.binary()), pa.array(dealt, pa.int32())] if text else [batch.column("_row").take(pa.array(there, pa.int64())), first, pa.array(starts, pa.int32()), pa.array(cuts, pa.binary())]
+            lists = batch.column("places")
+            at, shard = (lists.flatten().field(k).to_pylist() for k in (0, 1))
+            ends = np.cumsum(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)).tolist()
+            k = 0
+            for d, (t, end) in enumerate(zip(batch.column("text").to_pylist(), ends, strict=True)):
+                words = (t or "").encode().split()
+                for k in range(k, end):  # noqa: B020, PLW2901
+                    i, n = divmod(at[k], 16)
+                    for j, size in ((i, n + window - 1),) if shard[k] >= 0 else ((j, window) for j in range(i, i + n)):
+                        there.append(d)
+                        starts.append(j)
+                        cuts.append(b" ".join(words[j : j + size]))
+                        dealt.append(shard[k])
+                k = end
+            rows = pa.array(there, pa.int64())
+            if text:
+                dealt = [x if x >= 0 else int.from_bytes(hashlib.md5(c).digest()[:6]) % shards for x, c in zip(dealt, cuts, strict=True)]
+                columns = [batch.column("first").take(rows), pa.array(cuts, pa.binary()), pa.array(dealt, pa.int32())]
+            else:
+                digests = np.frombuffer(b"".join(hashlib.md5(c).digest() for c in cuts), np.int64).reshape(-1, 2)
+                columns = [batch.column("_row").take(rows), batch.column("first").take(rows), pa.array(starts, pa.int32()), pa.array(digests[:, 0]), pa.array(digests[:, 1])]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in own])
 
     return found.select("_row", "first", "text", "places").mapInArrow(run, StructType(own))
@@ -254,10 +265,10 @@ class Automaton:
 
 
 def first_documents(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
-    """pid and least: for each window of a distinct piece, the smallest document that has it; pieces that none of their documents repeats are left out."""
+    """p, q and least: for each window of a distinct piece, the smallest document that has it; pieces that none of their documents repeats are left out."""
     kind = pieces.schema["first"].dataType
     distinct = pieces.groupBy("piece", "shard").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.max(F.col("first").isNull()).alias("unknown"))
-    schema = StructType([StructField("pid", BinaryType()), StructField("least", ArrayType(kind))])
+    schema = StructType([StructField("p", LongType()), StructField("q", LongType()), StructField("least", ArrayType(kind))])
 
     def run(group: pa.Table) -> pa.Table:
         texts = [p.split() for p in group.column("piece").to_pylist()]
@@ -273,7 +284,8 @@ def first_documents(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
             if any(x is not None and (odd or x < largest) for x in found):
                 pids.append(hashlib.md5(piece).digest())
                 least.append(found)
-        return pa.table([pa.array(pids, pa.binary()), pa.array(least, pa.list_(group.schema.field("lo").type))], names=["pid", "least"])
+        digests = np.frombuffer(b"".join(pids), np.int64).reshape(-1, 2)
+        return pa.table([pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(least, pa.list_(group.schema.field("lo").type))], names=["p", "q", "least"])
 
     return distinct.groupBy("shard").applyInArrow(run, schema)
 
@@ -285,8 +297,8 @@ def _smaller(x: Column, y: Column) -> Column:
 def repeated_windows(docs: DataFrame, rows: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """key, text and gone (first words of the windows to remove) of each class whose smallest document repeats some."""
     found, shards = _with_places(docs, rows, window, gram, crowd)
-    answers = first_documents(_pieces(found, shards, True, window, gram), window)
-    each = _pieces(found, shards, False, window, gram).join(answers, "pid")
+    answers = first_documents(_pieces(found, shards, True, window), window)
+    each = _pieces(found, shards, False, window).join(answers, ["p", "q"])
     own = F.filter(F.transform("least", lambda x, i: F.when(_smaller(x, F.col("first")), F.col("at") + i)), lambda i: i.isNotNull())
     gone = each.select("_row", own.alias("gone")).where(F.size("gone") > 0).groupBy("_row").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     return found.select("_row", "key", "text").join(gone, "_row").drop("_row")
