@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import naming
 from .search import scope
 
 
@@ -30,7 +31,8 @@ def resolve(characters: DataFrame, names: DataFrame, chats=None, fallbacks: bool
     if chats:
         left = asked.where(F.length("form") >= 4).join(exact.select("name"), "name", "left_anti")
         longer = rows.where(F.col("chat_id").isin(chats) & (F.length("name") >= 4)).select("id", F.col("name").alias("own"), X.norm_name("name").alias("n"))
-        near = left.join(longer, F.col("form").contains(F.col("n")) | F.col("n").contains(F.col("form")))
+        met = naming.containing_either(left.select(F.col("name").alias("id"), F.col("form").alias("text")), longer.select("id", F.col("n").alias("text")).distinct())
+        near = met.select(F.col("l").alias("name"), F.col("r").alias("id")).join(longer, "id")
         best = F.row_number().over(Window.partitionBy("name").orderBy(F.desc(F.length("own")), "id"))
         parts.append(near.withColumn("r", best).where("r = 1").select("name", "id", F.lit("contained").alias("how"), F.lit(20).alias("rank")))
     out = parts[0]

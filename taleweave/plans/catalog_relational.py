@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..operators import arcs, evaluation, graph, search, traits
+from ..operators import arcs, evaluation, graph, naming, search, traits
 from . import catalog_functions as functions
 from .registry import query
 
@@ -64,6 +64,10 @@ query("jn_theta_contain", "SELECT n.n_name AS q, r.r_name AS name FROM nation n
     lambda t: t("nation").join(t("region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey").select("n_name", "r_name").select(F.col("n_name").alias("q"), F.concat("n_name", F.lit(" of "), "r_name").alias("text"), "r_name")
     .join(t("region").select(F.col("r_name").alias("name")), (F.length("name") >= 4) & (F.lower("text").contains(F.lower("name")) | F.lower("name").contains(F.lower("q")))).select("q", "name").distinct()
 )
+query("jn_mentions", "SELECT DISTINCT e.id, c.id AS name_id FROM story_events e JOIN (SELECT DISTINCT concat('b-', p_brand) AS id, p_brand AS name FROM part UNION ALL SELECT concat('o-', o_orderpriority), substr(o_orderpriority, 3) FROM orders GROUP BY o_orderpriority) c ON length(c.name) >= 2 AND regexp_matches(e.source_text, '(?i)(^|[^A-Za-z0-9_])' || regexp_escape(c.name) || '($|[^A-Za-z0-9_])')")(
+    lambda t: naming.mentioned_in(t("story_events").select("id", F.col("source_text").alias("text")), t("part").select(F.concat(F.lit("b-"), "p_brand").alias("name_id"), F.col("p_brand").alias("name")).distinct().unionByName(
+        t("orders").select(F.concat(F.lit("o-"), "o_orderpriority").alias("name_id"), F.substring("o_orderpriority", 3, 100).alias("name")).distinct()))
+)
 query("jn_compound", "SELECT DISTINCT p.character_id, e.id FROM present_at p JOIN story_events e ON e.location_id = p.location_id AND e.chat_id = p.chat_id WHERE p.is_current AND p.character_id LIKE 'chr-s%1'")(
     lambda t: t("present_at").where(F.col("is_current") & F.col("character_id").like("chr-s%1")).select("character_id", "location_id", "chat_id").distinct().join(t("story_events").select("id", "location_id", "chat_id"), ["location_id", "chat_id"]).select("character_id", "id")
 )
