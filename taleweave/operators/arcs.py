@@ -24,7 +24,8 @@ def pair_weights(events: DataFrame, participated: DataFrame, chains: DataFrame,
 
     events: id, chat_id, message_index, location_id, embedding.  A pair is formed once, where two blocks
     of the chat's order meet, so that a long chat is spread over tasks.  Without a chain the weight can't
-    reach the limit beyond 0.62 of the chat's span: such pairs are dropped before vectors are compared.
+    reach the limit beyond 0.62 of the chat's span, nor beyond 0.22 of it if the places differ: such pairs are dropped
+    before vectors are compared.
     """
     people = participated.groupBy(F.col("event_id").alias("id")).agg(F.collect_set("character_id").alias("people"))
     spans = events.groupBy("chat_id").agg(F.greatest(F.max("message_index") - F.min("message_index"), F.lit(1)).alias("span"))
@@ -40,8 +41,9 @@ def pair_weights(events: DataFrame, participated: DataFrame, chains: DataFrame,
     linked = chains.select(F.least("from_id", "to_id").alias("lo"), F.greatest("from_id", "to_id").alias("hi"), F.lit(1.0).alias("linked")).distinct()
     pairs = pairs.withColumns({"lo": F.least("x.id", "y.id"), "hi": F.greatest("x.id", "y.id"), "gap": F.abs(F.col("x.message_index") - F.col("y.message_index")) / F.col("span")})
     w = WEIGHTS
-    reach = (w["cosine"] + w["people"] * (1 - PEOPLE_FLOOR) + w["place"] - prune) / w["gap"]
-    pairs = pairs.join(linked, ["lo", "hi"], "left").where(F.col("linked").isNotNull() | (F.col("gap") <= reach + 1e-9))
+    here = F.when(F.col("x.location_id") == F.col("y.location_id"), w["place"]).otherwise(0.0)
+    reach = (w["cosine"] + w["people"] * (1 - PEOPLE_FLOOR) + here - prune) / w["gap"]
+    pairs = pairs.join(linked, ["lo", "hi"], "left").where(F.col("linked").isNotNull() | (F.col("gap") <= reach + F.lit(1e-9)))
     cos = F.greatest(F.lit(0.0), F.when((F.col("x.size") > 0) & (F.col("y.size") > 0), V.dot(F.col("x.embedding"), F.col("y.embedding")) / (F.col("x.size") * F.col("y.size"))).otherwise(0.0))
     shared = F.greatest(F.lit(0.0), V.jaccard(F.col("x.people"), F.col("y.people")) - PEOPLE_FLOOR)
     place = F.when(F.col("x.location_id") == F.col("y.location_id"), 1.0).otherwise(0.0)

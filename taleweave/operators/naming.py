@@ -26,12 +26,6 @@ def _words(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(_lower(c), F.lit("([a-z0-9_]+)"), F.lit(1)))
 
 
-def _pairs_of(c: Column) -> Column:
-    """Two neighbouring characters each, for names without words."""
-    last = F.length(c) - 1
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))).otherwise(X.strings([]))
-
-
 def mentioned_in(texts: DataFrame, names: DataFrame) -> DataFrame:
     """id, name_id: the names (name_id, name; two characters or more) that stand in the texts (id, text) as whole words, any case of ASCII letters.
 
@@ -42,7 +36,7 @@ def mentioned_in(texts: DataFrame, names: DataFrame) -> DataFrame:
     common = own.groupBy("key").agg(F.count(F.lit(1)).alias("_df"))
     keys = durable(own.join(common, "key").groupBy("name_id", "name").agg(F.min(F.struct("_df", (-F.length("key")).alias("l"), "key")).alias("k")).select("name_id", "name", "k.key"))
     wordless = not keys.where(~F.col("key").rlike("^[a-z0-9_]+$")).isEmpty()
-    said = F.array_union(_words(F.col("text")), _pairs_of(_lower(F.col("text")))) if wordless else _words(F.col("text"))
+    said = F.array_union(_words(F.col("text")), similarity.runs(_lower(F.col("text")), 2)) if wordless else _words(F.col("text"))
     met = texts.where(F.col("text").isNotNull()).select("id", F.explode(said).alias("key")).join(keys, "key").select("id", "name_id", "name").distinct()
     return met.join(texts.select("id", "text"), "id").where(X.mentions(F.col("text"), F.col("name"))).select("id", "name_id").distinct()
 

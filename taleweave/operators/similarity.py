@@ -42,10 +42,9 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return pairs.join(x, ["block", "l"]).join(y, ["block", "r"]).select("l", "r", like.alias("like")).where(F.col("like") > least)
 
 
-def _runs(text: Column, q: int) -> Column:
-    """Distinct runs of q characters; none if the text is shorter."""
-    last = F.length(text) - q + 1
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(q))))).otherwise(F.array().cast("array<string>"))
+def runs(text: Column, q: int) -> Column:
+    """Distinct runs of q characters, in one pass; none if the text is shorter."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
 
 
 def contained_pairs(outer: DataFrame, inner: DataFrame) -> DataFrame:
@@ -60,12 +59,12 @@ def contained_pairs(outer: DataFrame, inner: DataFrame) -> DataFrame:
     inner = inner.withColumn("q", q)
     grams = F.lit(None).cast("array<string>")
     for n in RUNS:
-        grams = F.when(F.col("q") == n, _runs(F.col("text"), n)).otherwise(grams)
+        grams = F.when(F.col("q") == n, runs(F.col("text"), n)).otherwise(grams)
     own = durable(inner.select("id", "block", "q", F.explode(F.coalesce(grams, F.array(F.lit("")))).alias("run")))
     df = own.groupBy("block", "q", "run").agg(F.count(F.lit(1)).alias("df"))
     keys = own.join(df, ["block", "q", "run"]).groupBy("id", "block", "q").agg(F.min(F.struct("df", "run")).alias("k")).select(F.col("id").alias("i"), "block", "q", "k.run")
     wanted = durable(keys)
-    offered = outer.select("id", "block", F.explode(F.array(F.struct(F.lit(0).alias("q"), F.array(F.lit("")).alias("runs")), *[F.struct(F.lit(n).alias("q"), _runs(F.col("text"), n).alias("runs")) for n in RUNS])).alias("s"))
+    offered = outer.select("id", "block", F.explode(F.array(F.struct(F.lit(0).alias("q"), F.array(F.lit("")).alias("runs")), *[F.struct(F.lit(n).alias("q"), runs(F.col("text"), n).alias("runs")) for n in RUNS])).alias("s"))
     offered = offered.select(F.col("id").alias("o"), "block", "s.q", F.explode("s.runs").alias("run"))
     pairs = offered.join(wanted, ["block", "q", "run"]).select("block", "o", "i")
     x, y = outer.select("block", F.col("id").alias("o"), F.col("text").alias("_x")), inner.select("block", F.col("id").alias("i"), F.col("text").alias("_y"))

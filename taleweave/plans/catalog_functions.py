@@ -78,8 +78,8 @@ query(
     "SELECT doc_id, CAST(i AS INT) AS chunk, substr(text, i * 1600 + 1, 2000) AS piece FROM (SELECT doc_id, text, unnest(range(0, CAST(1 + greatest(ceil((length(text) - 2000) / 1600.0), 0) AS BIGINT))) AS i FROM documents) x",
 )(lambda t: t("documents").select("doc_id", F.posexplode(X.chunks("text")).alias("chunk", "piece")))
 _one(
-    "fn_quotes", "documents", "doc_id", lambda t: F.array_join(X.quotes(F.concat(F.lit('say "'), F.substring("text", 1, 60), F.lit('" and “'), F.substring("text", 61, 5), F.lit("” "), "text")), "|"),
-    """array_to_string(list_filter(list_transform(regexp_extract_all(concat('say "', substr(text, 1, 60), '" and “', substr(text, 61, 5), '” ', text), '["“]([^"“”\\n]{4,400})["”]', 1), lambda x: trim(x)), lambda x: length(x) >= 4), '|')""",
+    "fn_quotes", "documents", "doc_id", lambda t: F.array_join(X.quotes(F.concat(F.lit('say "'), "source", F.lit('" and “'), "lang", F.lit("” "), "text")), "|"),
+    """array_to_string(list_filter(list_transform(regexp_extract_all(concat('say "', source, '" and “', lang, '” ', text), '["“]([^"“”\\n]{4,400})["”]', 1), lambda x: trim(x)), lambda x: length(x) >= 4), '|')""",
 )
 _one(
     "fn_strip_meta", "pages", "page_id", lambda t: F.md5(X.strip_blocks("html", ("script", "style"))),

@@ -49,26 +49,32 @@ query("gr_degree", f"WITH {_E} SELECT id, count(*) AS degree FROM (SELECT src AS
 
 # arcs, over all events of each chat
 _EVERY = "every_event AS (SELECT s.*, v.embedding FROM story_events s JOIN event_vectors v ON v.id = s.id)"
+#: Pairs are met by their distance in time, which a shared place stretches, then by what the vectors can still bring, and then weighed; linked events always.
 _PAIRS = f"""{_EVERY}, ppl AS (SELECT event_id, list(DISTINCT character_id) AS p FROM participated GROUP BY event_id), span AS (SELECT chat_id, greatest(max(message_index) - min(message_index), 1) AS s FROM every_event GROUP BY chat_id),
     link AS (SELECT DISTINCT least(from_id, to_id) AS lo, greatest(from_id, to_id) AS hi FROM chains),
-    w AS (SELECT a.chat_id, a.id AS a, b.id AS b, round(0.5::DOUBLE * (CASE WHEN l.lo IS NULL THEN 0 ELSE 1 END) + 0.6::DOUBLE * greatest(0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))
+    ev AS MATERIALIZED (SELECT e.chat_id, e.id, e.message_index, e.location_id, CAST(e.embedding AS DOUBLE[]) AS v, s.s FROM every_event e JOIN span s ON s.chat_id = e.chat_id),
+    near AS (SELECT a.id AS a, b.id AS b FROM ev a JOIN ev b ON b.chat_id = a.chat_id AND (a.message_index, a.id) < (b.message_index, b.id) AND b.message_index <= a.message_index + ceil(0.62 * a.s) + 1
+      AND abs(a.message_index - b.message_index) / a.s::DOUBLE <= 0.220001 + CASE WHEN a.location_id = b.location_id THEN 0.4 ELSE 0 END
+      WHERE 0.6 * greatest(0, list_cosine_similarity(a.v, b.v)) + 0.120001 + CASE WHEN a.location_id = b.location_id THEN 0.4 ELSE 0 END - abs(a.message_index - b.message_index) / a.s::DOUBLE >= 0.5),
+    met AS (SELECT a, b FROM near UNION SELECT a.id, b.id FROM link l JOIN ev x ON x.id = l.lo JOIN ev y ON y.id = l.hi AND y.chat_id = x.chat_id JOIN ev a ON a.id = CASE WHEN (x.message_index, x.id) < (y.message_index, y.id) THEN x.id ELSE y.id END JOIN ev b ON b.id = CASE WHEN a.id = x.id THEN y.id ELSE x.id END AND (a.message_index, a.id) < (b.message_index, b.id)),
+    w AS (SELECT a.chat_id, a.id AS a, b.id AS b, round(0.5::DOUBLE * (CASE WHEN l.lo IS NULL THEN 0 ELSE 1 END) + 0.6::DOUBLE * greatest(0, list_cosine_similarity(a.v, b.v))
       + 0.2::DOUBLE * greatest(0, CASE WHEN len(coalesce(p.p, [])) > 0 AND len(coalesce(q.p, [])) > 0 THEN len(list_intersect(p.p, q.p)) / len(list_distinct(list_concat(p.p, q.p)))::DOUBLE ELSE 0 END - 0.4)
-      + 0.4::DOUBLE * (CASE WHEN a.location_id = b.location_id THEN 1 ELSE 0 END) - abs(a.message_index - b.message_index) / s.s::DOUBLE, 9) AS w
-      FROM every_event a JOIN every_event b ON b.chat_id = a.chat_id AND (a.message_index, a.id) < (b.message_index, b.id) JOIN span s ON s.chat_id = a.chat_id
+      + 0.4::DOUBLE * (CASE WHEN a.location_id = b.location_id THEN 1 ELSE 0 END) - abs(a.message_index - b.message_index) / a.s::DOUBLE, 9) AS w
+      FROM met JOIN ev a ON a.id = met.a JOIN ev b ON b.id = met.b
       LEFT JOIN ppl p ON p.event_id = a.id LEFT JOIN ppl q ON q.event_id = b.id LEFT JOIN link l ON l.lo = least(a.id, b.id) AND l.hi = greatest(a.id, b.id)),
     kept AS (SELECT * FROM w WHERE w >= 0.5)"""
 _every = lambda t: t("story_events").join(t("event_vectors").select("id", "embedding"), "id")
 _weights = lambda t: arcs.pair_weights(_every(t).select("id", "chat_id", "message_index", "location_id", "embedding"), t("participated"), t("chains"))
-query("gr_event_graph", f"WITH {_PAIRS} SELECT chat_id, a, b, round(w, 6) AS w FROM kept", slow=True)(lambda t: _weights(t).withColumn("w", F.round("w", 6)))
-query("jn_pairs", f"WITH {_PAIRS} SELECT chat_id, count(*) AS n, round(sum(w), 4) AS total FROM kept GROUP BY chat_id", slow=True)(lambda t: _weights(t).groupBy("chat_id").agg(F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("total")))
-query("fn_edge_w", f"WITH {_PAIRS} SELECT chat_id, round(max(w), 6) AS most, round(min(w), 6) AS least FROM kept GROUP BY chat_id", slow=True)(lambda t: _weights(t).groupBy("chat_id").agg(F.round(F.max("w"), 6).alias("most"), F.round(F.min("w"), 6).alias("least")))
-query("gr_dryrun", f"WITH {_PAIRS}, n AS (SELECT chat_id, count(*) AS n FROM every_event GROUP BY chat_id), e AS (SELECT chat_id, count(*) AS m FROM kept GROUP BY chat_id) SELECT n.chat_id, n.n AS events, coalesce(m, 0) AS edges, round(2 * coalesce(m, 0) / n::DOUBLE, 6) AS degree FROM n LEFT JOIN e ON e.chat_id = n.chat_id", slow=True)(
+query("gr_event_graph", f"WITH {_PAIRS} SELECT chat_id, a, b, CAST(round(w * 1000000000) AS BIGINT) AS w FROM kept")(lambda t: _weights(t).withColumn("w", F.round(F.col("w") * 1_000_000_000).cast("long")))
+query("jn_pairs", f"WITH {_PAIRS} SELECT chat_id, count(*) AS n, round(sum(w), 4) AS total FROM kept GROUP BY chat_id")(lambda t: _weights(t).groupBy("chat_id").agg(F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("total")))
+query("fn_edge_w", f"WITH {_PAIRS} SELECT chat_id, round(max(w), 6) AS most, round(min(w), 6) AS least FROM kept GROUP BY chat_id")(lambda t: _weights(t).groupBy("chat_id").agg(F.round(F.max("w"), 6).alias("most"), F.round(F.min("w"), 6).alias("least")))
+query("gr_dryrun", f"WITH {_PAIRS}, n AS (SELECT chat_id, count(*) AS n FROM every_event GROUP BY chat_id), e AS (SELECT chat_id, count(*) AS m FROM kept GROUP BY chat_id) SELECT n.chat_id, n.n AS events, coalesce(m, 0) AS edges, round(2 * coalesce(m, 0) / n::DOUBLE, 6) AS degree FROM n LEFT JOIN e ON e.chat_id = n.chat_id")(
     lambda t: _every(t).groupBy("chat_id").agg(F.count("*").alias("events")).join(_weights(t).groupBy("chat_id").agg(F.count("*").alias("edges")), "chat_id", "left").na.fill(0).withColumn("degree", F.round(2 * F.col("edges") / F.col("events"), 6))
 )
 query("fn_density", f"""WITH {_PAIRS}, m AS (SELECT f.chat_id, f.id, a.arc_id AS c FROM every_event f JOIN arc_events a ON a.event_id = f.id), n AS (SELECT chat_id, count(*) AS n FROM m GROUP BY chat_id), e AS (SELECT chat_id, count(*) AS m FROM kept GROUP BY chat_id),
     k AS (SELECT chat_id, c, count(*) AS k FROM m GROUP BY chat_id, c), i AS (SELECT x.c, count(*) AS i FROM kept t JOIN m x ON x.id = t.a JOIN m y ON y.id = t.b AND y.c = x.c GROUP BY x.c)
     SELECT k.c AS community, CASE WHEN coalesce(e.m, 0) * (k * (k - 1) / 2.0) / greatest(1, n * (n - 1) / 2.0) > 0 THEN round(coalesce(i, 0) / (e.m * (k * (k - 1) / 2.0) / greatest(1, n * (n - 1) / 2.0)), 6) ELSE 0 END AS density
-    FROM k JOIN n ON n.chat_id = k.chat_id LEFT JOIN e ON e.chat_id = k.chat_id LEFT JOIN i ON i.c = k.c""", slow=True)(
+    FROM k JOIN n ON n.chat_id = k.chat_id LEFT JOIN e ON e.chat_id = k.chat_id LEFT JOIN i ON i.c = k.c""")(
     lambda t: arcs.density(_every(t).select("chat_id", "id").join(t("arc_events").select(F.col("event_id").alias("id"), F.col("arc_id").alias("community")), "id"), durable(_weights(t))).select("community", F.round("density", 6).alias("density"))
 )
 query("gr_louvain")(lambda t: arcs.communities(_every(t), _weights(t)))
