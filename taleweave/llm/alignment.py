@@ -41,6 +41,8 @@ A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe
 REMEMBERED, BROADCAST_PAIRS = 200_000, 1_000_000
 #: Characters of the documents whose distinct chunks are aligned together.
 SHELF = 1_000_000
+#: Shelves of a file in between: a reader holds them together.
+FILE_SHELVES = 2
 #: What the byte-level tokenizer's pre-tokenizer cuts a text by (fixed value, public).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CUT, _RUN = re.compile(r"(?<=\S) "), re.compile(r"\s ")
@@ -328,7 +330,7 @@ def weights(rows: DataFrame, counts: DataFrame, most: int = BROADCAST_PAIRS) ->
 
 def linked(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, most: int = BROADCAST_PAIRS) -> DataFrame:
     """One row for each document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    rows = stored(summary(docs, a_file, b_file).withColumn("_row", F.monotonically_increasing_id()), "links", "zstd")
+    rows = stored(summary(docs, a_file, b_file).withColumn("_row", F.monotonically_increasing_id()), "links", "zstd", FILE_SHELVES)
     sums = weights(rows, pair_counts(rows), most)
     whole = rows.drop("links").join(sums, "_row", "left")
     long = lambda c: F.coalesce(c, F.lit(0)).cast("long")

@@ -38,11 +38,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """A durable copy as a compressed table in the shared folder: for wide rows, and for row ids that must stay."""
+def stored(df: DataFrame, name: str, codec: str = "snappy", file_rows: int = 0) -> DataFrame:
+    """A durable copy as a compressed table in the shared folder: for wide rows, and for row ids that must stay.
+
+    Readers take a file's rows in batches, so very wide rows come with few rows a file.
+    """
     use_checkpoints(df.sparkSession)
     path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("maxRecordsPerFile", file_rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
