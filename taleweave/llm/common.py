@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,18 @@ def stored(df: DataFrame, name: str, codec: str = "snappy", file_rows: int = 0)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Inside, an action's shuffle files go when it ends: for steps that leave a durable copy.  The session's own setting comes back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A durable copy of narrow rows in no more partitions than they fill: a few rows of many tasks make few files in later shuffles."""
     copy = durable(df)

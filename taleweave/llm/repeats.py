@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import compact, durable, frugal, join_small, small, stored, table
+from .common import compact, durable, frugal, join_small, shuffles_dropped, small, stored, table
 
 WINDOW, GRAM = 13, 5
 #: Places of an anchor beyond which its windows are dealt one by one, and places that a shard has about.
@@ -318,7 +318,9 @@ def spans(starts: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row."""
     docs = frugal(docs.select("doc_id", "text"))
-    rows = durable(classes(docs))
+    with shuffles_dropped(docs.sparkSession):
+        rows = durable(classes(docs))
+        windows = repeated_windows(docs, rows, window, gram, crowd)
     schema = StructType([StructField("key", BinaryType()), StructField("n", LongType()), StructField("kept", BinaryType())])
 
     def cut(batches):
@@ -334,7 +336,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
                 kept.append(hashlib.sha256(b" ".join(left)).digest())
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(kept, pa.binary())], names=schema.names)
 
-    found = repeated_windows(docs, rows, window, gram, crowd).mapInArrow(cut, schema)
+    found = windows.mapInArrow(cut, schema)
     found = found.groupBy("key").agg(F.first("n").alias("n"), F.first("kept").alias("kept"))  # rows with one id and one text
     about = rows.groupBy("key").agg(F.min("doc_id").alias("first")).join(found, "key", "left")
     first, long = F.col("doc_id").eqNullSafe(F.col("first")), F.col("n_words") >= window
