@@ -57,7 +57,7 @@ def clean(state: DataFrame, now: Column) -> DataFrame:
 
 
 def merge(table: DataFrame, batch: DataFrame, keys: list[str], rules: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
-    """Keyed upsert.  rules: column -> f(old, new); any other column takes the new value.
+    """Keyed upsert.  rules: column -> f(old, new); any other column takes the new value.  A rule in `ARRIVES` also says what a new row's value becomes.
 
     batch has one row for each key (see `latest`).  One full join on the key, which a table bucketed by it
     takes without a shuffle.
@@ -73,7 +73,8 @@ def merge(table: DataFrame, batch: DataFrame, keys: list[str], rules: dict[str,
             pick[c] = F.col(f"o.{c}")
         else:
             o, n = F.col(f"o.{c}"), F.col(f"n.{c}")
-            pick[c] = F.when(F.col("n").isNull(), o).when(F.col("o").isNull(), n).otherwise(rules[c](o, n) if c in rules else n)
+            arrives = ARRIVES.get(rules.get(c), lambda x: x)
+            pick[c] = F.when(F.col("n").isNull(), o).when(F.col("o").isNull(), arrives(n)).otherwise(rules[c](o, n) if c in rules else n)
     return both.select(*[pick[c].alias(c) for c in table.columns])
 
 
@@ -92,13 +93,21 @@ def replace(table: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(batch.select(*keys), keys, "left_anti").select(*table.columns).unionByName(batch.dropDuplicates(keys).select(*table.columns))
 
 
+#: White space around a text, as JavaScript's trim sees it.
+BLANKS = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 # what a column does when a row comes again
 keep_filled = lambda o, n: F.coalesce(F.nullif(n, F.lit("")), o)
+trimmed = lambda n: F.nullif(F.regexp_replace(n, f"^[{BLANKS}]+|[{BLANKS}]+$", ""), F.lit(""))
+keep_trimmed = lambda o, n: F.coalesce(trimmed(n), o)
 greatest = lambda o, n: F.greatest(o, n)
 first = lambda o, n: F.coalesce(o, n)
 union = lambda o, n: F.array_distinct(F.filter(F.concat(F.coalesce(o, n), F.coalesce(n, o)), lambda x: F.trim(x) != ""))
 stays = lambda o, n: o
 
+#: Rules that change the value of a new row as well.
+ARRIVES = {keep_trimmed: trimmed}
+
 
 
 def _order() -> Column:
@@ -116,7 +125,7 @@ def _all_of(c: str) -> Column:
 
 #: What each rule comes to over the rows of a batch, in the order of message_index and ord: the same as one merge after the other.
 FOLDS = {
-    keep_filled: _filled, union: _all_of, greatest: F.max, stays: lambda c: F.min_by(c, _order()), first: lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), _order())),
+    keep_filled: _filled, keep_trimmed: lambda c: F.max_by(trimmed(F.col(c)), F.when(trimmed(F.col(c)).isNotNull(), _order())), union: _all_of, greatest: F.max, stays: lambda c: F.min_by(c, _order()), first: lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), _order())),
 }
 
 
@@ -129,7 +138,7 @@ def fold(rows: DataFrame, keys: list[str], columns: list[str], rules: dict | Non
 
 CHARACTER_RULES = {"aliases": union, "description": keep_filled, "role": keep_filled, "status": keep_filled, "significance": greatest}
 #: An event that comes again brings a new summary and significance; where and when it stands stays.
-EVENT_RULES = {"source_text": keep_filled, "world_time": keep_filled, "message_index": stays, "location_id": stays, "chat_id": stays, "ts": stays, "timestamp": stays}
+EVENT_RULES = {"source_text": keep_filled, "world_time": keep_trimmed, "message_index": stays, "location_id": stays, "chat_id": stays, "ts": stays, "timestamp": stays}
 ITEM_RULES = {"name": stays, "chat_id": first}
 LOCATION_RULES = {"description": keep_filled, "importance": greatest}
 PLOT_RULES = {"resolved_at": first}

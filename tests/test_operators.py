@@ -46,6 +46,17 @@ def test_merge_twice_is_once(spark):
     assert rows(state.merge(once, batch, ["id"], rules), "id", "name", "size") == rows(once, "id", "name", "size")
 
 
+def test_time_of_event_is_trimmed(spark):
+    """Blank times keep the old one; others lose the white space around them, in new rows too, by one batch or folded."""
+    schema = "id string, world_time string"
+    table = spark.createDataFrame([("a", "noon"), ("b", "noon")], schema)
+    batch = spark.createDataFrame([("a", " later\u00a0\n"), ("b", " \t"), ("c", "\u3000dusk "), ("d", " ")], schema)
+    want = [("a", "later"), ("b", "noon"), ("c", "dusk"), ("d", None)]
+    assert rows(state.merge(table, batch, ["id"], state.EVENT_RULES), "id", "world_time") == want
+    twice = batch.withColumns({"message_index": F.lit(1), "ord": F.lit(0)}).unionByName(batch.select("id", F.lit("\t").alias("world_time"), F.lit(2).alias("message_index"), F.lit(0).alias("ord")))
+    assert rows(state.merge(table, state.fold(twice, ["id"], ["id", "world_time"], state.EVENT_RULES), ["id"], state.EVENT_RULES), "id", "world_time") == want
+
+
 def test_breadth_first(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("x", "y")], "src string, dst string").withColumns({"src_type": F.lit("t"), "dst_type": F.lit("t"), "edge": F.lit("e")})
     seeds = spark.createDataFrame([("a", "t")], "id string, type string")
