@@ -2,53 +2,181 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..functions.random import Mulberry32
 from ..functions.text import arc_title, content_id
+from ..session import durable
 
 # Weights, floors, sizes and resolutions.
 WEIGHTS = {"causal": 0.5, "cosine": 0.6, "people": 0.2, "place": 0.4, "gap": 1.0}
 PRUNE, PEOPLE_FLOOR = 0.5, 0.4
 LEAST_EVENTS, LEAST_MEMBERS, HIERARCHY_FROM, SEED = 4, 3, 100, 42
 LEVELS = {"super": (0, 0.25), "arc": (1, 0.5), "episode": (2, 1.0)}
-BLOCK = 64
+#: Events of a block, of a tile of it that is weighed at once, and pairs whose vectors are gathered at once.
+BLOCK, TILE, PART = 8192, 256, 100_000
+
+
+def _side(rows: pa.Table) -> dict:
+    """What the weighing of a block's events needs, in the chat's order."""
+    rows = rows.take(pc.sort_indices(rows, [("message_index", "ascending"), ("id", "ascending")])).combine_chunks()
+    get = lambda c: rows.column(c).chunk(0) if rows.num_rows else rows.schema.field(c).type
+    vectors, n = get("embedding"), rows.num_rows
+    sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    units = np.zeros((n, sizes.max(initial=0)))
+    for d in np.unique(sizes[sizes > 0]):
+        own = np.flatnonzero(sizes == d)
+        m = vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), d)
+        length = np.sqrt((m * m).sum(1))
+        units[own, :d] = np.divide(m, length[:, None], out=np.zeros_like(m), where=length[:, None] > 0)
+    return {"id": get("id"), "at": get("message_index").to_numpy(zero_copy_only=False).astype(float), "units": units, "sizes": sizes, "place": get("location_id"), "people": get("people"), "links": get("links")}
+
+
+def _members(x: dict, y: dict, field: str, other: str) -> tuple[np.ndarray, ...]:
+    """(row of x, code), (row of y, code, sorted by code) of two lists' members, numbered alike; and how many codes."""
+    flat = []
+    for side, name in ((x, field), (y, other)):
+        c = side[name]
+        listed = pa.types.is_list(c.type)
+        flat.append((pc.list_parent_indices(c).to_numpy() if listed else np.arange(len(c)), c.flatten() if listed else c))
+    codes = pa.concat_arrays([v for _, v in flat]).dictionary_encode()
+    all_codes = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    cut = len(flat[0][1])
+    by = np.argsort(all_codes[cut:], kind="stable")
+    return flat[0][0], all_codes[:cut], flat[1][0][by], all_codes[cut:][by]
+
+
+def _met(left: tuple, rows: slice, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row * width + column, members shared) of the pairs of a tile that share any, in order."""
+    xr, xc, yr, yc = left
+    own = slice(*np.searchsorted(xr, [rows.start, rows.stop]))
+    xr, xc = xr[own] - rows.start, xc[own]
+    lo, hi = np.searchsorted(yc, xc, "left"), np.searchsorted(yc, xc, "right")
+    n = np.where(xc >= 0, hi - lo, 0)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    r, c = np.repeat(xr, n), yr[at]
+    near = c < width
+    return np.unique(r[near] * width + c[near], return_counts=True)
+
+
+def _weigh(x: dict, y: dict, same_block: bool, here: bool, span: float, prune: float):
+    """(rows of x, rows of y, weight) of the unlinked pairs that may reach the limit, a tile at a time.  here: pairs of one place, else of different ones.
+
+    Single precision picks the pairs that vectors, place and time bring near the limit; those whose people are alike come
+    along.  Only they are weighed, in double precision.
+    """
+    w = WEIGHTS
+    stay = w["place"] if here else 0.0
+    reach = (w["cosine"] + w["people"] * (1 - PEOPLE_FLOOR) + stay - prune) / w["gap"] + 1e-9
+    people, linked = _members(x, y, "people", "people"), _members(x, y, "links", "id")
+    nx, ny = (side["people"].value_lengths().to_numpy(zero_copy_only=False) for side in (x, y))
+    _, px, by, py = _members(x, y, "place", "place")
+    py = py[np.argsort(by)]
+    dims = min(x["units"].shape[1], y["units"].shape[1])
+    # y comes after x, so the weight but for people is a product: 0.6 u.v + t(x) - t(y)
+    one, origin = np.ones, x["at"][0]
+    tx, ty = ((side["at"] - origin)[:, None] * (w["gap"] / span) for side in (x, y))
+    left = np.hstack([x["units"][:, :dims] * w["cosine"], tx, one((len(tx), 1))]).astype(np.float32)
+    right = np.hstack([y["units"][:, :dims], one((len(ty), 1)), -ty]).astype(np.float32).T.copy()
+    for start in range(0, len(tx), TILE):
+        stop = min(start + TILE, len(tx))
+        width = int(np.searchsorted(y["at"], x["at"][stop - 1] + reach * span + 1e-6 * span, "right"))
+        if not width:
+            continue
+        base = left[start:stop] @ right[:, :width]
+        if prune - stay <= 1e-4:  # then time alone may do, without a likeness
+            np.maximum(base, tx[start:stop].astype(np.float32) - ty[:width, 0].astype(np.float32), out=base)
+        picked = np.flatnonzero(base >= prune - stay - 1e-4)
+        key, both = _met(people, slice(start, stop), width)
+        r, c = key // width + start, key % width
+        likeness = both / (nx[r] + ny[c] - both)
+        picked = np.union1d(picked, key[likeness > PEOPLE_FLOOR])
+        r, c = picked // width + start, picked % width
+        gap = (y["at"][c] - x["at"][r]) / span
+        fits = gap <= reach
+        if same_block:
+            fits &= c > r
+        if not here:
+            fits &= (px[r] < 0) | (px[r] != py[c])
+        picked, r, c, gap = picked[fits], r[fits], c[fits], gap[fits]
+        if not len(r):
+            continue
+        known = np.searchsorted(key, picked)
+        known[known == len(key)] = 0
+        shared = np.where(key[known] == picked, likeness[known], 0.0) if len(key) else np.zeros(len(r))
+        cos = np.concatenate([np.einsum("ij,ij->i", x["units"][r[k : k + PART], :dims], y["units"][c[k : k + PART], :dims]) for k in range(0, len(r), PART)])
+        cos[x["sizes"][r] != y["sizes"][c]] = 0.0
+        weight = w["cosine"] * np.maximum(0.0, cos) + w["people"] * np.maximum(0.0, shared - PEOPLE_FLOOR) + stay - w["gap"] * gap
+        out = (weight >= prune - 1e-8) & ~np.isin(picked, _met(linked, slice(start, stop), width)[0])
+        yield r[out], c[out], weight[out]
 
 
 def pair_weights(events: DataFrame, participated: DataFrame, chains: DataFrame, prune: float = PRUNE) -> DataFrame:
     """chat_id, a, b, w for the pairs of a chat whose weight is at least `prune`.
 
-    events: id, chat_id, message_index, location_id, embedding.  A pair is formed once, where two blocks
-    of the chat's order meet, so that a long chat is spread over tasks.  Without a chain the weight can't
-    reach the limit beyond 0.62 of the chat's span, nor beyond 0.22 of it if the places differ: such pairs are dropped
-    before vectors are compared.
+    events: id, chat_id, message_index, location_id, embedding.  Without a chain the weight can't reach the limit beyond
+    0.62 of the chat's span, nor beyond 0.22 of it if the places differ.  So events are put into blocks twice, by their order in the
+    chat and by their order in the chat's places, and only blocks that are near enough meet, once each: a row is copied to
+    as many blocks as are near, and the pairs of two blocks are weighed as products of their matrices, a tile at a time.
+    Pairs that a chain links, of any distance, are joined and weighed by themselves.
     """
     people = participated.groupBy(F.col("event_id").alias("id")).agg(F.collect_set("character_id").alias("people"))
     spans = events.groupBy("chat_id").agg(F.greatest(F.max("message_index") - F.min("message_index"), F.lit(1)).alias("span"))
-    order = Window.partitionBy("chat_id").orderBy("message_index", "id")
-    rows = events.withColumn("ord", F.row_number().over(order) - 1).join(people, "id", "left").withColumn("people", F.coalesce("people", F.expr("cast(array() as array<string>)"))).withColumn("size", V.norm(F.col("embedding")))
-    rows = rows.withColumn("block", F.floor(F.col("ord") / BLOCK).cast("int"))
-    last = rows.groupBy("chat_id").agg(F.max("block").alias("blocks"))
-    rows = rows.join(last, "chat_id").join(spans, "chat_id")
-    fields = ["id", "ord", "message_index", "location_id", "embedding", "people", "size"]
-    left = rows.select("chat_id", "span", F.col("block").alias("i"), F.explode(F.sequence("block", "blocks")).alias("j"), F.struct(*fields).alias("x"))
-    right = rows.select("chat_id", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.struct(*fields).alias("y"))
-    pairs = left.join(right, ["chat_id", "i", "j"]).where("x.ord < y.ord")
-    linked = chains.select(F.least("from_id", "to_id").alias("lo"), F.greatest("from_id", "to_id").alias("hi"), F.lit(1.0).alias("linked")).distinct()
-    pairs = pairs.withColumns({"lo": F.least("x.id", "y.id"), "hi": F.greatest("x.id", "y.id"), "gap": F.abs(F.col("x.message_index") - F.col("y.message_index")) / F.col("span")})
+    linked = chains.select(F.least("from_id", "to_id").alias("lo"), F.greatest("from_id", "to_id").alias("hi")).where("lo <> hi").distinct()
+    links = linked.select(F.col("lo").alias("id"), F.col("hi").alias("other")).unionByName(linked.select(F.col("hi").alias("id"), F.col("lo").alias("other"))).groupBy("id").agg(F.collect_list("other").alias("links"))
+    none = F.expr("cast(array() as array<string>)")
+    order = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("message_index", "id")) - 1
+    block = lambda *by: F.floor(order(*by) / BLOCK).cast("int")
+    at = events.where("message_index IS NOT NULL AND chat_id IS NOT NULL").select("chat_id", "location_id", "id", "message_index")
+    at = at.withColumns({"block": block("chat_id"), "place_block": F.when(F.col("location_id").isNotNull(), block("chat_id", "location_id"))}).select("id", "block", "place_block")
+    rows = events.join(at, "id").join(spans, "chat_id").join(people, "id", "left").join(links, "id", "left").withColumns({"people": F.coalesce("people", none), "links": F.coalesce("links", none)})
+    rows = durable(rows.select("chat_id", "span", "id", "message_index", "location_id", "embedding", "people", "links", "block", "place_block"))
+
     w = WEIGHTS
-    here = F.when(F.col("x.location_id") == F.col("y.location_id"), w["place"]).otherwise(0.0)
-    reach = (w["cosine"] + w["people"] * (1 - PEOPLE_FLOOR) + here - prune) / w["gap"]
-    pairs = pairs.join(linked, ["lo", "hi"], "left").where(F.col("linked").isNotNull() | (F.col("gap") <= reach + F.lit(1e-9)))
-    cos = F.greatest(F.lit(0.0), F.when((F.col("x.size") > 0) & (F.col("y.size") > 0), V.dot(F.col("x.embedding"), F.col("y.embedding")) / (F.col("x.size") * F.col("y.size"))).otherwise(0.0))
+    reach = (w["cosine"] + w["people"] * (1 - PEOPLE_FLOOR) - prune) / w["gap"] + 1e-9
+    sides = None
+    for here, of, place, far in ((False, "block", F.lit(""), reach), (True, "place_block", F.col("location_id"), reach + w["place"] / w["gap"])):
+        own = rows.where(F.col(of).isNotNull()).withColumns({"place": place, "own": F.col(of)})
+        ends = own.groupBy("chat_id", "place", "own").agg(F.min("message_index").alias("lo"), F.max("message_index").alias("hi"), F.first("span").alias("span"))
+        x, y = ends.select("chat_id", "place", F.col("own").alias("i"), "hi", "span"), ends.select("chat_id", "place", F.col("own").alias("j"), "lo")
+        met = x.join(y, ["chat_id", "place"]).where((F.col("i") <= F.col("j")) & ((F.col("lo") - F.col("hi")) / F.col("span") <= far)).select("chat_id", "place", "i", "j")
+        for side, c in ((0, "i"), (1, "j")):
+            to = met if side == 0 else met.where("i < j")
+            part = own.join(to.withColumn("own", F.col(c)), ["chat_id", "place", "own"])
+            part = part.select("chat_id", F.lit(here).alias("here"), "place", "i", "j", F.lit(side).alias("side"), F.col("span").cast("double").alias("span"), "id", "message_index", "location_id", "embedding", "people", "links")
+            sides = part if sides is None else sides.unionByName(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches))
+        head = {c: group.column(c)[0].as_py() for c in ("chat_id", "here", "i", "j", "span")}
+        x = _side(group.filter(pc.equal(group.column("side"), 0)))
+        y = x if head["i"] == head["j"] else _side(group.filter(pc.equal(group.column("side"), 1)))
+        for r, c, weight in _weigh(x, y, y is x, head["here"], head["span"], prune):
+            if len(r):
+                yield pa.RecordBatch.from_arrays([pa.array([head["chat_id"]] * len(r), pa.string()), x["id"].take(pa.array(r)), y["id"].take(pa.array(c)), pa.array(weight)], names=["chat_id", "a", "b", "w"])
+
+    near = sides.groupBy("chat_id", "here", "place", "i", "j").applyInArrow(run, "chat_id string, a string, b string, w double")
+
+    cols = ["id", "message_index", "location_id", "embedding", "people"]
+    x, y = rows.select("chat_id", "span", F.col("id").alias("lo"), F.struct(*cols).alias("l")), rows.select("chat_id", F.col("id").alias("hi"), F.struct(*cols).alias("h"))
+    pairs = linked.join(x, "lo").join(y, ["chat_id", "hi"])
+    first = F.struct("l.message_index", "l.id") < F.struct("h.message_index", "h.id")
+    pairs = pairs.withColumns({"x": F.when(first, F.col("l")).otherwise(F.col("h")), "y": F.when(first, F.col("h")).otherwise(F.col("l"))})
+    size = V.norm(F.col("x.embedding")) * V.norm(F.col("y.embedding"))
+    cos = F.greatest(F.lit(0.0), F.when(size > 0, V.dot(F.col("x.embedding"), F.col("y.embedding")) / size).otherwise(0.0))
     shared = F.greatest(F.lit(0.0), V.jaccard(F.col("x.people"), F.col("y.people")) - PEOPLE_FLOOR)
-    place = F.when(F.col("x.location_id") == F.col("y.location_id"), 1.0).otherwise(0.0)
-    weight = w["causal"] * F.coalesce("linked", F.lit(0.0)) + w["cosine"] * cos + w["people"] * shared + w["place"] * place - w["gap"] * F.col("gap")
-    return pairs.select("chat_id", F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.round(weight, 9).alias("w")).where(F.col("w") >= prune)
+    stays = F.when(F.col("x.location_id") == F.col("y.location_id"), w["place"]).otherwise(0.0)
+    weight = w["causal"] + w["cosine"] * cos + w["people"] * shared + stays - w["gap"] * F.abs(F.col("x.message_index") - F.col("y.message_index")) / F.col("span")
+    far = pairs.select("chat_id", F.col("x.id").alias("a"), F.col("y.id").alias("b"), weight.alias("w"))
+    return near.unionByName(far).withColumn("w", F.round("w", 9)).where(F.col("w") >= prune)
 
 
 def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution: float, seed: int = SEED) -> np.ndarray:
@@ -179,7 +307,7 @@ def to_name(arcs: DataFrame, least: float = 1.5) -> DataFrame:
     return arcs.where((F.col("density") >= least) & ~F.col("recycled"))
 
 
-def rebuild(events: DataFrame, participated: DataFrame, chains: DataFrame, durable=None) -> tuple[DataFrame, DataFrame]:
+def rebuild(events: DataFrame, participated: DataFrame, chains: DataFrame, durable=durable) -> tuple[DataFrame, DataFrame]:
     """(arcs, arc_events) of all chats with enough events, at one level or, for long chats, three."""
     keep = durable or (lambda x: x)
     sizes = events.groupBy("chat_id").agg(F.count(F.lit(1)).alias("nodes"))

@@ -208,6 +208,42 @@ def test_arcs_of_all_events(spark, monkeypatch):
     assert max(x["event_id"] for x in ask("gr_rebuild").collect()) == "e299"
 
 
+def test_pairs_across_blocks(spark, monkeypatch):
+    """Small blocks and tiles, events without a place, a vector, people or length: the same pairs as a loop over all of them."""
+    from taleweave.operators import arcs
+
+    r = np.random.default_rng(3)
+    events, people = [], {}
+    for i in range(150):
+        v = None if i % 29 == 5 else [0.0] * 4 if i % 31 == 7 else [float(x) for x in np.float32(r.normal(size=4) * 0.3 + np.eye(4)[i // 5 % 4])]
+        events.append((f"e{i * 37 % 150:03}", "ab"[i % 7 == 0], i // 2, None if i % 11 == 0 else f"l{i % 3}", v))
+        people[events[-1][0]] = {f"p{x}" for x in r.integers(0, 6, i % 4)}
+    chains = [("e000", "e149"), ("e149", "e000"), ("e010", "e020"), ("e005", "e005"), ("e001", "gone")]
+    linked = {frozenset(x) for x in chains}
+    want = {}
+    for x in events:
+        for y in events:
+            if x[1] != y[1] or (x[2], x[0]) >= (y[2], y[0]):
+                continue
+            span = max(e[2] for e in events if e[1] == x[1]) - min(e[2] for e in events if e[1] == x[1])
+            m, n = (np.array(e[4] if e[4] else [0.0] * 4) for e in (x, y))
+            cos = m @ n / (np.linalg.norm(m) * np.linalg.norm(n)) if m.any() and n.any() else 0.0
+            p, q = people[x[0]], people[y[0]]
+            w = 0.5 * (frozenset((x[0], y[0])) in linked) + 0.6 * max(0, cos) + 0.2 * max(0, (len(p & q) / len(p | q) if p and q else 0) - 0.4) + 0.4 * (x[3] is not None and x[3] == y[3]) - (y[2] - x[2]) / span
+            if w >= 0.5:
+                want[x[0], y[0]] = w
+    frame = spark.createDataFrame(events, "id string, chat_id string, message_index int, location_id string, embedding array<float>")
+    took = spark.createDataFrame([(p, e) for e, ps in people.items() for p in ps], "character_id string, event_id string")
+    for name, value in {"BLOCK": 16, "TILE": 5, "PART": 3}.items():
+        monkeypatch.setattr(arcs, name, value)
+    found = arcs.pair_weights(frame, took, spark.createDataFrame(chains, "from_id string, to_id string")).collect()
+    got = {(x["a"], x["b"]): x["w"] for x in found}
+    assert len(found) == len(got) > 100 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+    # a row stands in a few blocks, not in one for each block of its chat
+    monkeypatch.undo()
+    assert arcs.BLOCK >= 4096
+
+
 def test_places_of_all_suppliers(spark, monkeypatch):
     """25,000 characters, all present: none loses its place."""
     from taleweave.plans import catalog, registry
