@@ -15,6 +15,7 @@ from ..functions import vector as V
 from ..functions.random import Mulberry32
 from ..functions.text import arc_title, content_id
 from ..session import durable
+from .nearest import units
 
 # Weights, floors, sizes and resolutions.
 WEIGHTS = {"causal": 0.5, "cosine": 0.6, "people": 0.2, "place": 0.4, "gap": 1.0}
@@ -28,16 +29,9 @@ BLOCK, TILE, PART = 8192, 256, 100_000
 def _side(rows: pa.Table) -> dict:
     """What the weighing of a block's events needs, in the chat's order."""
     rows = rows.take(pc.sort_indices(rows, [("message_index", "ascending"), ("id", "ascending")])).combine_chunks()
-    get = lambda c: rows.column(c).chunk(0) if rows.num_rows else rows.schema.field(c).type
-    vectors, n = get("embedding"), rows.num_rows
-    sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    units = np.zeros((n, sizes.max(initial=0)))
-    for d in np.unique(sizes[sizes > 0]):
-        own = np.flatnonzero(sizes == d)
-        m = vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), d)
-        length = np.sqrt((m * m).sum(1))
-        units[own, :d] = np.divide(m, length[:, None], out=np.zeros_like(m), where=length[:, None] > 0)
-    return {"id": get("id"), "at": get("message_index").to_numpy(zero_copy_only=False).astype(float), "units": units, "sizes": sizes, "place": get("location_id"), "people": get("people"), "links": get("links")}
+    get = lambda c: rows.column(c).chunk(0)
+    vectors, sizes = units(get("embedding"))
+    return {"id": get("id"), "at": get("message_index").to_numpy(zero_copy_only=False).astype(float), "units": vectors, "sizes": sizes, "place": get("location_id"), "people": get("people"), "links": get("links")}
 
 
 def _members(x: dict, y: dict, field: str, other: str) -> tuple[np.ndarray, ...]:

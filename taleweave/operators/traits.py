@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vector as V
+from .nearest import nearest_rows
 
 MERGE_FROM, VERIFY_FROM, OFFLINE_MERGE_FROM, LEXICAL_MERGE_FROM = 0.82, 0.72, 0.88, 0.55
 
@@ -34,11 +35,60 @@ def gated(traits: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def nearest(probes: DataFrame, traits: DataFrame, k: int = 3) -> DataFrame:
     """a_id, b_id, similarity, rank: the k nearest of the same character and category."""
-    a = probes.select(F.col("id").alias("a_id"), "character_id", "category", F.col("embedding").alias("a"))
-    b = traits.select(F.col("id").alias("b_id"), "character_id", "category", F.col("embedding").alias("b"))
-    pairs = a.join(b, ["character_id", "category"]).where("a_id <> b_id").withColumn("similarity", F.round(V.cosine(F.col("a"), F.col("b")), 9))
+    own = probes.select("character_id", "category", F.col("id").alias("query"), "embedding")
+    found = nearest_rows(own, traits.select("character_id", "category", "id", "embedding"), ["character_id", "category"], k, True)
     rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("similarity"), "b_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("a_id", "b_id", "similarity", "rank")
+    return found.select(F.col("query").alias("a_id"), F.col("id").alias("b_id"), "similarity").withColumn("rank", rank)
+
+
+#: Containment of normalised texts: characters of a run, and runs of a window of which the least is kept.
+RUN, WINDOW = 16, 32
+
+
+def _least_runs(text: str) -> np.ndarray:
+    """The least hash of each window of runs: a text that stands inside another brings all of its own along."""
+    b = np.frombuffer(text.encode("ascii"), np.uint8).astype(np.uint64)
+    h = np.zeros(len(b) - RUN + 1, np.uint64)
+    for i in range(RUN):
+        h = h * np.uint64(1099511628211) + b[i : len(b) - RUN + 1 + i]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(axis=1))
+
+
+def contained(texts: list[str]) -> list[list[int]]:
+    """For each of distinct texts of ASCII letters and digits, not empty: the others that it stands inside, or that stand inside it.
+
+    Long texts meet by their rarest least run and are compared then; short ones are looked for in all texts.
+    """
+    near: list[list[int]] = [[] for _ in texts]
+    long = [i for i, x in enumerate(texts) if len(x) >= RUN + WINDOW - 1]
+    if long:
+        each = [_least_runs(texts[i]) for i in long]
+        owner = np.repeat(np.array(long), [len(x) for x in each])
+        runs = np.concatenate(each)
+        by = np.argsort(runs, kind="stable")
+        owner, runs = owner[by], runs[by]
+        for i, own in zip(long, each, strict=True):
+            lo, hi = np.searchsorted(runs, own, "left"), np.searchsorted(runs, own, "right")
+            key = (hi - lo).argmin()
+            for j in owner[lo[key] : hi[key]].tolist():
+                if j != i and texts[i] in texts[j]:
+                    near[i].append(j)
+                    near[j].append(i)
+    short = set(range(len(texts))) - set(long)
+    if short:
+        whole = "\n".join(texts)
+        starts = np.cumsum([0, *[len(x) + 1 for x in texts]])
+        for i in short:
+            at = whole.find(texts[i])
+            while at >= 0:
+                j = int(np.searchsorted(starts, at, "right")) - 1
+                if j != i:
+                    near[i].append(j)
+                    near[j].append(i)
+                at = whole.find(texts[i], int(starts[j + 1]))
+    return near
 
 
 def fold(traits: DataFrame, merge: float = MERGE_FROM, verify: float = VERIFY_FROM, longest_first: bool = False, verdict=None) -> DataFrame:
@@ -53,27 +103,49 @@ def fold(traits: DataFrame, merge: float = MERGE_FROM, verify: float = VERIFY_FR
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "id"], ascending=[False, True]) if longest_first else pdf.sort_values("id")
-        kept: list[tuple] = []
+        norms = ["".join(c for c in x.lower() if c.isascii() and c.isalnum()) for x in pdf["content"]]
+        number = {x: i for i, x in enumerate(dict.fromkeys(x for x in norms if x))}
+        near = contained(list(number))
+        place = lambda k: (len(k[1]), -k[0])
+        by_norm: dict[int, tuple] = {}
+        empty = None  # stands inside every text
+        vectors = np.zeros((16, 0))
+        sized: list[tuple] = []
         merged: dict = {}
         out = []
-        for row in pdf.itertuples(index=False):
+        for row, norm in zip(pdf.itertuples(index=False), norms, strict=True):
             v = np.asarray(row.embedding, float) if row.embedding is not None else None
             size = np.linalg.norm(v) if v is not None else 0.0
-            norm = "".join(c for c in row.content.lower() if c.isascii() and c.isalnum())
             hit, how = None, 0.0
-            inside = [k for k in kept if norm and (norm in k[2] or k[2] in norm)]
+            n = number[norm] if norm else -1
+            inside = [by_norm[i] for i in (n, *near[n]) if i in by_norm] if norm else []
+            if norm and empty:
+                inside.append(empty)
             if inside:
-                hit, how = max(inside, key=lambda k: (len(k[1]), -k[0])), 1.0
-            elif size:
-                best = max(((float(v @ k[3]) / (size * k[4]), -k[0], k) for k in kept if k[4]), default=None)
-                if best and best[0] >= verify:
+                hit, how = max(inside, key=place), 1.0
+            elif size and sized:
+                like = vectors[: len(sized)] @ v / size
+                # a product may be off by rounding: those near its top are weighed again
+                best = max((float(v @ k[2]) / (size * k[3]), -k[0], k) for k in (sized[i] for i in np.flatnonzero(like >= like.max() - 1e-9)))
+                if best[0] >= verify:
                     said = "MERGE" if best[0] >= merge else decide(row.content, best[2][1])
                     if said == "REJECT":
                         continue
                     if said == "MERGE":
                         hit, how = best[2], best[0]
             if hit is None:
-                kept.append((row.id, row.content, norm, v, size))
+                kept = (row.id, row.content, v, size)
+                if norm:
+                    by_norm[n] = kept
+                else:
+                    empty = max(empty or kept, kept, key=place)
+                if size:
+                    if not sized:
+                        vectors = np.zeros((16, len(v)))
+                    elif len(sized) == len(vectors):
+                        vectors = np.concatenate([vectors, np.zeros_like(vectors)])
+                    vectors[len(sized)] = v / size
+                    sized.append(kept)
                 out.append([row.id, None, how])
             else:
                 merged[hit[0]] = merged.get(hit[0], 0) + 1

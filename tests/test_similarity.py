@@ -55,3 +55,41 @@ def test_facts_equal_all_pairs(spark, seed):
     for r in pairs.collect():
         best[r.nid] = min(best.get(r.nid, (1, 0, "")), (-len(r.kt), -r.like, r.kid))
     assert got == {r[0]: best[r[0]][2] if r[0] in best else None for r in rows if r[0] < "f3"}
+
+
+def test_nearest_rows_over_parts(spark, monkeypatch):
+    """Equal vectors, null ones, ones without length and of another size, groups of several parts: as a loop over all rows."""
+    import numpy as np
+
+    from taleweave.operators import nearest, traits
+
+    monkeypatch.setattr(nearest, "ROWS", 7)
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(90):
+        v = None if i % 13 == 3 else [0.0] * 3 if i % 17 == 4 else [1.0, 2.0] if i % 19 == 6 else [float(x) for x in np.float32(r.normal(size=3) if i % 4 else np.eye(3)[i % 3])]
+        rows.append((i, "ab"[i % 5 == 0], "x", v))
+    frame = spark.createDataFrame(rows, "id long, character_id string, category string, embedding array<float>")
+
+    def like(a, b):
+        if not a or not b or len(a) != len(b) or not any(a) or not any(b):
+            return 0.0
+        return round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 9)
+
+    want = sorted((a[0], b[0], k + 1) for a in rows if a[0] % 3 == 0 for k, b in enumerate(sorted((b for b in rows if b[1] == a[1] and b[0] != a[0]), key=lambda b: (-like(a[3], b[3]), b[0]))[:3]))
+    found = traits.nearest(frame.where("id % 3 = 0"), frame, 3)
+    assert sorted((x["a_id"], x["b_id"], x["rank"]) for x in found.collect()) == want
+
+
+def test_contained_texts_of_a_fold():
+    """Texts shorter and longer than a window of runs, equal starts and ends: the pairs of a loop over all of them, from far fewer comparisons."""
+    import random
+
+    from taleweave.operators.traits import contained
+
+    rng = random.Random(1)
+    base = ["".join(rng.choice("abcde01") for _ in range(rng.choice([1, 3, 15, 46, 47, 48, 90, 400]))) for _ in range(150)]
+    base += [x[a : a + n] for x in base if len(x) > 60 for a, n in ((0, 47), (5, 48), (10, 20), (len(x) - 50, 50))]
+    texts = list(dict.fromkeys(x for x in base if x))
+    want = [{j for j, y in enumerate(texts) if j != i and (x in y or y in x)} for i, x in enumerate(texts)]
+    assert [set(x) for x in contained(texts)] == want
