@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import vector as V
+from .nearest import nearest_rows
 
 #: Rows that centroids are fitted on, rounds of fitting, rows of a file, and parts that each query's probes are dealt to.
 SAMPLE, ROUNDS, FILE_ROWS = 20_000, 8, 200_000
@@ -94,13 +95,8 @@ def knn_join(queries: DataFrame, index: DataFrame, centroids: np.ndarray, limit:
             some = pa.array(at)
             yield pa.RecordBatch.from_arrays([batch.column("query").take(some), batch.column("embedding").take(some), pa.array(own.ravel().astype(np.int32))], names=["query", "embedding", "cell"])
 
-    asked = queries.select("query", "embedding").mapInArrow(run, schema).withColumn("size", V.norm(F.col("embedding"))).withColumnRenamed("embedding", "_q")
-    rows = index.where("cell >= 0").select("id", "cell", "embedding").withColumn("_n", V.norm(F.col("embedding")))
-    like = F.round(V.dot(F.col("_q"), F.col("embedding")) / (F.col("size") * F.col("_n")), 9)
-    scored = asked.join(rows, "cell").select("query", "cell", "id", like.alias("similarity"))
-    best = lambda part, *by: part.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), "id"))).where(F.col("_r") <= limit).drop("_r")
-    parts = scored.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(16)))
-    return best(best(parts, "query", "cell", "_part").drop("_part", "cell"), "query")
+    asked = queries.select("query", "embedding").mapInArrow(run, schema)
+    return nearest_rows(asked, index.where("cell >= 0").select("id", "cell", "embedding"), ["cell"], limit)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:
