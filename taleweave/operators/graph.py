@@ -12,8 +12,9 @@ from ..session import durable as shared_copy
 
 def _edge(rows: DataFrame, kind: str, a, a_type: str, b, b_type: str, two_way: bool = False) -> DataFrame:
     out = rows.select(F.lit(kind).alias("edge"), F.col(a).alias("src"), F.lit(a_type).alias("src_type"), F.col(b).alias("dst"), F.lit(b_type).alias("dst_type")).where("src IS NOT NULL AND dst IS NOT NULL")
-    if two_way:
-        out = out.unionByName(out.select("edge", F.col("dst").alias("src"), F.col("dst_type").alias("src_type"), F.col("src").alias("dst"), F.col("src_type").alias("dst_type")))
+    if two_way:  # both from one row, so that what finds the rows runs once
+        way = lambda *c: F.struct(*[F.col(x).alias(n) for x, n in zip(c, ("src", "src_type", "dst", "dst_type"), strict=True)])
+        out = out.select("edge", F.explode(F.array(way("src", "src_type", "dst", "dst_type"), way("dst", "dst_type", "src", "src_type"))).alias("w")).select("edge", "w.*")
     return out
 
 

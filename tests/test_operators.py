@@ -66,6 +66,29 @@ def test_breadth_first(spark):
     assert rows(graph.neighbourhood(pairs, seeds.select("id"), 1), "id", "hop") == [("a", 0), ("b", 1), ("d", 1)]
 
 
+def test_edges_are_found_once(spark):
+    """Both ways come from one pass over their rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), (None, "x")], "src string, dst string").mapInArrow(count, "src string, dst string")
+    both = graph._edge(pairs, "e", "src", "t", "dst", "u", True)
+    assert rows(both, "src", "src_type", "dst", "dst_type") == [("a", "t", "b", "u"), ("b", "t", "c", "u"), ("b", "u", "a", "t"), ("c", "t", "d", "u"), ("c", "u", "b", "t"), ("d", "u", "c", "t")]
+    assert seen.value == 4
+
+
+def test_backfill_pairs_no_tables(spark):
+    """Rows without an embedding are found without a product of documents and embeddings."""
+    from taleweave.plans import catalog
+
+    found = catalog.QUERIES["up_backfill_emb"](spark, "/root/testdata/sf0.001")
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fusion(spark):
     hit = lambda ids: spark.createDataFrame([(i, "c", n, 1.0 - n / 10) for n, i in enumerate(ids)], "id string, chat_id string, message_index int, s double")
     order = [F.desc("s"), "id"]
