@@ -189,24 +189,26 @@ def closings(state: DataFrame, before: DataFrame, over: DataFrame, moments: Data
 def match_facts(new: DataFrame, known: DataFrame, least: float = FACT_SIMILARITY) -> DataFrame:
     """new_id, id: the known fact of the same domain that each new one repeats; none is null.
 
-    Equal, contained either way, or trigram similarity above the limit; the longest, then the likest.  Pairs meet by the
-    rarest trigrams, or by the rarest run of the contained text: never all facts of a domain with each other.
+    Equal, contained either way, or trigram similarity above the limit; the longest, then the likest.  Likeness is found by
+    products of matrices over parts of a domain, which leave one row of each fact; contained texts meet by their rarest run.
     """
+    asked = new.select("domain").distinct()
+
     def side(rows: DataFrame) -> DataFrame:
         text = F.lower(F.coalesce("content", F.lit("")))
-        return durable(rows.select("id", F.col("domain").alias("block"), text.alias("text"), R.trigrams(text).alias("grams")))
+        own = rows.join(asked, "domain", "left_semi").select("id", F.col("domain").alias("block"), text.alias("text"))
+        return durable(own.withColumns({"n": F.length("text").cast("long"), "codes": similarity.codes(F.col("text"))}))
 
     n, k = side(new), side(known)
-    like = similarity.jaccard_pairs(n, k, least).select(F.col("l").alias("new_id"), F.col("r").alias("id"))
+    like = similarity.longest_alike(n, k, least).select(F.col("l").alias("new_id"), F.col("r").alias("id"), "n", "like")
     inside = similarity.contained_pairs(n, k).select(F.col("o").alias("new_id"), F.col("i").alias("id"))
     around = similarity.contained_pairs(k, n).select(F.col("i").alias("new_id"), F.col("o").alias("id"))
-    pairs = like.unionByName(inside).unionByName(around).where("new_id <> id").distinct()
-    x, y = n.select(F.col("id").alias("new_id"), F.col("grams").alias("_x")), k.select("id", F.col("grams").alias("_y"), F.length("text").alias("_n"))
-    common = F.size(F.array_intersect("_x", "_y"))
-    union = F.size("_x") + F.size("_y") - common
-    same = pairs.join(x, "new_id").join(y, "id").withColumn("like", F.when(union > 0, F.round(common / union, 9)).otherwise(0.0))
-    best = same.groupBy("new_id").agg(F.min(F.struct((-F.col("_n")).alias("l"), (-F.col("like")).alias("s"), "id")).alias("m"))
-    return n.select(F.col("id").alias("new_id")).join(best.select("new_id", "m.id"), "new_id", "left")
+    pairs = durable(inside.unionByName(around).where("new_id <> id").distinct().join(k.select("id", "n"), "id"))
+    pairs = pairs.join(pairs.groupBy("new_id").agg(F.max("n").alias("n")), ["new_id", "n"])
+    x, y = n.select(F.col("id").alias("new_id"), F.col("text").alias("_x")), k.select("id", F.col("text").alias("_y"))
+    held = pairs.join(x, "new_id").join(y, "id").select("new_id", "id", "n", F.round(R.trigram_similarity("_x", "_y"), 9).alias("like"))
+    best = like.unionByName(held).groupBy("new_id").agg(F.min(F.struct((-F.col("n")).alias("l"), (-F.col("like")).alias("s"), "id")).alias("m"))
+    return new.select(F.col("id").alias("new_id")).join(best.select("new_id", "m.id"), "new_id", "left")
 
 
 def clear_message(tables: dict[str, DataFrame], chat: str, index: int) -> dict[str, DataFrame]:
