@@ -1,7 +1,8 @@
 """Which of many names stand in which of many texts, without comparing all names with all texts.
 
 A name that stands in a text as a whole word brings each of its own words along as a whole word.  The word that fewest
-names have is the name's one key; it meets the texts' words in an equi-join, and what meets is confirmed.  Names without
+names have is the name's one key; it meets the texts' words in an equi-join, and what meets is confirmed: at once, in the task that
+reads the text, where the names were counted and are few enough to go there.  Names without
 a word of ASCII letters, digits or underscores have their first two characters as key.
 """
 
@@ -37,6 +38,9 @@ def mentioned_in(texts: DataFrame, names: DataFrame) -> DataFrame:
     keys = durable(own.join(common, "key").groupBy("name_id", "name").agg(F.min(F.struct("_df", (-F.length("key")).alias("l"), "key")).alias("k")).select("name_id", "name", "k.key"))
     wordless = not keys.where(~F.col("key").rlike("^[a-z0-9_]+$")).isEmpty()
     said = F.array_union(_words(F.col("text")), similarity.runs(_lower(F.col("text")), 2)) if wordless else _words(F.col("text"))
+    if keys.count() <= similarity.BROADCAST_ROWS:
+        here = texts.where(F.col("text").isNotNull()).select("id", "text", F.explode(said).alias("key")).join(F.broadcast(keys), "key")
+        return here.where(X.mentions(F.col("text"), F.col("name"))).select("id", "name_id").distinct()
     met = texts.where(F.col("text").isNotNull()).select("id", F.explode(said).alias("key")).join(keys, "key").select("id", "name_id", "name").distinct()
     return met.join(texts.select("id", "text"), "id").where(X.mentions(F.col("text"), F.col("name"))).select("id", "name_id").distinct()
 
