@@ -86,7 +86,8 @@ def edge_rows(all_edges: DataFrame) -> DataFrame:
     names = F.create_map(*[F.lit(x) for kv in PREFIX.items() for x in kv])
     strength = F.create_map(*[F.lit(x) for kv in INTENSITY.items() for x in kv])
     forward = all_edges.where(F.col("edge").isin(*PREFIX)).where(~((F.col("edge") == "participated_in") & (F.col("src_type") == "event")) & ~((F.col("edge") == "arc_events") & (F.col("src_type") == "event")))
-    return forward.select(F.concat_ws("-", F.element_at(names, F.col("edge")), "src", "dst").alias("edge_id"), "edge", "src", "dst", F.coalesce(F.try_element_at(strength, F.col("edge")), F.lit(0.5)).alias("intensity")).distinct()
+    once = forward.select("edge", "src", "dst").distinct()  # the id and the intensity follow from these
+    return once.select(F.concat_ws("-", F.element_at(names, F.col("edge")), "src", "dst").alias("edge_id"), "edge", "src", "dst", F.coalesce(F.try_element_at(strength, F.col("edge")), F.lit(0.5)).alias("intensity"))
 
 
 def chats_of(characters: DataFrame, participated: DataFrame, events: DataFrame, name: str) -> DataFrame:

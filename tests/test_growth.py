@@ -37,3 +37,47 @@ def test_facts_over_parts(spark, monkeypatch):
     assert got == {r[0]: best(r) for r in rows if r[2] == "lore"}
     sides = [df.select("id", F.lit("b").alias("block"), F.lower("content").alias("text"))] * 2
     assert sorted(map(tuple, similarity.contained_pairs(*sides).collect())) == sorted((a[0], b[0]) for a in rows for b in rows if b[1].lower() in a[1].lower())
+
+
+def test_places_in_a_chat(spark):
+    """Numbers over stretches equal one row_number over the chat, negative ids and null keys included; no window holds a whole chat."""
+    from taleweave.sources import fixtures
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(-200_000, 900_000, 7919)])) for _ in range(500)]
+    df = spark.createDataFrame(list(set(rows)), "chat_id string, id long")
+    got = fixtures.numbered(df, ["id"], "id div 65536").withColumn("want", F.expr("cast(row_number() over (partition by chat_id order by id) - 1 as int)"))
+    assert got.count() == df.count() and got.where("message_index <> want").count() == 0
+    t = fixtures.Tables(spark, "/root/testdata/sf0.001")
+    for name in ("story_events", "memory"):
+        one = t.sql(fixtures.ADAPTERS[name])
+        assert t(name).columns == one.columns and t(name).exceptAll(one).count() == 0 and t(name).count() == one.count()
+        assert "windowspecdefinition(c_mktsegment" not in (plan := t(name)._jdf.queryExecution().optimizedPlan().toString()) and "windowspecdefinition(chat_id" in plan and ", _s" in plan
+
+
+def test_few_names_meet_texts_where_they_are_read(spark, monkeypatch):
+    """The same pairs with names sent to the texts and with a shuffle of words; the first has no join by text."""
+    from taleweave.operators import naming
+
+    texts = spark.createDataFrame([(i, f"Ann and Bo {i} met old-tom") for i in range(20)] + [(1, "Bo"), (30, None)], "id int, text string")
+    names = spark.createDataFrame([("n1", "ann"), ("n2", "Old-Tom"), ("n3", "Bo 1"), ("n4", "nobody")], "name_id string, name string")
+    few = naming.mentioned_in(texts, names)
+    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(tuple, few.collect()))
+    monkeypatch.setattr(similarity, "BROADCAST_ROWS", 0)
+    assert want == sorted(map(tuple, naming.mentioned_in(texts, names).collect())) and len(want) == 41
+
+
+def test_texts_in_slices(spark, monkeypatch):
+    """A batch is cut by bytes, whole texts each, and the order of rows stays."""
+    import pyarrow as pa
+
+    from taleweave.functions import english
+    from taleweave.operators import postings
+
+    monkeypatch.setattr(english, "SLICE", 10)
+    cut = [x.to_pylist() for x in english.slices(iter([pa.array(["aaaa", None, "bbbb", "cccc", "d" * 40, "", "e"]), pa.array([], pa.string())]))]
+    assert cut == [["aaaa", None, "bbbb"], ["cccc"], ["d" * 40], ["", "e"], []]
+    df = spark.createDataFrame([(i, None if i == 5 else f"word{i} running " * (i % 4)) for i in range(50)], "id int, text string").coalesce(1)
+    found = df.select("id", "text", postings.vector_text(postings.postings("text")).alias("v"), english.headline("text", ["run"]).alias("h")).collect()
+    assert all((r.v == "") == (not r.text) and (f"'word{r.id}'" in r.v) == bool(r.text) and (f"word{r.id} <b>running</b>" in r.h) == bool(r.text) for r in found)
