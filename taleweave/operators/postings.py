@@ -7,6 +7,8 @@ row groups of its own chats and terms.  Ranking is a filter on terms and a sum b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,19 +21,20 @@ KIND = ArrayType(StructType([StructField("term", StringType()), StructField("pla
 
 
 @F.arrow_udf(KIND)
-def _postings(texts: pa.Array) -> pa.Array:
-    rows, terms, places, ends = [0], [], [], [0]
-    for t in texts.to_pylist():
-        own: dict[str, list[int]] = {}
-        for term, at in zip(*english.lexemes(t), strict=True):
-            own.setdefault(term, []).append(at)
-        for term in sorted(own):
-            terms.append(term)
-            places += own[term]
-            ends.append(len(places))
-        rows.append(len(terms))
-    one = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))], names=["term", "places"])
-    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), one)
+def _postings(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in english.slices(batches):
+        rows, terms, places, ends = [0], [], [], [0]
+        for t in texts.to_pylist():
+            own: dict[str, list[int]] = {}
+            for term, at in zip(*english.lexemes(t), strict=True):
+                own.setdefault(term, []).append(at)
+            for term in sorted(own):
+                terms.append(term)
+                places += own[term]
+                ends.append(len(places))
+            rows.append(len(terms))
+        one = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))], names=["term", "places"])
+        yield pa.ListArray.from_arrays(pa.array(rows, pa.int32()), one)
 
 
 def postings(text) -> Column:
