@@ -260,8 +260,12 @@ def loose_json(c) -> Column:
     return F.regexp_replace(c, "//[^\\n]*\\n", "\n")
 
 
-def json_candidates(c) -> Column:
+def json_forms(c) -> list[Column]:
     """The raw text, a fenced block in it, and the stretch from the first to the last brace."""
     c = _text(c)
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.array(loose_json(c), loose_json(fenced), loose_json(F.regexp_extract(c, r"(?s)(\{.*\})", 1)))
+    return [loose_json(c), loose_json(fenced), loose_json(F.regexp_extract(c, r"(?s)(\{.*\})", 1))]
+
+
+def json_candidates(c) -> Column:
+    return F.array(*json_forms(c))

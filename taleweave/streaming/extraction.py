@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import models
 from ..operators import state as S
-from ..session import durable
+from ..session import durable, stored
 from ..sources import chat
 
 RECORD = """characters array<struct<name: string, aliases: array<string>, description: string, role: string, status: string, significance: int>>,
@@ -44,9 +44,12 @@ TABLES = {
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    """raw: chat_id, message_index, at, reply -> the same with the record's fields; the first form of the reply that parses counts."""
-    forms = F.transform(X.json_candidates("reply"), lambda c: F.when(c.rlike(r"^\s*\{"), F.from_json(c, RECORD)))
-    return raw.select("chat_id", "message_index", "at", F.get(F.filter(forms, lambda x: x.isNotNull()), F.lit(0)).alias("r")).where("r IS NOT NULL").select("chat_id", "message_index", "at", "r.*")
+    """raw: chat_id, message_index, at, reply -> the same with the record's fields; the first form of the reply that parses counts.
+
+    Later forms are made only of replies whose earlier ones don't parse.  The record is a generator's, as a filter on it would parse once more.
+    """
+    forms = [F.get(F.transform(F.array(c), lambda c: F.when(c.rlike(r"^\s*\{"), F.from_json(c, RECORD))), F.lit(0)) for c in X.json_forms("reply")]
+    return raw.select("chat_id", "message_index", "at", F.inline(F.array_compact(F.array(F.coalesce(*forms)))))
 
 
 def _each(batch: DataFrame, field: str, *more: str) -> DataFrame:
@@ -132,7 +135,7 @@ def batches(store, extractor, ttl: int = S.TTL_MESSAGES):
 
     def run(messages: DataFrame, number: int) -> None:
         tables = {name: store.read(name, schema) for name, schema in TABLES.items()}
-        for name, rows in apply(tables, parse(extractor(messages)), ttl).items():
+        for name, rows in apply(tables, stored(parse(extractor(messages))), ttl).items():
             store.write(name, rows)
 
     return run

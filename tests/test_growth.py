@@ -81,3 +81,20 @@ def test_texts_in_slices(spark, monkeypatch):
     df = spark.createDataFrame([(i, None if i == 5 else f"word{i} running " * (i % 4)) for i in range(50)], "id int, text string").coalesce(1)
     found = df.select("id", "text", postings.vector_text(postings.postings("text")).alias("v"), english.headline("text", ["run"]).alias("h")).collect()
     assert all((r.v == "") == (not r.text) and (f"'word{r.id}'" in r.v) == bool(r.text) and (f"word{r.id} <b>running</b>" in r.h) == bool(r.text) for r in found)
+
+
+def test_replies_are_parsed_once(spark):
+    """The same records as with all forms of every reply parsed; a form is parsed in one place of the plan, and presence reads kept records."""
+    from taleweave.functions import text as X
+    from taleweave.plans import catalog
+    from taleweave.streaming import extraction
+
+    replies = ['{"present": [{"character": "A"}]}', 'Sure: ```json\n{"present": [{"character": "B"},]}\n``` {', "so {\"present\": []} it is", "{broken", "none", "", None, ' ﻿{"present": null} // x\n', "[1]", '```{"a": 1}``` {"present": [{"character": "C"}]}']
+    raw = spark.createDataFrame([("c", i, r) for i, r in enumerate(replies)], "chat_id string, message_index int, reply string").withColumn("at", F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    forms = F.transform(X.json_candidates("reply"), lambda c: F.when(c.rlike(r"^\s*\{"), F.from_json(c, extraction.RECORD)))
+    want = raw.select("chat_id", "message_index", "at", F.get(F.filter(forms, lambda x: x.isNotNull()), F.lit(0)).alias("r")).where("r IS NOT NULL").select("chat_id", "message_index", "at", "r.*")
+    got = extraction.parse(raw)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan(got).count("from_json") == 3
+    assert "from_json" not in plan(catalog.QUERIES["up_extraction_presence"](spark, "/root/testdata/sf0.001"))
