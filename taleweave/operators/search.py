@@ -110,7 +110,9 @@ def mentioned(characters: DataFrame, participated: DataFrame, events: DataFrame,
     """id, name of characters with an event in scope whose name or alias, of 3 letters or more, is in the query."""
     forms = characters.select("id", "name", F.explode(F.array("name", "alias")).alias("form")).where(F.length("form") >= 3)
     said = forms.where(F.contains(F.lower(F.lit(query)), F.lower("form"))).select("id", "name").distinct()
-    active = participated.join(_scoped(events, chats).select(F.col("id").alias("event_id")), "event_id", "left_semi").select(F.col("character_id").alias("id"))
+    # the few named ones first: what they took part in is then told apart, not what all did
+    took = participated.join(said.select(F.col("id").alias("character_id")), "character_id", "left_semi")
+    active = took.join(_scoped(events, chats).select(F.col("id").alias("event_id")), "event_id", "left_semi").select(F.col("character_id").alias("id"))
     return said.join(active, "id", "left_semi")
 
 

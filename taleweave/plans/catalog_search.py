@@ -9,7 +9,7 @@ from ..operators import graph, postings, pov, reads, search
 from . import render
 from .catalog_functions import TRIGRAMS, query_vector
 from .registry import query
-from .retrieve import Request, block, retrieve
+from .retrieve import Request, block, retrieve, scoped
 
 C_MEM, C_EVT, C_CONV = "src:src1", "BUILDING", "conv-1"
 CHATS = ["src:src1", "src:src2", "BUILDING", "conv-1", "conv-2", "conv-3"]
@@ -115,8 +115,13 @@ def _request(t) -> Request:
 
 
 query("se_retrieve")(lambda t: retrieve(t, _request(t))["hits"])
-query("rn_block")(lambda t: block(t, retrieve(t, _request(t))))
-query("snk_render")(lambda t: block(t, retrieve(t, _request(t)), 200))
+def _block(t, max_tokens: int | None = None):
+    own = scoped(t, CHATS)
+    return block(own, retrieve(own, _request(t)), max_tokens)
+
+
+query("rn_block")(lambda t: _block(t))
+query("snk_render")(lambda t: _block(t, 200))
 _STATE_TOP = "SELECT id, key, value, valid_from FROM world_state WHERE chat_id = 'u7' AND valid_until IS NULL ORDER BY valid_from DESC, id DESC LIMIT 20"
 _THREAD_TOP = "SELECT id, importance, status, title FROM plot_threads WHERE chat_id = 'BUILDING' AND resolved_at IS NULL ORDER BY importance DESC, id LIMIT 20"
 query("rn_sections", f"""SELECT '[Story Memory]' || chr(10) || chr(10) || '## World State' || chr(10) || (SELECT string_agg('- ' || key || ': ' || value, chr(10) ORDER BY valid_from DESC, id DESC) FROM ({_STATE_TOP}) a)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import pov, reads, search
-from ..session import durable
+from ..session import durable, stored
 from . import render
 
 
@@ -27,6 +27,11 @@ class Request:
     state_chats: list[str] | None = None
 
 
+def scoped(tables, chats: list[str]):
+    """The tables for requests about these chats: the chats' events and memory, which most parts of a retrieval start from, are derived once and kept."""
+    return tables.keeping(**{name: stored(search._scoped(tables(name), chats)) for name in ("story_events", "memory")})
+
+
 def retrieve(tables, r: Request, settings: dict | None = None) -> dict[str, DataFrame]:
     """Frames by name.  The search runs here; the rest is lazy, until a frame or the block made of them is asked for."""
     budgets = search.resolve_budgets(settings, r.profile, r.overrides)

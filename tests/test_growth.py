@@ -98,3 +98,22 @@ def test_replies_are_parsed_once(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan(got).count("from_json") == 3
     assert "from_json" not in plan(catalog.QUERIES["up_extraction_presence"](spark, "/root/testdata/sf0.001"))
+
+
+def test_a_retrieval_derives_its_events_once(spark):
+    """Tables of some chats give those chats' rows, and what is derived from them starts at the kept copy; mentioned characters are told apart before what they took part in."""
+    from taleweave.operators import search
+    from taleweave.plans import retrieve
+    from taleweave.sources import fixtures
+
+    t, chats = fixtures.Tables(spark, "/root/testdata/sf0.001"), ["BUILDING", "src:src1"]
+    own = retrieve.scoped(t, chats)
+    for name in ("story_events", "memory", "event_vectors", "plot_threads"):
+        want = t(name).where(F.col("chat_id").isin(chats)).drop("embedding")
+        assert own(name).drop("embedding").exceptAll(want).count() == 0 and own(name).count() == want.count() > 0
+    plan = own("event_vectors")._jdf.queryExecution().optimizedPlan().toString()
+    assert "c_mktsegment" not in plan and "l_orderkey" not in plan
+    names = spark.createDataFrame([("x", "Ann", "annie"), ("y", "Bo", "bobby"), ("z", "Cid", "cid")], "id string, name string, alias string")
+    took = spark.createDataFrame([("x", "e1"), ("x", "e2"), ("y", "e1"), ("z", "e3")], "character_id string, event_id string")
+    events = spark.createDataFrame([("e1", "c"), ("e2", "c"), ("e3", "d")], "id string, chat_id string")
+    assert sorted(map(tuple, search.mentioned(names, took, events, ["c"], "Annie, bobby and Cid").collect())) == [("x", "Ann"), ("y", "Bo")]
