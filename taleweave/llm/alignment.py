@@ -316,7 +316,7 @@ def weights(rows: DataFrame, counts: DataFrame, most: int = BROADCAST_PAIRS) ->
     """_row, sums: (chunk, n_best, count_sum) of each distinct chunk of a shelf, in order."""
     least = frequent(counts, most)
     head, tail = counts.where(F.col("count") >= least), counts.where(F.col("count") < least)
-    each = rows.select("_row", "links").repartition("_row").select("_row", F.inline("links")).select("_row", "chunk", "link")
+    each = rows.select("_row", F.inline("links")).select("_row", "chunk", "link")  # as rows lie: only sums are shuffled
 
     def summed(links: DataFrame) -> DataFrame:
         return links.groupBy("_row", "chunk").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))

@@ -100,3 +100,12 @@ def test_shelves_of_any_size_give_equal_rows(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert alignment.linked(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_links_are_summed_where_they_lie(spark):
+    """The links of a shelf, its widest column, don't go through a shuffle before they are summed."""
+    rows = spark.createDataFrame([(0, [(5, 0, 1), (6, 0, 1), (5, 1, 2)]), (1, [(6, 0, 1)])], "_row long, links array<struct<link: long, chunk: int, times: int>>")
+    counts = spark.createDataFrame([(5, 3, True), (6, 2, False)], "link long, count long, best boolean")
+    found = alignment.weights(rows, counts)
+    assert "RepartitionByExpression" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["_row"]: [tuple(x) for x in r["sums"]] for r in found.collect()} == {0: [(0, 1, 5), (1, 1, 3)], 1: [(0, 0, 2)]}
