@@ -17,6 +17,8 @@ which either fails with probability at most `MISS` at the threshold.
    the classes outside its largest component are compared with all others in the same way; pairs go from
    the likest down, and a pair that earlier links have joined is skipped.  So no link between texts is lost
    to pivots, and no list of all pairs is made.
+5. Links are joined to trees part by part before labels go round, so what is labelled grows with the classes,
+   not with the blocks of a group.
 
 Sets are compared as sorted 64-bit shingle hashes, rebuilt from the texts of candidates only.  A hot pivot's
 text is dealt to as many parts as its weight asks for; what belongs to a hot band or family is broadcast after
@@ -49,6 +51,8 @@ from .common import compact, durable, frugal, join_small, pieces, small, without
 #: PART: pairs that a part of a pivot has, about.  Groups of up to PACKED rows are packed to PACK_ROWS, about; a task compares TASK_PAIRS.
 ROWS_IN_BAND, MISS, BLOCK, PART = 3, 1e-5, 384, 64
 PACKED, PACK_ROWS, TASK_PAIRS = 64, 2000, 2_000_000
+#: Links that a task joins to trees at once, and the ids that it holds for that, about.
+TREES = 400_000
 
 
 def bands_for(threshold: float) -> int:
@@ -191,13 +195,47 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return wide.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def forest(links: DataFrame) -> DataFrame:
+    """Links a, b that join what the given ones join: in each partition (at most `TREES` ids at once) one for each id but the least of a tree."""
+
+    def stars(joined: _Union) -> pa.RecordBatch:
+        found = [(root, x) for x in joined if (root := joined.find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches):
+        joined = _Union()
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                p, q = joined.find(a), joined.find(b)
+                if p != q:
+                    joined[max(p, q)] = min(p, q)
+            if len(joined) > TREES:
+                yield stars(joined)
+                joined = _Union()
+        yield stars(joined)
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def trees(links: DataFrame) -> DataFrame:
+    """A forest of all links, or of each of few parts: blocks of one group give many links for an id, of which no more than one a part is left."""
+    links = compact(forest(links).distinct(), TREES)
+    n = links.count()
+    while links.rdd.getNumPartitions() > 1 or n > TREES:
+        fewer = compact(forest(links).distinct(), TREES)
+        before, n, links = n, fewer.count(), fewer
+        if 2 * n > before:
+            return links
+    return compact(forest(links))
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component (the least id reachable) of all ids with links.  links: a, b.
 
     Every round a vertex takes the least label around it, and then its label's label, so long chains
     shrink fast.  Labels are kept on disk between rounds; only a count comes to the driver.
     """
-    links = compact(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = trees(links)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = compact(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
     while True:

@@ -60,3 +60,17 @@ def test_hot_bands(spark, monkeypatch):
     assert got == {d: c for (d, _), c in zip(rows, brute(rows), strict=True)}
     monkeypatch.setattr("taleweave.llm.common.BROADCAST_ROWS", 0)
     assert {r["doc_id"]: r["component_id"] for r in neardup.link(frame, 3, 85).collect()} == got
+
+
+def test_links_of_a_group_become_trees(spark, monkeypatch):
+    """Many links for an id, as the blocks of a large group give them: one an id is left, and the components stay."""
+    rng = random.Random(6)
+    pairs = [(g * 1000 + rng.randrange(100), g * 1000 + rng.randrange(100)) for g in range(3) for _ in range(4000)] + [(7, 7), (5000, 4000), (4000, 6000)]
+    frame = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    ids = {x for a, b in pairs if a != b for x in (a, b)}
+    want = {x: 4000 if x in (4000, 5000, 6000) else min(y for y in ids if y // 1000 == x // 1000) for x in ids}
+    for most in (neardup.TREES, 150):
+        monkeypatch.setattr(neardup, "TREES", most)
+        found = neardup.trees(frame)
+        assert found.where("a >= b").isEmpty() and found.count() <= len(ids) * (1 if most > 150 else 3)
+        assert {r["id"]: r["component"] for r in neardup.components(frame).collect()} == want
