@@ -24,13 +24,16 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import durable, frugal, small, stored, table
 from .sentencepieces import BYTE, MARK, NORMAL, USER, parse_model
@@ -39,6 +42,8 @@ from .sentencepieces import BYTE, MARK, NORMAL, USER, parse_model
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Chunks whose ids a worker remembers, and id pairs that are broadcast at most (24 bytes each).
 REMEMBERED, BROADCAST_PAIRS = 200_000, 1_000_000
+#: Frequent chunks that are aligned once for all documents, at most, and the share of the texts that they are looked for in.
+HEADS, SAMPLE = 200_000, 16
 #: Characters of the documents whose distinct chunks are aligned together.
 SHELF = 1_000_000
 #: Shelves of a file in between: a reader holds them together.
@@ -192,43 +197,89 @@ def _renumbered(own: list[np.ndarray], at: dict[str, int], bad: set[int]) -> tup
     return [np.array([new[i] for i in x.tolist()], np.int32) for x in own], {c: k for k, (c, _) in enumerate(left)}
 
 
-def shelves(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
-    """A row for some documents (about `SHELF` characters, or one longer text), with each distinct chunk of theirs tokenised once.
+class Heads(NamedTuple):
+    """Frequent chunks, aligned once: what workers know of them."""
 
-    docs: doc_id, chunks (positions among the distinct chunks), n_a, n_b of each; times: how often the documents have each
-    distinct chunk; chunk_of: the chunk of each byte; the columns of `tokens`: of the distinct chunks, end to end.
+    chunks: list[str]
+    sizes: np.ndarray  # (3, chunks): n_a, n_b, n_groups
+    texts: pa.Array
+    links: np.ndarray  # of all, end to end
+
+
+def frequent_chunks(docs: DataFrame) -> DataFrame:
+    """chunk, count of chunks that a `SAMPLE`th of the texts has more than once.  The choice only decides on what is aligned once."""
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+
+    def run(batches):
+        for batch in small(batches, "text", 8_000_000):
+            found = Counter(c for t in batch.column("text").cast(pa.string()).to_pylist() for c in cut(t))
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["chunk", "count"])
+
+    counted = frugal(some).mapInArrow(run, "chunk string, count long").where("chunk <> ''")
+    return durable(counted.groupBy("chunk").agg(F.sum("count").alias("count")).where("count > 1"))
+
+
+def heads_of(docs: DataFrame, a_file: str, b_file: str) -> Heads:
+    """The most frequent chunks (at most `HEADS`), aligned: they are all that comes to the driver."""
+    counts = frequent_chunks(docs)
+    chosen = counts.where(F.col("count") >= frequent(counts, HEADS)).select(F.col("chunk").alias("doc_id"), F.col("chunk").alias("text"))
+    rows = aligned(tokens(chosen, a_file, b_file)).where(_there("a_ids"))
+    found = rows.select("doc_id", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), F.size("groups").alias("n_groups"), F.array_join("groups", ";").alias("text"), at_links(("link", link))["link"].alias("links")).toArrow().combine_chunks()
+    flat = {n: found.column(n).combine_chunks() for n in found.schema.names}
+    flat = {n: c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) for n, c in flat.items()}
+    sizes = np.stack([flat[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in ("n_a", "n_b", "n_groups")])
+    return Heads(flat["doc_id"].to_pylist(), sizes, flat["text"].cast(pa.string()), flat["links"].flatten().to_numpy(zero_copy_only=False))
+
+
+def shelves(docs: DataFrame, heads: Broadcast, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
+    """A row for some documents (about `SHELF` characters, or one longer text), with each distinct chunk of theirs once.
+
+    docs: doc_id, chunks (positions among the distinct chunks, the heads first), n_a, n_b of each; heads, head_times,
+    head_texts: the distinct chunks that are heads, how often the documents have them, their groups; times, sizes
+    (n_a + n_b) of each other chunk; chunk_of: the chunk of each byte; the columns of `tokens`: of the others, end to end.
     """
     files, docs = _files(a_file, b_file), docs.select("doc_id", "text")
     one = StructType([docs.schema["doc_id"], StructField("chunks", _INTS, False), StructField("n_a", IntegerType(), False), StructField("n_b", IntegerType(), False)])
-    schema = StructType([StructField("docs", ArrayType(one, False), False), *[StructField(n, _INTS, False) for n in ("times", "chunk_of", *_LISTS)]])
+    ints = ("heads", "head_times", "times", "sizes", "chunk_of", *_LISTS)
+    schema = StructType([StructField("docs", ArrayType(one, False), False), StructField("head_texts", ArrayType(StringType(), False), False), *[StructField(n, _INTS, False) for n in ints]])
 
     fields = [pa.field("chunks", pa.list_(pa.field("element", pa.int32(), False)), False), pa.field("n_a", pa.int32(), False), pa.field("n_b", pa.int32(), False)]
 
-    def shelf(pair: Pair, ids: pa.Array, own: list, at: dict[str, int]) -> pa.RecordBatch:
-        if bad := {i for c, i in at.items() if pair.known[c] is None}:
+    def shelf(pair: Pair, known: Heads, head_at: dict[str, int], ids: pa.Array, own: list, at: dict[str, int]) -> pa.RecordBatch:
+        pair.learn([c for c in at if c not in head_at])
+        if bad := {i for c, i in at.items() if c not in head_at and pair.known[c] is None}:
             own, at = _renumbered([x[:0] if bad.intersection(x.tolist()) else x for x in own], at, bad)
-        n = [np.array([len(pair.known[c][k]) // 4 for c in at], np.int32) for k in (0, 1)]
+        head = np.array([head_at.get(c, -1) for c in at], np.int32)
+        order = np.argsort(head < 0, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        used = head[head >= 0]
+        rest = [c for c, h in zip(at, head.tolist(), strict=True) if h < 0]
+        n = [np.concatenate([known.sizes[k][used], [len(pair.known[c][k]) // 4 for c in rest]]).astype(np.int64) for k in (0, 1)]
+        own = [place[x] for x in own]
         sums = [pa.array([int(x[i].sum()) for i in own], pa.int32()) for x in n]
         listed = pa.StructArray.from_arrays([ids, _lists(own), *sums], fields=[pa.field("doc_id", ids.type), *fields])
         times = np.bincount(np.concatenate(own), minlength=len(at)) if at else np.zeros(0, np.int32)
-        lists = (times, _owners(np.array([len(c.encode()) + 1 for c in at], np.int64)), *pair.tokens(list(at)))
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), listed), *[_lists([x]) for x in lists]], names=schema.names)
+        h = len(used)
+        lists = (used, times[:h], times[h:], (n[0] + n[1])[h:], _owners(np.array([len(c.encode()) + 1 for c in rest], np.int64)), *pair.tokens(rest))
+        texts = pa.ListArray.from_arrays(pa.array([0, h], pa.int32()), known.texts.take(pa.array(used)), type=pa.list_(pa.field("element", pa.string(), False)))
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), listed), texts, *[_lists([x]) for x in lists]], names=schema.names)
 
     def run(batches):
-        pair = _pair(*files)
+        pair, known = _pair(*files), heads.value
+        head_at = {c: i for i, c in enumerate(known.chunks)}
         ids, own, at, size = [], [], {}, 0
         for batch in small(batches, "text"):
             for t in batch.column("text").cast(pa.string()).to_pylist():
                 own.append(np.array([at.setdefault(c, len(at)) for c in cut(t)], np.int32))
                 size += len(t or "")
             ids.append(batch.column("doc_id"))
-            pair.learn(at)
             if size >= SHELF:
-                yield shelf(pair, pa.concat_arrays(ids), own, at)
+                yield shelf(pair, known, head_at, pa.concat_arrays(ids), own, at)
                 ids, own, at, size = [], [], {}, 0
                 pair.forget()
         if own:
-            yield shelf(pair, pa.concat_arrays(ids), own, at)
+            yield shelf(pair, known, head_at, pa.concat_arrays(ids), own, at)
 
     return frugal(docs).mapInArrow(run, schema)
 
@@ -268,11 +319,10 @@ def link(byte: Column) -> Column:
     return F.shiftleft(F.get("a_ids", F.get("a_of", byte)).cast("long"), 32) + F.get("b_ids", F.get("b_of", byte))
 
 
-def summary(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
-    """By shelf: docs (doc_id, chunks, n_a, n_b, groups_sha256), n_groups of each distinct chunk, links (link, chunk, times)."""
-    rows = aligned(shelves(docs, a_file, b_file))
+def summary(docs: DataFrame, heads: Broadcast, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
+    """By shelf: docs (doc_id, chunks, n_a, n_b, groups_sha256), heads, head_times, and of the other distinct chunks times, n_links and, end to end, links."""
+    rows = aligned(shelves(docs, heads, a_file, b_file))
     chunk = lambda byte: F.get("chunk_of", byte)
-    links = at_links(("link", link), ("chunk", chunk), ("times", lambda byte: F.get("times", chunk(byte))))
 
     def closed(text: Column, k: Column) -> Column:
         """A group's text with what parts it from the next: a line end between chunks."""
@@ -281,20 +331,51 @@ def summary(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> Data
 
     joined = F.array_join(F.transform("groups", closed), "")
     texts = F.when(_there("groups", "group_ends"), F.split(F.substr(joined, F.lit(1), F.length(joined) - 1), "\n")).otherwise(_empty("string"))
-    rows = rows.select("docs", F.when(_there("link_ends"), links).alias("links"), texts.alias("_texts"))
-    n_groups = F.transform("_texts", lambda t: F.length(t) - F.length(F.replace(t, F.lit(";"), F.lit(""))) + 1)
+    links = F.when(_there("link_ends"), F.transform("link_ends", lambda end: link(end - 1))).otherwise(_empty("long"))
+    rows = rows.select("docs", "heads", "head_times", "head_texts", "times", "sizes", links.alias("links"), texts.alias("_tail_texts"))
+    n_groups = F.transform("_tail_texts", lambda t: F.length(t) - F.length(F.replace(t, F.lit(";"), F.lit(""))) + 1)
+    n_links = F.zip_with("sizes", n_groups, lambda n, g: n - g)
+    rows = rows.select("docs", "heads", "head_times", "times", F.when(_there("_tail_texts"), n_links).otherwise(_empty("int")).alias("n_links"), "links", F.concat("head_texts", "_tail_texts").alias("_texts"))
 
     def digest(d: Column) -> Column:
         text = F.array_join(F.transform(d["chunks"], lambda k: F.get("_texts", k)), ";")
         return d.withField("groups_sha256", F.when((F.size(d["chunks"]) > 0) & (F.size("_texts") > 0), F.sha2(text, 256)).otherwise(""))
 
-    return rows.select(F.transform("docs", digest).alias("docs"), F.when(_there("_texts"), n_groups).alias("n_groups"), "links")
+    return rows.select(F.transform("docs", digest).alias("docs"), "heads", "head_times", "times", "n_links", "links")
+
+
+def _column(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
+    return batch.column(name)[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
+
 
+def _summed(links: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, where = np.unique(links, return_inverse=True)
+    sums = np.zeros(len(found), np.int64)
+    np.add.at(sums, where, counts)
+    return found, sums
 
-def pair_counts(rows: DataFrame) -> DataFrame:
-    """link, count, best (whether no link of its B id has a higher count) over all shelves."""
-    each = rows.select(F.inline("links"))
-    counts = durable(each.groupBy("link").agg(F.sum("times").alias("count")))
+
+def pair_counts(rows: DataFrame, heads: Broadcast) -> DataFrame:
+    """link, count, best (whether no link of its B id has a higher count) over all shelves: tasks sum their rows' links, Spark the tasks' sums."""
+
+    def run(batches):
+        known = heads.value
+        total, found = np.zeros(len(known.chunks), np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                total[_column(batch, "heads", i)] += _column(batch, "head_times", i)
+                own = _column(batch, "links", i), np.repeat(_column(batch, "times", i), _column(batch, "n_links", i))
+                found = _summed(*(np.concatenate(x) for x in zip(found, own, strict=True)))
+                if len(found[0]) > BROADCAST_PAIRS:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["link", "count"])
+                    found = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        n_a, n_b, n_groups = known.sizes
+        own = known.links, np.repeat(total, n_a + n_b - n_groups)
+        link, count = _summed(*(np.concatenate(x) for x in zip(found, own, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(x[count > 0]) for x in (link, count)], names=["link", "count"])
+
+    each = rows.select("heads", "head_times", "times", "n_links", "links").mapInArrow(run, "link long, count long")
+    counts = durable(each.groupBy("link").agg(F.sum("count").alias("count")))
     own = F.col("link").bitwiseAND(F.lit(2**32 - 1))
     highest = counts.groupBy(own.alias("_b")).agg(F.max("count").alias("_highest"))
     return durable(counts.withColumn("_b", own).join(highest, "_b").select("link", "count", (F.col("count") == F.col("_highest")).alias("best")))
@@ -328,24 +409,84 @@ def weights(rows: DataFrame, counts: DataFrame, most: int = BROADCAST_PAIRS) ->
     return out.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("chunk", "n_best", "count_sum"))).alias("sums"))
 
 
+class Sums:
+    """What a shelf's chunks come to, by the pairs that are broadcast: link (sorted), count, best."""
+
+    def __init__(self, known: Heads, pairs: tuple[np.ndarray, ...]):
+        self.pairs, (n_a, n_b, n_groups) = pairs, known.sizes
+        self.head_links, self.head_n = known.links, n_a + n_b - n_groups
+        self.heads = self.of(known.links, self.head_n)
+        self.head_at = np.cumsum(self.head_n) - self.head_n
+
+    def of(self, links: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """(3, chunks): links, best ones, the sum of counts; a link that isn't among the pairs counts 0.  links: of chunks with n each."""
+        link, count, best = self.pairs
+        at = np.minimum(np.searchsorted(link, links), max(0, len(link) - 1))
+        there = link[at] == links if len(link) else np.zeros(len(links), bool)
+        ends = np.cumsum(n)
+        sums = [np.concatenate([[0], np.cumsum(np.where(there, x[at], 0) if len(link) else there)]) for x in (best.astype(np.int64), count)]
+        return np.stack([n, *[x[ends] - x[ends - n] for x in sums]]).astype(np.int64)
+
+    def rare(self, links: np.ndarray) -> np.ndarray:
+        link = self.pairs[0]
+        return link[np.minimum(np.searchsorted(link, links), len(link) - 1)] != links if len(link) else np.ones(len(links), bool)
+
+    def chunks(self, batch: pa.RecordBatch, i: int) -> np.ndarray:
+        """`of` a row's distinct chunks."""
+        return np.concatenate([self.heads[:, _column(batch, "heads", i)], self.of(_column(batch, "links", i), _column(batch, "n_links", i))], axis=1)
+
+    def rare_links(self, batch: pa.RecordBatch, i: int) -> list[np.ndarray]:
+        """The links of each distinct chunk of a row that aren't among the pairs."""
+        own = [self.head_links[self.head_at[h] : self.head_at[h] + self.head_n[h]] for h in _column(batch, "heads", i)]
+        n = _column(batch, "n_links", i)
+        own += np.split(_column(batch, "links", i), np.cumsum(n)[:-1]) if len(n) else []
+        return [x[self.rare(x)] for x in own]
+
+
 def linked(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, most: int = BROADCAST_PAIRS) -> DataFrame:
     """One row for each document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    rows = stored(summary(docs, a_file, b_file).withColumn("_row", F.monotonically_increasing_id()), "links", "zstd", FILE_SHELVES)
-    sums = weights(rows, pair_counts(rows), most)
-    whole = rows.drop("links").join(sums, "_row", "left")
-    long = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in ("n_groups", "n_best", "count_sum")])
-
-    def add(x: Column, k: Column) -> Column:
-        own = F.get("sums", k)
-        return F.struct((x["n_groups"] + F.get("n_groups", k)).alias("n_groups"), (x["n_best"] + own["n_best"]).alias("n_best"), (x["count_sum"] + own["count_sum"]).alias("count_sum"))
-
-    each = whole.select(F.explode(F.transform("docs", lambda d: d.withField("sums", F.aggregate(d["chunks"], zero, add)).dropFields("chunks"))).alias("d"))
-    n_a, n_b, n_groups = long(F.col("d.n_a")), long(F.col("d.n_b")), long(F.col("d.sums.n_groups"))
-    return each.select(
-        "d.doc_id", n_a.alias("n_a"), n_b.alias("n_b"), n_groups.alias("n_groups"), (n_a + n_b - n_groups).alias("n_links"),
-        long(F.col("d.sums.n_best")).alias("n_best"), long(F.col("d.sums.count_sum")).alias("count_sum"), "d.groups_sha256",
-    )
+    share = docs.sparkSession.sparkContext.broadcast
+    heads = share(heads_of(docs, a_file, b_file))
+    rows = stored(summary(docs, heads, a_file, b_file).withColumn("_row", F.monotonically_increasing_id()), "links", "zstd", FILE_SHELVES)
+    counts = pair_counts(rows, heads)
+    least = frequent(counts, most)
+    found = counts.where(F.col("count") >= least).toArrow()
+    by_link = np.argsort(found["link"].to_numpy())
+    pairs = share(tuple(found[c].to_numpy()[by_link] for c in ("link", "count", "best")))
+    names = ["_row", "_place", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+    def run(batches):
+        sums = Sums(heads.value, pairs.value)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = batch.column("docs")[i].values
+                of = own.field("chunks")
+                ends = np.concatenate([np.zeros((3, 1), np.int64), np.cumsum(sums.chunks(batch, i)[:, of.flatten().to_numpy()], axis=1)], axis=1)
+                cuts = np.concatenate([[0], np.cumsum(of.value_lengths().to_numpy())]).astype(np.int64)
+                n_links, n_best, count_sum = ends[:, cuts[1:]] - ends[:, cuts[:-1]]
+                n_a, n_b = (own.field(n).to_numpy().astype(np.int64) for n in ("n_a", "n_b"))
+                places = [np.full(len(own), batch.column("_row")[i].as_py()), np.arange(len(own))]
+                made = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_a + n_b - n_links, n_links, n_best, count_sum)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in places], own.field("doc_id"), *made, own.field("groups_sha256")], names=names)
+
+    def rare(batches):
+        sums = Sums(heads.value, pairs.value)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                links = sums.rare_links(batch, i)
+                own = [np.concatenate([links[k] for k in x]) if len(x) else np.zeros(0, np.int64) for x in batch.column("docs")[i].values.field("chunks").to_pylist()]
+                flat = [{"link": x, "chunk": k, "times": 1} for k, of in enumerate(own) for x in of.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("_row")[i].as_py()], pa.int64()), pa.array([flat], pa.list_(pa.struct([("link", pa.int64()), ("chunk", pa.int32()), ("times", pa.int32())])))], names=["_row", "links"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = rows.mapInArrow(run, ", ".join(f"{n} {kind if n == 'doc_id' else 'string' if n == 'groups_sha256' else 'long'}" for n in names))
+    tail = counts.where(F.col("count") < least)
+    if not tail.isEmpty():
+        more = rows.mapInArrow(rare, "_row long, links array<struct<link: long, chunk: int, times: int>>")
+        added = weights(more, tail, most).select("_row", F.inline("sums")).select("_row", F.col("chunk").cast("long").alias("_place"), F.col("n_best").alias("_best"), F.col("count_sum").alias("_sum"))
+        plus = lambda c, x: (F.col(c) + F.coalesce(F.col(x), F.lit(0))).alias(c)
+        out = out.join(added, ["_row", "_place"], "left").select(*[plus(n, {"n_best": "_best", "count_sum": "_sum"}[n]) if n in ("n_best", "count_sum") else n for n in names])
+    return out.drop("_row", "_place")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

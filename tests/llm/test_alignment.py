@@ -109,3 +109,16 @@ def test_links_are_summed_where_they_lie(spark):
     found = alignment.weights(rows, counts)
     assert "RepartitionByExpression" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r["_row"]: [tuple(x) for x in r["sums"]] for r in found.collect()} == {0: [(0, 1, 5), (1, 1, 3)], 1: [(0, 0, 2)]}
+
+
+@pytest.mark.parametrize("most", [alignment.BROADCAST_PAIRS, 3])
+def test_frequent_chunks_are_aligned_once(spark, monkeypatch, most):
+    """Chunks known from a sample are no part of what a shelf aligns, and all rows stay as the plain loop has them."""
+    monkeypatch.setattr(alignment, "SAMPLE", 1)
+    rows = [(i * 100 + k, t) for k in range(3) for i, t in TEXTS.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    heads = spark.sparkContext.broadcast(alignment.heads_of(docs, alignment.A_FILE, alignment.B_FILE))
+    assert {"again", "東京", "12345"} <= set(heads.value.chunks)
+    shelves = alignment.shelves(docs, heads).collect()
+    assert sum(len(r["times"]) for r in shelves) <= 10 < sum(len(r["heads"]) for r in shelves)
+    assert tuples(alignment.linked(docs, most=most)) == plain(rows)
