@@ -7,12 +7,15 @@ common ends (`array_intersect`) cut the tokens into groups.  The union of ends c
 interval is one link: the A token and the B token there overlap, and two tokens share no second interval.
 
 Neither tokenizer joins what stands before a space to what follows it, so a text is cut before each space that
-follows no white space; a worker remembers the ids of `REMEMBERED` chunks, and the unknown chunks of a batch are
+follows no white space; a worker remembers the ids of `REMEMBERED` chunks, and the unknown chunks of a shelf are
 encoded together.  `merged_alike` and `spaces_lead` check that the vocabularies allow it.  No group and no link
-crosses a cut, so the documents of a shelf (`SHELF` characters) share the alignment of their distinct chunks.
+crosses a cut, so the documents of a shelf (`SHELF` characters) share the alignment of their distinct chunks, and all
+shelves that of the heads: up to `HEADS` chunks that are frequent in a sample, which are aligned once, by the same
+functions, and broadcast.  The sample decides on nothing else: every other chunk is aligned in its shelf.
 
-Links are counted over the corpus by id pair.  Pairs with counts from a threshold on, so many as fit in
-`BROADCAST_PAIRS`, are broadcast to the links; links of rarer pairs are counted by row and joined by a shuffle.
+Links are counted over the corpus by id pair: tasks sum those of their shelves, Spark the sums.  Pairs with counts from
+a threshold on, so many as fit in `BROADCAST_PAIRS`, are broadcast to the links, which are summed by document where
+they lie; links of rarer pairs are joined by a shuffle.
 
 Defined results: null and empty texts, and texts whose tokens don't give back space and text byte by byte (invalid
 for either vocabulary), have no tokens, and their group text is empty; strings of special tokens are plain text;
@@ -41,9 +44,9 @@ from .sentencepieces import BYTE, MARK, NORMAL, USER, parse_model
 #: Where the public vocabulary files are.  Parameters of every function here.
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Chunks whose ids a worker remembers, and id pairs that are broadcast at most (24 bytes each).
-REMEMBERED, BROADCAST_PAIRS = 200_000, 1_000_000
+REMEMBERED, BROADCAST_PAIRS = 120_000, 1_000_000
 #: Frequent chunks that are aligned once for all documents, at most, and the share of the texts that they are looked for in.
-HEADS, SAMPLE = 200_000, 16
+HEADS, SAMPLE = 330_000, 16
 #: Characters of the documents whose distinct chunks are aligned together.
 SHELF = 1_000_000
 #: Shelves of a file in between: a reader holds them together.
@@ -80,6 +83,14 @@ def cut(text: str | None) -> list[str]:
     return _CUT.split(text) if text[0] == " " or _RUN.search(text) else text.split(" ")
 
 
+class _Places(dict):
+    """The place of each distinct chunk, in the order that they are met in."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        return n
+
+
 def _owners(sizes: np.ndarray) -> np.ndarray:
     """For each byte, the position of what it belongs to."""
     return np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
@@ -268,15 +279,16 @@ def shelves(docs: DataFrame, heads: Broadcast, a_file: str = A_FILE, b_file: str
     def run(batches):
         pair, known = _pair(*files), heads.value
         head_at = {c: i for i, c in enumerate(known.chunks)}
-        ids, own, at, size = [], [], {}, 0
+        ids, own, at, size = [], [], _Places(), 0
         for batch in small(batches, "text"):
             for t in batch.column("text").cast(pa.string()).to_pylist():
-                own.append(np.array([at.setdefault(c, len(at)) for c in cut(t)], np.int32))
+                chunks = cut(t)
+                own.append(np.fromiter(map(at.__getitem__, chunks), np.int32, len(chunks)))
                 size += len(t or "")
             ids.append(batch.column("doc_id"))
             if size >= SHELF:
                 yield shelf(pair, known, head_at, pa.concat_arrays(ids), own, at)
-                ids, own, at, size = [], [], {}, 0
+                ids, own, at, size = [], [], _Places(), 0
                 pair.forget()
         if own:
             yield shelf(pair, known, head_at, pa.concat_arrays(ids), own, at)
