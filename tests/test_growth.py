@@ -117,3 +117,15 @@ def test_a_retrieval_derives_its_events_once(spark):
     took = spark.createDataFrame([("x", "e1"), ("x", "e2"), ("y", "e1"), ("z", "e3")], "character_id string, event_id string")
     events = spark.createDataFrame([("e1", "c"), ("e2", "c"), ("e3", "d")], "id string, chat_id string")
     assert sorted(map(tuple, search.mentioned(names, took, events, ["c"], "Annie, bobby and Cid").collect())) == [("x", "Ann"), ("y", "Bo")]
+
+
+def test_every_trait_has_neighbours(spark):
+    """jn_knn asks for each trait, not for some ids only: as many rows as the least of three and the others of its character and category."""
+    from taleweave.plans import catalog
+    from taleweave.sources import fixtures
+
+    folder = "/root/testdata/sf0.001"
+    t = fixtures.Tables(spark, folder)("traits")
+    want = t.join(t.groupBy("character_id", "category").count(), ["character_id", "category"]).selectExpr("id", "least(3, count - 1) AS n").where("n > 0")
+    got = catalog.QUERIES["jn_knn"](spark, folder).groupBy("a_id").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.where("a_id % 50 <> 0").count() > 0
