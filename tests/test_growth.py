@@ -129,3 +129,40 @@ def test_every_trait_has_neighbours(spark):
     want = t.join(t.groupBy("character_id", "category").count(), ["character_id", "category"]).selectExpr("id", "least(3, count - 1) AS n").where("n > 0")
     got = catalog.QUERIES["jn_knn"](spark, folder).groupBy("a_id").count()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.where("a_id % 50 <> 0").count() > 0
+
+
+def test_pairs_are_summed_where_they_are_found(spark, monkeypatch):
+    """Sums by chat and by shared label equal those of the pairs, with and without a table of vectors and of near ones; no vector is shuffled."""
+    import numpy as np
+
+    from taleweave.operators import arcs
+
+    r = np.random.default_rng(11)
+    some = [[float(x) for x in np.float32(r.normal(size=6))] for _ in range(20)]
+    events = [(f"e{i}", "ab"[i % 5 == 0], i, f"l{i % 4}" if i % 9 else None, None if i % 17 == 3 else some[int(r.integers(20))]) for i in range(400)]
+    frame = spark.createDataFrame(events, "id string, chat_id string, message_index int, location_id string, embedding array<float>")
+    took = spark.createDataFrame([(f"p{k}", e[0]) for e in events for k in set(r.integers(0, 9, 3).tolist())], "character_id string, event_id string")
+    chains = spark.createDataFrame([(f"e{i}", f"e{i + 5}") for i in range(0, 300, 7)], "from_id string, to_id string")
+    labels = spark.createDataFrame([(e[0], f"c{k}") for n, e in enumerate(events) for k in {n // 50, n % 3} if n % 4], "id string, label string")
+    of = (frame.drop("embedding"), took, chains)
+    found = []
+    for change in ({}, {"NEAR": -1}, {"TABLE": -1}, {"BLOCK": 256, "TILE": 16, "PICKED": 50}):
+        with monkeypatch.context() as m:
+            for name, value in change.items():
+                m.setattr(arcs, name, value)
+            pairs = arcs.pair_weights(*of, vectors=frame.select("id", "embedding"))
+            sums = arcs.pair_sums(*of, vectors=frame.select("id", "embedding"), labels=labels)
+            if not change:
+                assert "embedding" not in sums._jdf.queryExecution().executedPlan().toString()
+            found.append((sorted((x.chat_id, x.a, x.b, round(x.w, 8)) for x in pairs.collect()) if "NEAR" not in change else found[0][0], {(x.chat_id, x.label): x for x in sums.collect()}))
+    of_event = {}
+    for x in labels.collect():
+        of_event.setdefault(x.id, set()).add(x.label)
+    want = {}
+    for chat, a, b, w in found[0][0]:
+        for label in {None} | (of_event.get(a, set()) & of_event.get(b, set())):
+            want.setdefault((chat, label), []).append(w)
+    assert len(found[0][0]) > 500 and len(want) > 10
+    for pairs, sums in found:
+        assert pairs == found[0][0] and sums.keys() == want.keys()
+        assert all(s.n == len(want[k]) and abs(s.total - sum(want[k])) < 1e-5 and abs(s.most - max(want[k])) < 1e-7 and abs(s.least - min(want[k])) < 1e-7 for k, s in sums.items())
