@@ -381,23 +381,37 @@ def pair_sums(events: DataFrame, participated: DataFrame, chains: DataFrame, pru
     return _pairs(events, participated, chains, prune, vectors, "sums", labels)
 
 
+#: Neighbours of a vertex from which on they are summed as arrays.
+FEW = 200
+
+
+def _neighbours(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """(starts by vertex, neighbours in order, weights) of both ways of the pairs; repeated ones are summed."""
+    key = np.concatenate([a * n + b, b * n + a])
+    by = np.argsort(key, kind="stable")
+    key, w = key[by], np.concatenate([w, w])[by]
+    if len(key):
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key, w = key[first], np.add.reduceat(w, first)
+    return np.searchsorted(key, np.arange(n + 1) * n), key % n, w
+
+
 def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution: float, seed: int = SEED) -> np.ndarray:
     """Communities of n vertices by local moves and aggregation until modularity stops rising."""
     community = np.arange(n)
     draw = Mulberry32(seed)
     size = n
+    a, b, w = np.asarray(a, np.int64), np.asarray(b, np.int64), np.asarray(w, float)
     loops = np.zeros(n)
     while True:
-        near: list[dict[int, float]] = [{} for _ in range(size)]
-        for x, y, z in zip(a, b, w, strict=True):
-            near[x][y] = near[x].get(y, 0.0) + z
-            near[y][x] = near[y].get(x, 0.0) + z
-        degree = np.array([sum(d.values()) for d in near]) + 2 * loops
+        starts, near, links = _neighbours(a, b, w, size)
+        degree = np.bincount(a, w, size) + np.bincount(b, w, size) + 2 * loops
         total = degree.sum()
         if total <= 0:
             return community
-        own = np.arange(size)
-        held = degree.copy()
+        place = np.arange(size)
+        own, held = place.tolist(), degree.tolist()
+        begin, pull, size_of = starts.tolist(), (resolution * degree / total).tolist(), degree.tolist()
         moved_ever = False
         for _ in range(100):
             order = list(range(size))
@@ -406,54 +420,86 @@ def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution: flo
                 order[i], order[j] = order[j], order[i]
             moved = False
             for v in order:
-                links: dict[int, float] = {}
-                for u, z in near[v].items():
-                    links[own[u]] = links.get(own[u], 0.0) + z
-                held[own[v]] -= degree[v]
-                gain = lambda c: links.get(c, 0.0) - resolution * degree[v] * held[c] / total  # noqa: B023, E731
-                best, most = own[v], gain(own[v])
-                for c in sorted(links):
-                    if gain(c) > most + 1e-12:
-                        best, most = c, gain(c)
-                held[best] += degree[v]
-                moved |= best != own[v]
-                own[v] = best
+                lo, hi = begin[v], begin[v + 1]
+                if hi - lo > FEW:  # many neighbours are summed as arrays
+                    c = place[near[lo:hi]]
+                    by = c.argsort(kind="stable")
+                    c = c[by]
+                    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+                    sums = dict(zip(c[first].tolist(), np.add.reduceat(links[lo:hi][by], first).tolist(), strict=True))
+                else:
+                    sums = {}
+                    for u, z in zip(near[lo:hi].tolist(), links[lo:hi].tolist(), strict=True):
+                        c = own[u]
+                        sums[c] = sums.get(c, 0.0) + z
+                mine, p = own[v], pull[v]
+                held[mine] -= size_of[v]
+                best, top = mine, sums.get(mine, 0.0) - p * held[mine]
+                most = top + 1e-12
+                for c, z in sums.items():
+                    gain = z - p * held[c]
+                    if gain > most and (gain > top or (gain == top and c < best)):
+                        best, top = c, gain
+                if best != mine:
+                    own[v] = place[v] = best
+                    moved = True
+                held[best] += size_of[v]
             moved_ever |= moved
             if not moved:
                 break
+        own = place
         names, own = np.unique(own, return_inverse=True)
         community = own[community]
         if not moved_ever or len(names) == size:
             return community
-        merged = np.zeros(len(names))
-        np.add.at(merged, own, loops)
+        merged = np.bincount(own, loops, len(names))
         x, y = own[a], own[b]
         inside = x == y
-        np.add.at(merged, x[inside], w[inside])
-        a, b, w, loops, size = x[~inside], y[~inside], w[~inside], merged, len(names)
+        merged += np.bincount(x[inside], w[inside], len(names))
+        starts, others, sums = _neighbours(x[~inside], y[~inside], w[~inside], len(names))
+        x = np.repeat(np.arange(len(names)), np.diff(starts))
+        once = x < others
+        a, b, w, loops, size = x[once], others[once], sums[once], merged, len(names)
 
 
 def communities(events: DataFrame, weights: DataFrame, resolution: float = 0.5, least: int = LEAST_MEMBERS, seed: int = SEED) -> DataFrame:
-    """chat_id, id, community (from 0, by the first member's index); small communities and chats go."""
-
-    def run(key, nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        nodes = nodes.rename(columns={"node_chat": "chat_id"}).sort_values(["message_index", "id"]).reset_index(drop=True)
-        if len(nodes) < LEAST_EVENTS:
-            return nodes.assign(community=0).loc[[], ["chat_id", "id", "community"]]
-        number = {x: i for i, x in enumerate(nodes["id"])}
-        pairs = pairs.sort_values(["a", "b"])
-        found = louvain(pairs["a"].map(number).to_numpy(int), pairs["b"].map(number).to_numpy(int), pairs["w"].to_numpy(float), len(nodes), resolution, seed)
+    """chat_id, id, community (from 0, by the first member's index); small communities and chats go.
+
+    weights: chat_id, a, b, w; a and b are ids, or numbers of these events as `pair_weights` gives them.
+    """
+    return _communities(events, weights, {"": resolution}, least, seed).select("chat_id", "id", "community")
+
+
+def _communities(events: DataFrame, weights: DataFrame, resolutions: dict[str, float], least: int = LEAST_MEMBERS, seed: int = SEED) -> DataFrame:
+    """level, chat_id, id, community, inside (pairs inside it), edges (all pairs of the chat): one task for a chat at a resolution."""
+
+    def run(key: tuple, nodes: pa.Table, pairs: pa.Table) -> pa.Table:
+        level = key[1].as_py()
+        nodes = nodes.take(pc.sort_indices(nodes, [("message_index", "ascending"), ("id", "ascending")])).combine_chunks()
+        out = {"level": pa.array([], pa.string()), "chat_id": pa.array([], pa.string()), "id": pa.array([], pa.string()), "community": pa.array([], pa.int32()), "inside": pa.array([], pa.int64()), "edges": pa.array([], pa.int64())}
+        n = nodes.num_rows
+        if n < LEAST_EVENTS:
+            return pa.table(out)
+        number = lambda c: (pc.index_in(c, nodes.column("id").combine_chunks()) if pa.types.is_string(c.type) else c).to_numpy().astype(np.int64)
+        a, b, w = number(pairs.column("a")), number(pairs.column("b")), pairs.column("w").to_numpy()
+        del pairs
+        by = np.argsort(a * n + b, kind="stable")
+        a, b, w = a[by], b[by], w[by]
+        found = louvain(a, b, w, n, resolutions[level], seed)
         members = np.bincount(found, minlength=found.max() + 1)
-        first = {}
-        for c in found:  # nodes are in order, so communities get their numbers by their first member
-            if members[c] >= least:
-                first.setdefault(c, len(first))
-        out = nodes.assign(community=[first.get(c, -1) for c in found])
-        return out.loc[out["community"] >= 0, ["chat_id", "id", "community"]]
+        kept = found[members[found] >= least]
+        names, first = np.unique(kept, return_index=True)
+        place = np.full(len(members), -1)
+        place[names[np.argsort(first)]] = np.arange(len(names))  # nodes are in order, so communities get their numbers by their first member
+        inside = np.bincount(found[a][found[a] == found[b]], minlength=len(members))
+        some = np.flatnonzero(place[found] >= 0)
+        columns = [pa.array([level] * len(some), pa.string()), nodes.column("node_chat").take(pa.array(some)).combine_chunks(), nodes.column("id").take(pa.array(some)).combine_chunks(), pa.array(place[found[some]], pa.int32()), pa.array(inside[found[some]]), pa.array(np.full(len(some), len(a)))]
+        return pa.table(dict(zip(out, columns, strict=True)))
 
-    nodes = events.select(F.col("chat_id").alias("node_chat"), "id", "message_index").groupBy("node_chat")
-    pairs = weights.select(F.col("chat_id").alias("pair_chat"), "a", "b", "w").groupBy("pair_chat")
-    return nodes.cogroup(pairs).applyInPandas(run, "chat_id string, id string, community int")
+    each = F.explode(F.array(*[F.lit(x) for x in resolutions]))
+    nodes = events.where("message_index IS NOT NULL").select(F.col("chat_id").alias("node_chat"), each.alias("node_level"), "id", "message_index")
+    pairs = weights.select(F.col("chat_id").alias("pair_chat"), each.alias("pair_level"), "a", "b", "w")
+    return nodes.groupBy("node_chat", "node_level").cogroup(pairs.groupBy("pair_chat", "pair_level")).applyInArrow(run, "level string, chat_id string, id string, community int, inside long, edges long")
 
 
 def describe(members: DataFrame) -> DataFrame:
@@ -518,20 +564,25 @@ def to_name(arcs: DataFrame, least: float = 1.5) -> DataFrame:
     return arcs.where((F.col("density") >= least) & ~F.col("recycled"))
 
 
-def rebuild(events: DataFrame, participated: DataFrame, chains: DataFrame, durable=durable) -> tuple[DataFrame, DataFrame]:
-    """(arcs, arc_events) of all chats with enough events, at one level or, for long chats, three."""
+def rebuild(events: DataFrame, participated: DataFrame, chains: DataFrame, durable=durable, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(arcs, arc_events) of all chats with enough events, at one level or, for long chats, three.  vectors: as for `pair_weights`."""
     keep = durable or (lambda x: x)
-    sizes = events.groupBy("chat_id").agg(F.count(F.lit(1)).alias("nodes"))
-    enough = events.join(sizes.where(F.col("nodes") >= LEAST_EVENTS), "chat_id")
-    weights = keep(pair_weights(enough.select("id", "chat_id", "message_index", "location_id", "embedding"), participated, chains))
+    sizes = events.where("message_index IS NOT NULL").groupBy("chat_id").agg(F.count(F.lit(1)).alias("nodes"))
+    enough = events.where("message_index IS NOT NULL").join(sizes.where(F.col("nodes") >= LEAST_EVENTS), "chat_id")
+    weights = pair_weights(enough, participated, chains, vectors=vectors, numbers=True)
+    weights = stored(weights) if durable else weights
+    resolutions = {name: resolution for name, (_, resolution) in LEVELS.items()}
+    every = keep(_communities(enough.where(F.col("nodes") >= HIERARCHY_FROM), weights, resolutions).unionByName(_communities(enough.where(F.col("nodes") < HIERARCHY_FROM), weights.join(sizes.where(F.col("nodes") < HIERARCHY_FROM), "chat_id", "left_semi"), {"arc": resolutions["arc"]})))
     arcs = members = None
-    for name, (level, resolution) in LEVELS.items():
-        own = enough if name == "arc" else enough.where(F.col("nodes") >= HIERARCHY_FROM)
-        found = keep(communities(own, weights, resolution)).withColumn("hierarchy_level", F.lit(level))
-        keyed = found.join(own.select("id", "significance", "message_index", "summary"), "id").withColumn("community", F.struct("chat_id", "community"))
+    for name, (level, _) in LEVELS.items():
+        found = every.where(F.col("level") == name).withColumn("hierarchy_level", F.lit(level))
+        keyed = found.join(enough.select("id", "significance", "message_index", "summary"), "id").withColumn("community", F.struct("chat_id", "community"))
         told = describe(keyed).select("community.chat_id", "community.community", F.lit(level).alias("hierarchy_level"), "spine", "size", F.col("first").alias("start_idx"), F.col("last").alias("end_idx"), "importance", arc_title(name, "spine_text").alias("title"))
-        told = told.join(density(found, weights).select("chat_id", "community", "density"), ["chat_id", "community"])
+        counts = found.groupBy("chat_id", "community").agg(F.first("inside").alias("inside"), F.first("edges").alias("edges"))
+        dense = _density(found.select("chat_id", "id", "community"), counts.groupBy("chat_id").agg(F.first("edges").alias("edges")), counts.select("chat_id", "community", "inside"))
+        told = told.join(dense.select("chat_id", "community", "density"), ["chat_id", "community"])
         told = told.withColumn("id", content_id("arc", F.concat_ws("|", "chat_id", "hierarchy_level", "spine")))
+        found = found.select("chat_id", "id", "community", "hierarchy_level")
         arcs, members = (told, found) if arcs is None else (arcs.unionByName(told), members.unionByName(found))
     arcs = keep(arcs)
     order = Window.partitionBy("arc_id").orderBy("message_index", "event_id")

@@ -166,3 +166,26 @@ def test_pairs_are_summed_where_they_are_found(spark, monkeypatch):
     for pairs, sums in found:
         assert pairs == found[0][0] and sums.keys() == want.keys()
         assert all(s.n == len(want[k]) and abs(s.total - sum(want[k])) < 1e-5 and abs(s.most - max(want[k])) < 1e-7 and abs(s.least - min(want[k])) < 1e-7 for k, s in sums.items())
+
+
+def test_communities_by_numbers(spark):
+    """Pairs by places in the chat give the same communities as pairs by ids; a vertex of many neighbours is summed like one of few."""
+    import numpy as np
+
+    from taleweave.operators import arcs
+
+    r = np.random.default_rng(2)
+    n = 90
+    ids = [f"e{i:02}" for i in range(n)]
+    pairs = [("c", i, j, float(np.round(r.uniform(0.5, 1.0), 9))) for i in range(n) for j in range(i + 1, n) if r.random() < (0.5 if i // 30 == j // 30 else 0.02)]
+    events = spark.createDataFrame([("c", x, i // 2) for i, x in enumerate(ids)], "chat_id string, id string, message_index int")
+    numbers = spark.createDataFrame(pairs, "chat_id string, a int, b int, w double")
+    named = spark.createDataFrame([(c, ids[a], ids[b], w) for c, a, b, w in pairs], "chat_id string, a string, b string, w double")
+    got = [sorted(map(tuple, arcs.communities(events, w, 1.0).collect())) for w in (numbers, named)]
+    assert got[0] == got[1] and len(got[0]) == n and [x[2] for x in got[0]] == [i // 30 for i in range(n)]
+    a, b, w = (np.array(x) for x in list(zip(*pairs))[1:])
+    few, arcs.FEW = arcs.FEW, 0
+    try:
+        assert (np.unique(arcs.louvain(a, b, w, n, 1.0), return_inverse=True)[1] == np.arange(n) // 30).all()
+    finally:
+        arcs.FEW = few
