@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable as shared_copy
+from ..session import stored
+from ..sources.fixtures import lean
 
 
 def _edge(rows: DataFrame, kind: str, a, a_type: str, b, b_type: str, two_way: bool = False) -> DataFrame:
@@ -21,7 +23,7 @@ def _edge(rows: DataFrame, kind: str, a, a_type: str, b, b_type: str, two_way: b
 def edges(tables, chats: list[str] | None = None) -> DataFrame:
     """edge, src, src_type, dst, dst_type: feelings, participation and arcs both ways, the rest one way."""
     scoped = lambda rows: rows.where(F.col("chat_id").isin(chats)) if chats else rows
-    events = scoped(tables("story_events"))
+    events = scoped(lean(tables, "story_events"))
     in_scope = events.select(F.col("id").alias("event_id"))
     feels = tables("feels").withColumnRenamed("session_id", "chat_id")
     items = scoped(tables("items"))
@@ -46,12 +48,14 @@ def expand(all_edges: DataFrame, seeds: DataFrame, depth: int = 3, durable=None)
     """id, type, hop: everything within `depth` steps of the seeds (id, type), at its least number of steps.
 
     A frontier join for each step: only nodes that are new go on, so the edges are never joined with all
-    that was seen.  durable(df) cuts the lineage after each step, without which plans would double with it.
+    that was seen.  durable(df) cuts the lineage after each step, without which plans would double with it; the
+    edges are then found once and kept as a table, which each step reads.
     """
     keep = durable or (shared_copy if depth > 2 else lambda x: x)
     step = keep(seeds.select("id", "type", F.lit(0).alias("hop")).distinct())
     seen = step
     links = all_edges.select(F.col("src").alias("id"), F.col("src_type").alias("type"), "dst", "dst_type")
+    links = stored(links) if durable or depth > 2 else links
     for hop in range(1, depth + 1):
         new = links.join(step.select("id", "type"), ["id", "type"], "left_semi").select(F.col("dst").alias("id"), F.col("dst_type").alias("type")).distinct()
         step = keep(new.join(seen.select("id", "type"), ["id", "type"], "left_anti").select("id", "type", F.lit(hop).alias("hop")))

@@ -189,3 +189,33 @@ def test_communities_by_numbers(spark):
         assert (np.unique(arcs.louvain(a, b, w, n, 1.0), return_inverse=True)[1] == np.arange(n) // 30).all()
     finally:
         arcs.FEW = few
+
+
+def test_events_without_texts_read_no_brands(spark):
+    """What is derived from events without their texts joins no parts, with the same rows; edges are found once for all steps of an expansion."""
+    from taleweave.operators import graph
+    from taleweave.plans import catalog
+    from taleweave.sources import fixtures
+
+    folder = "/root/testdata/sf0.001"
+    t = fixtures.Tables(spark, folder)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    bare = t.lean("story_events")
+    assert "p_brand" in plan(t("story_events")) and "source_text" in t("story_events").columns and t.sql("SELECT * FROM story_events").columns == t("story_events").columns
+    assert bare.columns == [c for c in t("story_events").columns if c != "source_text"]
+    assert bare.exceptAll(t("story_events").drop("source_text")).count() == 0 and bare.count() == t("story_events").count()
+    for name in ("present_at", "chains", "arc_events", "event_vectors", "plot_threads"):
+        assert "p_brand" not in plan(t(name)) and "p_partkey" not in plan(t(name)), name
+    assert "p_partkey" not in plan(catalog.QUERIES["jn_compound"](spark, folder)) and "p_partkey" not in plan(graph.edges(t, ["BUILDING"]).where("edge <> 'owns' AND edge <> 'lies_at'"))
+    given = t.keeping(story_events=t("story_events").limit(3))
+    assert given.lean("story_events").count() == 3 and "source_text" not in given.lean("story_events").columns
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    pairs = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(8)], "src string, dst string").withColumns({"src_type": F.lit("t"), "dst_type": F.lit("t")})
+    found = graph.expand(pairs.mapInArrow(count, pairs.schema), spark.createDataFrame([("n0", "t")], "id string, type string"), 3)
+    assert sorted((x.id, x.hop) for x in found.collect()) == [(f"n{i}", i) for i in range(4)] and seen.value == 8
