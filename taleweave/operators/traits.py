@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -91,6 +93,23 @@ def contained(texts: list[str]) -> list[list[int]]:
     return near
 
 
+_KEPT = re.compile("[^a-z0-9]+")
+#: Rows whose vectors meet the canonical rows' at once.
+AHEAD = 256
+
+
+def _alike(rows: pd.Series, canonical: np.ndarray) -> np.ndarray | None:
+    """Cosines of the rows' vectors (0 without one) and the canonical rows' units, in single precision."""
+    if not len(canonical):
+        return None
+    m = np.zeros((len(rows), canonical.shape[1]), np.float32)
+    for i, v in enumerate(rows):
+        size = np.linalg.norm(np.asarray(v, float)) if v is not None else 0.0
+        if size:
+            m[i] = np.asarray(v, float) / size
+    return m @ canonical.astype(np.float32).T
+
+
 def fold(traits: DataFrame, merge: float = MERGE_FROM, verify: float = VERIFY_FROM, longest_first: bool = False, verdict=None) -> DataFrame:
     """id, canonical_id, merged_count, similarity: each wording against the canonical rows before it.
 
@@ -103,7 +122,7 @@ def fold(traits: DataFrame, merge: float = MERGE_FROM, verify: float = VERIFY_FR
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "id"], ascending=[False, True]) if longest_first else pdf.sort_values("id")
-        norms = ["".join(c for c in x.lower() if c.isascii() and c.isalnum()) for x in pdf["content"]]
+        norms = [_KEPT.sub("", x.lower()) for x in pdf["content"]]
         number = {x: i for i, x in enumerate(dict.fromkeys(x for x in norms if x))}
         near = contained(list(number))
         place = lambda k: (len(k[1]), -k[0])
@@ -113,7 +132,13 @@ def fold(traits: DataFrame, merge: float = MERGE_FROM, verify: float = VERIFY_FR
         sized: list[tuple] = []
         merged: dict = {}
         out = []
-        for row, norm in zip(pdf.itertuples(index=False), norms, strict=True):
+        ahead, stop, known = None, 0, 0
+        for at, (row, norm) in enumerate(zip(pdf.itertuples(index=False), norms, strict=True)):
+            if at >= stop:  # the next rows against the canonical rows so far, as one product
+                known = len(sized)
+                stop = at + max(16, min(AHEAD, 4_000_000 // max(1, known)))
+                ahead = _alike(pdf["embedding"].iloc[at:stop], vectors[:known])
+                start, tops = at, None if ahead is None else ahead.max(axis=1)
             v = np.asarray(row.embedding, float) if row.embedding is not None else None
             size = np.linalg.norm(v) if v is not None else 0.0
             hit, how = None, 0.0
@@ -124,10 +149,15 @@ def fold(traits: DataFrame, merge: float = MERGE_FROM, verify: float = VERIFY_FR
             if inside:
                 hit, how = max(inside, key=place), 1.0
             elif size and sized:
-                like = vectors[: len(sized)] @ v / size
-                # a product may be off by rounding: those near its top are weighed again
-                best = max((float(v @ k[2]) / (size * k[3]), -k[0], k) for k in (sized[i] for i in np.flatnonzero(like >= like.max() - 1e-9)))
-                if best[0] >= verify:
+                some = np.arange(known, len(sized))
+                if ahead is not None and tops[at - start] >= verify - 1e-5:  # single precision picks, double precision ranks
+                    some = np.concatenate([np.flatnonzero(ahead[at - start] >= tops[at - start] - 1e-5), some])
+                best = None
+                if len(some):
+                    like = vectors[some] @ v / size
+                    # a product may be off by rounding: those near its top are weighed again
+                    best = max((float(v @ k[2]) / (size * k[3]), -k[0], k) for k in (sized[i] for i in some[np.flatnonzero(like >= like.max() - 1e-9)]))
+                if best and best[0] >= verify:
                     said = "MERGE" if best[0] >= merge else decide(row.content, best[2][1])
                     if said == "REJECT":
                         continue

@@ -219,3 +219,29 @@ def test_events_without_texts_read_no_brands(spark):
     pairs = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(8)], "src string, dst string").withColumns({"src_type": F.lit("t"), "dst_type": F.lit("t")})
     found = graph.expand(pairs.mapInArrow(count, pairs.schema), spark.createDataFrame([("n0", "t")], "id string, type string"), 3)
     assert sorted((x.id, x.hop) for x in found.collect()) == [(f"n{i}", i) for i in range(4)] and seen.value == 8
+
+
+def test_traits_meet_canonical_rows_ahead(spark, monkeypatch):
+    """A row's canonical rows are found by products made ahead of it: the same rows as a loop that weighs each pair, whatever the product's size."""
+    import numpy as np
+
+    from taleweave.operators import traits
+
+    assert traits.AHEAD > 1
+    r = np.random.default_rng(9)
+    some = r.normal(size=(25, 5))
+    data = [("a", "p", i, f"trait {i:03} of {'x' * (i % 7)}", None if i % 13 == 4 else [float(x) for x in some[int(r.integers(25))] + r.normal(size=5) * 0.2]) for i in range(200)]
+    df = spark.createDataFrame(data, "character_id string, category string, id long, content string, embedding array<double>")
+    kept, want = [], []
+    for row in sorted(data, key=lambda x: (-len(x[3]), x[2])):
+        v, best = row[4], None
+        if v:
+            best = max(((float(np.dot(v, u) / (np.linalg.norm(v) * np.linalg.norm(u))), -i, i) for i, u in kept), default=None)
+        hit = best and best[0] >= 0.88
+        if not hit and v:
+            kept.append((row[2], v))
+        want.append((row[2], best[2] if hit else None))
+    for ahead in (traits.AHEAD, 16):
+        monkeypatch.setattr(traits, "AHEAD", ahead)
+        got = traits.fold(df, 0.88, 0.88, True).collect()
+        assert sorted((x.id, x.canonical_id) for x in got) == sorted(want) and sum(x.canonical_id is not None for x in got) > 50
